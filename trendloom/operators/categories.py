@@ -25,9 +25,9 @@ def with_codes(meta: DataFrame) -> DataFrame:
 def category_counts(meta: DataFrame) -> DataFrame:
     """(cluster, codes, n, cluster_total, share): mentions of each code per cluster."""
     require_columns(meta, "cluster", "categories")
-    mentions = with_codes(meta).select("cluster", F.explode("codes").alias("codes"))
+    mentions = with_codes(meta).select("cluster", F.explode_outer("codes").alias("codes"))
     counts = (
-        mentions.filter(F.col("cluster").isNotNull())
+        mentions.filter(F.col("cluster").isNotNull() & F.col("codes").isNotNull())
         .groupBy("cluster", "codes")
         .agg(F.count("*").alias("n"))
     )

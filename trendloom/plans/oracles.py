@@ -195,7 +195,7 @@ CENTROIDS = """centroids AS (
 SIMILARITY = """cand AS (
   SELECT cast(vec_id % 41 AS int) AS cand_id, component, avg(value) AS value FROM long
   GROUP BY vec_id % 41, component),
-similar AS (
+likeness AS (
   SELECT cluster, cand_id, CASE WHEN sum(a.value * a.value) * sum(b.value * b.value) = 0 THEN 0
       ELSE sum(a.value * b.value) / sqrt(sum(a.value * a.value)) / sqrt(sum(b.value * b.value))
     END AS similarity
@@ -424,11 +424,11 @@ def oracles() -> dict[str, str]:
         "cluster_centroids": f"""WITH {LONG}, {CENTROIDS}
             {components.format(keys='cluster, n', value=r6('value'), source='centroids')}""",
         "centroid_similarity": f"""WITH {LONG}, {CENTROIDS}, {SIMILARITY}
-            SELECT cluster, cand_id, {r6('similarity')} AS similarity FROM similar""",
+            SELECT cluster, cand_id, {r6('similarity')} AS similarity FROM likeness""",
         "zero_shot_labels": f"""WITH {LONG}, {CENTROIDS}, {SIMILARITY}, placed AS (
               SELECT cluster, 'topic ' || cand_id AS name, row_number() OVER (
                 PARTITION BY cluster ORDER BY {r9('similarity')} DESC, cand_id) AS place
-              FROM similar)
+              FROM likeness)
             SELECT cluster, max(CASE WHEN place = 1 THEN name END) AS label_auto,
               string_agg(name, ', ' ORDER BY place) AS label_alt
             FROM placed WHERE place <= 3 GROUP BY cluster""",

@@ -159,7 +159,9 @@ def strip_accents(spark, sf):
 
 
 def listed(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.select("doc_id", F.posexplode(column).alias("pos", name))
+    # The outer form keeps Spark from tokenizing again for a derived size filter.
+    rows = df.select("doc_id", F.posexplode_outer(column).alias("pos", name))
+    return rows.filter(F.col(name).isNotNull())
 
 
 @query
