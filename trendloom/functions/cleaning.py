@@ -22,6 +22,7 @@ SPACE = (
     r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+NOT_SPACE = SPACE.replace("[", "[^", 1)
 WORD = r"[\p{L}\p{N}_]"
 
 COMMAND = r"\\([a-zA-Z]+)"

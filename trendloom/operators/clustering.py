@@ -234,13 +234,16 @@ def term_weights(factors: DataFrame, centers: DataFrame) -> DataFrame:
 def top_terms(weights: DataFrame, vocabulary: DataFrame, top: int = TOP_TERMS) -> DataFrame:
     """(cluster, top_terms): the heaviest terms of each cluster, comma-joined.
 
-    Weights count to nine decimals, equal ones go by term.
+    Weights count to nine decimals, equal ones go by term id, which is the
+    alphabetical order.  Names are looked up for the chosen terms only.
     """
-    named = weights.join(vocabulary.select("term_id", "term"), "term_id").withColumn(
-        "weight", F.round("weight", 9)
+    order = Window.partitionBy("cluster").orderBy(F.desc("w"), "term_id")
+    best = (
+        weights.withColumn("w", F.round("weight", 9))
+        .withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= top)
+        .join(vocabulary.select("term_id", "term"), "term_id")
     )
-    order = Window.partitionBy("cluster").orderBy(F.desc("weight"), "term")
-    best = named.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
     listed = F.sort_array(F.collect_list(F.struct("place", "term")))
     return best.groupBy("cluster").agg(listed.alias("l")).select(
         "cluster", F.array_join(F.col("l.term"), ", ").alias("top_terms")

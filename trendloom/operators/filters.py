@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.functions.cleaning import SPACE, strip
+from trendloom.functions.cleaning import NOT_SPACE, SPACE
 
 MIN_WORDS = 20
 
 
 def drop_short_texts(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Keep documents whose text is not blank and has at least ``min_words`` words."""
-    words = F.split(strip(F.col(text)), SPACE + "+")
-    not_blank = F.length(strip(F.col(text))) > 0
-    return docs.filter(not_blank & (F.size(words) >= min_words))
+    """Keep documents with at least ``min_words`` words; blank ones go in any case.
+
+    One pattern that stops at the last word it needs, however long the text is.
+    """
+    more = max(min_words, 1) - 1
+    pattern = f"^{SPACE}*+(?:{NOT_SPACE}++{SPACE}++){{{more}}}{NOT_SPACE}"
+    return docs.filter(F.coalesce(F.col(text), F.lit("")).rlike(pattern))
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.session import materialize
+
 # Four hex digits: 65,536 prefixes, so a ranked group is n / 65,536 rows.
 PREFIX_DIGITS = 4
 
@@ -21,30 +23,40 @@ def random_order(id_column: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"#{seed}")))
 
 
-def _cuts(keyed: DataFrame, groups: list[str], n: int) -> DataFrame:
-    """One row per group larger than ``n``: the largest hash that is kept."""
-    hashes = keyed.select(*groups, "_hash", F.substring("_hash", 1, PREFIX_DIGITS).alias("_prefix"))
+def _hashes(df: DataFrame, groups: list[str], id_column: str, seed: int) -> DataFrame:
+    hashed = df.select(*groups, random_order(id_column, seed).alias("_hash"))
+    return hashed.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
+
+
+def _borders(hashes: DataFrame, groups: list[str], n: int) -> DataFrame:
+    """The prefix with the n-th smallest hash of each group, and its place in there.
+
+    Groups with fewer than ``n`` rows have none.  The running sum goes over at
+    most 65,536 prefixes of a group.
+    """
     histogram = hashes.groupBy(*groups, "_prefix").agg(F.count("*").alias("_rows"))
-    upto = Window.partitionBy(*groups).orderBy("_prefix")
-    border = (
-        histogram.withColumn("_upto", F.sum("_rows").over(upto))
-        .filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_rows") < n))
-        .select(*groups, "_prefix", (F.lit(n) - F.col("_upto") + F.col("_rows")).alias("_wanted"))
-    )
-    inside = hashes.join(border, [*groups, "_prefix"])
-    place = F.row_number().over(Window.partitionBy(*groups).orderBy("_hash"))
+    upto = F.sum("_rows").over(Window.partitionBy(*groups).orderBy("_prefix"))
     return (
-        inside.withColumn("_place", place)
-        .filter(F.col("_place") == F.col("_wanted"))
-        .select(*groups, F.col("_hash").alias("_cut"))
+        histogram.withColumn("_upto", upto)
+        .filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_rows") < n))
+        .select(*groups, "_prefix", (n - F.col("_upto") + F.col("_rows")).alias("_wanted"))
     )
 
 
 def hash_sample(df: DataFrame, id_column: str, n: int, seed: int = 0) -> DataFrame:
     """A uniform sample of ``min(n, rows)`` rows; ids are unique."""
-    keyed = df.withColumn("_hash", random_order(id_column, seed))
-    cut = F.coalesce(_cuts(keyed, [], n).agg(F.max("_cut")).scalar(), F.lit("g"))
-    return keyed.filter(F.col("_hash") <= cut).drop("_hash")
+    hashes = _hashes(df, [], id_column, seed)
+    border = _borders(hashes, [], n).select(F.struct("_prefix", "_wanted")).scalar()
+    place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_hash"))
+    cut = (
+        hashes.filter(F.col("_prefix") == border["_prefix"])
+        .withColumn("_place", place)
+        .filter(F.col("_place") == border["_wanted"])
+        .agg(F.max("_hash"))
+        .scalar()
+    )
+    # No border: all rows are wanted, and "g" sorts after every hexadecimal digit.
+    return df.filter(random_order(id_column, seed) <= F.coalesce(cut, F.lit("g")))
 
 
 def hash_sample_per_group(
@@ -52,12 +64,19 @@ def hash_sample_per_group(
 ) -> DataFrame:
     """A uniform sample of ``min(n, rows)`` rows of every group; ids are unique.
 
-    The cuts are one small row per large group; the join leaves it to Spark to
-    broadcast them after looking at their size.
+    Borders and cuts are one small row per large group, written first: Spark
+    then knows their size when it plans the joins and broadcasts them if small.
     """
-    keyed = df.withColumn("_hash", random_order(id_column, seed))
-    cuts = _cuts(keyed, [group], n)
-    kept = keyed.join(cuts, group, "left").filter(
-        F.col("_cut").isNull() | (F.col("_hash") <= F.col("_cut"))
+    hashes = _hashes(df, [group], id_column, seed)
+    borders = materialize(_borders(hashes, [group], n), "sample-borders")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_hash"))
+    cuts = (
+        hashes.join(borders, [group, "_prefix"])
+        .withColumn("_place", place)
+        .filter(F.col("_place") == F.col("_wanted"))
+        .select(group, F.col("_hash").alias("_cut"))
+    )
+    kept = df.join(materialize(cuts, "sample-cuts"), group, "left").filter(
+        F.col("_cut").isNull() | (random_order(id_column, seed) <= F.col("_cut"))
     )
     return kept.select(*df.columns)

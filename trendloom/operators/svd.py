@@ -89,12 +89,15 @@ def _pieces(term_ids, weights):
         first = last
 
 
+def _sum_runs(keys, values):
+    """Distinct keys and the sums of their value rows, keys in order."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], np.add.reduceat(values, starts, axis=0)
+
+
 def _sum_by(keys, values):
-    """Distinct keys and the sums of their value rows."""
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[starts], np.add.reduceat(values[order], starts, axis=0)
+    return _sum_runs(keys[order], values[order])
 
 
 def _gram_block(rows: DataFrame, block: np.ndarray) -> np.ndarray:
@@ -112,7 +115,7 @@ def _gram_block(rows: DataFrame, block: np.ndarray) -> np.ndarray:
             parts = _pieces(batch["term_ids"].to_numpy(), batch["weights"].to_numpy())
             for _, row, term, weight in parts:
                 images = np.zeros((row[-1] + 1, vectors.shape[1]))
-                present, sums = _sum_by(row, weight[:, None] * vectors[term])
+                present, sums = _sum_runs(row, weight[:, None] * vectors[term])
                 images[present] = sums
                 keys, sums = _sum_by(term, weight[:, None] * images[row])
                 total[keys] += sums
@@ -199,7 +202,7 @@ def _appender(shared):
             images = np.zeros((len(batch), vectors.shape[1]))
             parts = _pieces(batch["term_ids"].to_numpy(), batch["weights"].to_numpy())
             for where, row, term, weight in parts:
-                present, sums = _sum_by(row, weight[:, None] * vectors[term])
+                present, sums = _sum_runs(row, weight[:, None] * vectors[term])
                 images[where.start + present] = sums
             before = batch["embedding"].to_numpy()
             after = [np.concatenate([old, new]) for old, new in zip(before, images)]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from trendloom.fixed_values import DOMAIN_STOP_WORDS, ENGLISH_STOP_WORDS
 from trendloom.functions import tokens as tk
+from trendloom.session import materialize
 
 MAX_FEATURES = 200_000
 MIN_DF = 5
@@ -110,9 +111,30 @@ def build_vocabulary(
     kept = statistics.filter(
         (F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * n_docs)
     )
-    if max_features is not None:
-        kept = kept.orderBy(F.desc("cf"), "term").limit(max_features)
-    return kept.select("term", "df", "cf", smooth_idf(n_docs, F.col("df")).alias("idf"))
+    kept = kept.select("term", "df", "cf", smooth_idf(n_docs, F.col("df")).alias("idf"))
+    return kept if max_features is None else most_frequent(kept, max_features)
+
+
+def most_frequent(vocabulary: DataFrame, n: int) -> DataFrame:
+    """The ``n`` terms with the highest corpus count, ties in term order.
+
+    Terms are counted by the size class of their corpus count (sixteen classes
+    per power of two).  Whole classes are kept or dropped in place and only the
+    class at the border is sorted.
+    """
+    vocabulary = materialize(vocabulary, "vocabulary")
+    size_class = F.floor(F.log2("cf") * 16)
+    sizes = vocabulary.groupBy(size_class.alias("class")).count().collect()
+    room = n
+    for border, size in sorted(sizes, reverse=True):
+        if size > room:
+            break
+        room -= size
+    else:
+        return vocabulary
+    above = vocabulary.filter(size_class > border)
+    at_border = vocabulary.filter(size_class == border)
+    return above.unionByName(at_border.orderBy(F.desc("cf"), "term").limit(room))
 
 
 ROWS_SCHEMA_SUFFIX = "term_ids array<int>, weights array<double>"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.operators.clustering import centroids
+from trendloom.session import spread
 
 CORPUS = """
 SELECT concat('d', lpad(cast(doc_id AS varchar(20)), 8, '0')) AS id, doc_id, text, lang,
@@ -40,8 +41,16 @@ SELECT cast(p_partkey AS varchar(20)) AS id,
 FROM {part}
 """
 
+KEYS = {
+    "documents": "doc_id",
+    "part": "p_partkey",
+    "embeddings": "vec_id",
+    "benchmark": "item_id",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), KEYS[name])
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
