@@ -26,8 +26,8 @@ OVERSAMPLE = 10
 BLOCK_BYTES = 64 << 20
 # Columns of one aggregation; Spark generates code for up to 100 fields.
 BLOCK_COLUMNS = 64
-# Entries handled at once inside a task.
-ENTRIES_AT_ONCE = 100_000
+# Documents multiplied at once inside a task.
+DOCS_AT_ONCE = 64
 
 
 @dataclass
@@ -70,34 +70,22 @@ def column_blocks(n_rows: int, n_columns: int) -> list[slice]:
     return [slice(i, min(i + width, n_columns)) for i in range(0, n_columns, width)]
 
 
-def _pieces(term_ids, weights):
-    """Flat (row, term_id, weight) pieces of a batch, cut at document borders."""
-    lengths = np.array([len(ids) for ids in term_ids])
-    ends = np.cumsum(lengths)
-    first = 0
-    while first < len(lengths):
-        done = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, done + ENTRIES_AT_ONCE, "right")))
-        rows = np.repeat(np.arange(last - first), lengths[first:last])
-        if len(rows):
-            yield (
-                slice(first, last),
-                rows,
-                np.concatenate(term_ids[first:last]),
-                np.concatenate(weights[first:last]),
-            )
-        first = last
+def _dense_slices(term_ids, weights):
+    """Slices of a batch as (where, terms, dense matrix over those terms).
 
-
-def _sum_runs(keys, values):
-    """Distinct keys and the sums of their value rows, keys in order."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[starts], np.add.reduceat(values, starts, axis=0)
-
-
-def _sum_by(keys, values):
-    order = np.argsort(keys, kind="stable")
-    return _sum_runs(keys[order], values[order])
+    A few documents share enough terms that a dense product over the terms
+    they use beats sums over single entries.
+    """
+    for first in range(0, len(term_ids), DOCS_AT_ONCE):
+        ids = term_ids[first : first + DOCS_AT_ONCE]
+        flat = np.concatenate(ids)
+        if len(flat) == 0:
+            continue
+        terms, place = np.unique(flat, return_inverse=True)
+        dense = np.zeros((len(ids), len(terms)))
+        row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        dense[row, place] = np.concatenate(weights[first : first + DOCS_AT_ONCE])
+        yield slice(first, first + len(ids)), terms, dense
 
 
 def _gram_block(rows: DataFrame, block: np.ndarray) -> np.ndarray:
@@ -112,14 +100,10 @@ def _gram_block(rows: DataFrame, block: np.ndarray) -> np.ndarray:
         total = np.zeros_like(vectors)
         touched = np.zeros(len(vectors), bool)
         for batch in batches:
-            parts = _pieces(batch["term_ids"].to_numpy(), batch["weights"].to_numpy())
-            for _, row, term, weight in parts:
-                images = np.zeros((row[-1] + 1, vectors.shape[1]))
-                present, sums = _sum_runs(row, weight[:, None] * vectors[term])
-                images[present] = sums
-                keys, sums = _sum_by(term, weight[:, None] * images[row])
-                total[keys] += sums
-                touched[keys] = True
+            slices = _dense_slices(batch["term_ids"].to_numpy(), batch["weights"].to_numpy())
+            for _, terms, dense in slices:
+                total[terms] += dense.T @ (dense @ vectors[terms])
+                touched[terms] = True
         keys = np.flatnonzero(touched)
         if len(keys):
             columns = [pa.array(keys, pa.int32())]
@@ -131,13 +115,12 @@ def _gram_block(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     tasks = rows.select("term_ids", "weights").coalesce(spark.sparkContext.defaultParallelism)
     schema = "term_id int, " + ", ".join(f"{name} double" for name in names)
     partial = tasks.mapInPandas(multiply, schema)
-    summed = partial.groupBy("term_id").agg(*[F.sum(name).alias(name) for name in names])
-    table = summed.toArrow()
+    table = partial.groupBy("term_id").sum(*names).toArrow()
     shared.unpersist()
     result = np.zeros((n_terms, width))
     at = table.column("term_id").to_numpy()
     for i, name in enumerate(names):
-        result[at, i] = table.column(name).to_numpy()
+        result[at, i] = table.column(f"sum({name})").to_numpy()
     return result
 
 
@@ -200,10 +183,9 @@ def _appender(shared):
         for batch in batches:
             vectors = shared.value
             images = np.zeros((len(batch), vectors.shape[1]))
-            parts = _pieces(batch["term_ids"].to_numpy(), batch["weights"].to_numpy())
-            for where, row, term, weight in parts:
-                present, sums = _sum_runs(row, weight[:, None] * vectors[term])
-                images[where.start + present] = sums
+            slices = _dense_slices(batch["term_ids"].to_numpy(), batch["weights"].to_numpy())
+            for where, terms, dense in slices:
+                images[where] = dense @ vectors[terms]
             before = batch["embedding"].to_numpy()
             after = [np.concatenate([old, new]) for old, new in zip(before, images)]
             yield batch.assign(embedding=after)
