@@ -55,8 +55,8 @@ def best_restart(
 
 
 def assign(features: DataFrame, model: KMeansModel) -> DataFrame:
-    """Add the cluster of each row."""
-    return model.transform(features).withColumnRenamed("prediction", "cluster")
+    """Add the cluster of each row, in place of one that is already there."""
+    return model.transform(features.drop("cluster")).withColumnRenamed("prediction", "cluster")
 
 
 def centers_frame(spark, model: KMeansModel) -> DataFrame:
