@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_cleaning import column
 from trendloom.functions import tokens
+from trendloom.operators.tfidf import Analyzer
 
 LETTER = re.compile(r"\b[a-zA-Z][a-zA-Z\-]{1,}\b")
 WORD = re.compile(r"\b[a-zA-Z][\w\-]{1,}\b")
@@ -46,6 +47,15 @@ def test_accents(spark):
             assert LETTER.findall(f"ab{result}cd") == LETTER.findall(f"ab{want}cd")
 
 
+def test_all_scripts(spark):
+    texts = ["é㎏ά", None, "", "plain", "한"]
+    got = column(spark, texts, tokens.strip_all_accents)
+    assert got == [text and plain(text) for text in texts]
+    docs = spark.createDataFrame([("㎏ ßé ábc",)], "text string")
+    wide = Analyzer(all_scripts=True).tokens(docs, "text").first().tokens
+    assert wide == LETTER.findall(plain("㎏ ßé ábc"))
+
+
 def test_ngrams_bridge_removed_words(spark):
     frame = spark.createDataFrame([("theory of sets",), ("one",), ("",)], "s string")
     frame = frame.select(tokens.letter_tokens(F.col("s")).alias("t"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from trendloom.functions.cleaning import WORD
 
@@ -64,6 +66,15 @@ def strip_accents(c: Column) -> Column:
     )
 
 
+@F.pandas_udf(StringType())
+def strip_all_accents(texts: pd.Series) -> pd.Series:
+    """Compatibility decomposition without marks, for every character there is."""
+    decomposed = texts.str.normalize("NFKD")
+    return decomposed.map(
+        lambda text: text and "".join(c for c in text if not unicodedata.combining(c))
+    )
+
+
 def letter_tokens(c: Column) -> Column:
     """Words of two or more ASCII letters and hyphens that start with a letter."""
     return F.regexp_extract_all(c, F.lit(LETTER_TOKENS), F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ TOP_CODES = 3
 
 
 def category_names(spark: SparkSession, names: dict[str, str] = CATEGORY_NAMES) -> DataFrame:
-    return spark.createDataFrame(list(names.items()), "code string, name string")
+    """(code, name) as a local table, whose size Spark knows when it plans a join."""
+    return spark.createDataFrame(pa.table({"code": list(names), "name": list(names.values())}))
 
 
 def with_codes(meta: DataFrame) -> DataFrame:

@@ -44,19 +44,23 @@ def _borders(hashes: DataFrame, groups: list[str], n: int) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, id_column: str, n: int, seed: int = 0) -> DataFrame:
-    """A uniform sample of ``min(n, rows)`` rows; ids are unique."""
+    """A uniform sample of ``min(n, rows)`` rows; ids are unique.
+
+    Finding the cut reads the ids twice and brings one row to the driver each
+    time; the sample itself is then a plain filter.
+    """
     hashes = _hashes(df, [], id_column, seed)
-    border = _borders(hashes, [], n).select(F.struct("_prefix", "_wanted")).scalar()
+    border = _borders(hashes, [], n).first()
+    if border is None:
+        return df
     place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_hash"))
     cut = (
         hashes.filter(F.col("_prefix") == border["_prefix"])
         .withColumn("_place", place)
         .filter(F.col("_place") == border["_wanted"])
-        .agg(F.max("_hash"))
-        .scalar()
+        .first()["_hash"]
     )
-    # No border: all rows are wanted, and "g" sorts after every hexadecimal digit.
-    return df.filter(random_order(id_column, seed) <= F.coalesce(cut, F.lit("g")))
+    return df.filter(random_order(id_column, seed) <= cut)
 
 
 def hash_sample_per_group(

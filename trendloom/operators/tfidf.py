@@ -26,9 +26,14 @@ MAX_DF = 0.80
 
 @dataclass(frozen=True)
 class Analyzer:
-    """How text becomes terms."""
+    """How text becomes terms.
+
+    ``strip_accents`` covers Latin text inside Spark's own expressions;
+    ``all_scripts`` decomposes every character there is in Arrow batches.
+    """
 
     strip_accents: bool = True
+    all_scripts: bool = False
     word_tokens: bool = False
     stop_words: tuple[str, ...] = tuple(ENGLISH_STOP_WORDS) + tuple(DOMAIN_STOP_WORDS)
     shortest: int = 1
@@ -37,7 +42,9 @@ class Analyzer:
     def tokens(self, docs: DataFrame, text: str, out: str = "tokens") -> DataFrame:
         """Add the token array, stop words still in."""
         docs = docs.withColumn("_text", F.lower(F.coalesce(F.col(text), F.lit(""))))
-        if self.strip_accents:
+        if self.all_scripts:
+            docs = docs.withColumn("_text", tk.strip_all_accents(F.col("_text")))
+        elif self.strip_accents:
             docs = docs.withColumn("_text", tk.strip_accents(F.col("_text")))
         find = tk.word_tokens if self.word_tokens else tk.letter_tokens
         return docs.withColumn(out, find(F.col("_text"))).drop("_text")

@@ -103,22 +103,27 @@ def rank_topics(series: DataFrame, mode: str = "last3", top: int | None = TOP_TO
     return best.select(rank.alias("rank"), "cluster", "score", "series")
 
 
-def chart_series(
+def with_labels(
     ranked: DataFrame, labels: DataFrame | None = None, column: str = "label_auto"
 ) -> DataFrame:
-    """(rank, cluster, label, update_year, share): the lines of a trend chart.
+    """Add the chart label of every ranked topic.
 
     ``labels`` has a label per cluster: names (``label_auto``) are cut to their
     first part, ``top_terms`` to three terms; without labels the id stands alone.
     """
     if labels is None:
-        named = ranked.withColumn("label", short_label(F.col("cluster"), F.lit(None).cast("string")))
-    else:
-        text = labels.select("cluster", F.col(column).alias("_text"))
-        shape = legend_label if column == "top_terms" else short_label
-        named = ranked.join(text, "cluster", "left").withColumn(
-            "label", shape(F.col("cluster"), F.col("_text"))
-        )
-    return named.select(
+        nothing = F.lit(None).cast("string")
+        return ranked.withColumn("label", short_label(F.col("cluster"), nothing))
+    text = labels.select("cluster", F.col(column).alias("_text"))
+    shape = legend_label if column == "top_terms" else short_label
+    named = ranked.join(text, "cluster", "left")
+    return named.withColumn("label", shape(F.col("cluster"), F.col("_text"))).drop("_text")
+
+
+def chart_series(
+    ranked: DataFrame, labels: DataFrame | None = None, column: str = "label_auto"
+) -> DataFrame:
+    """(rank, cluster, label, update_year, share): the lines of a trend chart."""
+    return with_labels(ranked, labels, column).select(
         "rank", "cluster", "label", F.inline("series").alias("update_year", "share")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from trendloom.operators.tfidf import TfidfModel
 
 
 def candidate_names(spark: SparkSession, names=CANDIDATE_TOPICS) -> DataFrame:
-    rows = [(i, name) for i, name in enumerate(names)]
-    return spark.createDataFrame(rows, "cand_id int, name string")
+    numbers = pa.array(range(len(names)), pa.int32())
+    return spark.createDataFrame(pa.table({"cand_id": numbers, "name": list(names)}))
 
 
 def embed_names(

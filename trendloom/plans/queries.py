@@ -49,7 +49,8 @@ def r6(column) -> F.Column:
 
 
 def components(df: DataFrame, *keys: str, vector: str) -> DataFrame:
-    long = df.select(*keys, F.posexplode(vector).alias("component", "value"))
+    long = df.select(*keys, F.posexplode_outer(vector).alias("component", "value"))
+    long = long.filter(F.col("component").isNotNull())
     return long.withColumn("value", r6(F.col("value").cast("double")))
 
 
@@ -577,9 +578,7 @@ def top_topics_last(spark, sf):
 def top_topics_last3(spark, sf):
     best = ranked(spark, sf, "last3", trends.TOP_TOPICS)
     names = categories.labels_from_categories(fx.corpus(spark, sf))
-    return trends.chart_series(best, names).join(
-        best.select("cluster", "score"), "cluster"
-    ).select("rank", "cluster", "label", "score").distinct()
+    return trends.with_labels(best, names).select("rank", "cluster", "label", "score")
 
 
 @query
