@@ -59,6 +59,18 @@ def test_cap_keeps_the_most_frequent(spark):
         assert got == {row[0] for row in order[:n]}
 
 
+def test_cap_per_group(spark):
+    rows = [(i % 2 if i < 300 else 2, f"t{i:03d}", (i * 37) % 50 + 1) for i in range(330)]
+    frame = spark.createDataFrame(rows, "g int, term string, cf long")
+    for n in (1, 13, 30, 149, 150, 500):
+        got = tfidf.most_frequent_per_group(frame, "g", n).collect()
+        want = set()
+        for group in range(3):
+            mine = sorted((r for r in rows if r[0] == group), key=lambda r: (-r[2], r[1]))
+            want |= {r[1] for r in mine[:n]}
+        assert {row.term for row in got} == want and len(got) == len(want)
+
+
 def test_pruning_everything_is_an_error(spark):
     few = spark.createDataFrame([(i, "alpha beta") for i in range(4)], "id int, text string")
     with pytest.raises(ValueError):

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendloom.fixed_values import DOMAIN_STOP_WORDS, ENGLISH_STOP_WORDS
@@ -122,16 +122,19 @@ def build_vocabulary(
     return kept if max_features is None else most_frequent(kept, max_features)
 
 
+def size_class() -> Column:
+    """Class of a corpus count, sixteen classes per power of two."""
+    return F.floor(F.log2("cf") * 16)
+
+
 def most_frequent(vocabulary: DataFrame, n: int) -> DataFrame:
     """The ``n`` terms with the highest corpus count, ties in term order.
 
-    Terms are counted by the size class of their corpus count (sixteen classes
-    per power of two).  Whole classes are kept or dropped in place and only the
-    class at the border is sorted.
+    Terms are counted by the size class of their corpus count.  Whole classes
+    are kept or dropped in place and only the class at the border is sorted.
     """
     vocabulary = materialize(vocabulary, "vocabulary")
-    size_class = F.floor(F.log2("cf") * 16)
-    sizes = vocabulary.groupBy(size_class.alias("class")).count().collect()
+    sizes = vocabulary.groupBy(size_class().alias("class")).count().collect()
     room = n
     for border, size in sorted(sizes, reverse=True):
         if size > room:
@@ -139,11 +142,35 @@ def most_frequent(vocabulary: DataFrame, n: int) -> DataFrame:
         room -= size
     else:
         return vocabulary
-    above = vocabulary.filter(size_class > border)
-    at_border = vocabulary.filter(size_class == border)
+    above = vocabulary.filter(size_class() > border)
+    at_border = vocabulary.filter(size_class() == border)
     return above.unionByName(at_border.orderBy(F.desc("cf"), "term").limit(room))
 
 
+def most_frequent_per_group(vocabulary: DataFrame, group: str, n: int) -> DataFrame:
+    """The same for every group; groups with at most ``n`` terms stay as they are."""
+    vocabulary = materialize(vocabulary, "group-vocabulary")
+    classes = vocabulary.groupBy(group, size_class().alias("class")).agg(F.count("*").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy(group).orderBy(F.desc("class")))
+    borders = (
+        classes.withColumn("upto", upto)
+        .filter((F.col("upto") > n) & (F.col("upto") - F.col("size") <= n))
+        .select(group, F.col("class").alias("border"), (n - F.col("upto") + F.col("size")).alias("room"))
+    )
+    borders = materialize(borders, "vocabulary-borders")
+    if borders.isEmpty():
+        return vocabulary
+    marked = vocabulary.join(borders, group, "left")
+    above = marked.filter(F.col("border").isNull() | (size_class() > F.col("border")))
+    order = Window.partitionBy(group).orderBy(F.desc("cf"), "term")
+    at_border = (
+        marked.filter(size_class() == F.col("border"))
+        .withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= F.col("room"))
+    )
+    return above.select(*vocabulary.columns).unionByName(at_border.select(*vocabulary.columns))
+
+
 ROWS_SCHEMA_SUFFIX = "term_ids array<int>, weights array<double>"
 
 
