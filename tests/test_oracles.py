@@ -3,7 +3,10 @@ import pytest
 import __spark_entry__ as entry
 from tests.check_oracles import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from trendloom.plans.oracles import oracles
+from trendloom.plans.queries import QUERIES
+
+SQL = oracles()
 ROWS_ONLY = {
     "svd_singular_values",
     "svd_whiten",
