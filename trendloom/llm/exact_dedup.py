@@ -133,23 +133,32 @@ def _one_row_kept(rows: DataFrame, keys: list[str]) -> DataFrame:
     return marked.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
-def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``docs`` without the copies of a text; all columns of the rows that stay.
+def drop_flagged(docs: DataFrame, digest: Column, flags: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``flags`` (doc_id, digest, kept) do not keep; all columns.
 
-    Rows that go are few and narrow, so they are taken away by an anti join on id
-    and digest.  Only if an id is repeated with the same text, its rows are merged.
+    Rows that go are narrow, so they are taken away by an anti join on id and
+    digest.  Only where an id comes twice with the same digest, kept and not kept,
+    its rows are merged into one.
     """
-    flags = materialize(duplicate_groups(docs, salts=salts), "exact-flags")
-    digest = sha256(normalised("text"))
-    keyed = docs.withColumn("__exact_digest", digest)
-    keyed = keyed.withColumn("__exact_key", F.struct(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "__exact_digest"))
-    flagged = flags.withColumn("__exact_key", F.struct(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "digest"))
-    gone = flagged.filter(~F.col("kept")).select("__exact_key")
-    repeated = flagged.filter("kept").select("__exact_key").join(gone, "__exact_key", "left_semi")
-    repeated = materialize(repeated.distinct(), "exact-repeated-rows")
-    stay = keyed.join(gone.select("__exact_key"), "__exact_key", "left_anti").select(*docs.columns)
+
+    def key(of: Column) -> Column:
+        return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), of.alias("digest"))
+
+    keyed = docs.withColumn("__key", key(digest))
+    flagged = flags.select(key(F.col("digest")).alias("__key"), "kept")
+    gone = flagged.filter(~F.col("kept")).select("__key")
+    repeated = materialize(
+        flagged.filter("kept").select("__key").join(gone, "__key", "left_semi").distinct(), "repeated-rows"
+    )
+    stay = keyed.join(gone, "__key", "left_anti").select(*docs.columns)
     if not repeated.limit(1).count():
         return stay
-    columns = [F.first(F.struct(*docs.columns)).alias("__exact_row")]
-    merged = keyed.join(repeated, "__exact_key", "left_semi").groupBy("__exact_key").agg(*columns)
-    return stay.unionByName(merged.select("__exact_row.*"))
+    merged = keyed.join(repeated, "__key", "left_semi").groupBy("__key")
+    merged = merged.agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return stay.unionByName(merged.select("__row.*"))
+
+
+def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``docs`` without the copies of a text; all columns of the rows that stay."""
+    flags = materialize(duplicate_groups(docs, salts=salts), "exact-flags")
+    return drop_flagged(docs, sha256(normalised("text")), flags)

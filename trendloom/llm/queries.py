@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import exact_dedup, pareto_mix, rank_order_language, repetition, token_counts
+import corpus_pipeline
+from trendloom.llm import (
+    dart_minhash,
+    exact_dedup,
+    pareto_mix,
+    rank_order_language,
+    repetition,
+    token_counts,
+    token_packing,
+    toxicity_neighbours,
+    variable_packing,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,11 +49,41 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_order_language.identify(documents(spark, sf_dir))
 
 
+@query
+def op4_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing.digests(token_packing.write_packed(documents(spark, sf_dir)))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity_neighbours.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_neighbours.score(docs, model).select(
+        "doc_id", rank_order_language.held_out().alias("held_out"), "score", "predicted",
+        "evidence_ids", "evidence_similarity",
+    )
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(documents(spark, sf_dir))
 
 
+@query
+def op7_variable_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variable_packing.packed_documents(documents(spark, sf_dir))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(documents(spark, sf_dir)).drop("node")
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
