@@ -14,6 +14,7 @@ from trendloom.llm import (
     pareto_mix,
     rank_order_language,
     repetition,
+    suffix_dedup,
     token_counts,
     token_packing,
     toxicity_neighbours,
@@ -79,6 +80,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(documents(spark, sf_dir)).drop("node")
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.cut_repeats(documents(spark, sf_dir)))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
