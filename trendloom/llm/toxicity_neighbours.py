@@ -39,13 +39,16 @@ class Settings:
     """Bounds of what is learned from, and the search.
 
     ``examples``: labelled rows sampled, the smallest hashes of their ids.
-    ``terms``: largest vocabulary; ``chi_square``: least significance in each half.
+    ``terms``: largest vocabulary; ``chi_square``: least significance in each half;
+    ``least_spread``: least number of different neighbourhoods of a term for each
+    example with it, as copies of one text are no independent examples.
     """
 
     examples: int = 20_000
     terms: int = 4096
     chi_square: float = 10.83
     least_documents: int = 3
+    least_spread: float = 0.5
     neighbours: int = 25
     block: int = 64
     evidence: int = 3
@@ -121,8 +124,36 @@ def vocabulary(examples: DataFrame, settings: Settings) -> dict[str, float]:
         .limit(settings.terms)
         .select("term", "df")
     )
+    frequency = {row["term"]: row["df"] for row in found.collect()}
+    spread = {row["term"]: row["spread"] for row in term_spread(examples, set(frequency)).collect()}
     rows = sum(row["rows"] for row in sizes.values())
-    return {row["term"]: math.log((1 + rows) / (1 + row["df"])) + 1 for row in found.collect()}
+    return {
+        term: math.log((1 + rows) / (1 + df)) + 1
+        for term, df in frequency.items()
+        if spread[term] >= settings.least_spread
+    }
+
+
+def term_spread(examples: DataFrame, terms: set[str]) -> DataFrame:
+    """term and spread: in how many different neighbourhoods it stands for each example that has it.
+
+    An example counts with the words before and after its first use of the term.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, "text"):
+            found = {"term": [], "around": []}
+            for text in texts_of(part):
+                words, seen = terms_of(text), set()
+                for i, word in enumerate(words):
+                    if word in terms and word not in seen:
+                        seen.add(word)
+                        found["term"].append(word)
+                        found["around"].append(" ".join(words[max(0, i - 1) : i] + ["*"] + words[i + 1 : i + 2]))
+            yield pa.RecordBatch.from_pydict(found, pa.schema([("term", pa.string()), ("around", pa.string())]))
+
+    around = examples.select("text").mapInArrow(run, "term string, around string")
+    return around.groupBy("term").agg((F.countDistinct("around") / F.count("*")).alias("spread"))
 
 
 def vector(text: str, numbers: dict[str, int], idf: np.ndarray) -> tuple[tuple[int, ...], tuple[float, ...]]:
