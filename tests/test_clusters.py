@@ -81,7 +81,7 @@ def test_matrix_in_parts_gives_the_same(unit, monkeypatch):
 
 
 def test_sweep_keeps_the_first_best(spark, unit):
-    sweep = clustering.sweep_k(unit, "vec_id", grid=(3, 6), max_iter=10)
+    sweep = clustering.sweep_k(unit, grid=(3, 6), max_iter=10)
     scores = dict(sweep.scores)
     assert sweep.k == max(scores, key=scores.get)
     assert [row.chosen for row in sweep.frame(spark).orderBy("k").collect()].count(True) == 1

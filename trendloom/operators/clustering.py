@@ -18,11 +18,11 @@ from trendloom.functions.vectors import nearest_row, normalize_rows, products, s
 from trendloom.operators.sampling import hash_sample
 
 SWEEP_GRID = (40, 50, 60, 80)
-SWEEP_SAMPLE = 100_000
 SCOUT_GRID = (70, 80, 90, 100, 120, 140, 160)
 SCOUT_ROWS = 300_000
-SCOUT_SAMPLE = 50_000
 RESTARTS = 10
+# Starts compared by their cost before the one run of a sweep or a scout.
+STARTS = 10
 TOP_TERMS = 12
 
 
@@ -54,6 +54,14 @@ def best_restart(
     return best, costs
 
 
+def best_start(
+    features: DataFrame, k: int, starts: int = STARTS, seed: int = 0, max_iter: int = 300
+) -> KMeansModel:
+    """One run from the start with the lowest cost out of several seeds."""
+    costs = [fit_kmeans(features, k, seed + i, 0).summary.trainingCost for i in range(starts)]
+    return fit_kmeans(features, k, seed + int(np.argmin(costs)), max_iter)
+
+
 def assign(features: DataFrame, model: KMeansModel) -> DataFrame:
     """Add the cluster of each row, in place of one that is already there."""
     return model.transform(features.drop("cluster")).withColumnRenamed("prediction", "cluster")
@@ -147,14 +155,9 @@ def silhouettes(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     return unit.withColumn("silhouette", score(F.col(vector), F.col(cluster)))
 
 
-def silhouette_score(
-    df: DataFrame, vector: str, cluster: str, id_column: str, sample: int | None, seed: int = 0
-) -> float:
-    """Mean silhouette over a uniform sample of rows; zero rows do not count."""
-    rows = df.filter(F.exists(vector, lambda x: x != 0))
-    if sample is not None:
-        rows = hash_sample(rows, id_column, sample, seed)
-    return silhouettes(rows, vector, cluster).agg(F.avg("silhouette")).first()[0]
+def silhouette_score(df: DataFrame, vector: str, cluster: str) -> float:
+    """Mean silhouette over all rows; a zero row is at distance one from every row."""
+    return silhouettes(df, vector, cluster).agg(F.avg("silhouette")).first()[0]
 
 
 @dataclass
@@ -172,20 +175,17 @@ class Sweep:
 
 def sweep_k(
     features: DataFrame,
-    id_column: str,
     vector: str = "embedding",
     grid=SWEEP_GRID,
-    sample: int | None = SWEEP_SAMPLE,
-    restarts: int = 1,
+    starts: int = STARTS,
     seed: int = 0,
     max_iter: int = 300,
 ) -> Sweep:
-    """Fit every K on all rows and keep the one with the best silhouette."""
+    """Fit every K on all rows, score it on all rows, keep the one with the best silhouette."""
     scores, best = [], None
     for k in grid:
-        model, _ = best_restart(features, k, restarts, seed, max_iter)
-        clustered = assign(features, model)
-        score = silhouette_score(clustered, vector, "cluster", id_column, sample, seed)
+        model = best_start(features, k, starts, seed, max_iter)
+        score = silhouette_score(assign(features, model), vector, "cluster")
         if best is None or score > max(value for _, value in scores):
             best = (model, k)
         scores.append((k, score))
@@ -198,7 +198,6 @@ def scout_k(
     vector: str = "embedding",
     grid=SCOUT_GRID,
     rows: int = SCOUT_ROWS,
-    sample: int = SCOUT_SAMPLE,
     seed: int = 0,
     max_iter: int = 300,
 ) -> Sweep:
@@ -206,7 +205,7 @@ def scout_k(
     picked = as_features(hash_sample(unit, id_column, rows, seed), vector)
     picked = picked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return sweep_k(picked, id_column, vector, grid, sample, 1, seed, max_iter)
+        return sweep_k(picked, vector, grid, STARTS, seed, max_iter)
     finally:
         picked.unpersist()
 

@@ -28,7 +28,7 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def key_mismatch(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Keys present on one side only, with the side that has them.
+    """Keys that the sides do not hold equally often: the side that has more, and both counts.
 
     Both tables are reduced to counts per key in one aggregation, so a key with
     many copies costs no more than one with a single row.
@@ -36,14 +36,23 @@ def key_mismatch(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     tagged = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
         right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    sides = tagged.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    return sides.filter("l <> r").select(
-        key, F.when(F.col("l") == 1, "left").otherwise("right").alias("side")
-    )
+    sides = tagged.groupBy(key).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+    side = F.when(F.col("n_left") > F.col("n_right"), "left").otherwise("right")
+    return sides.filter("n_left <> n_right").select(key, side.alias("side"), "n_left", "n_right")
+
+
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the keys that more than one row has."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def require_same_keys(left: DataFrame, right: DataFrame, key: str) -> None:
-    """Raise unless both tables hold the same keys."""
+    """Raise unless both tables hold the same keys, each once: joins on them keep the rows."""
     example = key_mismatch(left, right, key).take(1)
     if example:
-        raise ValueError(f"{key} {example[0][0]!r} is only in the {example[0][1]} table")
+        value, _, n_left, n_right = example[0]
+        counts = f"{n_left} times in the left and {n_right} times in the right table"
+        raise ValueError(f"{key} {value!r} is {counts}")
+    example = repeated_keys(left, key).take(1)
+    if example:
+        raise ValueError(f"{key} {example[0][0]!r} is repeated: {example[0][1]} rows")

@@ -1,17 +1,15 @@
 """TF-IDF: vocabulary, weights and the fitted model.
 
 Term counts stay inside the document's row (sorted n-grams, run lengths), so
-neither counting nor weighting shuffles the corpus.  The only shuffle of a fit
-is the vocabulary aggregation, which combines on the map side.
+counting does not shuffle the corpus.  A fit shuffles the vocabulary aggregation,
+which combines on the map side; weights come from a join on the term, which Spark
+broadcasts while the vocabulary is small, and are put together again by document.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ from trendloom.fixed_values import DOMAIN_STOP_WORDS, ENGLISH_STOP_WORDS
 from trendloom.functions import tokens as tk
 from trendloom.session import materialize
 
-MAX_FEATURES = 200_000
 MIN_DF = 5
 MAX_DF = 0.80
 
@@ -107,7 +104,7 @@ def build_vocabulary(
     n_docs,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
-    max_features: int | None = MAX_FEATURES,
+    max_features: int | None = None,
 ) -> DataFrame:
     """(term, df, cf, idf): pruned by document frequency, then the most frequent.
 
@@ -171,42 +168,22 @@ def most_frequent_per_group(vocabulary: DataFrame, group: str, n: int) -> DataFr
     return above.select(*vocabulary.columns).unionByName(at_border.select(*vocabulary.columns))
 
 
-ROWS_SCHEMA_SUFFIX = "term_ids array<int>, weights array<double>"
-
-
 @dataclass
 class TfidfModel:
-    """A fitted vocabulary, terms in alphabetical order; the position is the term id.
+    """A fitted vocabulary, a table with the terms numbered in alphabetical order.
 
-    The vocabulary is capped when it is built, which bounds what the driver
-    holds and the tasks receive.
+    ``table`` (term, term_id, df, cf, idf) is written; it is joined to the counts of
+    the documents and never held by the driver, so it may be of any size.
     """
 
-    terms: list[str]
-    df: np.ndarray
-    cf: np.ndarray
-    idf: np.ndarray
+    table: DataFrame
+    n_terms: int
     n_docs: int
     analyzer: Analyzer = field(default_factory=Analyzer)
 
-    @property
-    def n_terms(self) -> int:
-        return len(self.terms)
-
-    def arrow_vocabulary(self) -> pa.Table:
-        return pa.table(
-            {
-                "term": pa.array(self.terms, pa.string()),
-                "term_id": pa.array(np.arange(self.n_terms), pa.int32()),
-                "df": pa.array(self.df, pa.int64()),
-                "cf": pa.array(self.cf, pa.int64()),
-                "idf": pa.array(self.idf, pa.float64()),
-            }
-        )
-
-    def vocabulary(self, spark: SparkSession) -> DataFrame:
+    def vocabulary(self, spark: SparkSession | None = None) -> DataFrame:
         """(term, term_id, df, cf, idf)."""
-        return spark.createDataFrame(self.arrow_vocabulary())
+        return self.table
 
     def transform(self, docs: DataFrame, id_column: str, text: str) -> DataFrame:
         """Sparse rows (id, term_ids, weights) of unit length.
@@ -215,70 +192,92 @@ class TfidfModel:
         term keeps a row with empty arrays.
         """
         counted = self.analyzer.counted(docs.select(id_column, text), text).drop(text)
-        id_type = docs.schema[id_column].dataType.simpleString()
-        shared = docs.sparkSession.sparkContext.broadcast((self.terms, self.idf))
-
-        def encode(batches):
-            terms, idf = shared.value
-            known = pa.array(terms, pa.string())
-            for batch in batches:
-                yield _encode(batch, id_column, known, idf)
-
-        return counted.mapInArrow(encode, f"{id_column} {id_type}, {ROWS_SCHEMA_SUFFIX}")
-
-
-def _encode(batch: pa.RecordBatch, id_column: str, known: pa.Array, idf: np.ndarray):
-    """Weights of one Arrow batch: look terms up, weight, scale rows to length one."""
-    counts = batch.column("tf")
-    lengths = pc.list_value_length(counts).to_numpy(zero_copy_only=False)
-    flat = counts.flatten()
-    found = pc.index_in(flat.field("term"), value_set=known)
-    hit = found.is_valid().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(counts)), lengths)[hit]
-    term_id = found.drop_null().to_numpy()
-    tf = flat.field("tf").to_numpy(zero_copy_only=False)[hit]
-    weight = (1.0 + np.log(tf)) * idf[term_id]
-    norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(counts)))
-    weight = weight / norm[row]
-    offsets = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(np.bincount(row, minlength=len(counts)), out=offsets[1:])
-    offsets = pa.array(offsets, pa.int32())
-    return pa.record_batch(
-        [
-            batch.column(id_column),
-            pa.ListArray.from_arrays(offsets, pa.array(term_id, pa.int32())),
-            pa.ListArray.from_arrays(offsets, pa.array(weight, pa.float64())),
-        ],
-        names=[id_column, "term_ids", "weights"],
+        return self.weighted(counted, id_column)
+
+    def weighted(self, counted: DataFrame, id_column: str) -> DataFrame:
+        """The same from counted documents (id, tf)."""
+        keyed = counted.withColumn("_row", F.monotonically_increasing_id())
+        counts = keyed.select(id_column, "_row", F.inline_outer("tf"))
+        found = counts.join(self.table.select("term", "term_id", "idf"), "term", "left")
+        entry = F.struct("term_id", (sublinear(F.col("tf")) * F.col("idf")).alias("w"))
+        known = F.when(F.col("term_id").isNotNull(), entry)
+        rows = found.groupBy("_row").agg(
+            F.first(id_column).alias(id_column), F.array_sort(F.collect_list(known)).alias("_e")
+        )
+        norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda total, e: total + e.w * e.w))
+        return rows.withColumn("_norm", norm).select(
+            id_column,
+            F.col("_e.term_id").alias("term_ids"),
+            F.transform("_e", lambda e: e.w / F.col("_norm")).alias("weights"),
+        )
+
+
+def numbered(vocabulary: DataFrame) -> DataFrame:
+    """Number terms in alphabetical order, by ranges: (term, term_id, df, cf, idf).
+
+    Terms are dealt out by ranges and written; a term's number is its place in its
+    range after the terms of the ranges before.
+    """
+    ranged = vocabulary.repartitionByRange("term").withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "vocabulary-ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("term"))
+    return (
+        ranged.withColumn("_place", place)
+        .join(sizes.select("_part", before.alias("_before")), "_part")
+        .select(
+            "term", (F.col("_before") + F.col("_place") - 1).cast("int").alias("term_id"), "df", "cf", "idf"
+        )
     )
 
 
-def fit_tfidf(
-    docs: DataFrame,
+def fit_counted(
+    counted: DataFrame,
     id_column: str,
-    text: str,
-    analyzer: Analyzer = TERMS,
+    n_docs: int,
+    analyzer: Analyzer,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
-    max_features: int = MAX_FEATURES,
+    max_features: int | None = None,
 ) -> TfidfModel:
-    """Fit the vocabulary; only the capped vocabulary reaches the driver."""
-    n_docs = docs.count()
+    """Fit the vocabulary on counted documents (id, tf)."""
     if max_df * n_docs < min_df:
         raise ValueError("max_df corresponds to fewer documents than min_df")
-    counts = term_counts(docs, [id_column], text, analyzer)
+    counts = counted.select(F.inline_outer("tf")).filter(F.col("term").isNotNull())
     vocabulary = build_vocabulary(term_statistics(counts), n_docs, min_df, max_df, max_features)
-    table = vocabulary.orderBy("term").toArrow()
-    if table.num_rows == 0:
+    table = materialize(numbered(vocabulary), "vocabulary")
+    n_terms = table.count()
+    if n_terms == 0:
         raise ValueError("no terms remain after pruning; lower min_df or raise max_df")
-    return TfidfModel(
-        table.column("term").to_pylist(),
-        table.column("df").to_numpy(),
-        table.column("cf").to_numpy(),
-        table.column("idf").to_numpy(),
-        n_docs,
-        analyzer,
-    )
+    return TfidfModel(table, n_terms, n_docs, analyzer)
+
+
+def counted_documents(docs: DataFrame, id_column: str, text: str, analyzer: Analyzer = TERMS) -> DataFrame:
+    """(id, tf) of all documents, written once for a fit and the weights after it."""
+    counted = analyzer.counted(docs.select(id_column, text), text).select(id_column, "tf")
+    return materialize(counted, "term-counts")
+
+
+def fit_tfidf(
+    docs: DataFrame,
+    id_column: str,
+    text: str,
+    analyzer: Analyzer = TERMS,
+    min_df: int = MIN_DF,
+    max_df: float = MAX_DF,
+    max_features: int | None = None,
+) -> TfidfModel:
+    """Fit the vocabulary; all terms that the document frequencies leave, unless capped."""
+    counted = counted_documents(docs, id_column, text, analyzer)
+    return fit_counted(counted, id_column, counted.count(), analyzer, min_df, max_df, max_features)
+
+
+def fit_transform(docs: DataFrame, id_column: str, text: str, analyzer: Analyzer = TERMS, **limits):
+    """The fitted model and the sparse rows of the same documents, tokenized once."""
+    counted = counted_documents(docs, id_column, text, analyzer)
+    model = fit_counted(counted, id_column, counted.count(), analyzer, **limits)
+    return model, model.weighted(counted, id_column)
 
 
 def entries(rows: DataFrame, id_column: str) -> DataFrame:

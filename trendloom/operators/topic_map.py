@@ -61,18 +61,15 @@ def _nearest_in_block(k: int):
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
+            # In the order of their ids, so that a tie goes to the first place.
+            right = right.sort_values("id")
             others, other_ids = stacked(right["v"], 0), right["id"].to_numpy()
             for start in range(0, len(left), SLICE_ROWS):
                 part = left.iloc[start : start + SLICE_ROWS]
                 ids = part["id"].to_numpy()
                 distance = np.round(1.0 - stacked(part["v"], 0) @ others.T, 9)
                 distance[ids[:, None] == other_ids[None, :]] = np.inf
-                last = min(k, distance.shape[1]) - 1
-                limit = np.partition(distance, last, axis=1)[:, last]
-                # All that tie with the k-th: the final order decides among them.
-                row, column = np.nonzero(
-                    (distance <= limit[:, None]) & np.isfinite(distance)
-                )
+                row, column = _k_best(distance, k)
                 found.append(
                     pd.DataFrame(
                         {
@@ -89,6 +86,16 @@ def _nearest_in_block(k: int):
     return nearest
 
 
+def _k_best(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k smallest finite entries of each row, ties by column."""
+    last = min(k, distance.shape[1]) - 1
+    limit = np.partition(distance, last, axis=1)[:, last][:, None]
+    nearer = distance < limit
+    tied = (distance == limit) & np.isfinite(distance)
+    room = last + 1 - nearer.sum(axis=1, keepdims=True)
+    return np.nonzero(nearer | (tied & (np.cumsum(tied, axis=1) <= room)))
+
+
 def _memberships(distances: np.ndarray, target: float) -> np.ndarray:
     """Membership of each neighbour: exp(-(d - rho) / sigma), rows sum to ``target``.
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.operators.clustering import centroids
-from trendloom.session import spread
 
 CORPUS = """
 SELECT concat('d', lpad(cast(doc_id AS varchar(20)), 8, '0')) AS id, doc_id, text, lang,
@@ -41,16 +40,11 @@ SELECT cast(p_partkey AS varchar(20)) AS id,
 FROM {part}
 """
 
-KEYS = {
-    "documents": "doc_id",
-    "part": "p_partkey",
-    "embeddings": "vec_id",
-    "benchmark": "item_id",
-}
-
+# Of the rows above, some without any.
+CATEGORIES = """CASE WHEN cast(id AS int) % 7 = 0 THEN NULL ELSE concat('cs.LG math.', id) END"""
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), KEYS[name])
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:

@@ -95,7 +95,7 @@ CLEANED = f"""
 WITH {LATEX}, cleaned AS (
   SELECT id, {clean('title')} AS title, {clean('abstract')} AS abstract, {YEAR} AS update_year
   FROM fx_latex)
-SELECT id, 'cs.LG' AS categories, {weighted('title', 'abstract')} AS text, update_year FROM cleaned
+SELECT id, {fx.CATEGORIES} AS categories, {weighted('title', 'abstract')} AS text, update_year FROM cleaned
 """
 
 # ---- text --------------------------------------------------------------------
@@ -164,7 +164,7 @@ def weights(counted: str, key: str, name: str) -> str:
   FROM (SELECT {key}, term, (1.0 + ln(tf)) * idf AS w FROM {counted} JOIN vocab USING (term)))"""
 
 
-FIT = f"WITH {CORPUS}, {FILTERED}, {counts('docs', 'doc_id', 'counts')}, {vocab(200_000)}"
+FIT = f"WITH {CORPUS}, {FILTERED}, {counts('docs', 'doc_id', 'counts')}, {vocab(None)}"
 TFIDF = f"{FIT}, {weights('counts', 'doc_id', 'tfidf')}"
 
 # ---- vectors -----------------------------------------------------------------
@@ -258,11 +258,8 @@ LABELLED = f"{NAMES}, {CODE_COUNTS}, {TOP_CODES}, {CODE_LABELS}"
 PHRASE_TOKENS = without(word_tokens("text"), ENGLISH_STOP_WORDS)
 PHRASES = f"""
 WITH {CORPUS}, {LONG_TEXTS},
-sampled AS (
-  SELECT * FROM long_texts
-  QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY md5(id || '#0')) <= 20000),
 docs AS (
-  SELECT * FROM sampled
+  SELECT * FROM long_texts
   QUALIFY row_number() OVER (PARTITION BY cluster, text ORDER BY id) = 1),
 sizes AS (SELECT cluster, count(*) AS n FROM docs GROUP BY cluster),
 counts AS (
@@ -274,8 +271,7 @@ vocab AS (
   SELECT cluster, term, n, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf
   FROM (SELECT cluster, term, count(*) AS df, sum(tf) AS cf FROM counts GROUP BY cluster, term)
   JOIN sizes USING (cluster)
-  WHERE df >= 5 AND df <= 0.5 * n
-  QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY cf DESC, term) <= 50000),
+  WHERE df >= 5 AND df <= 0.5 * n),
 weighted AS (
   SELECT cluster, id, term, n, w / sqrt(sum(w * w) OVER (PARTITION BY cluster, id)) AS weight
   FROM (SELECT cluster, id, term, n, (1.0 + ln(tf)) * idf AS w
@@ -388,13 +384,52 @@ def oracles() -> dict[str, str]:
               LEFT JOIN parts ON parts.doc_id = docs.doc_id AND parts.component = d.component
               GROUP BY docs.doc_id, d.component)
             {components.format(keys='doc_id', value=r6('value'), source='projected')}""",
+        "candidate_embedding": f"""{FIT}, {counts('benchmark', 'item_id', 'new_counts')},
+            {weights('new_counts', 'item_id', 'new_tfidf')}, parts AS (
+              SELECT item_id, weight, length(term) AS len, unnest(range(0, 8)) AS component FROM new_tfidf),
+            raw AS (SELECT b.item_id, d.component,
+                coalesce(sum(weight * ((len * (d.component + 1)) % 7 - 3)), 0.0) AS value
+              FROM benchmark b CROSS JOIN (SELECT unnest(range(0, 8)) AS component) d
+              LEFT JOIN parts ON parts.item_id = b.item_id AND parts.component = d.component
+              GROUP BY b.item_id, d.component),
+            projected AS (SELECT item_id AS cand_id, component, CASE WHEN norm > 0 THEN value / norm ELSE 0 END AS value
+              FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY item_id)) AS norm FROM raw))
+            {components.format(keys='cand_id', value=r6('value'), source='projected')}""",
+        "clean_round_trip": CLEANED,
+        "csv_round_trip": f"{corpus}, {CODE_COUNTS} SELECT * FROM code_counts",
+        "model_round_trip": f"{FIT} SELECT term, cast(row_number() OVER (ORDER BY term) - 1 AS int) AS term_id, df, cf, {r6('idf')} AS idf FROM vocab",
         "embedding_scan": f"""WITH {LONG}
             {components.format(keys='vec_id', value=r6('value'), source='long')}""",
         "embedding_meta_mismatch": """
-            SELECT vec_id AS doc_id, 'left' AS side FROM embeddings
-            WHERE vec_id NOT IN (SELECT doc_id FROM documents)
-            UNION ALL SELECT doc_id, 'right' FROM documents
-            WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
+            SELECT doc_id, CASE WHEN n_left > n_right THEN 'left' ELSE 'right' END AS side,
+              n_left, n_right
+            FROM (SELECT doc_id, cast(sum(l) AS bigint) AS n_left, cast(sum(r) AS bigint) AS n_right
+              FROM (SELECT vec_id AS doc_id, 1 AS l, 0 AS r FROM embeddings
+                UNION ALL SELECT doc_id, 0, 1 FROM documents) GROUP BY doc_id)
+            WHERE n_left <> n_right""",
+        "row_count_mismatch": """
+            SELECT doc_id, CASE WHEN n_left > n_right THEN 'left' ELSE 'right' END AS side,
+              n_left, n_right
+            FROM (SELECT doc_id, cast(sum(l) AS bigint) AS n_left, cast(sum(r) AS bigint) AS n_right
+              FROM (SELECT doc_id, 1 AS l, 0 AS r FROM documents
+                UNION ALL SELECT doc_id, 0, 1 FROM documents
+                UNION ALL SELECT doc_id, 0, 1 FROM labels) GROUP BY doc_id)
+            WHERE n_left <> n_right""",
+        "silhouette_score": f"""WITH vectors AS (SELECT vec_id, label AS cluster,
+              list_transform(cast(embedding AS double[]), lambda x: CASE WHEN vec_id % 5 = 0 THEN 0 ELSE x END) AS v
+              FROM embeddings),
+            unit_rows AS (SELECT vec_id, cluster, CASE WHEN list_dot_product(v, v) > 0
+              THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) ELSE v END AS u FROM vectors),
+            pairs AS (SELECT a.vec_id, a.cluster AS own, b.cluster AS other,
+                1.0 - list_dot_product(a.u, b.u) AS d
+              FROM unit_rows a JOIN unit_rows b ON a.vec_id <> b.vec_id),
+            means AS (SELECT vec_id, own, other, avg(d) AS d FROM pairs GROUP BY vec_id, own, other),
+            sides AS (SELECT vec_id, own, max(CASE WHEN own = other THEN d END) AS a,
+                min(CASE WHEN own <> other THEN d END) AS b FROM means GROUP BY vec_id, own)
+            SELECT {r6('avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette
+            FROM sides""",
+        "copies_dropped": f"""{corpus} SELECT cluster, count(*) AS n_docs,
+            count(*) - count(DISTINCT text) AS n_dropped FROM fx_corpus GROUP BY cluster""",
         "normalize_rows": f"""WITH {LONG}
             {components.format(keys='vec_id', value=r6('value'), source='unit')}""",
         "hash_sample": f"""{corpus} SELECT id, cluster FROM fx_corpus
@@ -436,8 +471,8 @@ def oracles() -> dict[str, str]:
             cast(length(text) AS int) AS n_chars,
             cast(length(substr(text, 1, 50000)) AS int) AS n_chars_cut FROM long_texts""",
         "reservoir_per_cluster": f"""{corpus}, {LONG_TEXTS} SELECT id, cluster FROM long_texts
-            QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY md5(id || '#0'))
-              <= {SMALL_RESERVOIR}""",
+            QUALIFY row_number() OVER (PARTITION BY cluster 
+              ORDER BY md5(id || '#' || sha256(text) || '#0')) <= {SMALL_RESERVOIR}""",
         "dedup_per_cluster": f"""{corpus} SELECT id, cluster FROM fx_corpus
             QUALIFY row_number() OVER (PARTITION BY cluster, text ORDER BY id) = 1""",
         "cluster_phrases": PHRASES,

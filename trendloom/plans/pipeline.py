@@ -38,17 +38,17 @@ class Settings:
     min_words: int = filters.MIN_WORDS
     min_df: int = tfidf.MIN_DF
     max_df: float = tfidf.MAX_DF
-    max_features: int = tfidf.MAX_FEATURES
+    # The SVD holds one vector per component and term, so its vocabulary is bounded.
+    max_features: int | None = 200_000
     n_components: int = svd.N_COMPONENTS
     n_iter: int = svd.N_ITER
     k_grid: tuple[int, ...] = clustering.SWEEP_GRID
-    silhouette_sample: int | None = clustering.SWEEP_SAMPLE
     restarts: int = clustering.RESTARTS
     max_iter: int = 300
     candidates: tuple[str, ...] = tuple(CANDIDATE_TOPICS)
     whiten_candidates: bool = False
     category_names: dict[str, str] = field(default_factory=lambda: dict(CATEGORY_NAMES))
-    phrases_per_cluster: int | None = phrases.MAX_PER_CLUSTER
+    phrases_per_cluster: int | None = None
     phrase_chars: int | None = None
     label_source: str = "categories"
     top_mode: str = "last3"
@@ -75,11 +75,11 @@ def embed(spark: SparkSession, out: str, s: Settings) -> None:
     docs = filters.drop_short_texts(
         documents.read_clean(spark, f"{out}/clean"), min_words=s.min_words
     )
-    model = tfidf.fit_tfidf(
+    model, rows = tfidf.fit_transform(
         docs, "id", "text", min_df=s.min_df, max_df=s.max_df, max_features=s.max_features
     )
     models.save_tfidf(spark, model, f"{out}/tfidf")
-    rows = tables.write_table(model.transform(docs, "id", "text"), f"{out}/tfidf_rows")
+    rows = tables.write_table(rows, f"{out}/tfidf_rows")
     factors = svd.truncated_svd(rows, model.n_terms, s.n_components, s.n_iter, s.seed)
     models.save_svd(spark, factors, f"{out}/svd")
     stored = tables.write_embeddings(svd.whitened(rows, "id", factors), f"{out}/embeddings")
@@ -100,13 +100,11 @@ def cluster(spark: SparkSession, out: str, s: Settings) -> None:
     features = clustering.as_features(unit).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sweep = clustering.sweep_k(
-            features, "id", "embedding", s.k_grid, s.silhouette_sample, 1, s.seed, s.max_iter
+            features, "embedding", s.k_grid, clustering.STARTS, s.seed, s.max_iter
         )
         model, _ = clustering.best_restart(features, sweep.k, s.restarts, s.seed, s.max_iter)
         clustered = clustering.assign(features, model)
-        final = clustering.silhouette_score(
-            clustered, "embedding", "cluster", "id", s.silhouette_sample, s.seed
-        )
+        final = clustering.silhouette_score(clustered, "embedding", "cluster")
         meta = tables.read_table(spark, f"{out}/doc_meta")
         meta = tables.write_table(
             meta.join(clustered.select("id", "cluster"), "id"), f"{out}/doc_meta_with_clusters"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions import cleaning, labels, tokens
@@ -23,8 +23,10 @@ from trendloom.operators import (
     zero_shot,
 )
 from trendloom.plans import fixtures as fx
+from trendloom.schemas import CATEGORY_COUNTS
 from trendloom.session import materialize, scratch_path
-from trendloom.sources.documents import parse_raw, read_clean
+from trendloom.sources import models, tables
+from trendloom.sources.documents import parse_raw, read_clean, write_clean
 from trendloom.streaming.clean_stream import clean_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +38,6 @@ SMALL_RESERVOIR = 40
 SMALL_SAMPLE = 100
 COMPONENTS = 32
 K_GRID = (5, 8, 10, 12)
-RESTARTS = 3
 
 
 def query(function):
@@ -111,14 +112,14 @@ def latex_sci_fix(spark, sf):
 
 @query
 def clean_corpus(spark, sf):
-    raw = raw_documents(spark, sf).withColumn("categories", F.lit("cs.LG"))
+    raw = raw_documents(spark, sf).withColumn("categories", F.expr(fx.CATEGORIES))
     return cleaning.clean_documents(raw)
 
 
 @query
 def stream_clean(spark, sf):
     base = scratch_path(spark, "stream")
-    raw = raw_documents(spark, sf).withColumn("categories", F.lit("cs.LG"))
+    raw = raw_documents(spark, sf).withColumn("categories", F.expr(fx.CATEGORIES))
     raw.write.json(f"{base}/raw")
     stream = clean_stream(spark, f"{base}/raw", f"{base}/clean", f"{base}/checkpoint")
     stream.awaitTermination()
@@ -221,16 +222,14 @@ def named_weights(rows: DataFrame, model: tfidf.TfidfModel, key: str) -> DataFra
 
 @query
 def tfidf_weights(spark, sf):
-    docs = corpus(spark, sf)
-    model = tfidf.fit_tfidf(docs, "doc_id", "text")
-    return named_weights(model.transform(docs, "doc_id", "text"), model, "doc_id")
+    model, rows = tfidf.fit_transform(corpus(spark, sf), "doc_id", "text")
+    return named_weights(rows, model, "doc_id")
 
 
 @query
 def tfidf_stats(spark, sf):
-    docs = corpus(spark, sf)
-    model = tfidf.fit_tfidf(docs, "doc_id", "text")
-    return tfidf.matrix_statistics(model.transform(docs, "doc_id", "text"), model.n_terms)
+    model, rows = tfidf.fit_transform(corpus(spark, sf), "doc_id", "text")
+    return tfidf.matrix_statistics(rows, model.n_terms)
 
 
 @query
@@ -245,16 +244,13 @@ def tfidf_transform(spark, sf):
 
 def fitted(spark, sf):
     """Model and written sparse rows of the corpus."""
-    docs = corpus(spark, sf)
-    model = tfidf.fit_tfidf(docs, "doc_id", "text")
-    return model, materialize(model.transform(docs, "doc_id", "text"), "tfidf-rows")
+    model, rows = tfidf.fit_transform(corpus(spark, sf), "doc_id", "text")
+    return model, materialize(rows, "tfidf-rows")
 
 
 @query
 def total_variance(spark, sf):
-    docs = corpus(spark, sf)
-    model = tfidf.fit_tfidf(docs, "doc_id", "text")
-    rows = model.transform(docs, "doc_id", "text")
+    model, rows = tfidf.fit_transform(corpus(spark, sf), "doc_id", "text")
     return tfidf.total_variance(rows, "doc_id", model.n_docs).select(
         r6("total_variance").alias("total_variance")
     )
@@ -303,14 +299,50 @@ def explained_variance(spark, sf):
 
 @query
 def project_rows(spark, sf):
-    docs = corpus(spark, sf)
-    model = tfidf.fit_tfidf(docs, "doc_id", "text")
-    lengths = np.array([len(term) for term in model.terms])
-    fixed = (lengths[:, None] * (np.arange(8) + 1)) % 7 - 3.0
-    projected = svd.project(model.transform(docs, "doc_id", "text"), "doc_id", fixed)
+    model, rows = tfidf.fit_transform(corpus(spark, sf), "doc_id", "text")
+    projected = svd.project(rows, "doc_id", fixed_vectors(model))
     return components(projected, "doc_id", vector="embedding")
 
 
+def fixed_vectors(model: tfidf.TfidfModel) -> np.ndarray:
+    """Eight whole-number term vectors that depend on the terms' lengths."""
+    table = model.table.orderBy("term_id").select(F.length("term").alias("n")).toArrow()
+    lengths = table.column("n").to_numpy()
+    return (lengths[:, None] * (np.arange(8) + 1)) % 7 - 3.0
+
+
+@query
+def candidate_embedding(spark, sf):
+    model = tfidf.fit_tfidf(corpus(spark, sf), "doc_id", "text")
+    names = fx.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("cand_id"), F.col("text").alias("name")
+    )
+    factors = svd.SvdModel(fixed_vectors(model), np.ones(8))
+    return components(zero_shot.embed_names(names, model, factors), "cand_id", vector="embedding")
+
+
+@query
+def clean_round_trip(spark, sf):
+    path = scratch_path(spark, "clean")
+    write_clean(clean_corpus(spark, sf), path)
+    return read_clean(spark, path)
+
+
+@query
+def csv_round_trip(spark, sf):
+    path = scratch_path(spark, "counts")
+    counts = categories.category_counts(fx.corpus(spark, sf))
+    tables.write_csv(categories.ordered_counts(counts), path)
+    return tables.read_csv(spark, path, CATEGORY_COUNTS)
+
+
+@query
+def model_round_trip(spark, sf):
+    path = scratch_path(spark, "model")
+    models.save_tfidf(spark, tfidf.fit_tfidf(corpus(spark, sf), "doc_id", "text"), path)
+    return models.load_tfidf(spark, path).vocabulary().withColumn("idf", r6("idf"))
+
+
 # ---- clustering --------------------------------------------------------------
 
 
@@ -326,6 +358,14 @@ def embedding_meta_mismatch(spark, sf):
     return filters.key_mismatch(left, right, "doc_id")
 
 
+@query
+def row_count_mismatch(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id")
+    return filters.key_mismatch(
+        docs, docs.unionByName(fx.table(spark, sf, "labels").select("doc_id")), "doc_id"
+    )
+
+
 @query
 def normalized_rows(spark, sf):
     unit = normalize_rows(fx.embeddings(spark, sf), "embedding")
@@ -375,7 +415,7 @@ def kmeans_scout(spark, sf):
 def kmeans_sweep(spark, sf):
     features = clustering.as_features(unit_features(spark, sf)).persist()
     try:
-        return clustering.sweep_k(features, "vec_id", grid=K_GRID).frame(spark)
+        return clustering.sweep_k(features, grid=K_GRID).frame(spark)
     finally:
         features.unpersist()
 
@@ -384,7 +424,7 @@ def kmeans_sweep(spark, sf):
 def kmeans_final(spark, sf):
     features = clustering.as_features(unit_features(spark, sf)).persist()
     try:
-        model, _ = clustering.best_restart(features, 10, RESTARTS)
+        model, _ = clustering.best_restart(features, 10)
     finally:
         features.unpersist()
     return clustering.assign(features, model).select("vec_id", "cluster")
@@ -398,6 +438,15 @@ def silhouette_by_label(spark, sf):
     )
 
 
+@query
+def silhouette_score(spark, sf):
+    """Every fifth row is a zero row."""
+    zero = F.transform("embedding", lambda x: F.when(F.col("vec_id") % 5 == 0, 0.0).otherwise(x))
+    rows = fx.embeddings(spark, sf).withColumn("embedding", zero)
+    score = clustering.silhouette_score(rows, "embedding", "cluster")
+    return spark.range(1).select(r6(F.lit(score)).alias("silhouette"))
+
+
 @query
 def cluster_sizes(spark, sf):
     return clustering.cluster_sizes(fx.corpus(spark, sf))
@@ -476,7 +525,8 @@ def phrase_input(spark, sf):
 def reservoir_per_cluster(spark, sf):
     texts, lookup = text_and_lookup(spark, sf)
     chosen = phrases.phrase_candidates(phrases.long_texts(texts), lookup)
-    return sampling.hash_sample_per_group(chosen, "cluster", "id", SMALL_RESERVOIR)
+    chosen = materialize(chosen, "phrase-candidates")
+    return sampling.hash_sample_per_group(chosen, "cluster", "key", SMALL_RESERVOIR).drop("key")
 
 
 @query
@@ -484,6 +534,11 @@ def dedup_per_cluster(spark, sf):
     return phrases.drop_copies(fx.corpus(spark, sf)).select("id", "cluster")
 
 
+@query
+def copies_dropped(spark, sf):
+    return phrases.copies_dropped(fx.corpus(spark, sf))
+
+
 @query
 def cluster_phrases(spark, sf):
     docs = fx.corpus(spark, sf)

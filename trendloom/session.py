@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(app_name: str = "trendloom", master: str | None = None, **conf) -> SparkSession:
@@ -50,19 +49,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a scan out by key when it has fewer splits than there are cores.
-
-    That happens for small inputs only, such as one file with one row group,
-    where heavy per-row work would keep a single core busy.  A scan with enough
-    splits is returned as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(2 * cores, key)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and continue from the written table.
 
@@ -73,11 +59,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(written: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Ask for a broadcast of a written table of narrow rows after counting them.
-
-    Counting reads file footers only.  A longer table is joined by shuffling.
-    """
-    return F.broadcast(written) if written.count() <= max_rows else written

@@ -19,16 +19,9 @@ def save_tfidf(spark: SparkSession, model: TfidfModel, path: str) -> None:
 
 def load_tfidf(spark: SparkSession, path: str, analyzer: Analyzer = TERMS) -> TfidfModel:
     """The analyzer is code, not data: pass the one the model was fitted with."""
-    table = spark.read.parquet(f"{path}/vocabulary").orderBy("term_id").toArrow()
+    table = spark.read.parquet(f"{path}/vocabulary")
     n_docs = spark.read.parquet(f"{path}/size").first()["n_docs"]
-    return TfidfModel(
-        table.column("term").to_pylist(),
-        table.column("df").to_numpy(),
-        table.column("cf").to_numpy(),
-        table.column("idf").to_numpy(),
-        n_docs,
-        analyzer,
-    )
+    return TfidfModel(table, table.count(), n_docs, analyzer)
 
 
 def save_svd(spark: SparkSession, model: SvdModel, path: str) -> None:
