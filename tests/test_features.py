@@ -106,19 +106,30 @@ def test_whitened_columns_are_orthonormal(fitted, dense, factors):
 
 def test_narrow_blocks_change_nothing(fitted, factors, monkeypatch):
     model, rows = fitted
-    monkeypatch.setattr(svd, "BLOCK_BYTES", 8 * model.n_terms * 4)
+    monkeypatch.setattr(svd, "BLOCK_BYTES", 4 * model.n_terms * 4)
     monkeypatch.setattr(svd, "DOCS_AT_ONCE", 7)
     assert [b.stop - b.start for b in svd.column_blocks(model.n_terms, 10)] == [4, 4, 2]
     again = svd.truncated_svd(rows, model.n_terms, 10)
     assert np.allclose(again.s, factors.s) and np.allclose(again.v, factors.v, atol=1e-6)
 
 
+def test_one_pass_for_each_multiplication(fitted, monkeypatch):
+    model, rows = fitted
+    passes = []
+    real = svd._gram_block
+    monkeypatch.setattr(svd, "_gram_block", lambda *args: passes.append(1) or real(*args))
+    svd.truncated_svd(rows, model.n_terms, 300, n_iter=2)
+    assert len(passes) == 3 and len(svd.column_blocks(200_000, 310)) == 1
+
+
 def test_variances(fitted, dense, factors):
     model, rows = fitted
     whole = tfidf.total_variance(rows, "id", model.n_docs).first()[0]
     part = svd.component_variance(svd.project(rows, "id", factors.v)).first()[0]
     assert whole == pytest.approx(dense[1].var(axis=0).sum())
     assert part == pytest.approx((dense[1] @ factors.v).var(axis=0).sum())
+    stored = svd.whitened(rows, "id", factors)
+    assert svd.component_variance(svd.unwhitened(stored, factors.s)).first()[0] == pytest.approx(part)
     assert 0 < part < whole
 
 

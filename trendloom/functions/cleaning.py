@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.fixed_values import RELATION_COMMANDS, STYLE_WORDS
+from trendloom.fixed_values import COMMAND, MATH_BLOCKS, RELATION_COMMANDS, STYLE_WORDS
 
 # The characters that count as white space, spelled out because engines
 # disagree about ``\s`` outside ASCII.
@@ -25,7 +25,6 @@ SPACE = (
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 WORD = r"[\p{L}\p{N}_]"
 
-COMMAND = r"\\([a-zA-Z]+)"
 STYLE = rf"(?i)(?<!{WORD})(?:{'|'.join(STYLE_WORDS)})(?!{WORD})"
 # "x 10 (-22)"; the multiplication sign is no word character, so it starts a
 # word boundary only right after one.
@@ -33,13 +32,6 @@ POWER_OF_TEN = (
     rf"(?:(?<!{WORD})x|(?<={WORD})\x{{D7}}){SPACE}*10{SPACE}*"
     rf"\({SPACE}*(-?\p{{Nd}}+){SPACE}*\)"
 )
-# Dollars, parentheses, brackets, in this order.  A bracket block ends at the
-# first backslash after it.
-MATH_BLOCKS = [
-    r"\${1,2}([^$]+)\${1,2}",
-    r"\\\(([^)]+)\\\)",
-    r"\\\[([^\n]*?)\\",
-]
 # Marks the borders of a math block while it is processed.
 MARK = "\x01"
 

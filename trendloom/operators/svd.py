@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 N_COMPONENTS = 300
 N_ITER = 7
 OVERSAMPLE = 10
-# Size of one column block of term vectors sent to the tasks.
-BLOCK_BYTES = 64 << 20
-# Columns of one aggregation; Spark generates code for up to 100 fields.
-BLOCK_COLUMNS = 64
-# Documents multiplied at once inside a task.
-DOCS_AT_ONCE = 64
+# Size of one column block of term vectors sent to the tasks: 310 columns over
+# 200,000 terms in single precision fit one.  Set it to what the executors can hold.
+BLOCK_BYTES = 256 << 20
+# Documents multiplied at once inside a task, and rows of sums handed on at once.
+DOCS_AT_ONCE, ROWS_AT_ONCE = 64, 4096
+# Partial sums of a term are merged in so many parts before they are merged at last.
+PARTS = 16
 
 
 @dataclass
@@ -66,7 +68,7 @@ class SvdModel:
 
 def column_blocks(n_rows: int, n_columns: int) -> list[slice]:
     """Column ranges whose dense blocks stay under ``BLOCK_BYTES``."""
-    width = max(1, min(BLOCK_COLUMNS, BLOCK_BYTES // (8 * max(n_rows, 1))))
+    width = max(1, BLOCK_BYTES // (4 * max(n_rows, 1)))
     return [slice(i, min(i + width, n_columns)) for i in range(0, n_columns, width)]
 
 
@@ -92,38 +94,48 @@ def _gram_block(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     """XᵀX times one block of term vectors."""
     spark = rows.sparkSession
     n_terms, width = block.shape
-    names = [f"c{i}" for i in range(width)]
-    shared = spark.sparkContext.broadcast(block)
+    shared = spark.sparkContext.broadcast(block.astype(np.float32))
 
     def multiply(batches):
         vectors = shared.value
-        total = np.zeros_like(vectors)
+        total = np.zeros(vectors.shape)
         touched = np.zeros(len(vectors), bool)
         for batch in batches:
-            slices = _dense_slices(batch["term_ids"].to_numpy(), batch["weights"].to_numpy())
-            for _, terms, dense in slices:
-                total[terms] += dense.T @ (dense @ vectors[terms])
+            for _, terms, dense in _dense_slices(*_lists(batch)):
+                total[terms] += dense.T @ (dense @ vectors[terms].astype(np.float64))
                 touched[terms] = True
         keys = np.flatnonzero(touched)
-        if len(keys):
-            columns = [pa.array(keys, pa.int32())]
-            columns += [pa.array(np.ascontiguousarray(total[keys, i])) for i in range(width)]
-            yield pa.record_batch(columns, names=["term_id", *names]).to_pandas()
-
-    # One partial result per task: fewer, larger tasks keep the aggregation
-    # small.  Coalescing is narrow, nothing is shuffled for it.
-    tasks = rows.select("term_ids", "weights").coalesce(spark.sparkContext.defaultParallelism)
-    schema = "term_id int, " + ", ".join(f"{name} double" for name in names)
-    partial = tasks.mapInPandas(multiply, schema)
-    table = partial.groupBy("term_id").sum(*names).toArrow()
+        for start in range(0, len(keys), ROWS_AT_ONCE):
+            some = keys[start : start + ROWS_AT_ONCE]
+            sums = pa.FixedSizeListArray.from_arrays(pa.array(total[some].ravel()), width)
+            columns = [pa.array(some, pa.int32()), sums.cast(pa.list_(pa.float64()))]
+            yield pa.record_batch(columns, names=["term_id", "sums"])
+
+    # All columns of a term are one vector; the sums of a task's own documents meet
+    # those of other tasks by block of terms and part first, then by term.
+    partial = rows.select("term_ids", "weights").mapInArrow(multiply, "term_id int, sums array<double>")
+    vectors = partial.select("term_id", array_to_vector("sums").alias("sums"), F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"))
+    merged = vectors.groupBy("term_id", "part").agg(Summarizer.sum(F.col("sums")).alias("sums"))
+    merged = merged.groupBy("term_id").agg(Summarizer.sum(F.col("sums")).alias("sums"))
+    table = merged.select("term_id", vector_to_array("sums").alias("sums")).toArrow()
     shared.unpersist()
     result = np.zeros((n_terms, width))
-    at = table.column("term_id").to_numpy()
-    for i, name in enumerate(names):
-        result[at, i] = table.column(f"sum({name})").to_numpy()
+    if table.num_rows:
+        flat = table.column("sums").combine_chunks().flatten().to_numpy()
+        result[table.column("term_id").to_numpy()] = flat.reshape(-1, width)
     return result
 
 
+def _lists(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Term numbers and weights of each row of an Arrow batch."""
+    found = []
+    for name in ("term_ids", "weights"):
+        lists = batch.column(name)
+        ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        found.append(np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1]))
+    return tuple(found)
+
+
 def gram_times(rows: DataFrame, vectors: np.ndarray) -> np.ndarray:
     """XᵀX times term vectors, block by block."""
     blocks = column_blocks(*vectors.shape)
@@ -136,6 +148,11 @@ def fix_signs(v: np.ndarray) -> np.ndarray:
     return v * np.where(top < 0, -1.0, 1.0)
 
 
+def _rounded(vectors: np.ndarray) -> np.ndarray:
+    """An orthonormal basis in single precision, as doubles."""
+    return np.linalg.qr(vectors)[0].astype(np.float32).astype(np.float64)
+
+
 def truncated_svd(
     rows: DataFrame,
     n_terms: int,
@@ -145,16 +162,20 @@ def truncated_svd(
 ) -> SvdModel:
     """Leading singular triplets of the sparse rows, without centring.
 
-    ``rows`` is read ``n_iter + 1`` times: pass a written table.
+    ``rows`` is read ``n_iter + 1`` times for each column block, of which there is one
+    as long as terms times columns fit ``BLOCK_BYTES``: pass a written table.  The basis
+    is rounded to single precision, so the last step allows for one that is not quite
+    orthonormal.
     """
     width = min(n_terms, n_components + OVERSAMPLE)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
+    basis = _rounded(np.random.default_rng(seed).standard_normal((n_terms, width)))
     for _ in range(n_iter):
-        basis = np.linalg.qr(gram_times(rows, basis))[0]
+        basis = _rounded(gram_times(rows, basis))
     small = basis.T @ gram_times(rows, basis)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    whole = np.linalg.inv(np.linalg.cholesky(basis.T @ basis))
+    values, vectors = np.linalg.eigh(whole @ ((small + small.T) / 2) @ whole.T)
     order = np.argsort(values)[::-1][: min(n_components, width)]
-    v = fix_signs(basis @ vectors[:, order])
+    v = fix_signs(basis @ (whole.T @ vectors[:, order]))
     return SvdModel(v, np.sqrt(np.maximum(values[order], 0.0)))
 
 
@@ -163,34 +184,29 @@ def project(
 ) -> DataFrame:
     """(id, embedding): the rows times ``v``, each component times ``scale``.
 
-    Narrow.  The column blocks of ``v`` are applied one after the other in the
-    same task, each appending its components.
+    Narrow, one pass: a task applies the column blocks of ``v`` in turn to each batch.
     """
     if scale is not None:
         v = v * scale
     context = rows.sparkSession.sparkContext
-    out = rows.select(
-        id_column, "term_ids", "weights", F.array().cast("array<double>").alias("embedding")
-    )
-    for block in column_blocks(*v.shape):
-        shared = context.broadcast(np.ascontiguousarray(v[:, block]))
-        out = out.mapInPandas(_appender(shared), out.schema)
-    return out.select(id_column, "embedding")
+    blocks = column_blocks(*v.shape)
+    shared = [context.broadcast(np.ascontiguousarray(v[:, block])) for block in blocks]
+    width = v.shape[1]
 
-
-def _appender(shared):
-    def append(batches):
+    def apply(batches):
         for batch in batches:
-            vectors = shared.value
-            images = np.zeros((len(batch), vectors.shape[1]))
-            slices = _dense_slices(batch["term_ids"].to_numpy(), batch["weights"].to_numpy())
-            for where, terms, dense in slices:
-                images[where] = dense @ vectors[terms]
-            before = batch["embedding"].to_numpy()
-            after = [np.concatenate([old, new]) for old, new in zip(before, images)]
-            yield batch.assign(embedding=after)
+            images = np.zeros((batch.num_rows, width))
+            for where, terms, dense in _dense_slices(*_lists(batch)):
+                for block, part in zip(blocks, shared):
+                    images[where, block] = dense @ part.value[terms]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(images.ravel()), width)
+            yield pa.record_batch(
+                [batch.column(id_column), lists.cast(pa.list_(pa.float64()))], names=[id_column, "embedding"]
+            )
 
-    return append
+    kind = rows.schema[id_column].dataType.simpleString()
+    picked = rows.select(id_column, "term_ids", "weights")
+    return picked.mapInArrow(apply, f"{id_column} {kind}, embedding array<double>")
 
 
 def whitened(rows: DataFrame, id_column: str, model: SvdModel) -> DataFrame:
@@ -203,6 +219,13 @@ def whitened(rows: DataFrame, id_column: str, model: SvdModel) -> DataFrame:
     return project(rows, id_column, model.v, scale)
 
 
+def unwhitened(stored: DataFrame, s: np.ndarray) -> DataFrame:
+    """Stored whitened embeddings with each component times its singular value again."""
+    scale = F.array(*[F.lit(float(x)) for x in s])
+    image = F.zip_with("embedding", scale, lambda x, factor: x.cast("double") * factor)
+    return stored.select(image.alias("embedding"))
+
+
 def component_variance(projected: DataFrame) -> DataFrame:
     """One row: the summed population variance of the embedding columns."""
     vectors = projected.select(array_to_vector("embedding").alias("x"))

@@ -27,6 +27,7 @@ from trendloom.operators import (
     trends,
     zero_shot,
 )
+from trendloom.session import scratch_of_run
 from trendloom.sources import documents, models, tables
 
 
@@ -85,7 +86,7 @@ def embed(spark: SparkSession, out: str, s: Settings) -> None:
     stored = tables.write_embeddings(svd.whitened(rows, "id", factors), f"{out}/embeddings")
     meta = tables.write_table(docs.select("id", "categories", "update_year"), f"{out}/doc_meta")
     filters.require_same_keys(stored, meta, "id")
-    part = svd.component_variance(svd.project(rows, "id", factors.v)).first()[0]
+    part = svd.component_variance(svd.unwhitened(stored, factors.s)).first()[0]
     whole = tfidf.total_variance(rows, "id", model.n_docs).first()[0]
     explained = part / whole if whole else 0.0
     report = tfidf.matrix_statistics(rows, model.n_terms)
@@ -105,6 +106,10 @@ def cluster(spark: SparkSession, out: str, s: Settings) -> None:
         model, _ = clustering.best_restart(features, sweep.k, s.restarts, s.seed, s.max_iter)
         clustered = clustering.assign(features, model)
         final = clustering.silhouette_score(clustered, "embedding", "cluster")
+        # Once, beside the unit rows: labels by name and the map read them from there.
+        clustered = tables.write_table(
+            clustered.select("id", "cluster", "embedding"), f"{out}/clustered"
+        )
         meta = tables.read_table(spark, f"{out}/doc_meta")
         meta = tables.write_table(
             meta.join(clustered.select("id", "cluster"), "id"), f"{out}/doc_meta_with_clusters"
@@ -129,7 +134,6 @@ def cluster(spark: SparkSession, out: str, s: Settings) -> None:
 
 def label_by_names(spark: SparkSession, out: str, s: Settings) -> None:
     meta = tables.read_table(spark, f"{out}/doc_meta_with_clusters")
-    stored = tables.read_embeddings(spark, f"{out}/embeddings")
     names = zero_shot.candidate_names(spark, s.candidates)
     embedded = zero_shot.embed_names(
         names,
@@ -137,9 +141,8 @@ def label_by_names(spark: SparkSession, out: str, s: Settings) -> None:
         models.load_svd(spark, f"{out}/svd"),
         s.whiten_candidates,
     )
-    centers = zero_shot.unit_centroids(
-        stored.join(meta.select("id", "cluster"), "id"), "embedding", "cluster"
-    )
+    clustered = tables.read_table(spark, f"{out}/clustered")
+    centers = zero_shot.unit_centroids(clustered, "embedding", "cluster")
     labels = zero_shot.zero_shot_labels(zero_shot.similarity(centers, embedded), names)
     labels = tables.write_table(labels, f"{out}/labels_zero_shot")
     tables.write_csv(labels.orderBy("cluster"), f"{out}/cluster_labels_zero_shot.csv")
@@ -195,8 +198,7 @@ def trend(spark: SparkSession, out: str, s: Settings) -> None:
 
 def map_topics(spark: SparkSession, out: str, s: Settings) -> None:
     """The table behind the two-dimensional map and its legend."""
-    meta = tables.read_table(spark, f"{out}/doc_meta_with_clusters").select("id", "cluster")
-    docs = tables.read_embeddings(spark, f"{out}/embeddings").join(meta, "id")
+    docs = tables.read_table(spark, f"{out}/clustered")
     labels = chosen_labels(spark, out, s)
     placed = topic_map.topic_map(
         docs, "id", "embedding", labels, s.map_rows, s.neighbors, s.seed
@@ -211,13 +213,14 @@ def run_pipeline(
     """All steps in order; ``out`` is the folder of this run."""
     s = settings or Settings()
     clean(spark, raw_path, out, s)
-    for step in (
-        embed,
-        cluster,
-        label_by_categories,
-        label_by_names,
-        label_by_phrases,
-        trend,
-        map_topics,
-    ):
-        step(spark, out, s)
+    with scratch_of_run(spark):
+        for step in (
+            embed,
+            cluster,
+            label_by_categories,
+            label_by_names,
+            label_by_phrases,
+            trend,
+            map_topics,
+        ):
+            step(spark, out, s)

@@ -45,18 +45,3 @@ CATEGORY_COUNTS = StructType(
         StructField("share", DoubleType(), True),
     ]
 )
-
-LABELS = StructType(
-    [
-        StructField("cluster", IntegerType(), True),
-        StructField("label_auto", StringType(), True),
-        StructField("label_alt", StringType(), True),
-    ]
-)
-
-TOP_TERMS = StructType(
-    [
-        StructField("cluster", IntegerType(), True),
-        StructField("top_terms", StringType(), True),
-    ]
-)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +46,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_RUN: ContextVar[str] = ContextVar("run", default="")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one intermediate table inside the shared folder."""
-    return f"{shared_folder(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/trendloom/{_RUN.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_of_run(spark: SparkSession):
+    """Intermediate tables made inside go to a folder of their own, which goes at the end.
+
+    Results must be written elsewhere before that.
+    """
+    run = f"run-{uuid.uuid4().hex}/"
+    before = _RUN.set(run)
+    try:
+        yield
+    finally:
+        _RUN.reset(before)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/trendloom/{run}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
