@@ -256,19 +256,58 @@ def total_variance(spark, sf):
     )
 
 
-@query
-def gram_matrix(spark, sf):
+def embedding_rows(spark, sf) -> tuple[DataFrame, int]:
+    """The given vectors as sparse rows, and their length."""
     vectors = fx.embeddings(spark, sf)
     width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     rows = vectors.select(
+        "vec_id",
         F.sequence(F.lit(0), F.size("embedding") - 1).alias("term_ids"),
         F.col("embedding").alias("weights"),
     )
-    gram = svd.gram_times(rows, np.eye(width))
+    return rows, width
+
+
+def square(spark, matrix: np.ndarray, digits: int) -> DataFrame:
+    """(i, j, g) of a small matrix; the sum with zero leaves no negative zero."""
     table = spark.createDataFrame(
-        [(i, [float(x) for x in row]) for i, row in enumerate(gram)], "i int, g array<double>"
+        [(i, [float(x) for x in row]) for i, row in enumerate(matrix)], "i int, g array<double>"
+    )
+    long = table.select("i", F.posexplode("g").alias("j", "g"))
+    return long.withColumn("g", F.round("g", digits) + F.lit(0.0))
+
+
+@query
+def gram_matrix(spark, sf):
+    rows, width = embedding_rows(spark, sf)
+    return square(spark, svd.gram_times(rows, np.eye(width)), 6)
+
+
+@query
+def svd_full_rank(spark, sf):
+    """At full rank the squared singular values add up to the squared entries, and explain all."""
+    rows, width = embedding_rows(spark, sf)
+    rows = materialize(rows, "embedding-rows")
+    factors = svd.truncated_svd(rows, width, width)
+    part = svd.component_variance(svd.project(rows, "vec_id", factors.v)).first()[0]
+    whole = tfidf.total_variance(rows, "vec_id", rows.count())
+    return whole.select(
+        F.round(F.lit(float((factors.s**2).sum())), 4).alias("squares"),
+        r6(F.lit(part) / F.col("total_variance")).alias("explained_variance"),
+    )
+
+
+@query
+def svd_whiten_gram(spark, sf):
+    """Whitened columns are orthonormal."""
+    model, rows = fitted(spark, sf)
+    factors = svd.truncated_svd(rows, model.n_terms, COMPONENTS)
+    white = svd.whitened(rows, "doc_id", factors)
+    dense = white.select(
+        F.sequence(F.lit(0), F.size("embedding") - 1).alias("term_ids"),
+        F.col("embedding").alias("weights"),
     )
-    return table.select("i", F.posexplode("g").alias("j", "g")).withColumn("g", r6("g"))
+    return square(spark, svd.gram_times(dense, np.eye(len(factors.s))), 4)
 
 
 @query
