@@ -86,19 +86,10 @@ def duplicate_groups(docs: DataFrame, digest=sha256, salts: int = SALTS) -> Data
         .filter("contents > 1 OR group_size > 1"),
         "exact-classes",
     )
-    # Which row of the winning id stays; one row per digest, unless ids repeat.
-    joined = rows.join(classes, "digest", "left")
-    group_size = F.coalesce("group_size", F.lit(1).cast("long"))
-    plain = joined.filter(F.coalesce("contents", F.lit(1)) == 1).select(
-        "doc_id",
-        "digest",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        group_size.alias("group_size"),
-        "row",
-    )
-    found = _one_row_kept(plain, ["digest"])
+    found = _marked(rows, classes.filter("contents = 1"), ["digest"])
     if not classes.filter("contents > 1").limit(1).count():
         return found
+    found = found.join(classes.filter("contents > 1").select("digest"), "digest", "left_anti")
     shared = classes.filter("contents > 1").select("digest")
     collided = materialize(
         docs.select(
@@ -114,23 +105,31 @@ def duplicate_groups(docs: DataFrame, digest=sha256, salts: int = SALTS) -> Data
         ),
         salts,
     ).select("digest", "content", F.col("best.id").alias("keep_id"), F.col("copies").alias("group_size"))
-    return found.unionByName(
-        _one_row_kept(collided.join(winners, ["digest", "content"]), ["digest", "content"])
-    )
+    return found.unionByName(_marked(collided, winners, ["digest", "content"]))
 
 
-def _one_row_kept(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mark the row that stays; where the winning id is repeated, its first row."""
-    winning = rows.filter((F.col("group_size") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    repeated = materialize(
-        winning.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("row").alias("first")).filter("rows > 1"),
-        "exact-repeated-ids",
-    )
-    marked = rows.join(repeated.select(*keys, "first"), keys, "left")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (
-        F.col("first").isNull() | (F.col("first") == F.col("row"))
+def _marked(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """Give each row its class, and mark the row that stays.
+
+    ``classes`` has one row per group of copies.  Where the winning id is repeated,
+    the first of its rows stays; these rows are found by keys and id, so a hot
+    group is spread, and what is found becomes a column of its class.
+    """
+    winners = classes.select(*keys, F.col("keep_id").alias("winner"))
+    same_keys = [F.col(f"r.{k}") == F.col(f"w.{k}") for k in keys]
+    same_id = F.col("r.doc_id").eqNullSafe(F.col("w.winner"))
+    winning = rows.alias("r").join(winners.alias("w"), [*same_keys, same_id]).select(*(f"r.{k}" for k in keys), "r.row")
+    firsts = winning.groupBy(*keys).agg(F.min("row").alias("first"))
+    classes = materialize(classes.join(materialize(firsts, "exact-first-rows"), keys, "left"), "exact-winners")
+    joined = rows.join(classes, keys, "left")
+    single = F.col("group_size").isNull()
+    return joined.select(
+        "doc_id",
+        "digest",
+        F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (single | (F.col("row") == F.col("first"))).alias("kept"),
     )
-    return marked.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
 def drop_flagged(docs: DataFrame, digest: Column, flags: DataFrame) -> DataFrame:
