@@ -1,10 +1,10 @@
 """Exact deduplication that survives hot texts, on DataFrame functions only.
 
 Texts are equal when they are identical after each run of white space has been
-replaced by one space.  Copies are combined in three steps, each of which
-compares the whole normalised text next to its digest:
+replaced by one space.  Rows whose digest is repeated are combined in three steps,
+each of which compares the whole normalised text next to its digest:
 
-1. each task combines the copies it reads itself (map-side aggregation),
+1. each task combines the copies that it holds itself (map-side aggregation),
 2. groups of (digest, salt, text) are merged, so that the copies of one text,
    be they a third of all rows, meet in many tasks,
 3. the winners of the salts, at most ``salts`` per text, are merged globally.
@@ -68,12 +68,15 @@ def duplicate_groups(docs: DataFrame, digest=sha256, salts: int = SALTS) -> Data
         ),
         "exact-digests",
     )
+    # A digest of one row has no text to be compared with.
+    repeated = rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = materialize(repeated.select("digest"), "exact-repeated-digests")
     texts = docs.select(
         digest(content).alias("digest"),
         content.alias("content"),
         _rank().alias("rank"),
         F.col("doc_id").alias("salt_key"),
-    )
+    ).join(repeated.hint("merge"), "digest", "left_semi")
     classes = materialize(
         combine(texts, salts)
         .select("digest", "best", "copies")
@@ -149,7 +152,8 @@ def drop_flagged(docs: DataFrame, digest: Column, flags: DataFrame) -> DataFrame
     repeated = materialize(
         flagged.filter("kept").select("__key").join(gone, "__key", "left_semi").distinct(), "repeated-rows"
     )
-    stay = keyed.join(gone, "__key", "left_anti").select(*docs.columns)
+    # What goes grows with the corpus, so it is not sent to the rows.
+    stay = keyed.join(gone.hint("merge"), "__key", "left_anti").select(*docs.columns)
     if not repeated.limit(1).count():
         return stay
     merged = keyed.join(repeated, "__key", "left_semi").groupBy("__key")
