@@ -15,9 +15,9 @@ lists the pairs of a bucket:
 1. equal texts are one node;
 2. each node of a bucket is compared with the bucket's smallest node, exactly;
 3. links make components; a bucket whose nodes are all in one component is done;
-4. in the others the nodes of different components are compared in blocks by their
-   signatures, and pairs that may reach the threshold are verified exactly, so no
-   link between candidates is lost.
+4. in the others the nodes of different components are compared with each other, in
+   blocks inside tasks, and only links that join components come out: no link
+   between candidates is lost, and no pair that is none becomes a row.
 """
 
 from __future__ import annotations
@@ -37,10 +37,8 @@ from trendloom.session import materialize
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Pairs are verified if their signatures agree this much less than the threshold:
-#: over six standard deviations of the estimate.
-MARGIN = 0.23
-BLOCK = 256
+#: Nodes of a bucket compared with as many others in one task at a time.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -170,8 +168,9 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             sets = [regions[i:j].tobytes() for i, j in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "regions"])
 
-    rows = docs.select(node_of().alias("node"), "text").join(nodes, "node", "left_semi")
-    return rows.dropDuplicates(["node"]).mapInArrow(run, "node binary, regions binary")
+    # Copies of a text are combined by each task before anything moves.
+    texts = docs.select(node_of().alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+    return texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, "node binary, regions binary")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -203,66 +202,70 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of_b, "b").join(of_a, "a").mapInArrow(run, "a binary, b binary")
 
 
-def _stray_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of nodes of one bucket but different components that may be near.
+def _joining_links(nodes: list[bytes], roots: list[bytes], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray):
+    """Pairs of a left and a right node that reach the threshold, enough of them to join their components.
 
-    Buckets are cut into blocks of nodes; each pair of blocks is compared in one
-    group by signatures, and only pairs near the threshold come out.
+    Common regions of all pairs are counted by one product of 0/1 matrices over the
+    regions that more than one node has.
     """
+    found, of = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(of, minlength=len(found)) > 1
+    column = np.cumsum(shared) - 1
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    some = shared[of]
+    has = np.zeros((len(sets), int(shared.sum())), np.float32)
+    has[row[some], column[of[some]]] = 1
+    both = has[left] @ has[right].T
+    near = both >= THRESHOLD * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9
+    parent: dict[bytes, bytes] = {}
+
+    def top(root: bytes) -> bytes:
+        while parent.get(root, root) != root:
+            root = parent[root]
+        return root
+
+    for x, y in zip(*np.nonzero(near)):
+        a, b = left[x], right[y]
+        low, high = top(roots[a]), top(roots[b])
+        if low != high:
+            parent[high] = low
+            yield max(nodes[a], nodes[b]), min(nodes[a], nodes[b])
+
+
+def _stray_links(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components that share a bucket, enough to join what is to be joined.
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, "regions"):
-            sets = [np.frombuffer(x, np.uint64) for x in part.column("regions").to_pylist()]
-            text = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            signed = signatures(text, np.concatenate(sets), len(sets), bands.size)
-            short = (mixed(signed) >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("node"), pa.array([row.tobytes() for row in short], pa.binary())],
-                ["node", "signature"],
-            )
-
+    Buckets are cut into blocks of nodes; each pair of blocks is compared in one
+    group.
+    """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_buckets = placed.groupBy("key").agg(
+    several = placed.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
     )
     # A bucket of two has been compared already.
-    mixed_buckets = materialize(
-        mixed_buckets.filter((F.col("low") != F.col("high")) & (F.col("n") > 2)).select("key", "n"), "stray-buckets"
-    )
-    strays = materialize(placed.join(mixed_buckets, "key").select("key", "node", "root", "n"), "stray-members")
-    signed = materialize(
-        sets.join(strays.select("node").distinct(), "node", "left_semi").mapInArrow(sign, "node binary, signature binary"),
-        "stray-signatures",
-    )
+    several = several.filter((F.col("low") != F.col("high")) & (F.col("n") > 2)).select("key", "n")
+    strays = placed.join(materialize(several, "stray-buckets"), "key").select("key", "node", "root", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.hash("node", "key"), blocks)
     others = F.transform(
         F.sequence(F.lit(0), blocks - 1),
         lambda other: F.struct(F.least(other, "block").alias("i"), F.greatest(other, "block").alias("j")),
     )
     grouped = (
-        strays.join(signed, "node")
-        .withColumn("block", block)
+        strays.withColumn("block", F.pmod(F.hash("node", "key"), blocks))
+        .join(sets, "node")
         .withColumn("pair", F.explode(others))
-        .select("key", "pair.i", "pair.j", "block", "node", "root", "signature")
+        .select("key", "pair.i", "pair.j", "block", "node", "root", "regions")
     )
 
     def compare(group: pa.Table) -> pa.Table:
         nodes, roots = group.column("node").to_pylist(), group.column("root").to_pylist()
-        signed = np.array([np.frombuffer(x, np.uint32) for x in group.column("signature").to_pylist()])
         block = group.column("block").to_numpy()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        sets = [np.unique(np.frombuffer(x, np.uint64)) for x in group.column("regions").to_pylist()]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        number = {root: k for k, root in enumerate(sorted(set(roots)))}
-        root = np.array([number[r] for r in roots])
-        least = (THRESHOLD - MARGIN) * bands.size
-        found: list[tuple[bytes, bytes]] = []
-        for x in left:
-            agree = (signed[right] == signed[x]).sum(axis=1)
-            for y in right[(agree >= least) & (root[right] != root[x])]:
-                if i != j or x < y:
-                    found.append((max(nodes[x], nodes[y]), min(nodes[x], nodes[y])))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+        links = list(_joining_links(nodes, roots, sets, left, right)) if len(left) and len(right) else []
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
     return grouped.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
@@ -288,8 +291,7 @@ def near_duplicates(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     sets = materialize(_sets(docs, materialize(candidates.distinct(), "dart-candidates")), "dart-sets")
     links = materialize(_verified(pairs, sets), "dart-links")
     roots = materialize(connected_components(links), "dart-roots")
-    strays = materialize(_stray_pairs(members, roots, sets, bands), "dart-strays")
-    more = materialize(_verified(strays, sets), "dart-more-links")
+    more = materialize(_stray_links(members, roots, sets), "dart-more-links")
     if more.limit(1).count():
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = materialize(connected_components(known.unionByName(more)), "dart-roots")
