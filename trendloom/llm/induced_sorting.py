@@ -24,39 +24,68 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Tuples handled at once, and bytes a queue holds before it writes them down.
+#: Tuples handled at once, and bytes that all queues of a task hold before they write them down.
 BATCH = 1 << 17
-HELD = 1 << 16
+HELD = 96 << 20
 #: S* suffixes sorted in memory at once.
 IN_MEMORY = 1 << 21
 
-TUPLE = np.dtype([("at", "<i8"), ("lcp", "u1")])
+#: A tuple is one number: the position times 64, plus the common prefix.
+TUPLE = np.dtype("<i8")
+
+
+def places(tuples: np.ndarray) -> np.ndarray:
+    return tuples >> 6
+
+
+def prefixes(tuples: np.ndarray) -> np.ndarray:
+    return tuples & 63
+
+
+def tuples_of(at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    return (at << 6) | lcp
+
+
+class Held:
+    """Bytes in memory of all queues that share it."""
+
+    def __init__(self):
+        self.bytes = 0
 
 
 class Queue:
-    """A first-in first-out queue of tuples; what is over ``HELD`` bytes lies in a file.
+    """A first-in first-out queue of tuples.
 
-    The file has no name and goes with the queue, or with a task that fails.
+    Once the queues of a task hold more than ``HELD`` bytes, the one that is added to
+    writes its own to a file.  The file has no name and goes with the queue, or with
+    a task that fails.
     """
 
-    def __init__(self, dtype: np.dtype = TUPLE):
-        self.dtype, self.file, self.parts, self.held = dtype, None, [], 0
-        self.written = self.taken = 0
+    def __init__(self, held: Held, dtype: np.dtype = TUPLE):
+        self.dtype, self.file, self.parts, self.of_all = dtype, None, [], held
+        self.size = self.written = self.taken = self.held = 0
 
     def put(self, items: np.ndarray) -> None:
         self.parts.append(items)
+        self.size += len(items)
         self.held += items.nbytes
-        if self.held > HELD:
+        self.of_all.bytes += items.nbytes
+        if self.of_all.bytes > HELD and self.held > HELD >> 10:
             if self.file is None:
                 self.file = tempfile.TemporaryFile(buffering=0)
             self.file.seek(self.written * self.dtype.itemsize)
-            for part in self.parts:
-                self.file.write(np.ascontiguousarray(part).data.cast("B"))
-                self.written += len(part)
-            self.parts, self.held = [], 0
+            data = memoryview(np.concatenate(self.parts)).cast("B")
+            while len(data):
+                data = data[self.file.write(data) :]
+            self.written = self.size
+            self._release()
+
+    def _release(self) -> None:
+        self.of_all.bytes -= self.held
+        self.parts, self.held = [], 0
 
     def __len__(self) -> int:
-        return self.written + sum(map(len, self.parts)) - self.taken
+        return self.size - self.taken
 
     def _read(self, start: int, stop: int) -> np.ndarray:
         """Items start to stop, counted from the first ever put."""
@@ -69,15 +98,17 @@ class Queue:
             while len(data) < size:
                 data += self.file.read(size - len(data))
             found.append(np.frombuffer(data, self.dtype))
-        at = self.written
-        for part in self.parts:
-            found.append(part[max(0, start - at) : max(0, stop - at)])
-            at += len(part)
-        return np.concatenate(found) if found else np.zeros(0, self.dtype)
+        if stop > self.written:
+            if len(self.parts) > 1:
+                self.parts = [np.concatenate(self.parts)]
+            found.append(self.parts[0][max(0, start - self.written) : stop - self.written])
+        return np.concatenate(found) if len(found) != 1 else found[0]
 
     def take(self, most: int = BATCH) -> np.ndarray:
         """The next items, at most so many."""
-        found = self._read(self.taken, min(self.taken + most, self.taken + len(self)))
+        if not len(self):
+            return np.zeros(0, self.dtype)
+        found = self._read(self.taken, min(self.taken + most, self.size))
         self.taken += len(found)
         return found
 
@@ -98,7 +129,8 @@ class Queue:
     def clear(self) -> None:
         if self.file is not None:
             self.file.close()
-        self.__init__(self.dtype)
+        self._release()
+        self.__init__(self.of_all, self.dtype)
 
 
 class Text:
@@ -108,7 +140,7 @@ class Text:
     """
 
     def __init__(self, depth: int):
-        self.depth, self.size = depth, 0
+        self.depth, self.size, self.held = depth, 0, Held()
         self.file = tempfile.TemporaryFile()
 
     def append(self, data: np.ndarray) -> None:
@@ -137,12 +169,15 @@ class Text:
         """Common prefix of the suffixes at a and b, at most ``depth``."""
         length = np.zeros(len(a), np.int64)
         going = np.arange(len(a))
-        for i in range(self.depth):
-            going = going[self.symbols[a[going] + i] == self.symbols[b[going] + i]]
+        for depth in range(0, self.depth, 6):  # six symbols at a time, then one by one
+            same = self.word(a[going] + depth) == self.word(b[going] + depth)
+            length[going[same]] += 6
+            going = going[same]
             if not len(going):
                 break
-            length[going] += 1
-        return length.astype(np.uint8)
+        for _ in range(5):
+            length += (length < self.depth) & (self.symbols[a + length] == self.symbols[b + length])
+        return np.minimum(length, self.depth)
 
 
 def _sorted_in_memory(text: Text, at: np.ndarray, depth: int) -> np.ndarray:
@@ -177,7 +212,7 @@ def sorted_stars(text: Text, stars: Queue, depth: int = 0) -> Iterator[np.ndarra
         batch, pair = batch[order], pair[order]
         starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         for start, stop in zip(starts, np.r_[starts[1:], len(batch)]):
-            dealt.setdefault(int(pair[start]), Queue(stars.dtype)).put(batch[start:stop])
+            dealt.setdefault(int(pair[start]), Queue(stars.of_all)).put(batch[start:stop])
     for pair in sorted(dealt):
         yield from sorted_stars(text, dealt[pair], depth + 2)
         dealt.pop(pair).clear()
@@ -185,7 +220,7 @@ def sorted_stars(text: Text, stars: Queue, depth: int = 0) -> Iterator[np.ndarra
 
 def find_stars(text: Text) -> Queue:
     """The S* positions, found from the end on."""
-    stars = Queue(np.dtype("<i8"))
+    stars = Queue(text.held)
     n = text.size
     after_is_s, after = False, 0  # type and symbol of what follows the part: the end, which is smaller
     found = []
@@ -203,10 +238,10 @@ def find_stars(text: Text) -> Queue:
         found.append(start + 1 + np.flatnonzero(~is_s & next_is_s))
         after_is_s, after = bool(is_s[0]), int(part[0])
         if sum(map(len, found)) > IN_MEMORY:
-            stars.put(np.concatenate(found[::-1])[::-1])
+            stars.put(np.concatenate(found))
             found = []
     if found:
-        stars.put(np.concatenate(found[::-1]))
+        stars.put(np.concatenate(found))
     return stars
 
 
@@ -231,15 +266,18 @@ class _Pass:
 
     def __init__(self, text: Text):
         self.text = text
-        self.queues = [Queue() for _ in range(258)]
+        self.queues = [Queue(text.held) for _ in range(258)]
         #: Least common prefix since the last arrival at each queue.
         self.least = np.zeros(258, np.int64)
 
     def induce(self, items: np.ndarray, symbol: int, wanted) -> None:
         """Queue the predecessors that are ``wanted`` (of their symbol) of a batch in order."""
-        at, lcp = items["at"], items["lcp"].astype(np.uint8)
+        at, lcp = places(items), prefixes(items).astype(np.uint8)
         before = np.where(at > 0, self.text.symbols[at - 1], 0).astype(np.int64)
         chosen = np.flatnonzero((at > 0) & wanted(before, symbol))
+        if not len(chosen):
+            self.least = np.minimum(self.least, int(lcp.min()))
+            return
         order = chosen[np.argsort(before[chosen].astype(np.uint16), kind="stable")]
         to = before[order]
         starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
@@ -250,46 +288,43 @@ class _Pass:
         common[starts] = np.minimum(common[starts], self.least[to[starts]])
         self.least = np.minimum(self.least, int(lcp.min()))
         stops = np.r_[starts[1:], len(to)]
-        for start, stop in zip(starts.tolist(), stops.tolist()):
-            queued = np.empty(stop - start, TUPLE)
-            queued["at"] = at[order[start:stop]] - 1
-            queued["lcp"] = np.minimum(common[start:stop] + 1, self.text.depth)
-            self.queues[to[start]].put(queued)
-            last = order[stop - 1]
-            self.least[to[start]] = int(lcp[last + 1 :].min(initial=self.text.depth))
+        queued = tuples_of(at[order] - 1, np.minimum(common + 1, self.text.depth))
+        # What lies after the last arrival at each queue counts for its next one.
+        after = np.r_[np.minimum.accumulate(lcp[::-1])[::-1], self.text.depth]
+        self.least[to[starts]] = after[order[stops - 1] + 1]
+        for symbol, start, stop in zip(to[starts].tolist(), starts.tolist(), stops.tolist()):
+            self.queues[symbol].put(queued[start:stop])
 
 
 def sorted_suffixes(text: Text) -> Iterator[np.ndarray]:
-    """All suffixes from the largest on, as batches of tuples (at, lcp).
+    """All suffixes from the largest on, as batches of tuples.
 
-    ``lcp`` is the common prefix with the tuple before, that is, the next larger
+    Each has the common prefix with the tuple before, that is, the next larger
     suffix, at most ``text.depth``.
     """
     depth = text.depth
     lower = _Pass(text)
-    larger = [Queue() for _ in range(258)]  # the L suffixes of each symbol, in order
+    larger = [Queue(text.held) for _ in range(258)]  # the L suffixes of each symbol, in order
     # The end of the text is the smallest suffix and induces the last one.
     stars = _by_symbol(text, sorted_stars(text, find_stars(text)))
-    seed = np.array([(text.size, 0)], TUPLE)
-    lower.induce(seed, 0, lambda before, symbol: before >= symbol)
+    lower.induce(np.array([text.size << 6]), 0, lambda before, symbol: before >= symbol)
     star = next(stars, None)
     for symbol in range(257):
         fresh, last = True, -1
         queue = lower.queues[symbol]
         while len(items := queue.take()):
-            items = items.copy()
             if fresh:
-                items["lcp"][0], fresh = 0, False
-            last = int(items["at"][-1])
+                items = np.r_[items[:1] & ~63, items[1:]]
+                fresh = False
+            last = int(items[-1]) >> 6
             larger[symbol].put(items)
             lower.induce(items, symbol, lambda before, symbol: before >= symbol)
         queue.clear()
         while star is not None and star[0] == symbol:
-            items = np.empty(len(star[1]), TUPLE)
-            items["at"] = star[1]
-            items["lcp"] = text.common(np.r_[max(last, 0), star[1][:-1]], star[1])
+            lcp = text.common(np.r_[max(last, 0), star[1][:-1]], star[1])
             if last < 0:
-                items["lcp"][0] = 0
+                lcp[0] = 0
+            items = tuples_of(star[1], lcp)
             last = int(star[1][-1])
             lower.induce(items, symbol, lambda before, symbol: before > symbol)
             star = next(stars, None)
@@ -297,26 +332,21 @@ def sorted_suffixes(text: Text) -> Iterator[np.ndarray]:
     for symbol in range(256, -1, -1):
         queue, last, fresh = upper.queues[symbol], -1, True
         while len(items := queue.take()):
-            items = items.copy()
             if fresh:
-                items["lcp"][0], fresh = 0, False
-            last = int(items["at"][-1])
+                items = np.r_[items[:1] & ~63, items[1:]]
+                fresh = False
+            last = int(items[-1]) >> 6
             upper.induce(items, symbol, lambda before, symbol: before <= symbol)
             yield items
         queue.clear()
-        carried = 0  # of the item that comes next, with the one before it in the queue
+        carried = -1  # common prefix of the item that comes next with the one just seen
         for items in larger[symbol].backwards():
-            items = items.copy()
             # Prefixes with the smaller neighbour become prefixes with the larger one.
-            own = items["lcp"].copy()
-            items["lcp"][1:] = own[:-1]
-            if last >= 0 and carried is not None:
-                head = carried if carried else int(text.common(np.array([last]), items["at"][:1])[0])
-                items["lcp"][0] = head
-            else:
-                items["lcp"][0] = 0
+            at, own = places(items), prefixes(items)
+            if carried < 0:  # the seam to the S suffixes of the symbol, if it has any
+                carried = int(text.common(np.array([last]), at[:1])[0]) if last >= 0 else 0
+            items = tuples_of(at, np.r_[carried, own[:-1]])
             carried = int(own[-1])
-            last = int(items["at"][-1])
             upper.induce(items, symbol, lambda before, symbol: before < symbol)
             yield items
         larger[symbol].clear()

@@ -28,17 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.induced_sorting import Queue, Text, sorted_suffixes
+from trendloom.llm.induced_sorting import Queue, Text, prefixes, sorted_suffixes
+from trendloom.llm.induced_sorting import places as positions
 from trendloom.llm.text import mixed
 from trendloom.session import materialize, scratch_path
 
 LENGTH = 50
 ANCHOR = 20
-#: Bytes of text of a batch, and of slices of a shard, aimed at; both may be larger.
-BATCH_BYTES, SHARD_BYTES = 2 << 20, 16 << 20
+#: Bytes of text for each batch, and for each shard of slices; both may get more.
+BATCH_BYTES, SHARD_BYTES = 2 << 20, 3 << 20
+#: Digests of slices a shard remembers.
+REMEMBERED = 500_000
 
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 OTHER = np.uint64(0xD6E8FEB86659FD93)
@@ -48,7 +52,13 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     """Hashes of the ANCHOR bytes from each place on."""
     n = len(data) - ANCHOR + 1
     words = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,)).copy()
-    return mixed(words[:n] * SPREAD + mixed(words[8 : n + 8] + OTHER) + words[ANCHOR - 8 : n + ANCHOR - 8] * OTHER)
+    found = words[:n] * SPREAD
+    for start, shift in ((8, 29), (ANCHOR - 8, 32)):
+        found ^= found >> np.uint64(shift)
+        found += words[start : start + n]
+        found *= OTHER
+    found ^= found >> np.uint64(31)
+    return found
 
 
 def slices_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -62,15 +72,22 @@ def slices_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...
         step *= 2
     if wanted > step:
         least = np.minimum(least[: len(least) - (wanted - step)], least[wanted - step :])
-    ends = np.cumsum([len(text) for text in texts])
-    starts = np.arange(len(data) - length + 1)
-    text = np.searchsorted(ends, starts, side="right")
-    inside = starts + length <= ends[text]
-    new = inside & np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])]
-    first = np.flatnonzero(new)
-    count = np.add.reduceat(inside, first) if len(first) else np.zeros(0, np.int64)
-    begin = ends - np.array([len(text) for text in texts])
-    return text[first], first - begin[text[first]], count.astype(np.int64), least[first]
+    # A window starts at every byte of a text but the last ones; a run ends with them.
+    sizes = np.array([len(text) for text in texts])
+    begin = np.cumsum(sizes) - sizes
+    windows = np.maximum(sizes - length + 1, 0)
+    inside = np.zeros(len(data) + 1, np.int8)
+    some = np.flatnonzero(windows)
+    inside[begin[some]] += 1
+    inside[begin[some] + windows[some]] -= 1
+    inside = np.cumsum(inside[: len(least)], dtype=np.int8).astype(bool)
+    new = np.r_[True, least[1:] != least[:-1]]
+    new[begin[some]] = True
+    first = np.flatnonzero(new & inside)
+    # Up to the next run, or to the last window of its text.
+    text = np.searchsorted(begin[some], first, side="right") - 1
+    end = np.minimum(np.r_[first[1:], len(least)], (begin[some] + windows[some])[text])
+    return some[text], first - begin[some][text], end - first, least[first]
 
 
 class _Batch:
@@ -133,7 +150,7 @@ def _tabled(docs: DataFrame, batches: int) -> DataFrame:
     name = f"trendloom_{uuid.uuid4().hex}"
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(batches)).cast("int"))
-    rows.repartition(buckets, "batch").write.bucketBy(buckets, "batch").sortBy("batch").option(
+    rows.repartition(buckets, "batch").write.bucketBy(buckets, "batch").sortBy("batch").option("compression", "zstd").option(
         "path", scratch_path(spark, "suffix-batches")
     ).saveAsTable(name)
     return spark.table(name)
@@ -223,28 +240,54 @@ def _by_shard(groups: dict, shards: int) -> dict[int, list]:
 
 
 class _Shard:
-    """Slices of one shard, laid into a file as they arrive."""
+    """Distinct slices of one shard, laid into a file as they arrive.
+
+    Slices that several batches send alike are one string with the smallest owner, as
+    long as its digest is remembered; one that is forgotten is only sorted again.
+    """
 
     def __init__(self, number: int, length: int):
         self.number, self.length = number, length
         self.text = Text(length)
-        self.rows: list[tuple[int, int]] = []  # batch and number of windows
-        self.windows = Queue(np.dtype([("start", "<i8"), ("first", "<i8"), ("owner", "<i8"), ("none", "?")]))
+        self.windows = Queue(self.text.held, np.dtype([("start", "<i8"), ("first", "<i8")]))
+        self.owners: list[tuple] = []  # rank of the smallest owner of each distinct slice
+        self.known: dict[bytes, int] = {}
+        self.rows: list[tuple[int, np.ndarray, list[tuple]]] = []  # batch, its slices, their owners
         self.n_windows = 0
 
     def add(self, batch: int, data: bytes, sizes: np.ndarray, owners: list) -> None:
-        ends = np.cumsum(sizes)
-        symbols = np.zeros(len(data) + len(sizes), np.uint16)
-        symbols[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = np.frombuffer(data, np.uint8).astype(np.uint16) + 1
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        ends = np.cumsum(sizes).tolist()
+        numbers, new, start = [], [], 0
+        ranks = [_rank(owner) for owner in owners]
+        for end, rank in zip(ends, ranks):
+            digest = xxhash.xxh3_128_digest(data[start:end])
+            number = self.known.get(digest)
+            if number is None:
+                number = self.known[digest] = len(self.owners)
+                self.owners.append(rank)
+                new.append((start, end))
+            elif rank < self.owners[number]:
+                self.owners[number] = rank
+            numbers.append(number)
+            start = end
+        self.rows.append((batch, np.array(numbers, np.int64), ranks))
+        self._lay(data, np.array(new, np.int64).reshape(-1, 2))
+
+    def _lay(self, data: bytes, spans: np.ndarray) -> None:
+        sizes = spans[:, 1] - spans[:, 0]
+        n = np.arange(len(sizes))
+        before = np.cumsum(sizes) - sizes
+        places = np.arange(int(sizes.sum())) + np.repeat(spans[:, 0] - before, sizes)
+        symbols = np.zeros(len(places) + len(sizes), np.uint16)
+        symbols[np.arange(len(places)) + np.repeat(n, sizes)] = np.frombuffer(data, np.uint8)[places].astype(np.uint16) + 1
         counts = sizes - self.length + 1
         rows = np.empty(len(sizes), self.windows.dtype)
-        rows["start"] = self.text.size + ends - sizes + np.arange(len(sizes))
+        rows["start"] = self.text.size + before + n
         rows["first"] = self.n_windows + np.cumsum(counts) - counts
-        rows["owner"] = [x if x is not None else 0 for x in owners]
-        rows["none"] = [x is None for x in owners]
         self.windows.put(rows)
         self.text.append(symbols)
-        self.rows.append((batch, int(counts.sum())))
         self.n_windows += int(counts.sum())
 
     def taken(self) -> np.ndarray:
@@ -256,21 +299,19 @@ class _Shard:
         """
         self.text.close()
         slices = self.windows.take(len(self.windows))
-        starts, last = slices["start"], slices["first"] + 0
+        starts, last = slices["start"], slices["first"]
+        self.first = last
         counts = np.diff(np.r_[last, self.n_windows])
-        # Owners by their place among all owners, null last.
-        order = np.lexsort((slices["owner"], slices["none"]))
-        new = np.r_[True, (slices["owner"][order][1:] != slices["owner"][order][:-1]) | (slices["none"][order][1:] != slices["none"][order][:-1])][: len(order)]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        ordered = Queue(np.dtype([("window", "<i8"), ("owner", "<i4"), ("new", "?")]))
-        least = Queue(np.dtype("<i4"))
+        places = {rank: place for place, rank in enumerate(sorted(set(self.owners)))}
+        place = np.array([places[rank] for rank in self.owners], np.int64)
+        ordered = Queue(self.text.held, np.dtype([("window", "<i8"), ("owner", "<i4"), ("new", "?")]))
+        least = Queue(self.text.held, np.dtype("<i4"))
         open_least, any_open, pending = 0, False, False
         for items in sorted_suffixes(self.text):
-            at = items["at"]
+            at = positions(items)
             of = (np.searchsorted(starts, at, side="right") - 1).clip(0)
             offset = at - starts[of]
-            new = items["lcp"] < self.length
+            new = prefixes(items) < self.length
             good = (offset >= 0) & (offset < counts[of])
             # A break before a suffix that is no window still ends the group.
             group = np.cumsum(new)
@@ -311,13 +352,17 @@ class _Shard:
         return result
 
     def answers(self) -> Iterator[tuple[int, bytes]]:
-        """Batch and one bit per window, in the order in which slices came."""
+        """Batch and one bit per window, in the order in which its slices came."""
         if not self.rows:
             return
-        taken, at = self.taken(), 0
-        for batch, n in self.rows:
-            yield batch, np.packbits(taken[at : at + n]).tobytes()
-            at += n
+        taken = self.taken()
+        first = np.r_[self.first, self.n_windows]
+        for batch, numbers, ranks in self.rows:
+            counts = first[numbers + 1] - first[numbers]
+            ends = np.cumsum(counts)
+            at = np.arange(int(counts.sum())) + np.repeat(first[numbers] - (ends - counts), counts)
+            later = np.array([rank > self.owners[number] for rank, number in zip(ranks, numbers.tolist())])
+            yield batch, np.packbits(taken[at] | np.repeat(later, counts)).tobytes()
 
 
 def _taken(queue: Queue) -> Iterator[np.ndarray]:
