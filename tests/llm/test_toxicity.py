@@ -58,7 +58,7 @@ def test_given_documents(spark):
     toxic = [r for r in found if r.toxic]
     # Some labels are wrong: these texts have none of the words that the others share.
     assert sum(r.predicted for r in toxic) > 0.9 * len(toxic)
-    assert sum(r.predicted for r in found if not r.toxic) < 0.005 * len(found)
+    assert sum(r.predicted for r in found if not r.toxic) < 0.01 * len(found)
 
 
 def test_awkward_rows(spark):
