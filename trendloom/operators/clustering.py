@@ -58,10 +58,19 @@ def best_start(
     features: DataFrame, k: int, starts: int = STARTS, seed: int = 0, max_iter: int = 300
 ) -> KMeansModel:
     """One run from the start with the lowest cost out of several seeds."""
-    costs = [fit_kmeans(features, k, seed + i, 0).summary.trainingCost for i in range(starts)]
+    costs = start_costs(features, k, starts, seed)
     return fit_kmeans(features, k, seed + int(np.argmin(costs)), max_iter)
 
 
+def start_costs(features: DataFrame, k: int, starts: int = STARTS, seed: int = 0) -> list[float]:
+    """The cost over all rows of each seed's centres before any step.
+
+    A fit reports the cost of the centres its last step began with, so one step
+    gives the cost of the start; without a step it reports zero.
+    """
+    return [fit_kmeans(features, k, seed + i, 1).summary.trainingCost for i in range(starts)]
+
+
 def assign(features: DataFrame, model: KMeansModel) -> DataFrame:
     """Add the cluster of each row, in place of one that is already there."""
     return model.transform(features.drop("cluster")).withColumnRenamed("prediction", "cluster")
