@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -50,6 +51,32 @@ def test_held_out_accuracy(spark):
     assert all(r.evidence_ids for r in found if r.predicted)
 
 
+def labelled_toxic(texts):
+    """Labelled toxic rows with ids that are not held out, one for each text."""
+    ids = (i for i in range(10_000, 100_000) if zlib.crc32(str(i).encode()) % 5)
+    return [(i, text, 1) for i, text in zip(ids, texts)]
+
+
+def test_copies_take_no_words_away(spark):
+    rows, draw = made_up(spark), random.Random(6)
+    other = [f"copied{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    exact, wordless = " ".join(["vile", *other[:30]]), " ".join(other[30:])
+    near = []
+    for i in range(200):
+        words = [other[j] for j in range(30)] + ["nasty"]
+        words[draw.randrange(30)] = f"edit{chr(97 + i // 26)}{chr(97 + i % 26)}"
+        near.append(" ".join(words))
+    copies = spark.createDataFrame(labelled_toxic([exact] * 150 + [wordless] * 150 + near), rows.schema)
+    all_rows = rows.union(copies)
+    labels = all_rows.filter("doc_id < 900 OR doc_id >= 10000").select("doc_id", "toxic")
+    model = learn(all_rows.select("doc_id", "text"), labels)
+    assert {"vile", "nasty", "foul"} <= set(model.numbers)
+    found = score(all_rows, model).join(all_rows.select("doc_id", "toxic"), "doc_id").collect()
+    held = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(r.predicted == r.toxic for r in held) > 0.98 * len(held)
+    assert all(r.predicted and r.evidence_ids for r in found if r.doc_id >= 10_000)
+
+
 def test_given_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))

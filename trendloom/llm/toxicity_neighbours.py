@@ -9,11 +9,14 @@ passes the k-th similarity found, so its result is exact.
 
 The neighbours vote with weights that fall with their distance.  Votes become
 probabilities by a monotone curve fitted to the examples' own votes, each without
-itself.  The nearest examples are returned as evidence.
+itself.  The nearest examples are returned as evidence.  Copies of a labelled text
+are one example; a text without a term of the vocabulary whose words are those of a
+labelled text has that text's label.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from bisect import bisect_right
@@ -23,11 +26,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.rank_order_language import held_out
-from trendloom.llm.text import byte_slices, texts_of
+from trendloom.llm.text import byte_slices, mixed, texts_of
 from trendloom.operators.sampling import hash_sample
 from trendloom.session import materialize
 
@@ -38,17 +42,14 @@ TERM = re.compile(r"[^\W\d_]+")
 class Settings:
     """Bounds of what is learned from, and the search.
 
-    ``examples``: labelled rows sampled, the smallest hashes of their ids.
-    ``terms``: largest vocabulary; ``chi_square``: least significance in each half;
-    ``least_spread``: least number of different neighbourhoods of a term for each
-    example with it, as copies of one text are no independent examples.
+    ``examples``: labelled texts sampled, the smallest hashes of their digests.
+    ``terms``: largest vocabulary; ``chi_square``: least significance of a term in each half.
     """
 
     examples: int = 20_000
     terms: int = 4096
     chi_square: float = 10.83
     least_documents: int = 3
-    least_spread: float = 0.5
     neighbours: int = 25
     block: int = 64
     evidence: int = 3
@@ -59,106 +60,130 @@ def terms_of(text: str) -> list[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
-    """doc_id, toxic, half, text of the sampled examples; a written table of at most ``examples`` ids.
+    """doc_id, toxic, half, weight, text of the sampled examples; a written table of at most ``examples`` rows.
 
     Held-out ids and null labels teach nothing; a repeated id counts as toxic if one
-    of its labels says so.
+    of its labels says so.  Copies of one text are one example with the smallest of
+    their ids, toxic if at least half of the ids are.  The sample is drawn from texts.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = materialize(hash_sample(materialize(known, "labels"), "doc_id", examples), "label-sample")
-    half = (F.xxhash64("doc_id") % 2 == 0).cast("int")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    # Ids and digests meet, not texts; rows that repeat both are one.
+    rows = docs.select("doc_id", digest).join(known, "doc_id").groupBy("doc_id", "digest").agg(F.max("toxic").alias("toxic"))
+    distinct = rows.groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic")
+    )
+    sample = materialize(hash_sample(materialize(distinct, "labels"), "digest", examples), "label-sample")
+    half = (F.xxhash64("digest") % 2 == 0).cast("int")
     # The sample's size is bounded by the parameter, so it may go to every task.
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    return materialize(found.withColumn("half", half), "labelled-texts")
+    found = docs.select("doc_id", digest, "text").join(F.broadcast(sample), ["doc_id", "digest"])
+    found = found.groupBy("doc_id", "digest", "toxic").agg(F.first("text").alias("text"))
+    texts = materialize(found.withColumn("half", half), "labelled-texts")
+    # Texts of a group of near copies weigh about one together.
+    slots = materialize(sketches(texts).select("digest", F.posexplode("least").alias("slot", "value")), "label-sketches")
+    sizes = slots.groupBy("slot", "value").agg(F.count("*").alias("size"))
+    size = F.sort_array(F.collect_list("size"), asc=False)[1]
+    weights = slots.join(sizes, ["slot", "value"]).groupBy("digest").agg((1.0 / size).alias("weight"))
+    weighted = texts.join(F.broadcast(weights), "digest")
+    return materialize(weighted.select("doc_id", "toxic", "half", "weight", "text"), "label-weights")
 
 
-def term_counts(examples: DataFrame) -> DataFrame:
-    """term and, for each half, the number of examples and of toxic examples that have it."""
+def sketches(texts: DataFrame) -> DataFrame:
+    """digest and least: for each of four hashes the smallest over a text's runs of five terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = [Counter() for _ in range(4)]
         for part in byte_slices(batches, "text"):
-            rows = zip(part.column("half").to_pylist(), part.column("toxic").to_pylist(), texts_of(part))
-            for half, toxic, text in rows:
-                terms = set(terms_of(text))
-                counted[2 * half].update(terms)
-                if toxic:
-                    counted[2 * half + 1].update(terms)
-        terms = sorted(set().union(*counted))
-        for start in range(0, len(terms), 50_000):
-            some = terms[start : start + 50_000]
+            least = []
+            for digest, text in zip(part.column("digest").to_pylist(), texts_of(part)):
+                words = terms_of(text)
+                runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {digest}
+                hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in runs), np.uint64, len(runs))
+                least.append([int((mixed(hashes + np.uint64(seed)) >> np.uint64(1)).min()) for seed in range(4)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some), *(pa.array([c[t] for t in some], pa.int64()) for c in counted)],
-                ["term", "n0", "t0", "n1", "t1"],
+                [part.column("digest"), pa.array(least, pa.list_(pa.int64()))], ["digest", "least"]
             )
 
-    counts = examples.select("half", "toxic", "text").mapInArrow(
-        run, "term string, n0 long, t0 long, n1 long, t1 long"
-    )
-    return counts.groupBy("term").agg(*(F.sum(name).alias(name) for name in ("n0", "t0", "n1", "t1")))
+    return texts.select("digest", "text").mapInArrow(run, "digest string, least array<long>")
+
 
+def term_counts(examples: DataFrame) -> DataFrame:
+    """term and, for each half, the numbers of examples and of toxic examples that have it.
+
+    n and t add the examples' weights, d and u those of the different neighbourhoods of
+    the term in clean and in toxic ones: the words before and after its first use.
+    """
 
-def _chi_square(n: str, t: str, rows: int, toxic: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, "text"):
+            about = (part.column(name).to_pylist() for name in ("half", "toxic", "weight"))
+            for half, toxic, weight, text in zip(*about, texts_of(part)):
+                words, first = terms_of(text), {}
+                for i, word in enumerate(words):
+                    first.setdefault(word, i)
+                around = [
+                    " ".join(words[max(0, i - 1) : i] + ["*"] + words[i + 1 : i + 2]) for i in first.values()
+                ]
+                n = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(first), pa.string()), pa.array([half] * n, pa.int32()), pa.array([toxic] * n, pa.int32()), pa.array([weight] * n, pa.float64()), pa.array(around, pa.string())],
+                    ["term", "half", "toxic", "weight", "around"],
+                )
+
+    found = examples.select("half", "toxic", "weight", "text").mapInArrow(
+        run, "term string, half int, toxic int, weight double, around string"
+    )
+    found = found.groupBy("term", "half", "toxic", F.xxhash64("around").alias("around")).agg(F.sum("weight").alias("rows"), F.max("weight").alias("once"))
+    sums = {}
+    for h in (0, 1):
+        here = F.col("half") == h
+        sums[f"n{h}"] = F.sum(F.when(here, F.col("rows")).otherwise(0))
+        sums[f"t{h}"] = F.sum(F.when(here & (F.col("toxic") == 1), F.col("rows")).otherwise(0))
+        sums[f"d{h}"] = F.sum(F.when(here & (F.col("toxic") == 0), F.col("once")).otherwise(0))
+        sums[f"u{h}"] = F.sum(F.when(here & (F.col("toxic") == 1), F.col("once")).otherwise(0))
+    return found.groupBy("term").agg(*(value.alias(name) for name, value in sums.items()))
+
+
+def _chi_square(n, t, rows: float, toxic: float):
     """Of the 2 x 2 table of having a term and being toxic; signed by the direction."""
-    a, b = F.col(t).cast("double"), (F.col(n) - F.col(t)).cast("double")
-    c, d = F.lit(float(toxic)) - a, F.lit(float(rows - toxic)) - b
+    a, b = t.cast("double"), (n - t).cast("double")
+    c, d = F.lit(toxic) - a, F.lit(rows - toxic) - b
     cross = a * d - b * c
     below = (a + b) * (c + d) * (a + c) * (b + d)
     return F.when(below > 0, F.signum(cross) * rows * cross * cross / below).otherwise(0.0)
 
 
 def vocabulary(examples: DataFrame, settings: Settings) -> dict[str, float]:
-    """The terms that go with the label, or against it, in both halves, with their IDF."""
-    sizes = {row["half"]: row for row in examples.groupBy("half").agg(F.count("*").alias("rows"), F.sum("toxic").alias("toxic")).collect()}
+    """The terms that go with the label, or against it, in both halves, with their IDF.
+
+    A term must also do so if, on the side it goes with, examples in which it has the
+    same neighbours count once: near copies of one text are no independent examples.
+    More of them take nothing from a term that others have too.
+    """
+    sizes = {row["half"]: row for row in examples.groupBy("half").agg(F.sum("weight").alias("rows"), F.sum(F.col("toxic") * F.col("weight")).alias("toxic")).collect()}
     if len(sizes) < 2:
         return {}
-    scores = [_chi_square(f"n{h}", f"t{h}", sizes[h]["rows"], sizes[h]["toxic"]) for h in (0, 1)]
-    found = (
-        term_counts(examples)
-        .withColumns({"s0": scores[0], "s1": scores[1], "df": F.col("n0") + F.col("n1")})
-        .filter(F.col("s0") * F.col("s1") > 0)
-        .filter(F.least(F.abs("s0"), F.abs("s1")) >= settings.chi_square)
-        .filter(F.col("df") >= settings.least_documents)
-        .orderBy(F.desc(F.least(F.abs("s0"), F.abs("s1"))), "term")
-        .limit(settings.terms)
-        .select("term", "df")
-    )
-    frequency = {row["term"]: row["df"] for row in found.collect()}
-    spread = {row["term"]: row["spread"] for row in term_spread(examples, set(frequency)).collect()}
+    scores = {}
+    for h in (0, 1):
+        rows, toxic = sizes[h]["rows"], sizes[h]["toxic"]
+        n, t, d, u = (F.col(f"{name}{h}") for name in "ntdu")
+        scores[f"s{h}"] = _chi_square(n, t, rows, toxic)
+        # Collapsed on the toxic side, and on the clean one.
+        scores[f"up{h}"] = _chi_square(n - t + u, u, rows, toxic)
+        scores[f"down{h}"] = -_chi_square(t + d, t, rows, toxic)
+    strong = lambda a, b: F.least(F.col(a), F.col(b)) >= settings.chi_square
+    df = F.col("n0") + F.col("n1")
+    up = strong("s0", "s1") & strong("up0", "up1") & (df - F.col("t0") - F.col("t1") + F.col("u0") + F.col("u1") >= settings.least_documents)
+    against = F.greatest("s0", "s1") <= -settings.chi_square
+    down = against & strong("down0", "down1") & (F.col("t0") + F.col("t1") + F.col("d0") + F.col("d1") >= settings.least_documents)
+    found = term_counts(examples).withColumns(scores).filter(up | down).orderBy(F.desc(F.least(F.abs("s0"), F.abs("s1"))), "term").limit(settings.terms).select("term", df.alias("df"))
     rows = sum(row["rows"] for row in sizes.values())
-    return {
-        term: math.log((1 + rows) / (1 + df)) + 1
-        for term, df in frequency.items()
-        if spread[term] >= settings.least_spread
-    }
-
-
-def term_spread(examples: DataFrame, terms: set[str]) -> DataFrame:
-    """term and spread: in how many different neighbourhoods it stands for each example that has it.
-
-    An example counts with the words before and after its first use of the term.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, "text"):
-            found = {"term": [], "around": []}
-            for text in texts_of(part):
-                words, seen = terms_of(text), set()
-                for i, word in enumerate(words):
-                    if word in terms and word not in seen:
-                        seen.add(word)
-                        found["term"].append(word)
-                        found["around"].append(" ".join(words[max(0, i - 1) : i] + ["*"] + words[i + 1 : i + 2]))
-            yield pa.RecordBatch.from_pydict(found, pa.schema([("term", pa.string()), ("around", pa.string())]))
+    return {row["term"]: math.log((1 + rows) / (1 + row["df"])) + 1 for row in found.collect()}
 
-    around = examples.select("text").mapInArrow(run, "term string, around string")
-    return around.groupBy("term").agg((F.countDistinct("around") / F.count("*")).alias("spread"))
 
-
-def vector(text: str, numbers: dict[str, int], idf: np.ndarray) -> tuple[tuple[int, ...], tuple[float, ...]]:
+def vector(words: list[str], numbers: dict[str, int], idf: np.ndarray) -> tuple[tuple[int, ...], tuple[float, ...]]:
     """Term numbers, ascending, and unit weights: (1 + ln tf) * idf."""
-    counted = Counter(numbers[term] for term in terms_of(text) if term in numbers)
+    counted = Counter(numbers[term] for term in words if term in numbers)
     if not counted:
         return (), ()
     terms = sorted(counted)
@@ -166,6 +191,11 @@ def vector(text: str, numbers: dict[str, int], idf: np.ndarray) -> tuple[tuple[i
     return tuple(terms), tuple((weights / np.linalg.norm(weights)).tolist())
 
 
+def text_key(words: list[str]) -> bytes | None:
+    """A digest of the sequence of terms; none of a text without terms."""
+    return hashlib.sha256(" ".join(words).encode()).digest() if words else None
+
+
 @dataclass
 class Index:
     """Block-max inverted index over unit vectors of examples."""
@@ -177,10 +207,14 @@ class Index:
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
+    @staticmethod
+    def order(row: tuple[int, int, tuple, tuple]) -> tuple:
+        return row[2][int(np.argmax(row[3]))], row[2], row[3], row[0]
+
     @classmethod
     def build(cls, rows: list[tuple[int, int, tuple, tuple]], n_terms: int, block: int) -> Index:
         """``rows``: id, label, terms, weights.  Examples with the same strongest term lie together."""
-        rows = sorted(rows, key=lambda r: (r[2][int(np.argmax(r[3]))], r[2], r[3], r[0]))
+        rows = sorted(rows, key=cls.order)
         index = cls([r[0] for r in rows], np.array([r[1] for r in rows], float), n_terms, block)
         n_blocks = -(-len(rows) // block)
         where: list[list[int]] = [[] for _ in range(n_terms)]
@@ -254,12 +288,17 @@ class Model:
     none: float
     curve: tuple[list[float], list[float]]
     settings: Settings
+    #: Without a term of the vocabulary, an example's own words are all there is to find.
+    texts: dict[bytes, tuple[float, list[int]]] = field(default_factory=dict)
 
     def score(self, text: str, known: dict) -> tuple[float, list[int], list[float]]:
         """Probability and evidence: ids and similarities of the nearest examples."""
-        terms, weights = vector(text, self.numbers, self.idf)
+        words = terms_of(text)
+        terms, weights = vector(words, self.numbers, self.idf)
         if not terms or self.index is None:
-            return self.none, [], []
+            share, ids = self.texts.get(text_key(words), (self.none, []))
+            ids = ids[: self.settings.evidence]
+            return share, ids, [1.0] * len(ids)
         if (terms, weights) not in known:
             if len(known) > 50_000:
                 known.clear()
@@ -288,44 +327,55 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, "text"):
-            vectors = [vector(text, numbers, idf) for text in texts_of(part)]
+            words = [terms_of(text) for text in texts_of(part)]
+            vectors = [vector(of, numbers, idf) for of in words]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     part.column("toxic"),
                     pa.array([t for t, _ in vectors], pa.list_(pa.int32())),
                     pa.array([w for _, w in vectors], pa.list_(pa.float64())),
+                    pa.array([None if t else text_key(of) for (t, _), of in zip(vectors, words)], pa.binary()),
                 ],
-                ["doc_id", "toxic", "terms", "weights"],
+                ["doc_id", "toxic", "terms", "weights", "key"],
             )
 
     kind = examples.schema["doc_id"].dataType.simpleString()
     vectors = examples.select("doc_id", "toxic", "text").mapInArrow(
-        run, f"doc_id {kind}, toxic int, terms array<int>, weights array<double>"
+        run, f"doc_id {kind}, toxic int, terms array<int>, weights array<double>, key binary"
     )
-    rows = [(r[0], r[1], tuple(r[2]), tuple(r[3])) for r in vectors.collect()]
+    found = vectors.collect()
+    rows = [(r["doc_id"], r["toxic"], tuple(r["terms"]), tuple(r["weights"])) for r in found]
+    same: dict[bytes, list[tuple[int, int]]] = {}
+    for r in found:
+        if r["key"] is not None:
+            same.setdefault(bytes(r["key"]), []).append((r["doc_id"], r["toxic"]))
+    # Drawn to one half by a quarter of an example of either kind: the label stands.
+    texts = {
+        key: ((sum(y for _, y in of) + 0.25) / (len(of) + 0.5), sorted(i for i, _ in of))
+        for key, of in same.items()
+    }
     without = [label for _, label, terms, _ in rows if not terms]
     none = (sum(without) + 1) / (len(without) + 2) if rows else 0.0
     rows = [row for row in rows if row[2]]
     if not rows:
-        return Model(numbers, idf, None, none, ([], []), settings)
+        return Model(numbers, idf, None, none, ([], []), settings, texts)
     index = Index.build(rows, len(numbers), settings.block)
-    place = {row_id: p for p, row_id in enumerate(index.ids)}
     votes, truth = [], []
-    for row_id, label, terms, weights in rows:
+    for place, (_, label, terms, weights) in enumerate(sorted(rows, key=Index.order)):
         places, similarity = index.nearest(terms, weights, settings.neighbours + 1)
-        other = places != place[row_id]
+        other = places != place
         if other.any():
             votes.append(vote(index.toxic[places[other]], similarity[other]))
             truth.append(label)
     curve = monotone_curve(votes, truth) if votes else ([0.0], [none])
-    return Model(numbers, idf, index, none, curve, settings)
+    return Model(numbers, idf, index, none, curve, settings, texts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, evidence_ids and evidence_similarity of each row.
 
-    A null or empty text, and any without a term of the vocabulary, has the
+    A null or empty text, and any without a term of the vocabulary that is no labelled text, has the
     smoothed share of toxic rows among such examples, and no evidence.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
