@@ -77,6 +77,19 @@ def test_copies_take_no_words_away(spark):
     assert all(r.predicted and r.evidence_ids for r in found if r.doc_id >= 10_000)
 
 
+def test_many_words_of_copies_push_none_out(spark):
+    rows, groups = made_up(spark), []
+    for group in "abc":
+        words = [f"{group}q{''.join(chr(97 + i // 26**j % 26) for j in range(3))}" for i in range(2000)]
+        for i in range(130):
+            edit = f"edit{chr(97 + i // 26)}{chr(97 + i % 26)}"
+            groups.append(" ".join([edit if j % 130 == i else word for j, word in enumerate(words)]))
+    all_rows = rows.union(spark.createDataFrame(labelled_toxic(groups), rows.schema))
+    labels = all_rows.filter("doc_id < 900 OR doc_id >= 10000").select("doc_id", "toxic")
+    model = learn(all_rows.select("doc_id", "text"), labels)
+    assert {"vile", "nasty", "foul"} <= set(model.numbers)
+
+
 def test_given_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))

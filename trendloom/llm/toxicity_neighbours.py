@@ -43,11 +43,11 @@ class Settings:
     """Bounds of what is learned from, and the search.
 
     ``examples``: labelled texts sampled, the smallest hashes of their digests.
-    ``terms``: largest vocabulary; ``chi_square``: least significance of a term in each half.
+    ``chi_square``: least significance of a term in each half; the sample bounds the
+    vocabulary.
     """
 
     examples: int = 20_000
-    terms: int = 4096
     chi_square: float = 10.83
     least_documents: int = 3
     neighbours: int = 25
@@ -176,7 +176,7 @@ def vocabulary(examples: DataFrame, settings: Settings) -> dict[str, float]:
     up = strong("s0", "s1") & strong("up0", "up1") & (df - F.col("t0") - F.col("t1") + F.col("u0") + F.col("u1") >= settings.least_documents)
     against = F.greatest("s0", "s1") <= -settings.chi_square
     down = against & strong("down0", "down1") & (F.col("t0") + F.col("t1") + F.col("d0") + F.col("d1") >= settings.least_documents)
-    found = term_counts(examples).withColumns(scores).filter(up | down).orderBy(F.desc(F.least(F.abs("s0"), F.abs("s1"))), "term").limit(settings.terms).select("term", df.alias("df"))
+    found = term_counts(examples).withColumns(scores).filter(up | down).select("term", df.alias("df"))
     rows = sum(row["rows"] for row in sizes.values())
     return {row["term"]: math.log((1 + rows) / (1 + row["df"])) + 1 for row in found.collect()}
 
