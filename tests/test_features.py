@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trendloom.operators import filters, svd, tfidf
 from trendloom.operators.sampling import hash_sample, hash_sample_per_group
 from trendloom.plans import fixtures as fx
+from trendloom.plans.queries import QUERIES
 from trendloom.session import materialize
 
 
@@ -151,3 +152,25 @@ def test_samples_are_the_smallest_hashes(spark):
     assert {r.id for r in got} == want and got[0].asDict().keys() == frame.first().asDict().keys()
     again = hash_sample(frame.repartition(17), "id", 50, seed=3)
     assert again.count() == 50
+
+
+def test_queries_keep_every_component(spark, sf_dir, monkeypatch):
+    asked, real = [], svd.truncated_svd
+
+    def noted(rows, n_terms, n_components=svd.N_COMPONENTS, **settings):
+        asked.append(n_components)
+        return real(rows, n_terms, 5, n_iter=1)
+
+    monkeypatch.setattr(svd, "truncated_svd", noted)
+    for name in ("svd_singular_values", "svd_whiten", "explained_variance"):
+        QUERIES[name](spark, sf_dir)
+    assert asked == [svd.N_COMPONENTS] * 3
+
+
+def test_components_beyond_the_rank_stay_zero(spark):
+    draw = np.random.default_rng(3)
+    data = [(i, list(range(60)), [float(x) for x in draw.random(60)]) for i in range(20)]
+    rows = spark.createDataFrame(data, "id int, term_ids array<int>, weights array<double>")
+    factors = svd.truncated_svd(rows, 60, 50)
+    white = np.array([r.embedding for r in svd.whitened(rows, "id", factors).collect()])
+    assert np.allclose(white.T @ white, np.diag([1.0] * 20 + [0.0] * 30), atol=1e-6)

@@ -212,9 +212,10 @@ def project(
 def whitened(rows: DataFrame, id_column: str, model: SvdModel) -> DataFrame:
     """(id, embedding) with each component divided by its singular value.
 
-    A component whose singular value vanishes stays zero.
+    A component whose singular value vanishes stays zero; singular values are roots, so
+    they are known to half the digits of a double.
     """
-    tiny = model.s.max(initial=0.0) * 1e-10
+    tiny = model.s.max(initial=0.0) * 1e-7
     scale = np.array([1.0 / s if s > tiny else 0.0 for s in model.s])
     return project(rows, id_column, model.v, scale)
 

@@ -36,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SMALL_VOCABULARY = 500
 SMALL_RESERVOIR = 40
 SMALL_SAMPLE = 100
+# The SQL of svd_whiten_gram is the identity of this size.
 COMPONENTS = 32
 K_GRID = (5, 8, 10, 12)
 
@@ -313,20 +314,20 @@ def svd_whiten_gram(spark, sf):
 @query
 def svd_singular_values(spark, sf):
     model, rows = fitted(spark, sf)
-    return svd.truncated_svd(rows, model.n_terms, COMPONENTS).singular_values(spark)
+    return svd.truncated_svd(rows, model.n_terms, svd.N_COMPONENTS).singular_values(spark)
 
 
 @query
 def svd_whiten(spark, sf):
     model, rows = fitted(spark, sf)
-    factors = svd.truncated_svd(rows, model.n_terms, COMPONENTS)
+    factors = svd.truncated_svd(rows, model.n_terms, svd.N_COMPONENTS)
     return components(svd.whitened(rows, "doc_id", factors), "doc_id", vector="embedding")
 
 
 @query
 def explained_variance(spark, sf):
     model, rows = fitted(spark, sf)
-    factors = svd.truncated_svd(rows, model.n_terms, COMPONENTS)
+    factors = svd.truncated_svd(rows, model.n_terms, svd.N_COMPONENTS)
     part = svd.component_variance(svd.project(rows, "doc_id", factors.v)).first()[0]
     whole = tfidf.total_variance(rows, "doc_id", model.n_docs)
     return whole.select(
