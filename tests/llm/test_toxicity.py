@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tests.llm.awkward import ROWS, awkward, empty
 from trendloom.llm.rank_order_language import held_out
-from trendloom.llm.toxicity_neighbours import Index, learn, monotone_curve, score
+from trendloom.llm.toxicity_neighbours import Index, labelled_sample, learn, monotone_curve, score
 
 LABELS = "doc_id long, toxic int, quality int, text string"
 
@@ -90,6 +90,14 @@ def test_many_words_of_copies_push_none_out(spark):
     assert {"vile", "nasty", "foul"} <= set(model.numbers)
 
 
+def test_sample_is_bounded_in_rows(spark):
+    rows = [(1, f"text {i % 50}") for i in range(100)] + [(i, f"other {i}") for i in (2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 200)], "doc_id long, toxic int")
+    found = [r.text for r in labelled_sample(docs, labels, 20).collect()]
+    assert len(found) == len(set(found)) == 20
+
+
 def test_given_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
