@@ -54,4 +54,25 @@ SELECT doc_id, size, t.source_size, t.target,
 FROM summed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES = {"op1_exact_dedup": EXACT_DEDUP, "op6_mix_sources": MIX}
+HARD_NEGATIVES = r"""
+WITH finite AS (SELECT * FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM finite),
+scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    list_dot_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {
+    "op1_exact_dedup": EXACT_DEDUP,
+    "op6_mix_sources": MIX,
+    "op11_hard_negatives": HARD_NEGATIVES,
+}

@@ -11,6 +11,7 @@ import corpus_pipeline
 from trendloom.llm import (
     dart_minhash,
     exact_dedup,
+    hard_negatives,
     pareto_mix,
     rank_order_language,
     repetition,
@@ -90,6 +91,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector gets a wrong label."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select(
+        F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.whole_numbers("embedding").alias("vector")
+    )
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
