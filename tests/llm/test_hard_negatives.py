@@ -30,7 +30,7 @@ def test_tree_is_a_cover_tree(shape):
         if node >= tree.leaves_from:
             leaf = node - tree.leaves_from
             return tree.order[tree.starts[leaf] : tree.ends[leaf]].tolist()
-        return [row for child in tree.children[node].tolist() for row in below(child)]
+        return [row for child in tree.children[node] for row in below(child)]
 
     assert sorted(below(0)) == list(range(len(rows)))
     for node in range(len(tree.centre)):
@@ -50,7 +50,7 @@ def test_search_equals_looking_at_all_rows(shape):
         limits = [(None, None), (edges[0], edges[1]), (edges[1], edges[2])]
         windows = [Best(low, high, 7) for low, high in limits]
         least, most = tree.bounds(query[None, :])
-        best_first(tree, query, least[0], most[0], usable, windows)
+        best_first(tree, query, least[0], most[0], usable[tree.order], windows)
         for window, (low, high) in zip(windows, limits):
             fit = [i for i in np.flatnonzero(usable).tolist() if (low is None or scores[i] >= low) and (high is None or scores[i] <= high)]
             wanted = sorted(((int(scores[i]), i) for i in fit), key=lambda x: (-x[0], x[1]))[:7]

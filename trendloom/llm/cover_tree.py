@@ -22,31 +22,37 @@ import heapq
 
 import numpy as np
 
-LEAF_ROWS = 32
+LEAF_ROWS = 64
 #: Doubles hold whole numbers exactly below this.
 EXACT = 1 << 53
 
 
-def inner_products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Exact products of whole-number rows with queries, as 64-bit integers.
-
-    Raises if one could be beyond 64 bits.
-    """
-    width = max(rows.shape[1], 1)
-    bound = width * int(np.abs(rows).max(initial=0)) * int(np.abs(queries).max(initial=0))
-    if bound < EXACT:
-        return (rows.astype(np.float64) @ queries.T.astype(np.float64)).astype(np.int64)
+def _exact(width: int, a: int, b: int) -> bool:
+    """Whether doubles hold products of vectors with components up to a and b; an error beyond 64 bits."""
+    bound = max(width, 1) * a * b
     if bound >= 1 << 63:
         raise ArithmeticError("inner products beyond 64 bits")
+    return bound < EXACT
+
+
+def inner_products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact products of whole-number rows with queries, as 64-bit integers."""
+    if _exact(rows.shape[1], _largest(rows), _largest(queries)):
+        return (rows.astype(np.float64) @ queries.T.astype(np.float64)).astype(np.int64)
     return rows @ queries.T
 
 
+def _largest(rows: np.ndarray) -> int:
+    return int(np.abs(rows).max(initial=0))
+
+
 class CoverTree:
-    """Rows (n x width, 64-bit integers) under their balls; leaves are runs of ``order``."""
+    """Rows (n x width, 64-bit integers) under their balls; leaves are runs of ``order``, which
+    gives the number of the row at each place."""
 
     def __init__(self, rows: np.ndarray, leaf_rows: int = LEAF_ROWS):
         n = len(rows)
-        self.whole = rows
+        self.whole, self.largest = rows, _largest(rows)
         exact = rows.astype(np.float64)
         squares = (exact * exact).sum(axis=1)
         self.square = float(squares.max(initial=0.0))
@@ -95,7 +101,7 @@ class CoverTree:
             before = {number: start + place for place, number in enumerate(present.tolist())}
             parents = above
         self.leaves_from = len(node_centre) - len(before)
-        self.children = [np.array(x, np.int64) for x in children]
+        self.children = children
         self.centre = np.array(node_centre, np.int64)
         self.radius = np.array(node_radius)
         self.centres = self.whole[centres]
@@ -103,6 +109,8 @@ class CoverTree:
         sizes = np.bincount(leaf, minlength=len(centres))[self.centre[self.leaves_from :]]
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
+        self.whole = self.whole[self.order]
+        self.doubles = self.whole.astype(np.float64)
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest inner product that any row below a node can have, per query and node."""
@@ -146,24 +154,19 @@ class Best:
     """The best (score, earliest row) of one window of scores, at most ``most``."""
 
     def __init__(self, low: int | None, high: int | None, most: int):
-        self.low, self.high, self.most = low, high, most
+        self.low, self.high, self.most = (-np.inf if low is None else low), (np.inf if high is None else high), most
         self.heap: list[tuple[int, int]] = []  # the worst first: score, minus the row's number
-
-    def wanted(self) -> float:
-        """No score below this is of use."""
-        least = -np.inf if self.low is None else self.low
-        return max(least, self.heap[0][0]) if len(self.heap) == self.most else least
-
-    def add(self, scores: np.ndarray, rows: np.ndarray) -> None:
-        some = scores >= self.wanted()
-        if self.high is not None:
-            some &= scores <= self.high
-        for score, row in zip(scores[some].tolist(), rows[some].tolist()):
-            item = (score, -row)
-            if len(self.heap) < self.most:
-                heapq.heappush(self.heap, item)
-            elif item > self.heap[0]:
-                heapq.heapreplace(self.heap, item)
+        #: No score below this is of use.
+        self.floor = self.low
+
+    def add(self, score: int, row: int) -> None:
+        item = (score, -row)
+        if len(self.heap) < self.most:
+            heapq.heappush(self.heap, item)
+        elif item > self.heap[0]:
+            heapq.heapreplace(self.heap, item)
+        if len(self.heap) == self.most:
+            self.floor = max(self.low, self.heap[0][0])
 
     def found(self) -> list[tuple[int, int]]:
         """(score, row), best first."""
@@ -175,34 +178,42 @@ def best_first(
 ) -> int:
     """Fill the windows with the query's best ``usable`` rows; the number of rows looked at.
 
-    Nodes come in the order of their upper bounds.  One is left out if for every window
-    it lies outside, or cannot reach what the window already has.  An equal score can
-    still win by its row's number, so only smaller bounds are left out.
+    ``usable`` is in the tree's order of rows.  Nodes come in the order of their upper
+    bounds.  One is left out if for every window it lies outside, or cannot reach what
+    the window already has.  An equal score can still win by its row's number, so only
+    smaller bounds are left out.
     """
     if not windows or not len(tree.order):
         return 0
-    queue = [(-most[0], 0)]
-    looked = 0
-    highs = [np.inf if w.high is None else w.high for w in windows]
+    exact = _exact(len(query), tree.largest, _largest(query))
+    whole, query = (tree.doubles, query.astype(np.float64)) if exact else (tree.whole, query)
+    least, most = least.tolist(), most.tolist()
+    queue, looked = [(-most[0], 0)], 0
     while queue:
         bound, node = heapq.heappop(queue)
-        floors = [w.wanted() for w in windows]
-        if -bound < min(floors):
+        if -bound < min([w.floor for w in windows]):
             break  # so are all that follow
-        if not any(-bound >= floor and least[node] <= high for floor, high in zip(floors, highs)):
+        if not _reaches(windows, -bound, least[node]):
             continue
         if node >= tree.leaves_from:
             leaf = node - tree.leaves_from
-            rows = tree.order[tree.starts[leaf] : tree.ends[leaf]]
-            rows = rows[usable[rows]]
-            if len(rows):
-                looked += len(rows)
-                scores = inner_products(tree.whole[rows], query[None, :])[:, 0]
+            part = slice(tree.starts[leaf], tree.ends[leaf])
+            scores = whole[part] @ query
+            looked += len(scores)
+            some = np.flatnonzero(usable[part] & (scores >= min([w.floor for w in windows])))
+            for score, row in zip(scores[some].tolist(), tree.order[part][some].tolist()):
                 for window in windows:
-                    window.add(scores, rows)
+                    if window.floor <= score <= window.high:
+                        window.add(int(score), row)
             continue
-        below = tree.children[node]
-        for child, upper, lower in zip(below.tolist(), most[below].tolist(), least[below].tolist()):
-            if any(upper >= floor and lower <= high for floor, high in zip(floors, highs)):
-                heapq.heappush(queue, (-upper, child))
+        for child in tree.children[node]:
+            if _reaches(windows, most[child], least[child]):
+                heapq.heappush(queue, (-most[child], child))
     return looked
+
+
+def _reaches(windows: list[Best], upper: float, lower: float) -> bool:
+    for window in windows:
+        if upper >= window.floor and lower <= window.high:
+            return True
+    return False

@@ -67,9 +67,8 @@ class _Shard:
     def close(self) -> None:
         table = pa.Table.from_batches(self.parts).combine_chunks()
         self.ids = table.column("id").combine_chunks()
-        self.rows = table.column("row").to_numpy()
-        self.labels = table.column("label").to_numpy()
         self.tree = CoverTree(_matrix(table.column("vector").combine_chunks(), self.width))
+        self.rows, self.labels = (table.column(name).to_numpy()[self.tree.order] for name in ("row", "label"))
 
     def answers(self, queries: pa.RecordBatch, same: bool, k: int) -> Iterator[tuple]:
         """(anchor, place, row in the shard, score) of a batch of queries."""
@@ -83,7 +82,7 @@ class _Shard:
                 windows = [Best(None, None, k)]
             else:
                 windows = [Best(a, b, k) for a, b in zip(lows, queries.column("high")[i].as_py())]
-            open_windows = [w for w in windows if w.low is None or w.low <= w.high]
+            open_windows = [w for w in windows if w.low <= w.high]
             best_first(self.tree, vectors[i], least[i], most[i], usable, open_windows)
             for place, window in enumerate(windows):
                 for score, row in window.found():

@@ -56,9 +56,9 @@ FROM summed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 
 HARD_NEGATIVES = r"""
 WITH finite AS (SELECT * FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-  list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM finite),
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM finite),
 scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
     list_dot_product(a.e, c.e)::BIGINT AS score
   FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
