@@ -71,8 +71,29 @@ ranked AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positiv
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
 """
 
+RANKED_SEARCH = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+wanted AS (SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, corpus GROUP BY term),
+impacts AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)) AS impact
+  FROM counts JOIN lengths USING (doc_id), corpus),
+scores AS (SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLES = {
     "op1_exact_dedup": EXACT_DEDUP,
     "op6_mix_sources": MIX,
     "op11_hard_negatives": HARD_NEGATIVES,
+    "op13_ranked_search": RANKED_SEARCH,
 }
