@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from trendloom.llm import credential_links as links
+
 EXACT_DEDUP = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content
   FROM documents)
@@ -91,9 +93,57 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 FROM scores WHERE score > 0 QUALIFY rank <= 10
 """
 
+
+
+def _secret_scan() -> str:
+    """Spans of every kind by running sums of pieces, parts compared with all parts of their text."""
+    kinds = {**links.BASE, **links.WEAK, "break": (links.BREAK, 0, 0)}
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, string_split_regex(text, p) AS gaps, regexp_extract_all(text, p) AS matches,"
+        f" regexp_extract_all(text, p, {group}) AS vals, {least} AS least"
+        f" FROM t, (SELECT '{pattern.replace(chr(39), chr(39) * 2)}' AS p)"
+        for kind, (pattern, group, least) in kinds.items()
+    )
+    random_looking = " AND ".join(f"regexp_matches(value, '{form}')" for form in links.RANDOM)
+    places = " ".join(f"WHEN '{kind}' THEN {place}" for place, kind in enumerate(links.KINDS))
+    roles = " ".join(f"WHEN '{kind}' THEN '{role}'" for kind, role in links.ROLES.items())
+    needs = " OR ".join(
+        f"p.kind = '{kind}' AND " + " AND ".join(
+            "EXISTS (SELECT 1 FROM parts o WHERE o.doc_id IS NOT DISTINCT FROM p.doc_id AND o.scope = p.scope"
+            f" AND o.role = '{role}' AND abs(o.s - p.s) <= {links.REACH})"
+            for role in needed
+        )
+        for kind, needed in links.NEEDS.items()
+    )
+    base = ", ".join(f"'{kind}'" for kind in links.BASE)
+    span = "kind || ':' || s || ':' || e"
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in links.BASE)
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+pieces AS (SELECT doc_id, kind, least, unnest(range(1, len(matches) + 1)) AS i, unnest(gaps[:len(matches)]) AS gap,
+  unnest(matches) AS m, unnest(vals) AS value FROM found WHERE len(matches) > 0),
+placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS e FROM pieces),
+spans AS (SELECT doc_id, kind, e - length(m) AS s, e FROM placed
+  WHERE length(value) >= least AND (kind <> 'secret' OR {random_looking})),
+parts AS (SELECT s.*, CASE kind {roles} END AS role, CASE kind {places} END AS place,
+    (SELECT count(*) FROM spans b WHERE b.kind = 'break' AND b.doc_id IS NOT DISTINCT FROM s.doc_id AND b.s < s.s) AS scope
+  FROM spans s WHERE kind IN ({base}) OR kind <> 'break' AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.kind IN ({base})
+    AND b.doc_id IS NOT DISTINCT FROM s.doc_id AND b.s < s.e AND s.s < b.e)),
+reported AS (SELECT * FROM parts p WHERE kind IN ({base}) OR {needs}),
+listed AS (SELECT doc_id, {counts},
+    string_agg({span}, ',' ORDER BY s, place) FILTER (kind IN ({base})) AS base,
+    string_agg({span}, ',' ORDER BY s, place) AS spans FROM reported GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN listed l ON t.doc_id IS NOT DISTINCT FROM l.doc_id
+"""
+
+
 ORACLES = {
     "op1_exact_dedup": EXACT_DEDUP,
     "op6_mix_sources": MIX,
     "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_secret_scan": _secret_scan(),
     "op13_ranked_search": RANKED_SEARCH,
 }

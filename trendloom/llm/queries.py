@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trendloom.llm import (
+    credential_links,
     dart_minhash,
     exact_dedup,
     hard_negatives,
@@ -103,6 +104,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
 
 
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_links.digests(credential_links.credentials(documents(spark, sf_dir)))
+
+
 @query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
