@@ -174,3 +174,22 @@ def test_components_beyond_the_rank_stay_zero(spark):
     factors = svd.truncated_svd(rows, 60, 50)
     white = np.array([r.embedding for r in svd.whitened(rows, "id", factors).collect()])
     assert np.allclose(white.T @ white, np.diag([1.0] * 20 + [0.0] * 30), atol=1e-6)
+
+
+def test_vocabularies_too_large_to_send_give_the_same_rows(spark, fitted, dense, monkeypatch):
+    model, rows = fitted
+    monkeypatch.setattr(tfidf, "SENT_TERMS", 20)
+    assert 0 < model.table.filter(F.col("df") >= model._least_df(20)).count() <= 20
+    docs = spark.createDataFrame([("x", "qqqq zzzz"), ("y", None), ("x", "qqqq")], "id string, text string")
+    corpus = filters.drop_short_texts(fx.corpus(spark, "/root/testdata/sf0.001")).select("id", "text")
+    again = model.transform(corpus.unionByName(docs), "id", "text").collect()
+    assert sorted(r.id for r in again if not r.term_ids and r.id in "xy") == ["x", "x", "y"]
+    want = {r.id: (r.term_ids, r.weights) for r in rows.collect()}
+    assert {r.id: (r.term_ids, r.weights) for r in again if r.id not in "xy"} == want
+
+
+def test_small_vocabularies_are_sent(spark, fitted, capsys):
+    model, _ = fitted
+    model.transform(spark.createDataFrame([("x", "a b")], "id string, text string"), "id", "text").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

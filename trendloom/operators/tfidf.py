@@ -2,8 +2,8 @@
 
 Term counts stay inside the document's row (sorted n-grams, run lengths), so
 counting does not shuffle the corpus.  A fit shuffles the vocabulary aggregation,
-which combines on the map side; weights come from a join on the term, which Spark
-broadcasts while the vocabulary is small, and are put together again by document.
+which combines on the map side; weights come from a join on the term, whose frequent
+terms are sent to the tasks, and are put together again by document.
 """
 
 from __future__ import annotations
@@ -19,6 +19,11 @@ from trendloom.session import materialize
 
 MIN_DF = 5
 MAX_DF = 0.80
+# A vocabulary, or its frequent part, is sent to the tasks while it has at most so many
+# terms: some ten megabytes.
+SENT_TERMS = 200_000
+# Stands for the document itself among its terms; no tokenizer makes an empty one.
+NO_TERM = ""
 
 
 @dataclass(frozen=True)
@@ -197,20 +202,56 @@ class TfidfModel:
     def weighted(self, counted: DataFrame, id_column: str) -> DataFrame:
         """The same from counted documents (id, tf)."""
         keyed = counted.withColumn("_row", F.monotonically_increasing_id())
-        counts = keyed.select(id_column, "_row", F.inline_outer("tf"))
-        found = counts.join(self.table.select("term", "term_id", "idf"), "term", "left")
-        entry = F.struct("term_id", (sublinear(F.col("tf")) * F.col("idf")).alias("w"))
-        known = F.when(F.col("term_id").isNotNull(), entry)
+        itself = F.array(F.struct(F.lit(NO_TERM).alias("term"), F.lit(0).alias("tf")))
+        counts = keyed.select(id_column, "_row", F.inline(F.concat(itself, "tf")))
+        found = self._known(counts).withColumn("_w", sublinear(F.col("tf")) * F.col("idf"))
+        entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", F.col("_w").alias("w")))
         rows = found.groupBy("_row").agg(
-            F.first(id_column).alias(id_column), F.array_sort(F.collect_list(known)).alias("_e")
+            F.first(id_column).alias(id_column), F.sort_array(F.collect_list(entry)).alias("_e")
         )
         norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda total, e: total + e.w * e.w))
-        return rows.withColumn("_norm", norm).select(
-            id_column,
-            F.col("_e.term_id").alias("term_ids"),
-            F.transform("_e", lambda e: e.w / F.col("_norm")).alias("weights"),
+        # As an array of one, the norm is made once and not for every entry.
+        scaled = F.transform(F.array(norm), lambda n: F.transform("_e", lambda e: e.w / n))
+        return rows.select(
+            id_column, F.col("_e.term_id").alias("term_ids"), F.get(scaled, F.lit(0)).alias("weights")
         )
 
+    def _known(self, counts: DataFrame) -> DataFrame:
+        """Counts with (term_id, idf): those of known terms, and of the documents themselves.
+
+        Terms outside the vocabulary go before anything is shuffled, as long as the
+        vocabulary can be sent.  Of a larger one the most frequent terms are sent, so
+        that none of those that most documents have is a key of the shuffle.
+        """
+        table = self.table.select("term", "term_id", "idf")
+        kept = F.col("term_id").isNotNull() | (F.col("term") == NO_TERM)
+        if self.n_terms <= SENT_TERMS:
+            return counts.join(F.broadcast(table), "term", "left").filter(kept)
+        least = self._least_df(SENT_TERMS)
+        frequent = self.table.filter(F.col("df") >= least).select("term", "term_id", "idf")
+        sent = F.broadcast(frequent.withColumnsRenamed({"term_id": "_id", "idf": "_idf"}))
+        met = counts.join(sent, "term", "left")
+        done = F.col("_id").isNotNull() | (F.col("term") == NO_TERM)
+        # What is done needs no partner: it is spread over keys that no term has.
+        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("_row", "term"), F.lit(1 << 20)).cast("string"))
+        met = met.withColumn("_key", F.when(done, spread).otherwise(F.col("term")))
+        rest = table.withColumnRenamed("term", "_key")
+        found = met.join(rest, "_key", "left").drop("_key")
+        found = found.withColumns({"term_id": F.coalesce("term_id", "_id"), "idf": F.coalesce("idf", "_idf")})
+        return found.drop("_id", "_idf").filter(kept)
+
+    def _least_df(self, most: int) -> int:
+        """The least document frequency that at most ``most`` terms reach, up to a factor of two."""
+        binary = F.floor(F.log2("df")).cast("int").alias("size")
+        sizes = sorted(self.table.groupBy(binary).count().collect(), reverse=True)
+        least = 1 << 62
+        for size, count in sizes:
+            most -= count
+            if most < 0:
+                break
+            least = 1 << size
+        return least
+
 
 def numbered(vocabulary: DataFrame) -> DataFrame:
     """Number terms in alphabetical order, by ranges: (term, term_id, df, cf, idf).

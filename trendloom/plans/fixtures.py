@@ -43,8 +43,18 @@ FROM {part}
 # Of the rows above, some without any.
 CATEGORIES = """CASE WHEN cast(id AS int) % 7 = 0 THEN NULL ELSE concat('cs.LG math.', id) END"""
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """The same rows; those of fewer files than there are cores are dealt out to all cores.
+
+    A file with one row group is read by one task, however large it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
