@@ -1,9 +1,12 @@
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_cleaning import column
 from trendloom.functions import labels
-from trendloom.operators import categories, phrases, trends
+from trendloom.operators import categories, phrases, tfidf, trends
 
 
 def test_codes(spark):
@@ -148,3 +151,20 @@ def test_chart_series_without_labels(spark):
     assert [(r.rank, r.label, r.update_year) for r in lines] == [
         (1, "1: 1", year) for year in (2010, 2015, 2019, 2020)
     ]
+
+
+def test_texts_of_one_id_are_vectorised_by_themselves(spark):
+    texts = ["alpha beta gamma", "alpha beta delta", "gamma delta alpha beta", "delta gamma gamma"]
+    counts = [Counter([f"{a} {b}" for a, b in zip(t.split(), t.split()[1:])]) for t in texts]
+    df = Counter(term for c in counts for term in c)
+    want = Counter()
+    for c in counts:
+        w = {term: (1 + math.log(n)) * (math.log(5 / (1 + df[term])) + 1) for term, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        for term, x in w.items():
+            want[term] += x / norm / 4
+    two_words = tfidf.Analyzer(strip_accents=False, word_tokens=True, stop_words=(), shortest=2, longest=2)
+    for ids in ("abcd", "aabb", "aaaa", [None] * 4):
+        docs = spark.createDataFrame([(0, i, t) for i, t in zip(ids, texts)], "cluster int, id string, text string")
+        got = phrases.phrase_weights(docs, two_words, min_df=1, max_df=1.0).collect()
+        assert {r.term: r.weight for r in got} == pytest.approx(dict(want))

@@ -73,3 +73,13 @@ def _products(matrix: np.ndarray):
             yield pd.Series(list(stacked(batch, matrix.shape[1]) @ matrix.T))
 
     return multiply
+
+
+def k_best(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k smallest finite entries of each row, ties by column."""
+    last = min(k, distance.shape[1]) - 1
+    limit = np.partition(distance, last, axis=1)[:, last][:, None]
+    nearer = distance < limit
+    tied = (distance == limit) & np.isfinite(distance)
+    room = last + 1 - nearer.sum(axis=1, keepdims=True)
+    return np.nonzero(nearer | (tied & (np.cumsum(tied, axis=1) <= room)))

@@ -13,18 +13,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.vectors import normalize_rows, stacked
-from trendloom.operators import svd
+from trendloom.functions.vectors import k_best, normalize_rows, stacked
+from trendloom.operators import cells, svd
+from trendloom.operators.cells import NEIGHBORS, SLICE_ROWS
 from trendloom.operators.sampling import hash_sample
 from trendloom.session import materialize
 
 SAMPLE_ROWS = 200_000
-NEIGHBORS = 30
+# Up to here every row meets every other one; beyond, neighbours come from near cells.
+EXACT_ROWS = 50_000
 LEGEND_TOP = 12
 PALETTE = 20
 # Rows per block: two blocks and a slice of their products fit in any task.
 BLOCK_ROWS = 8192
-SLICE_ROWS = 512
 INDEX_BUCKETS = 256
 
 
@@ -69,7 +70,7 @@ def _nearest_in_block(k: int):
                 ids = part["id"].to_numpy()
                 distance = np.round(1.0 - stacked(part["v"], 0) @ others.T, 9)
                 distance[ids[:, None] == other_ids[None, :]] = np.inf
-                row, column = _k_best(distance, k)
+                row, column = k_best(distance, k)
                 found.append(
                     pd.DataFrame(
                         {
@@ -86,16 +87,6 @@ def _nearest_in_block(k: int):
     return nearest
 
 
-def _k_best(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k smallest finite entries of each row, ties by column."""
-    last = min(k, distance.shape[1]) - 1
-    limit = np.partition(distance, last, axis=1)[:, last][:, None]
-    nearer = distance < limit
-    tied = (distance == limit) & np.isfinite(distance)
-    room = last + 1 - nearer.sum(axis=1, keepdims=True)
-    return np.nonzero(nearer | (tied & (np.cumsum(tied, axis=1) <= room)))
-
-
 def _memberships(distances: np.ndarray, target: float) -> np.ndarray:
     """Membership of each neighbour: exp(-(d - rho) / sigma), rows sum to ``target``.
 
@@ -239,7 +230,11 @@ def topic_map(
     """(id, x, y, cluster, label, color) for a uniform sample of ``docs``."""
     sample = hash_sample(docs.select(id_column, vector, "cluster"), id_column, sample_rows, seed)
     sample = materialize(sample.withColumnRenamed(id_column, "id"), "map-sample")
-    graph = fuzzy_graph(nearest_neighbors(sample, "id", vector, k), k)
+    if sample.count() <= EXACT_ROWS:
+        near = nearest_neighbors(sample, "id", vector, k)
+    else:
+        near = cells.neighbors_by_cells(sample, "id", vector, k, seed=seed)
+    graph = fuzzy_graph(near, k)
     layout = spectral_layout(materialize(graph, "fuzzy-graph"), seed)
     table = sample.select("id", "cluster").join(layout, "id", "left")
     table = table.join(cluster_colors(docs), "cluster", "left")

@@ -189,6 +189,11 @@ NEAREST = """near AS (
       list_sum(list_transform(list_zip(v, center), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
     FROM vectors, centers)
   GROUP BY vec_id, v)"""
+CELLS = f"""ranked AS (
+  SELECT vec_id, u, cell, row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) AS rank FROM (
+    SELECT vec_id, u, centers.cluster AS cell,
+      {r9('list_dot_product(center, center) - 2 * list_dot_product(u, center)')} AS d
+    FROM unit_rows, centers))"""
 CENTROIDS = """centroids AS (
   SELECT cluster, component, avg(value) AS value, count(*) AS n FROM unit
   GROUP BY cluster, component)"""
@@ -256,25 +261,35 @@ code_labels AS (
 LABELLED = f"{NAMES}, {CODE_COUNTS}, {TOP_CODES}, {CODE_LABELS}"
 
 PHRASE_TOKENS = without(word_tokens("text"), ENGLISH_STOP_WORDS)
-PHRASES = f"""
-WITH {CORPUS}, {LONG_TEXTS},
+# Four texts share an id, which has one cluster; some have none.
+SHARED_IDS = f"""fx_base AS ({fx.oracle_view(fx.CORPUS)}),
+fx_shared AS (SELECT CASE WHEN doc_id % 29 = 0 THEN NULL ELSE concat('s', doc_id // 4) END AS id,
+  doc_id, text, cluster FROM fx_base),
+fx_corpus AS (SELECT id, text, l.cluster FROM fx_shared JOIN (
+  SELECT id, arg_max(cluster, doc_id) AS cluster FROM fx_shared GROUP BY id) l USING (id))"""
+
+
+def phrases(corpus: str) -> str:
+    """Key phrases; every line is vectorised by itself, whatever its id."""
+    return f"""
+WITH {corpus}, {LONG_TEXTS},
 docs AS (
-  SELECT * FROM long_texts
+  SELECT *, row_number() OVER () AS line FROM long_texts
   QUALIFY row_number() OVER (PARTITION BY cluster, text ORDER BY id) = 1),
 sizes AS (SELECT cluster, count(*) AS n FROM docs GROUP BY cluster),
 counts AS (
-  SELECT cluster, id, term, count(*) AS tf FROM (
-    SELECT cluster, id, unnest(list_concat({PAIRS}, {TRIPLES})) AS term
-    FROM (SELECT cluster, id, {PHRASE_TOKENS} AS toks FROM docs))
-  GROUP BY cluster, id, term),
+  SELECT cluster, line, term, count(*) AS tf FROM (
+    SELECT cluster, line, unnest(list_concat({PAIRS}, {TRIPLES})) AS term
+    FROM (SELECT cluster, line, {PHRASE_TOKENS} AS toks FROM docs))
+  GROUP BY cluster, line, term),
 vocab AS (
   SELECT cluster, term, n, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf
   FROM (SELECT cluster, term, count(*) AS df, sum(tf) AS cf FROM counts GROUP BY cluster, term)
   JOIN sizes USING (cluster)
   WHERE df >= 5 AND df <= 0.5 * n),
 weighted AS (
-  SELECT cluster, id, term, n, w / sqrt(sum(w * w) OVER (PARTITION BY cluster, id)) AS weight
-  FROM (SELECT cluster, id, term, n, (1.0 + ln(tf)) * idf AS w
+  SELECT cluster, term, n, w / sqrt(sum(w * w) OVER (PARTITION BY line)) AS weight
+  FROM (SELECT cluster, line, term, n, (1.0 + ln(tf)) * idf AS w
         FROM counts JOIN vocab USING (cluster, term))),
 means AS (
   SELECT cluster, term, {r9('sum(weight) / max(n)')} AS weight FROM weighted
@@ -480,7 +495,8 @@ def oracles() -> dict[str, str]:
               ORDER BY md5(id || '#' || sha256(text) || '#0')) <= {SMALL_RESERVOIR}""",
         "dedup_per_cluster": f"""{corpus} SELECT id, cluster FROM fx_corpus
             QUALIFY row_number() OVER (PARTITION BY cluster, text ORDER BY id) = 1""",
-        "cluster_phrases": PHRASES,
+        "cluster_phrases": phrases(CORPUS),
+        "cluster_phrases_shared_ids": phrases(SHARED_IDS),
         "extract_codes": f"""{corpus} SELECT id, array_to_string({CODES}, '|') AS codes,
             cast(len({CODES}) AS int) AS n_codes FROM fx_corpus""",
         "category_counts": f"{corpus}, {CODE_COUNTS} SELECT * FROM code_counts",
@@ -527,4 +543,22 @@ def oracles() -> dict[str, str]:
                 PARTITION BY vec_id ORDER BY d, neighbor) AS place FROM pairs)
             SELECT vec_id, neighbor, {r6('d')} AS distance, cast(place AS int) AS place
             FROM placed WHERE place <= 30""",
+        "knn_cosine_cells": f"""WITH {LONG}, {CENTERS}, {CELLS}, pairs AS (
+              SELECT a.vec_id, b.vec_id AS neighbor,
+                greatest({r9('1.0 - list_dot_product(a.u, b.u)')}, 0.0) AS d
+              FROM ranked a JOIN ranked b ON a.cell = b.cell AND a.vec_id <> b.vec_id
+              WHERE a.rank <= 4 AND b.rank = 1),
+            placed AS (SELECT *, row_number() OVER (
+                PARTITION BY vec_id ORDER BY d, neighbor) AS place FROM pairs)
+            SELECT vec_id, neighbor, {r6('d')} AS distance, cast(place AS int) AS place
+            FROM placed WHERE place <= 30""",
+        "knn_cell_recall": f"""WITH {LONG}, {CENTERS}, {CELLS}, pairs AS (
+              SELECT a.vec_id, b.vec_id AS neighbor, {r9('1.0 - list_dot_product(a.u, b.u)')} AS d
+              FROM unit_rows a JOIN unit_rows b ON a.vec_id <> b.vec_id),
+            near AS (SELECT * FROM pairs
+              QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor) <= 30),
+            met AS (SELECT a.rank FROM near n JOIN ranked b ON b.vec_id = n.neighbor AND b.rank = 1
+              JOIN ranked a ON a.vec_id = n.vec_id AND a.cell = b.cell)
+            SELECT cast(p AS int) AS probes, {r6('count(rank) FILTER (rank <= p) / count(rank)')} AS recall
+            FROM met, (SELECT DISTINCT rank AS p FROM ranked) GROUP BY p""",
     }

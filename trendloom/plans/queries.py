@@ -12,6 +12,7 @@ from trendloom.functions import cleaning, labels, tokens
 from trendloom.functions.vectors import normalize_rows
 from trendloom.operators import (
     categories,
+    cells,
     clustering,
     filters,
     phrases,
@@ -585,6 +586,14 @@ def cluster_phrases(spark, sf):
     return phrases.cluster_phrases(docs, docs, order="doc_id")
 
 
+@query
+def cluster_phrases_shared_ids(spark, sf):
+    """Four texts share an id, some have none."""
+    shared = F.concat(F.lit("s"), F.floor(F.col("doc_id") / 4).cast("string"))
+    docs = fx.corpus(spark, sf).withColumn("id", F.when(F.col("doc_id") % 29 != 0, shared))
+    return phrases.cluster_phrases(docs, docs, order="doc_id")
+
+
 @query
 def extract_codes(spark, sf):
     coded = categories.with_codes(fx.corpus(spark, sf))
@@ -701,6 +710,26 @@ def knn_cosine(spark, sf):
     )
 
 
+@query
+def knn_cosine_cells(spark, sf):
+    """The label centres are the cells."""
+    vectors = fx.embeddings(spark, sf)
+    near = cells.nearest_in_cells(vectors, "vec_id", "embedding", label_centers(vectors))
+    return near.select(
+        F.col("id").alias("vec_id"), "neighbor", r6("distance").alias("distance"), "place"
+    )
+
+
+@query
+def knn_cell_recall(spark, sf):
+    """How many of the cells hold which share of the true neighbours of all rows."""
+    vectors = fx.embeddings(spark, sf)
+    recalls = cells.recall_by_probes(
+        vectors, "vec_id", "embedding", label_centers(vectors), rows=vectors.count()
+    )
+    return recalls.select("probes", r6("recall").alias("recall"))
+
+
 @query
 def knn_fuzzy_graph(spark, sf):
     near = topic_map.nearest_neighbors(fx.embeddings(spark, sf), "vec_id", "embedding")
