@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trendloom.operators import filters, svd, tfidf
+from trendloom.operators import block_svd, filters, svd, tfidf
 from trendloom.operators.sampling import hash_sample, hash_sample_per_group
 from trendloom.plans import fixtures as fx
 from trendloom.plans.queries import QUERIES
@@ -157,11 +157,11 @@ def test_samples_are_the_smallest_hashes(spark):
 def test_queries_keep_every_component(spark, sf_dir, monkeypatch):
     asked, real = [], svd.truncated_svd
 
-    def noted(rows, n_terms, n_components=svd.N_COMPONENTS, **settings):
+    def noted(rows, id_column, n_terms, n_components=svd.N_COMPONENTS, **settings):
         asked.append(n_components)
         return real(rows, n_terms, 5, n_iter=1)
 
-    monkeypatch.setattr(svd, "truncated_svd", noted)
+    monkeypatch.setattr(block_svd, "decompose", noted)
     for name in ("svd_singular_values", "svd_whiten", "explained_variance"):
         QUERIES[name](spark, sf_dir)
     assert asked == [svd.N_COMPONENTS] * 3

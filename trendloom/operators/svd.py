@@ -43,6 +43,10 @@ class SvdModel:
     def n_components(self) -> int:
         return len(self.s)
 
+    def project(self, rows: DataFrame, id_column: str, scale: np.ndarray | None = None) -> DataFrame:
+        """(id, embedding): the rows times the vectors, each component times ``scale``."""
+        return project(rows, id_column, self.v, scale)
+
     def factors(self, spark: SparkSession) -> DataFrame:
         """(term_id, v array<double>)."""
         flat = pa.array(np.ascontiguousarray(self.v).ravel())
@@ -217,7 +221,7 @@ def whitened(rows: DataFrame, id_column: str, model: SvdModel) -> DataFrame:
     """
     tiny = model.s.max(initial=0.0) * 1e-7
     scale = np.array([1.0 / s if s > tiny else 0.0 for s in model.s])
-    return project(rows, id_column, model.v, scale)
+    return model.project(rows, id_column, scale)
 
 
 def unwhitened(stored: DataFrame, s: np.ndarray) -> DataFrame:

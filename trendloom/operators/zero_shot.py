@@ -30,7 +30,7 @@ def embed_names(
     if whiten:
         placed = svd.whitened(rows, "cand_id", factors)
     else:
-        placed = svd.project(rows, "cand_id", factors.v)
+        placed = factors.project(rows, "cand_id")
     return names.join(normalize_rows(placed, "embedding"), "cand_id")
 
 

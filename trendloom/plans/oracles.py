@@ -393,9 +393,12 @@ def oracles() -> dict[str, str]:
             FROM long a JOIN long b USING (vec_id) GROUP BY a.component, b.component""",
         "svd_full_rank": f"""WITH {LONG} SELECT round(sum(value * value), 4) AS squares,
             1.0::DOUBLE AS explained_variance FROM long""",
-        "svd_whiten_gram": """SELECT cast(i AS int) AS i, cast(j AS int) AS j,
-              (CASE WHEN i = j THEN 1.0 ELSE 0.0 END)::DOUBLE AS g
-            FROM range(32) a(i), range(32) b(j)""",
+        "svd_blocks": f"""WITH {LONG} SELECT round(sum(value * value), 4) AS squares,
+            1.0::DOUBLE AS explained_variance FROM long""",
+        "svd_whiten_gram": f"""{FIT}, sized AS (
+              SELECT unnest(range(0, least(300, count(*) // 4))) AS i FROM docs)
+            SELECT cast(a.i AS int) AS i, cast(b.i AS int) AS j,
+              (CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END)::DOUBLE AS g FROM sized a, sized b""",
         "project_rows": f"""{TFIDF}, parts AS (
               SELECT doc_id, weight, length(term) AS len, unnest(range(0, 8)) AS component FROM tfidf),
             projected AS (SELECT docs.doc_id, d.component,

@@ -17,6 +17,7 @@ from trendloom.fixed_values import CANDIDATE_TOPICS, CATEGORY_NAMES
 from trendloom.functions.cleaning import clean_documents
 from trendloom.functions.vectors import normalize_rows
 from trendloom.operators import (
+    block_svd,
     categories,
     clustering,
     filters,
@@ -39,7 +40,6 @@ class Settings:
     min_words: int = filters.MIN_WORDS
     min_df: int = tfidf.MIN_DF
     max_df: float = tfidf.MAX_DF
-    # The SVD holds one vector per component and term, so its vocabulary is bounded.
     max_features: int | None = 200_000
     n_components: int = svd.N_COMPONENTS
     n_iter: int = svd.N_ITER
@@ -81,7 +81,7 @@ def embed(spark: SparkSession, out: str, s: Settings) -> None:
     )
     models.save_tfidf(spark, model, f"{out}/tfidf")
     rows = tables.write_table(rows, f"{out}/tfidf_rows")
-    factors = svd.truncated_svd(rows, model.n_terms, s.n_components, s.n_iter, s.seed)
+    factors = block_svd.decompose(rows, "id", model.n_terms, s.n_components, s.n_iter, s.seed)
     models.save_svd(spark, factors, f"{out}/svd")
     stored = tables.write_embeddings(svd.whitened(rows, "id", factors), f"{out}/embeddings")
     meta = tables.write_table(docs.select("id", "categories", "update_year"), f"{out}/doc_meta")

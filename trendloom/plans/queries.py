@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import cleaning, labels, tokens
 from trendloom.functions.vectors import normalize_rows
 from trendloom.operators import (
+    block_svd,
     categories,
     cells,
     clustering,
@@ -37,8 +38,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SMALL_VOCABULARY = 500
 SMALL_RESERVOIR = 40
 SMALL_SAMPLE = 100
-# The SQL of svd_whiten_gram is the identity of this size.
-COMPONENTS = 32
 K_GRID = (5, 8, 10, 12)
 
 
@@ -299,11 +298,26 @@ def svd_full_rank(spark, sf):
     )
 
 
+@query
+def svd_blocks(spark, sf):
+    """The same in blocks of sixteen terms."""
+    rows, width = embedding_rows(spark, sf)
+    rows = materialize(rows, "embedding-rows")
+    factors = block_svd.block_svd(rows, "vec_id", width, width, block_terms=16)
+    part = svd.component_variance(factors.project(rows, "vec_id")).first()[0]
+    whole = tfidf.total_variance(rows, "vec_id", rows.count())
+    return whole.select(
+        F.round(F.lit(float((factors.s**2).sum())), 4).alias("squares"),
+        r6(F.lit(part) / F.col("total_variance")).alias("explained_variance"),
+    )
+
+
 @query
 def svd_whiten_gram(spark, sf):
-    """Whitened columns are orthonormal."""
+    """Whitened columns are orthonormal, as many as there are by default, or one for four documents."""
     model, rows = fitted(spark, sf)
-    factors = svd.truncated_svd(rows, model.n_terms, COMPONENTS)
+    wanted = min(svd.N_COMPONENTS, model.n_docs // 4)
+    factors = block_svd.decompose(rows, "doc_id", model.n_terms, wanted)
     white = svd.whitened(rows, "doc_id", factors)
     dense = white.select(
         F.sequence(F.lit(0), F.size("embedding") - 1).alias("term_ids"),
@@ -315,21 +329,21 @@ def svd_whiten_gram(spark, sf):
 @query
 def svd_singular_values(spark, sf):
     model, rows = fitted(spark, sf)
-    return svd.truncated_svd(rows, model.n_terms, svd.N_COMPONENTS).singular_values(spark)
+    return block_svd.decompose(rows, "doc_id", model.n_terms, svd.N_COMPONENTS).singular_values(spark)
 
 
 @query
 def svd_whiten(spark, sf):
     model, rows = fitted(spark, sf)
-    factors = svd.truncated_svd(rows, model.n_terms, svd.N_COMPONENTS)
+    factors = block_svd.decompose(rows, "doc_id", model.n_terms, svd.N_COMPONENTS)
     return components(svd.whitened(rows, "doc_id", factors), "doc_id", vector="embedding")
 
 
 @query
 def explained_variance(spark, sf):
     model, rows = fitted(spark, sf)
-    factors = svd.truncated_svd(rows, model.n_terms, svd.N_COMPONENTS)
-    part = svd.component_variance(svd.project(rows, "doc_id", factors.v)).first()[0]
+    factors = block_svd.decompose(rows, "doc_id", model.n_terms, svd.N_COMPONENTS)
+    part = svd.component_variance(factors.project(rows, "doc_id")).first()[0]
     whole = tfidf.total_variance(rows, "doc_id", model.n_docs)
     return whole.select(
         F.lit(part).alias("component_variance"),

@@ -80,3 +80,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if "/trendloom/" in folder:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

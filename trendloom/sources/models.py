@@ -7,6 +7,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.operators import block_svd
 from trendloom.operators.svd import SvdModel
 from trendloom.operators.tfidf import TERMS, Analyzer, TfidfModel
 
@@ -24,16 +25,19 @@ def load_tfidf(spark: SparkSession, path: str, analyzer: Analyzer = TERMS) -> Tf
     return TfidfModel(table, table.count(), n_docs, analyzer)
 
 
-def save_svd(spark: SparkSession, model: SvdModel, path: str) -> None:
+def save_svd(spark: SparkSession, model: SvdModel | block_svd.BlockModel, path: str) -> None:
     model.factors(spark).write.mode("overwrite").parquet(f"{path}/factors")
     model.singular_values(spark).write.mode("overwrite").parquet(f"{path}/singular_values")
 
 
-def load_svd(spark: SparkSession, path: str) -> SvdModel:
+def load_svd(spark: SparkSession, path: str) -> SvdModel | block_svd.BlockModel:
+    """Factors that are small come as a matrix, others stay a table of blocks."""
     values = spark.read.parquet(f"{path}/singular_values").orderBy("component").toArrow()
     s = values.column("singular_value").to_numpy()
     factors = spark.read.parquet(f"{path}/factors")
     n_terms = factors.agg(F.count("*")).first()[0]
+    if 8 * n_terms * len(s) > block_svd.SMALL_BYTES:
+        return block_svd.from_factors(factors, s, n_terms)
     v = np.zeros((n_terms, len(s)))
     table = factors.toArrow()
     flat = table.column("v").combine_chunks().flatten().to_numpy()
