@@ -45,32 +45,6 @@ def test_silhouette_of_single_rows_is_zero(spark):
         clustering.silhouettes(frame.filter("c = 0"), "embedding", "c")
 
 
-def test_best_restart_is_the_cheapest(unit):
-    model, costs = clustering.best_restart(unit, 5, restarts=3, max_iter=20)
-    assert model.summary.trainingCost == min(costs)
-
-
-def test_start_chosen_is_the_cheapest(spark, unit, monkeypatch):
-    seeds, fit = [], clustering.fit_kmeans
-
-    def noted(features, k, seed=0, max_iter=300):
-        seeds.append((seed, max_iter))
-        return fit(features, k, seed, max_iter)
-
-    costs = []
-    for seed in range(4):
-        centers = clustering.centers_frame(spark, fit(unit, 5, seed, 0))
-        near = clustering.assign_nearest(unit.select("embedding"), "embedding", centers)
-        costs.append(near.agg(F.sum("distance")).first()[0])
-    assert min(costs) > 0 and len(set(costs)) == 4
-    assert clustering.start_costs(unit, 5, 4) == pytest.approx(costs)
-    monkeypatch.setattr(clustering, "fit_kmeans", noted)
-    # From every first seed, so that the cheapest is not the first each time.
-    for first in range(4):
-        clustering.best_start(unit, 5, 4 - first, first, 20)
-        assert seeds[-1] == (first + int(np.argmin(costs[first:])), 20)
-
-
 def test_lloyd_steps_never_cost_more(spark, unit):
     centers = unit.filter("vec_id % 50 = 0").select(
         (F.col("vec_id") / 50).cast("int").alias("cluster"), F.col("embedding").alias("center")
@@ -102,9 +76,9 @@ def test_matrix_in_parts_gives_the_same(unit, monkeypatch):
 
 
 def test_sweep_keeps_the_first_best(spark, unit):
-    sweep = clustering.sweep_k(unit, grid=(3, 6), max_iter=10)
+    sweep = clustering.sweep_k(unit, "vec_id", grid=(3, 6), max_iter=10)
     scores = dict(sweep.scores)
-    assert sweep.k == max(scores, key=scores.get)
+    assert sweep.k == max(scores, key=scores.get) == sweep.model.k
     assert [row.chosen for row in sweep.frame(spark).orderBy("k").collect()].count(True) == 1
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.vectors import k_best, normalize_rows, products
-from trendloom.operators import clustering
+from trendloom.operators import clustering, kmeans
 from trendloom.operators.sampling import hash_sample
 from trendloom.session import materialize
 
@@ -38,9 +38,10 @@ RECALL = 0.9
 def cell_centers(unit: DataFrame, id_column: str, vector: str, n_cells: int, seed: int = 0) -> DataFrame:
     """(cluster, center): k-means centres of a sample of at most ``FIT_ROWS`` rows."""
     sample = hash_sample(unit.select(id_column, vector), id_column, FIT_ROWS, seed)
-    features = clustering.as_features(materialize(sample, "cell-sample"), vector)
-    model = clustering.fit_kmeans(features, n_cells, seed, max_iter=20)
-    return materialize(clustering.centers_frame(unit.sparkSession, model), "cell-centers")
+    sample = materialize(sample, "cell-sample")
+    starts = kmeans.starts_for(sample, id_column, vector, [n_cells], 1, seed)[n_cells]
+    (model,) = kmeans.lloyd(sample, vector, starts, max_iter=20)
+    return materialize(kmeans.centers_frame(unit.sparkSession, model), "cell-centers")
 
 
 def with_cells(unit: DataFrame, vector: str, centers: DataFrame, probes: int | None = None) -> DataFrame:

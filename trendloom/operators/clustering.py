@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.vectors import nearest_row, normalize_rows, products, stacked
+from trendloom.operators import kmeans
 from trendloom.operators.sampling import hash_sample
 
 SWEEP_GRID = (40, 50, 60, 80)
@@ -41,47 +42,6 @@ def fit_kmeans(features: DataFrame, k: int, seed: int = 0, max_iter: int = 300)
     ).fit(features)
 
 
-def best_restart(
-    features: DataFrame, k: int, restarts: int = RESTARTS, seed: int = 0, max_iter: int = 300
-) -> tuple[KMeansModel, list[float]]:
-    """The fit with the lowest cost out of several seeds, and all costs."""
-    best, costs = None, []
-    for i in range(restarts):
-        model = fit_kmeans(features, k, seed + i, max_iter)
-        costs.append(model.summary.trainingCost)
-        if best is None or costs[-1] < min(costs[:-1]):
-            best = model
-    return best, costs
-
-
-def best_start(
-    features: DataFrame, k: int, starts: int = STARTS, seed: int = 0, max_iter: int = 300
-) -> KMeansModel:
-    """One run from the start with the lowest cost out of several seeds."""
-    costs = start_costs(features, k, starts, seed)
-    return fit_kmeans(features, k, seed + int(np.argmin(costs)), max_iter)
-
-
-def start_costs(features: DataFrame, k: int, starts: int = STARTS, seed: int = 0) -> list[float]:
-    """The cost over all rows of each seed's centres before any step.
-
-    A fit reports the cost of the centres its last step began with, so one step
-    gives the cost of the start; without a step it reports zero.
-    """
-    return [fit_kmeans(features, k, seed + i, 1).summary.trainingCost for i in range(starts)]
-
-
-def assign(features: DataFrame, model: KMeansModel) -> DataFrame:
-    """Add the cluster of each row, in place of one that is already there."""
-    return model.transform(features.drop("cluster")).withColumnRenamed("prediction", "cluster")
-
-
-def centers_frame(spark, model: KMeansModel) -> DataFrame:
-    """(cluster, center) of a fitted model."""
-    rows = [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cluster int, center array<double>")
-
-
 def collect_centers(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys and matrix of a (cluster, center) table: model state, K rows."""
     table = centers.select("cluster", F.col("center").cast("array<double>")).toArrow()
@@ -174,7 +134,7 @@ class Sweep:
     """Silhouette per K and the model of the best K; the first K wins a tie."""
 
     scores: list[tuple[int, float]]
-    model: KMeansModel
+    model: kmeans.Model
     k: int
 
     def frame(self, spark) -> DataFrame:
@@ -182,23 +142,32 @@ class Sweep:
         return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
 
 
+def choose_k(unit: DataFrame, vector: str, models: dict[int, kmeans.Model]) -> Sweep:
+    """Score every model on all rows, keep the one with the best silhouette."""
+    scores = []
+    for k, model in models.items():
+        clustered = kmeans.assign(unit.select(vector), vector, model)
+        scores.append((k, silhouette_score(clustered, vector, "cluster")))
+    best = max(scores, key=lambda score: (score[1], -scores.index(score)))[0]
+    return Sweep(scores, models[best], best)
+
+
 def sweep_k(
-    features: DataFrame,
+    unit: DataFrame,
+    id_column: str,
     vector: str = "embedding",
     grid=SWEEP_GRID,
     starts: int = STARTS,
     seed: int = 0,
-    max_iter: int = 300,
+    max_iter: int = kmeans.MAX_ITER,
 ) -> Sweep:
-    """Fit every K on all rows, score it on all rows, keep the one with the best silhouette."""
-    scores, best = [], None
-    for k in grid:
-        model = best_start(features, k, starts, seed, max_iter)
-        score = silhouette_score(assign(features, model), vector, "cluster")
-        if best is None or score > max(value for _, value in scores):
-            best = (model, k)
-        scores.append((k, score))
-    return Sweep(scores, *best)
+    """Fit every K on all rows, from the cheapest of several starts, and choose by silhouette.
+
+    One scan compares the starts of all K, and one scan per step moves the models of all K.
+    """
+    best = kmeans.best_starts(unit, vector, kmeans.starts_for(unit, id_column, vector, grid, starts, seed))
+    fitted = kmeans.lloyd(unit, vector, [best[k].centers for k in grid], max_iter)
+    return choose_k(unit, vector, dict(zip(grid, fitted)))
 
 
 def scout_k(
@@ -208,13 +177,18 @@ def scout_k(
     grid=SCOUT_GRID,
     rows: int = SCOUT_ROWS,
     seed: int = 0,
-    max_iter: int = 300,
+    batch_rows: int = kmeans.BATCH_ROWS,
+    epochs: int = kmeans.EPOCHS,
 ) -> Sweep:
-    """A quick look at a K grid on a uniform sample of rows."""
-    picked = as_features(hash_sample(unit, id_column, rows, seed), vector)
+    """A quick look at a K grid on a uniform sample of rows, by mini-batches."""
+    picked = hash_sample(unit.select(id_column, vector), id_column, rows, seed)
     picked = picked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return sweep_k(picked, vector, grid, STARTS, seed, max_iter)
+        best = kmeans.best_starts(picked, vector, kmeans.starts_for(picked, id_column, vector, grid, STARTS, seed))
+        models = kmeans.minibatch(
+            picked, id_column, vector, [best[k].centers for k in grid], batch_rows, epochs, seed=seed
+        )
+        return choose_k(picked, vector, dict(zip(grid, models)))
     finally:
         picked.unpersist()
 

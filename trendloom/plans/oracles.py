@@ -194,6 +194,58 @@ CELLS = f"""ranked AS (
     SELECT vec_id, u, centers.cluster AS cell,
       {r9('list_dot_product(center, center) - 2 * list_dot_product(u, center)')} AS d
     FROM unit_rows, centers))"""
+
+
+def dealt_centers(rows: str, sizes=(3, 5, 7), name: str = "m0") -> str:
+    """(model, cluster, center): means of the rows (vec_id, v) by the remainder of the id."""
+    return f"""{name} AS (SELECT model, cluster, list(value ORDER BY component) AS center FROM (
+      SELECT model, cluster, component, avg(value) AS value FROM (
+        SELECT i AS model, vec_id % k AS cluster, unnest(range(0, len(v))) AS component, unnest(v) AS value
+        FROM {rows}, (SELECT unnest(range(0, {len(sizes)})) AS i, unnest({list(sizes)}) AS k))
+      GROUP BY model, cluster, component) GROUP BY model, cluster)"""
+
+
+def nearest_center(rows: str, centers: str, name: str) -> str:
+    """(model, vec_id, v, cluster, d): every row with its nearest centre of each model."""
+    return f"""{name} AS (SELECT * FROM (SELECT c.model, r.vec_id, r.v, c.cluster,
+      list_sum(list_transform(list_zip(v, center), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+      FROM {rows} r, {centers} c) QUALIFY row_number() OVER (PARTITION BY model, vec_id ORDER BY d, cluster) = 1)"""
+
+
+def mean_center(near: str, before: str, name: str) -> str:
+    """The means of the rows of each centre; a centre without rows stays."""
+    return f"""{name} AS (SELECT b.model, b.cluster, coalesce(n.center, b.center) AS center FROM {before} b LEFT JOIN (
+      SELECT model, cluster, list(value ORDER BY component) AS center FROM (
+        SELECT model, cluster, component, avg(value) AS value FROM (
+          SELECT model, cluster, unnest(range(0, len(v))) AS component, unnest(v) AS value FROM {near})
+        GROUP BY model, cluster, component) GROUP BY model, cluster) n USING (model, cluster))"""
+
+
+def batch_center(near: str, before: str, name: str) -> str:
+    """(model, cluster, center, seen): centres moved by the share of a batch in what they have seen."""
+    return f"""{name} AS (SELECT b.model, b.cluster, b.seen + coalesce(n.n, 0) AS seen, CASE WHEN n.n IS NULL THEN b.center
+      ELSE list_transform(list_zip(b.center, n.total), lambda p: p[1] + (p[2] - n.n * p[1]) / (b.seen + n.n)) END AS center
+      FROM {before} b LEFT JOIN (
+        SELECT model, cluster, any_value(n) AS n, list(value ORDER BY component) AS total FROM (
+          SELECT model, cluster, component, sum(value) AS value, count(*) AS n FROM (
+            SELECT model, cluster, unnest(range(0, len(v))) AS component, unnest(v) AS value FROM {near})
+          GROUP BY model, cluster, component) GROUP BY model, cluster) n USING (model, cluster))"""
+
+
+def model_rows(near: str, centers: str) -> str:
+    """Centres of all models with the numbers of their rows and the models' costs, by component."""
+    return f"""SELECT cast(model AS int) AS model, cast(cluster AS int) AS cluster, coalesce(n, 0) AS n,
+        {r6('cost')} AS cost, cast(component AS int) AS component, {r6('value')} AS value
+      FROM (SELECT model, cluster, unnest(range(0, len(center))) AS component, unnest(center) AS value FROM {centers})
+      JOIN (SELECT model, sum(d) AS cost FROM {near} GROUP BY model) USING (model)
+      LEFT JOIN (SELECT model, cluster, count(*) AS n FROM {near} GROUP BY model, cluster) USING (model, cluster)"""
+
+
+BATCH = "cast(concat('0x', substr(md5(concat(cast(vec_id AS varchar), '#0')), 1, 8)) AS bigint) % 2"
+TWO_STEPS = ", ".join([
+    dealt_centers("vectors"), nearest_center("vectors", "m0", "n0"), mean_center("n0", "m0", "m1"),
+    nearest_center("vectors", "m1", "n1"), mean_center("n1", "m1", "m2"), nearest_center("vectors", "m2", "n2"),
+])
 CENTROIDS = """centroids AS (
   SELECT cluster, component, avg(value) AS value, count(*) AS n FROM unit
   GROUP BY cluster, component)"""
@@ -464,6 +516,27 @@ def oracles() -> dict[str, str]:
                 SELECT cluster, unnest(range(0, len(v))) AS component, unnest(v) AS value FROM near)
               GROUP BY cluster, component)
             {components.format(keys='cluster, n', value=r6('value'), source='moved')}""",
+        "kmeans_restart_step": f"WITH {LONG}, {TWO_STEPS} {model_rows('n2', 'm2')}",
+        "kmeans_cheapest": f"""WITH {LONG}, {TWO_STEPS} SELECT vec_id, cast(cluster AS int) AS cluster FROM n2
+            WHERE model = (SELECT model FROM n2 GROUP BY model ORDER BY sum(d), model LIMIT 1)""",
+        "kmeans_minibatch_step": f"""WITH {LONG}, {CENTERS},
+            m0 AS (SELECT 0 AS model, cluster, center, 0 AS seen FROM centers),
+            b0 AS (SELECT * FROM vectors WHERE {BATCH} = 0), b1 AS (SELECT * FROM vectors WHERE {BATCH} = 1),
+            {nearest_center('b0', 'm0', 'n0')}, {batch_center('n0', 'm0', 'm1')},
+            {nearest_center('b1', 'm1', 'n1')}, {batch_center('n1', 'm1', 'm2')},
+            {nearest_center('vectors', 'm2', 'n2')} {model_rows('n2', 'm2')}""",
+        "kmeans_choose_k": f"""WITH {LONG}, u AS (SELECT vec_id, u AS v FROM unit_rows),
+            {dealt_centers('u')}, {nearest_center('u', 'm0', 'n0')}, {mean_center('n0', 'm0', 'm1')},
+            {nearest_center('u', 'm1', 'n1')},
+            pairs AS (SELECT a.model, a.vec_id, a.cluster AS own, b.cluster AS other,
+                avg(1.0 - list_dot_product(a.v, b.v)) AS d
+              FROM n1 a JOIN n1 b ON a.model = b.model AND a.vec_id <> b.vec_id GROUP BY ALL),
+            sides AS (SELECT model, vec_id, max(CASE WHEN own = other THEN d END) AS a,
+                min(CASE WHEN own <> other THEN d END) AS b FROM pairs GROUP BY model, vec_id),
+            scored AS (SELECT model, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS s
+              FROM sides GROUP BY model)
+            SELECT cast(2 * model + 3 AS int) AS k, {r6('s')} AS silhouette,
+              model = (SELECT model FROM scored ORDER BY s DESC, model LIMIT 1) AS chosen FROM scored""",
         "silhouette_by_label": f"""WITH {LONG}, pairs AS (
               SELECT a.vec_id, a.cluster AS own, b.cluster AS other,
                 1.0 - list_dot_product(a.u, b.u) AS d

@@ -21,6 +21,7 @@ from trendloom.operators import (
     categories,
     clustering,
     filters,
+    kmeans,
     phrases,
     svd,
     tfidf,
@@ -97,14 +98,15 @@ def embed(spark: SparkSession, out: str, s: Settings) -> None:
 def cluster(spark: SparkSession, out: str, s: Settings) -> None:
     """Choice of K, final clusters, top terms and yearly shares."""
     stored = tables.read_embeddings(spark, f"{out}/embeddings")
-    unit = normalize_rows(stored, "embedding")
-    features = clustering.as_features(unit).persist(StorageLevel.MEMORY_AND_DISK)
+    unit = normalize_rows(stored, "embedding").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sweep = clustering.sweep_k(
-            features, "embedding", s.k_grid, clustering.STARTS, s.seed, s.max_iter
+            unit, "id", "embedding", s.k_grid, clustering.STARTS, s.seed, s.max_iter
         )
-        model, _ = clustering.best_restart(features, sweep.k, s.restarts, s.seed, s.max_iter)
-        clustered = clustering.assign(features, model)
+        model, _ = kmeans.best_restart(
+            unit, "id", "embedding", sweep.k, s.restarts, s.seed, s.max_iter
+        )
+        clustered = kmeans.assign(unit, "embedding", model)
         final = clustering.silhouette_score(clustered, "embedding", "cluster")
         # Once, beside the unit rows: labels by name and the map read them from there.
         clustered = tables.write_table(
@@ -115,15 +117,15 @@ def cluster(spark: SparkSession, out: str, s: Settings) -> None:
             meta.join(clustered.select("id", "cluster"), "id"), f"{out}/doc_meta_with_clusters"
         )
     finally:
-        features.unpersist()
-    models.save_kmeans(model, f"{out}/kmeans")
+        unit.unpersist()
+    models.save_kmeans(spark, model, f"{out}/kmeans")
     report = sweep.frame(spark).withColumn(
         "final_silhouette", F.when(F.col("chosen"), F.lit(final))
     )
     tables.write_csv(report, f"{out}/k_report.csv")
     factors = tables.read_table(spark, f"{out}/svd/factors")
     vocabulary = tables.read_table(spark, f"{out}/tfidf/vocabulary")
-    weights = clustering.term_weights(factors, clustering.centers_frame(spark, model))
+    weights = clustering.term_weights(factors, kmeans.centers_frame(spark, model))
     tables.write_csv(
         clustering.top_terms(weights, vocabulary).orderBy("cluster"), f"{out}/cluster_top_terms.csv"
     )

@@ -16,6 +16,7 @@ from trendloom.operators import (
     cells,
     clustering,
     filters,
+    kmeans,
     phrases,
     sampling,
     svd,
@@ -460,6 +461,64 @@ def unit_features(spark, sf):
     return materialize(unit, "unit-rows")
 
 
+def fixed_starts(vectors: DataFrame, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size so many centres: the means of the rows with one remainder of the id."""
+    found = []
+    for k in sizes:
+        dealt = vectors.withColumn("cluster", (F.col("vec_id") % k).cast("int"))
+        centers = clustering.centroids(dealt, "embedding", "cluster").select("cluster", "center")
+        found.append(clustering.collect_centers(centers.orderBy("cluster"))[1])
+    return found
+
+
+def model_rows(spark, models: list[kmeans.Model]) -> DataFrame:
+    """(model, cluster, n, cost, component, value)."""
+    rows = [
+        (i, c, int(m.counts[c]), float(m.cost), [float(x) for x in center])
+        for i, m in enumerate(models)
+        for c, center in enumerate(m.centers)
+    ]
+    table = spark.createDataFrame(rows, "model int, cluster int, n long, cost double, center array<double>")
+    return components(table.withColumn("cost", r6("cost")), "model", "cluster", "n", "cost", vector="center")
+
+
+@query
+def kmeans_restart_step(spark, sf):
+    """Two steps of three models at once, with their costs."""
+    vectors = fx.embeddings(spark, sf).select("vec_id", "embedding")
+    return model_rows(spark, kmeans.lloyd(vectors, "embedding", fixed_starts(vectors, (3, 5, 7)), max_iter=2))
+
+
+@query
+def kmeans_minibatch_step(spark, sf):
+    """Two mini-batches of half the rows each, from the label centres, then costs over all rows."""
+    vectors = fx.embeddings(spark, sf)
+    model = kmeans.Model(clustering.collect_centers(label_centers(vectors).orderBy("cluster"))[1])
+    for number in range(2):
+        batch = vectors.filter(kmeans.batch_number("vec_id", 2) == number)
+        kmeans.minibatch_step(batch, "embedding", [model])
+    return model_rows(spark, kmeans.with_costs(vectors, "embedding", [model]))
+
+
+@query
+def kmeans_choose_k(spark, sf):
+    """K chosen by silhouette among models that have gone one step from fixed starts."""
+    unit = unit_features(spark, sf)
+    starts = fixed_starts(unit, (3, 5, 7))
+    models = dict(zip((3, 5, 7), kmeans.lloyd(unit, "embedding", starts, max_iter=1)))
+    sweep = clustering.choose_k(unit, "embedding", models)
+    return sweep.frame(spark).withColumn("silhouette", r6("silhouette"))
+
+
+@query
+def kmeans_cheapest(spark, sf):
+    """Clusters of the rows by the cheapest of three models after two steps."""
+    vectors = fx.embeddings(spark, sf).select("vec_id", "embedding")
+    models = kmeans.lloyd(vectors, "embedding", fixed_starts(vectors, (3, 5, 7)), max_iter=2)
+    best = min(models, key=lambda model: model.cost)
+    return kmeans.assign(vectors, "embedding", best).select("vec_id", "cluster")
+
+
 @query
 def kmeans_scout(spark, sf):
     unit = unit_features(spark, sf)
@@ -468,21 +527,14 @@ def kmeans_scout(spark, sf):
 
 @query
 def kmeans_sweep(spark, sf):
-    features = clustering.as_features(unit_features(spark, sf)).persist()
-    try:
-        return clustering.sweep_k(features, grid=K_GRID).frame(spark)
-    finally:
-        features.unpersist()
+    return clustering.sweep_k(unit_features(spark, sf), "vec_id", grid=K_GRID).frame(spark)
 
 
 @query
 def kmeans_final(spark, sf):
-    features = clustering.as_features(unit_features(spark, sf)).persist()
-    try:
-        model, _ = clustering.best_restart(features, 10)
-    finally:
-        features.unpersist()
-    return clustering.assign(features, model).select("vec_id", "cluster")
+    unit = unit_features(spark, sf)
+    model, _ = kmeans.best_restart(unit, "vec_id", "embedding", 10)
+    return kmeans.assign(unit, "embedding", model).select("vec_id", "cluster")
 
 
 @query

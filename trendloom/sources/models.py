@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.operators import block_svd
+from trendloom.operators import block_svd, kmeans
+from trendloom.operators.clustering import collect_centers
 from trendloom.operators.svd import SvdModel
 from trendloom.operators.tfidf import TERMS, Analyzer, TfidfModel
 
@@ -45,9 +45,9 @@ def load_svd(spark: SparkSession, path: str) -> SvdModel | block_svd.BlockModel:
     return SvdModel(v, s)
 
 
-def save_kmeans(model: KMeansModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_kmeans(spark: SparkSession, model: kmeans.Model, path: str) -> None:
+    kmeans.centers_frame(spark, model).write.mode("overwrite").parquet(path)
 
 
-def load_kmeans(path: str) -> KMeansModel:
-    return KMeansModel.load(path)
+def load_kmeans(spark: SparkSession, path: str) -> kmeans.Model:
+    return kmeans.Model(collect_centers(spark.read.parquet(path).orderBy("cluster"))[1])
