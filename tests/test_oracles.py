@@ -14,8 +14,8 @@ ROWS_ONLY = {
     "kmeans_scout",
     "kmeans_sweep",
     "kmeans_final",
-    "knn_fuzzy_graph",
     "topic_map_2d",
+    "topic_map_refined",
 }
 
 

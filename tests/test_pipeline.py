@@ -16,7 +16,7 @@ def test_run_from_raw_lines_to_the_map(spark, tmp_path, sf_dir):
         F.concat(F.col("update_year").cast("string"), F.lit("-1-05")).alias("update_date"),
     ).write.json(raw)
     settings = pipeline.Settings(
-        n_components=6, n_iter=2, k_grid=(3, 4), restarts=1, max_iter=10, neighbors=8
+        n_components=6, n_iter=2, k_grid=(3, 4), restarts=1, max_iter=10, neighbors=8, map_steps=2
     )
     pipeline.run_pipeline(spark, raw, out, settings)
     meta = tables.read_table(spark, f"{out}/doc_meta_with_clusters")

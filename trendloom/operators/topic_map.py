@@ -1,7 +1,7 @@
 """A two-dimensional map of a document sample.
 
 Nearest neighbours by cosine, the fuzzy neighbour graph of McInnes, Healy and
-Melville (2018), and a spectral layout of that graph.
+Melville (2018), and a spectral layout of that graph, which ``layout`` refines.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.vectors import k_best, normalize_rows, stacked
-from trendloom.operators import cells, svd
+from trendloom.operators import cells, layout, svd
 from trendloom.operators.cells import NEIGHBORS, SLICE_ROWS
 from trendloom.operators.sampling import hash_sample
 from trendloom.session import materialize
@@ -226,8 +226,12 @@ def topic_map(
     sample_rows: int = SAMPLE_ROWS,
     k: int = NEIGHBORS,
     seed: int = 0,
+    steps: int = 0,
 ) -> DataFrame:
-    """(id, x, y, cluster, label, color) for a uniform sample of ``docs``."""
+    """(id, x, y, cluster, label, color) for a uniform sample of ``docs``.
+
+    The spectral layout, refined by so many ``steps``.
+    """
     sample = hash_sample(docs.select(id_column, vector, "cluster"), id_column, sample_rows, seed)
     sample = materialize(sample.withColumnRenamed(id_column, "id"), "map-sample")
     if sample.count() <= EXACT_ROWS:
@@ -235,8 +239,11 @@ def topic_map(
     else:
         near = cells.neighbors_by_cells(sample, "id", vector, k, seed=seed)
     graph = fuzzy_graph(near, k)
-    layout = spectral_layout(materialize(graph, "fuzzy-graph"), seed)
-    table = sample.select("id", "cluster").join(layout, "id", "left")
+    graph = materialize(graph, "fuzzy-graph")
+    places = spectral_layout(graph, seed)
+    if steps:
+        places = layout.refine(graph, places, steps)
+    table = sample.select("id", "cluster").join(places, "id", "left")
     table = table.join(cluster_colors(docs), "cluster", "left")
     identity = F.col("cluster").cast("string")
     if labels is None:

@@ -246,6 +246,11 @@ TWO_STEPS = ", ".join([
     dealt_centers("vectors"), nearest_center("vectors", "m0", "n0"), mean_center("n0", "m0", "m1"),
     nearest_center("vectors", "m1", "n1"), mean_center("n1", "m1", "m2"), nearest_center("vectors", "m2", "n2"),
 ])
+PLACES = """places AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y
+  FROM embeddings),
+forth AS (SELECT a.id AS src, b.id AS dst, 1.0::DOUBLE / step AS weight
+  FROM places a, (SELECT unnest(range(1, 6)) AS step) JOIN places b ON b.id = a.id + step),
+edges AS (SELECT * FROM forth UNION ALL SELECT dst, src, weight FROM forth)"""
 CENTROIDS = """centroids AS (
   SELECT cluster, component, avg(value) AS value, count(*) AS n FROM unit
   GROUP BY cluster, component)"""
@@ -619,6 +624,60 @@ def oracles() -> dict[str, str]:
                 PARTITION BY vec_id ORDER BY d, neighbor) AS place FROM pairs)
             SELECT vec_id, neighbor, {r6('d')} AS distance, cast(place AS int) AS place
             FROM placed WHERE place <= 30""",
+        "knn_fuzzy_graph": f"""WITH RECURSIVE {LONG}, pairs AS (
+              SELECT a.vec_id AS id, b.vec_id AS other, greatest({r9('1.0 - list_dot_product(a.u, b.u)')}, 0.0) AS d
+              FROM unit_rows a JOIN unit_rows b ON a.vec_id <> b.vec_id),
+            near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) <= 30),
+            listed AS (SELECT id, list(other ORDER BY d, other) AS others, list(d ORDER BY d, other) AS ds,
+                coalesce(min(d) FILTER (d > 0), 0) AS rho, avg(d) AS mean FROM near GROUP BY id),
+            beyond AS (SELECT *, list_transform(ds, lambda d: greatest(d - rho, 0)) AS b FROM listed),
+            search AS (
+              SELECT id, b, 0.0::DOUBLE AS low, 'inf'::DOUBLE AS high, 1.0::DOUBLE AS sigma, 0 AS step FROM beyond
+              UNION ALL SELECT id, b, new_low, new_high, greatest(least(CASE WHEN isinf(new_high) THEN sigma * 2
+                  ELSE (new_low + new_high) / 2 END, 1e12::DOUBLE), 1e-12::DOUBLE), step + 1
+              FROM (SELECT *, CASE WHEN above THEN sigma ELSE high END AS new_high,
+                  CASE WHEN above THEN low ELSE sigma END AS new_low
+                FROM (SELECT *, list_sum(list_transform(b, lambda x: exp(-x / sigma))) > log2(30) AS above
+                  FROM search WHERE step < 64))),
+            found AS (SELECT id, greatest(sigma, 1e-3::DOUBLE * greatest(mean, 1e-12::DOUBLE)) AS sigma
+              FROM search JOIN listed USING (id) WHERE step = 64),
+            edges AS (SELECT id, unnest(others) AS other, exp(-unnest(b) / sigma) AS w FROM beyond JOIN found USING (id)),
+            both_ways AS (SELECT id AS src, other AS dst, w FROM edges WHERE w > 0
+              UNION ALL SELECT other, id, w FROM edges WHERE w > 0)
+            SELECT src, dst, {r6('sum(w) - CASE WHEN count(*) > 1 THEN max(w) * min(w) ELSE 0 END')} AS weight
+            FROM both_ways GROUP BY src, dst""",
+        "topic_map_table": f"""SELECT vec_id, label AS cluster,
+            CASE WHEN label % 2 = 0 THEN concat('topic ', label) ELSE cast(label AS varchar) END AS label,
+            cast((dense_rank() OVER (ORDER BY label) - 1) % 20 AS int) AS color, TRUE AS placed FROM embeddings""",
+        "layout_stretch": f"""WITH {PLACES} SELECT {r6('edge / pair')} AS stretch
+            FROM (SELECT sum(weight * (pow(s.x - d.x, 2) + pow(s.y - d.y, 2))) / sum(weight) AS edge
+              FROM edges JOIN places s ON s.id = src JOIN places d ON d.id = dst),
+              (SELECT 2 * (var_pop(x) + var_pop(y)) AS pair FROM places)""",
+        "layout_step": f"""WITH {PLACES}, box AS (SELECT min(x) AS lx, min(y) AS ly,
+              greatest(max(x) - min(x), max(y) - min(y)) * (1 + 1e-9::DOUBLE) AS side, count(*) AS total FROM places),
+            pulls AS (SELECT src AS id, sum(weight) AS degree, sum(pull * gx) AS ax, sum(pull * gy) AS ay FROM (
+              SELECT src, weight, gx, gy, CASE WHEN q > 0 THEN weight * (-2 * 1.75::DOUBLE * 0.84::DOUBLE)
+                  * pow(q, -0.16::DOUBLE) / (1 + 1.75::DOUBLE * pow(q, 0.84::DOUBLE)) ELSE 0 END AS pull
+              FROM (SELECT src, weight, s.x - d.x AS gx, s.y - d.y AS gy, pow(s.x - d.x, 2) + pow(s.y - d.y, 2) AS q
+                FROM edges JOIN places s ON s.id = src JOIN places d ON d.id = dst)) GROUP BY src),
+            celled AS (SELECT p.*, level, floor((x - lx) / side * pow(2, level))::INT AS cx,
+                floor((y - ly) / side * pow(2, level))::INT AS cy
+              FROM places p, box, (SELECT unnest([1, 2, 3]) AS level)),
+            sums AS (SELECT level, cx, cy, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM celled GROUP BY ALL),
+            met AS (SELECT r.id, r.x, r.y,
+                s.n - m AS n, s.sx - m * r.x AS sx, s.sy - m * r.y AS sy
+              FROM celled r JOIN sums s ON s.level = r.level AND abs(s.cx // 2 - r.cx // 2) <= 1
+                AND abs(s.cy // 2 - r.cy // 2) <= 1
+                AND (r.level = 3 OR abs(s.cx - r.cx) > 1 OR abs(s.cy - r.cy) > 1),
+              LATERAL (SELECT CASE WHEN s.cx = r.cx AND s.cy = r.cy THEN 1 ELSE 0 END AS m)),
+            pushes AS (SELECT id, sum(f * gx) AS rx, sum(f * gy) AS ry FROM (
+              SELECT id, gx, gy, n * 2 * 0.84::DOUBLE / ((0.001::DOUBLE + gx * gx + gy * gy)
+                  * (1 + 1.75::DOUBLE * pow(gx * gx + gy * gy, 0.84::DOUBLE))) AS f
+              FROM (SELECT id, n, x - sx / n AS gx, y - sy / n AS gy FROM met WHERE n > 0)) GROUP BY id)
+            SELECT p.id AS vec_id,
+              {r6('x + 0.5 * greatest(least(coalesce(ax + degree * (5.0::DOUBLE / total) * rx, 0), 4), -4)')} AS x,
+              {r6('y + 0.5 * greatest(least(coalesce(ay + degree * (5.0::DOUBLE / total) * ry, 0), 4), -4)')} AS y
+            FROM places p, box LEFT JOIN pulls ON pulls.id = p.id LEFT JOIN pushes ON pushes.id = p.id""",
         "knn_cosine_cells": f"""WITH {LONG}, {CENTERS}, {CELLS}, pairs AS (
               SELECT a.vec_id, b.vec_id AS neighbor,
                 greatest({r9('1.0 - list_dot_product(a.u, b.u)')}, 0.0) AS d

@@ -22,6 +22,7 @@ from trendloom.operators import (
     clustering,
     filters,
     kmeans,
+    layout,
     phrases,
     svd,
     tfidf,
@@ -57,6 +58,7 @@ class Settings:
     n_top: int = trends.TOP_TOPICS
     map_rows: int = topic_map.SAMPLE_ROWS
     neighbors: int = topic_map.NEIGHBORS
+    map_steps: int = layout.STEPS
     seed: int = 0
 
     def __post_init__(self):
@@ -203,7 +205,7 @@ def map_topics(spark: SparkSession, out: str, s: Settings) -> None:
     docs = tables.read_table(spark, f"{out}/clustered")
     labels = chosen_labels(spark, out, s)
     placed = topic_map.topic_map(
-        docs, "id", "embedding", labels, s.map_rows, s.neighbors, s.seed
+        docs, "id", "embedding", labels, s.map_rows, s.neighbors, s.seed, s.map_steps
     )
     placed = tables.write_table(placed, f"{out}/topic_map")
     tables.write_csv(topic_map.largest_clusters(placed, labels), f"{out}/topic_map_legend.csv")

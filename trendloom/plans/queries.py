@@ -17,6 +17,7 @@ from trendloom.operators import (
     clustering,
     filters,
     kmeans,
+    layout,
     phrases,
     sampling,
     svd,
@@ -799,7 +800,49 @@ def knn_cell_recall(spark, sf):
 @query
 def knn_fuzzy_graph(spark, sf):
     near = topic_map.nearest_neighbors(fx.embeddings(spark, sf), "vec_id", "embedding")
-    return topic_map.fuzzy_graph(near)
+    return topic_map.fuzzy_graph(near).withColumn("weight", r6("weight"))
+
+
+def fixed_layout(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Edges to the five ids after each, both ways, and places from the first two components."""
+    vectors = fx.embeddings(spark, sf)
+    places = vectors.select(
+        F.col("vec_id").alias("id"), (F.get("embedding", F.lit(0)) * 20).alias("x"), (F.get("embedding", F.lit(1)) * 20).alias("y")
+    )
+    after = places.select(F.col("id").alias("src"), F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("step"))
+    forth = after.select("src", (F.col("src") + F.col("step")).alias("dst"), (1.0 / F.col("step")).alias("weight"))
+    forth = forth.join(places.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "weight")
+    back = forth.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return forth.unionByName(back), materialize(places, "fixed-layout")
+
+
+@query
+def layout_step(spark, sf):
+    edges, places = fixed_layout(spark, sf)
+    moved = layout.layout_step(edges, places, 0.5, 1.75, 0.84, depth=3)
+    return moved.select(F.col("id").alias("vec_id"), r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query
+def layout_stretch(spark, sf):
+    edges, places = fixed_layout(spark, sf)
+    return layout.stretch(edges, places).select(r6("stretch").alias("stretch"))
+
+
+@query
+def topic_map_table(spark, sf):
+    """What the map says about each row, and whether the row has a place."""
+    docs = fx.embeddings(spark, sf)
+    names = docs.select("cluster").distinct().filter("cluster % 2 = 0")
+    names = names.select("cluster", F.concat(F.lit("topic "), F.col("cluster").cast("string")).alias("label_auto"))
+    table = topic_map.topic_map(docs, "vec_id", "embedding", names, k=8)
+    inside = (F.abs("x") < 100.0) & (F.abs("y") < 100.0)
+    return table.select("vec_id", "cluster", "label", "color", F.coalesce(inside, F.lit(False)).alias("placed"))
+
+
+@query
+def topic_map_refined(spark, sf):
+    return topic_map.topic_map(fx.embeddings(spark, sf), "vec_id", "embedding", steps=10)
 
 
 @query
