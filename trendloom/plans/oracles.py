@@ -649,6 +649,26 @@ def oracles() -> dict[str, str]:
         "topic_map_table": f"""SELECT vec_id, label AS cluster,
             CASE WHEN label % 2 = 0 THEN concat('topic ', label) ELSE cast(label AS varchar) END AS label,
             cast((dense_rank() OVER (ORDER BY label) - 1) % 20 AS int) AS color, TRUE AS placed FROM embeddings""",
+        "ndjson_quarantine": """SELECT CASE WHEN p_partkey % 19 <> 0 THEN cast(p_partkey AS varchar) END AS id,
+            CASE WHEN p_partkey % 19 = 0 THEN concat('{"id":"', p_partkey, '"') END AS line FROM part""",
+        "run_report": f"""{TFIDF}, numbers AS (SELECT (SELECT count(*) FROM docs) AS n_docs,
+              (SELECT count(*) FROM tfidf) AS nnz, (SELECT count(*) FROM docs) - (SELECT count(DISTINCT doc_id) FROM tfidf)
+                AS n_empty, (SELECT count(*) FROM docs WHERE doc_id IS NULL) AS null_ids)
+            SELECT metric, value FROM numbers UNPIVOT (value FOR metric IN (n_docs, nnz, n_empty, null_ids))""",
+        "attach_cluster": f"{corpus} SELECT id, update_year, cluster FROM fx_corpus",
+        "assign_stream": f"""{FIT}, {counts('benchmark', 'item_id', 'new_counts')},
+            {weights('new_counts', 'item_id', 'new_tfidf')}, parts AS (
+              SELECT item_id, weight, length(term) AS len, unnest(range(0, 8)) AS component FROM new_tfidf),
+            raw AS (SELECT b.item_id, d.component,
+                coalesce(sum(weight * ((len * (d.component + 1)) % 7 - 3)), 0.0) AS value
+              FROM benchmark b CROSS JOIN (SELECT unnest(range(0, 8)) AS component) d
+              LEFT JOIN parts ON parts.item_id = b.item_id AND parts.component = d.component
+              GROUP BY b.item_id, d.component),
+            unit_raw AS (SELECT item_id, component, CASE WHEN norm > 0 THEN value / norm ELSE 0 END AS value, norm > 0 AS known
+              FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY item_id)) AS norm FROM raw))
+            SELECT item_id, cast(component AS int) AS cluster,
+              {r6('CASE WHEN known THEN 2 - 2 * value ELSE 1 END')} AS distance FROM unit_raw
+            QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY value DESC, component) = 1""",
         "layout_stretch": f"""WITH {PLACES} SELECT {r6('edge / pair')} AS stretch
             FROM (SELECT sum(weight * (pow(s.x - d.x, 2) + pow(s.y - d.y, 2))) / sum(weight) AS edge
               FROM edges JOIN places s ON s.id = src JOIN places d ON d.id = dst),

@@ -83,17 +83,23 @@ def embed(spark: SparkSession, out: str, s: Settings) -> None:
         docs, "id", "text", min_df=s.min_df, max_df=s.max_df, max_features=s.max_features
     )
     models.save_tfidf(spark, model, f"{out}/tfidf")
-    rows = tables.write_table(rows, f"{out}/tfidf_rows")
+    rows, seen = tables.write_observed(
+        rows, f"{out}/tfidf_rows", n_docs=F.count("*"), nnz=F.sum(F.size("term_ids")).cast("long"),
+        n_empty=F.count(F.when(F.size("term_ids") == 0, True)),
+    )
     factors = block_svd.decompose(rows, "id", model.n_terms, s.n_components, s.n_iter, s.seed)
     models.save_svd(spark, factors, f"{out}/svd")
     stored = tables.write_embeddings(svd.whitened(rows, "id", factors), f"{out}/embeddings")
-    meta = tables.write_table(docs.select("id", "categories", "update_year"), f"{out}/doc_meta")
+    meta, of_meta = tables.write_observed(
+        docs.select("id", "categories", "update_year"), f"{out}/doc_meta",
+        null_ids=F.count(F.when(F.col("id").isNull(), True)),
+    )
     filters.require_same_keys(stored, meta, "id")
     part = svd.component_variance(svd.unwhitened(stored, factors.s)).first()[0]
     whole = tfidf.total_variance(rows, "id", model.n_docs).first()[0]
     explained = part / whole if whole else 0.0
-    report = tfidf.matrix_statistics(rows, model.n_terms)
-    report = report.withColumn("explained_variance", F.lit(explained))
+    numbers = {**seen, **of_meta, "n_terms": model.n_terms}
+    report = spark.createDataFrame([(*numbers.values(), explained)], [*numbers, "explained_variance"])
     tables.write_csv(report, f"{out}/embedding_report.csv")
 
 

@@ -29,8 +29,10 @@ from trendloom.operators import (
 from trendloom.plans import fixtures as fx
 from trendloom.schemas import CATEGORY_COUNTS
 from trendloom.session import materialize, scratch_path
-from trendloom.sources import models, tables
+from trendloom.sources import models, quarantine, tables
 from trendloom.sources.documents import parse_raw, read_clean, write_clean
+from trendloom.streaming.assign_stream import assign_stream as start_assigning
+from trendloom.streaming.assign_stream import load_models, read_assigned
 from trendloom.streaming.clean_stream import clean_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +131,30 @@ def stream_clean(spark, sf):
     return read_clean(spark, f"{base}/clean")
 
 
+@query
+def ndjson_quarantine(spark, sf):
+    """Every 19th line lacks its end."""
+    base = scratch_path(spark, "quarantine")
+    end = F.when(F.col("p_partkey") % 19 == 0, "").otherwise("}")
+    line = F.concat(F.lit('{"id":"'), F.col("p_partkey").cast("string"), F.lit('"'), end)
+    fx.table(spark, sf, "part").select(line.alias("value")).write.text(f"{base}/raw")
+    quarantine.split_stream(spark, f"{base}/raw", f"{base}/split", f"{base}/checkpoint", 2).awaitTermination()
+    good = quarantine.read_good(spark, f"{base}/split").select("id", F.lit(None).cast("string").alias("line"))
+    bad = quarantine.read_malformed(spark, f"{base}/split")
+    return good.unionByName(bad.select(F.lit(None).cast("string").alias("id"), "line"))
+
+
+@query
+def run_report(spark, sf):
+    """What is noted while the matrix is written."""
+    _, rows = tfidf.fit_transform(corpus(spark, sf), "doc_id", "text")
+    _, seen = tables.write_observed(
+        rows, scratch_path(spark, "observed"), n_docs=F.count("*"), nnz=F.sum(F.size("term_ids")).cast("long"),
+        n_empty=F.count(F.when(F.size("term_ids") == 0, True)), null_ids=F.count(F.when(F.col("doc_id").isNull(), True)),
+    )
+    return spark.createDataFrame(list(seen.items()), "metric string, value long")
+
+
 @query
 def weighted_text(spark, sf):
     raw = raw_documents(spark, sf)
@@ -400,6 +426,34 @@ def model_round_trip(spark, sf):
     return models.load_tfidf(spark, path).vocabulary().withColumn("idf", r6("idf"))
 
 
+@query
+def assign_stream(spark, sf):
+    """New texts by stored models: the corpus' vocabulary, whole-number factors, one centre per component."""
+    base = scratch_path(spark, "assign")
+    model = tfidf.fit_tfidf(corpus(spark, sf), "doc_id", "text")
+    models.save_tfidf(spark, model, f"{base}/tfidf")
+    models.save_svd(spark, svd.SvdModel(fixed_vectors(model), np.ones(8)), f"{base}/svd")
+    models.save_kmeans(spark, kmeans.Model(np.eye(8)), f"{base}/kmeans")
+    items = fx.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
+    nothing = {"categories": F.lit(None).cast("string"), "update_year": F.lit(None).cast("int")}
+    write_clean(items.withColumns(nothing), f"{base}/clean")
+    stored = load_models(spark, base, whiten=False)
+    start_assigning(spark, f"{base}/clean", f"{base}/out", f"{base}/checkpoint", stored, 3).awaitTermination()
+    return read_assigned(spark, f"{base}/out").select(
+        F.col("id").cast("long").alias("item_id"), "cluster", r6("distance").alias("distance")
+    )
+
+
+@query
+def attach_cluster(spark, sf):
+    """Clusters and years of the documents from two tables in the same buckets."""
+    base = scratch_path(spark, "store")
+    docs = fx.corpus(spark, sf)
+    left = tables.write_bucketed(docs.select("id", "cluster"), f"{base}/clustered", "id", 8)
+    right = tables.write_bucketed(docs.select("id", "update_year"), f"{base}/meta", "id", 8)
+    return right.join(left.hint("merge"), "id").select("id", "update_year", "cluster")
+
+
 # ---- clustering --------------------------------------------------------------
 
 

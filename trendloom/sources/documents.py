@@ -29,10 +29,10 @@ def read_raw(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
     return spark.read.schema(schema).options(**options).json(path)
 
 
-def parse_raw(lines: DataFrame, column: str, mode: str = "FAILFAST") -> DataFrame:
-    """The same for lines that are already in a string column."""
+def parse_raw(lines: DataFrame, column: str, mode: str = "FAILFAST", *others: str) -> DataFrame:
+    """The same for lines that are already in a string column; ``others`` are columns to keep."""
     options, schema = _json_options(mode, RAW)
-    return lines.select(F.from_json(column, schema, options).alias("o")).select("o.*")
+    return lines.select(F.from_json(column, schema, options).alias("o"), *others).select("o.*", *others)
 
 
 def write_clean(docs: DataFrame, path: str) -> None:
@@ -40,5 +40,11 @@ def write_clean(docs: DataFrame, path: str) -> None:
     docs.select(*CLEAN.names).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CLEAN).option("mode", "FAILFAST").json(path)
+def read_clean(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Documents as ``write_clean`` leaves them.
+
+    With ``partitions`` they are dealt out to so many tasks: for a few files that cannot
+    be split, or that hold very unequal amounts of text.
+    """
+    docs = spark.read.schema(CLEAN).option("mode", "FAILFAST").json(path)
+    return docs if partitions is None else docs.repartition(partitions)
