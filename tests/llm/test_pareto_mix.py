@@ -87,3 +87,48 @@ def test_empty_tables(spark):
     assert mixed_documents(empty(spark)).count() == 0
     wordless = awkward(spark).filter("doc_id IN (3, 4, 5)")
     assert {(r.taken, r.target) for r in mix(wordless).collect()} == {(0, 0.0)}
+
+
+def test_rows_that_repeat_an_id_are_drawn_one_by_one(spark):
+    """Most ids are null, one is hot, and a third of the rows are the same text."""
+    draw = random.Random(9)
+    rows = []
+    for i in range(3000):
+        text = "the same text of nine words for many rows" if i % 3 == 0 else "w " * draw.randrange(1, 400)
+        rows.append((draw.choice([None, None, 7, i]), text, draw.choice(["a", "a", "b", "c", None]), i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, i int").repartition(6)
+    found = mix(docs)
+    sources = {r.source: r for r in docs.groupBy("source").count().collect()}
+    words = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    totals = {s: sum(words(t) for _, t, source, _ in rows if source == s) for s in sources}
+    wanted = targets(totals)
+    by_target = {round(wanted[s], 3): s for s in wanted}
+    taken = {}
+    for r in found.collect():
+        source = by_target[round(r.target, 3)]
+        taken[source] = taken.get(source, 0) + r.taken
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[s] - wanted[s]) <= 400 for s in wanted)
+    repeats = {}
+    for r in mixed_documents(docs).collect():
+        repeats[r.i] = repeats.get(r.i, 0) + 1
+    again = {}
+    for i, n in repeats.items():
+        again[rows[i][2]] = again.get(rows[i][2], 0) + n * words(rows[i][1])
+    assert again == taken and max(repeats.values()) <= 2
+    same = lambda frame: sorted((str(r.doc_id), r.size, r.target, r.taken) for r in frame.collect())
+    assert same(found) == same(mix(docs.repartition(11)))
+
+
+def test_repeated_rows_match_the_sql(spark, tmp_path):
+    import duckdb
+    from trendloom.llm.oracles import MIX
+
+    rows = [(None if i % 3 else i // 9, "word " * (i % 40 + 1) if i % 5 else "hot text", "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = db.sql(f"SELECT doc_id, size, target, taken FROM ({MIX})").fetchall()
+    got = [tuple(r) for r in mix(docs).select("doc_id", "size", "target", "taken").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

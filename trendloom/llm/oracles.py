@@ -14,11 +14,13 @@ FROM t WINDOW same AS (PARTITION BY content)
 
 # The random number of a document, its size and the binary length of the size.
 MIX = r"""
-WITH sized AS (SELECT doc_id, source,
+WITH keyed AS (SELECT doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '#0'), 1, 13))::BIGINT + 0.5::DOUBLE)
-      / 4503599627370496.0::DOUBLE AS u
+    coalesce(doc_id::VARCHAR, 'null') || '#' || md5(coalesce(text, '')) || '#'
+      || row_number() OVER (PARTITION BY source, doc_id, md5(coalesce(text, ''))) - 1 AS key
   FROM documents),
+sized AS (SELECT *, (('0x' || substr(md5(key || '#0'), 1, 13))::BIGINT + 0.5::DOUBLE)
+      / 4503599627370496.0::DOUBLE AS u FROM keyed),
 docs AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS bits FROM sized),
 numbered AS (SELECT source, sum(size)::BIGINT AS source_size,
     list_extract([3, 1, 2], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT)::BIGINT AS weight
@@ -43,11 +45,11 @@ d AS (SELECT *, CASE WHEN is_full THEN 2.0::DOUBLE ELSE least(2.0::DOUBLE,
   FROM c WINDOW s AS (PARTITION BY source)),
 plan AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS p,
     target - sum(floor(copies) * words) OVER (PARTITION BY source) AS left_words FROM d),
-ranked AS (SELECT x.doc_id, x.source, x.size, p.whole, p.left_words,
+ranked AS (SELECT x.doc_id, x.key, x.source, x.size, p.whole, p.left_words,
     CASE WHEN p.p > 0 THEN (x.u / (1 - x.u)) / (p.p / (1 - p.p)) END AS ratio
   FROM docs x LEFT JOIN plan p ON x.source IS NOT DISTINCT FROM p.source AND x.bits = p.bits),
 summed AS (SELECT *, sum(size) OVER (PARTITION BY source, ratio IS NULL
-    ORDER BY ratio, coalesce(doc_id::VARCHAR, 'null') ROWS UNBOUNDED PRECEDING) AS upto FROM ranked)
+    ORDER BY ratio, key ROWS UNBOUNDED PRECEDING) AS upto FROM ranked)
 SELECT doc_id, size, t.source_size, t.target,
   ((coalesce(whole, 0) + CASE WHEN ratio IS NOT NULL AND upto - size < left_words
     AND upto - left_words <= left_words - (upto - size) THEN 1 ELSE 0 END) * size)::BIGINT AS taken,

@@ -19,8 +19,11 @@ histogram of ratios, and only the documents of the one class at the cut are
 ranked.  Applying the plan is a projection with a join to a small table.
 
 Documents without words, null or empty, count in no source's size and are never
-taken.  The random number depends on the id alone, so reruns agree; rows that
-repeat an id and a size share their fate.  A null source is a source of its own.
+taken.  The random number depends on the id, the text's digest and, where rows of a
+source repeat both, on their number among these, so each row is drawn by itself and
+reruns agree up to the exchange of rows with equal id and text.  Such rows are numbered
+by the part of the table that they are in, so a group of any size is spread.  A null
+source is a source of its own.
 """
 
 from __future__ import annotations
@@ -47,12 +50,62 @@ def _bits(size: Column) -> Column:
     return F.when(size > 0, F.length(F.bin(size))).otherwise(0).cast("long")
 
 
-def _uniform(doc_id: Column, seed: int) -> Column:
-    """A number inside (0, 1) with 52 random bits that depends on the id and the seed only."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"#{seed}")))
+def _uniform(key: Column, seed: int) -> Column:
+    """A number inside (0, 1) with 52 random bits that depends on the row's key and the seed only."""
+    digest = F.md5(F.concat(key, F.lit(f"#{seed}")))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _same() -> Column:
+    """Equal for rows of a source that repeat id and text."""
+    return F.xxhash64("source", F.col("doc_id").cast("string"), "digest")
+
+
+def _keyed(rows: DataFrame, number: Column | str) -> DataFrame:
+    """Add ``key``: id, digest and number of a row."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    number = F.col(number) if isinstance(number, str) else number
+    return rows.withColumn("key", F.concat_ws("#", name, "digest", number.cast("string")))
+
+
+def _repeated(sized: DataFrame) -> DataFrame | None:
+    """(same) of the rows that others repeat; None if there are none."""
+    several = sized.groupBy("same").agg(F.count("*").alias("n")).filter("n > 1").select("same")
+    several = materialize(several, "mix-repeated")
+    return several if several.limit(1).count() else None
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add ``number``, the place of a written row (with ``row``) among those of its ``same``.
+
+    Rows are ranked inside their part of the table, after all those of the parts before.
+    """
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    place = F.row_number().over(Window.partitionBy("same", "part").orderBy("row"))
+    sizes = rows.groupBy("same", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("same").orderBy("part")) - F.col("n")
+    offsets = sizes.select("same", "part", before.alias("before"))
+    ranked = rows.withColumn("place", place).join(offsets, ["same", "part"])
+    return ranked.withColumn("number", F.col("before") + F.col("place") - 1).drop("part", "place", "before")
+
+
+def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, source, size and key of every row, written; and the repeated ones."""
+    rows = docs.select("doc_id", "source", word_count().alias("size"), _digest().alias("digest"))
+    rows = materialize(rows.withColumns({"same": _same(), "row": F.monotonically_increasing_id()}), "mix-sizes")
+    several = _repeated(rows)
+    names = ["doc_id", "source", "size", "key"]
+    if several is None:
+        return _keyed(rows, F.lit(0)).select(names), None
+    single = _keyed(rows.join(several, "same", "left_anti"), F.lit(0)).select(names)
+    numbered = _keyed(_numbered(rows.join(several, "same", "left_semi")), "number").select(names)
+    return materialize(single.unionByName(numbered), "mix-keys"), several
+
+
 def _targets(words: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """source, source_size, target: one row per source; the windows go over sources only.
 
@@ -122,7 +175,7 @@ def _copies(words: DataFrame, targets: DataFrame, most: float) -> DataFrame:
 
 
 def _ratio(seed: int) -> Column:
-    u, p = _uniform(F.col("doc_id"), seed), F.col("p")
+    u, p = _uniform(F.col("key"), seed), F.col("p")
     return F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
 
 
@@ -142,7 +195,7 @@ def mix_plan(
     max_copies: float = MAX_COPIES,
     seed: int = 0,
 ) -> DataFrame:
-    """The plan of a mix of ``sized`` (doc_id, source, size): a small written table.
+    """The plan of a mix of ``sized`` (source, size, key): a small written table.
 
     One row per source and binary length of the size: source_size, target, whole
     (certain copies), p (inclusion probability of one more), and cut_ratio and
@@ -166,7 +219,7 @@ def mix_plan(
             "source",
             "size",
             "ratio",
-            _order_key().alias("key"),
+            "key",
             "left_words",
             F.floor(place * 2.0**PLACE_BITS).cast("long").alias("class"),
         )
@@ -224,12 +277,8 @@ def _border_class(ranked: DataFrame) -> DataFrame:
     return border
 
 
-def _order_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-
-
 def with_copies(rows: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """``rows`` (doc_id, source, size, and more) with source_size, target and copies.
+    """``rows`` (source, size, key, and more) with source_size, target and copies.
 
     A document's target and source_size are those of its source.  No shuffle of
     the rows, as long as the plan (64 rows a source at most) is small.
@@ -244,7 +293,7 @@ def with_copies(rows: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     extra = F.when(F.col("p").isNull() | (F.col("p") <= 0), False).otherwise(
         F.when(F.col("cut_ratio").isNull(), F.col("left_words") > 0).otherwise(
             (ratio < F.col("cut_ratio"))
-            | ((ratio == F.col("cut_ratio")) & (_order_key() <= F.col("cut_key")))
+            | ((ratio == F.col("cut_ratio")) & (F.col("key") <= F.col("cut_key")))
         )
     )
     copies = F.coalesce(F.col("whole"), F.lit(0)) + extra.cast("long")
@@ -259,7 +308,7 @@ def with_copies(rows: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) and copies of each row."""
     seed = settings.get("seed", 0)
-    sized = materialize(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+    sized, _ = _sized(docs)
     return with_copies(sized, mix_plan(sized, **settings), seed).select(
         "doc_id",
         "size",
@@ -271,10 +320,22 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with the same columns."""
+    """The rows of ``docs``, each as often as the mix takes it, with the same columns.
+
+    Rows are not shuffled, but for those that repeat id and text, which are written once more.
+    """
     seed = settings.get("seed", 0)
-    sized = docs.select("doc_id", "source", word_count().alias("size"))
-    plan = mix_plan(materialize(sized, "mix-sizes"), **settings)
-    whole = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*docs.columns).alias("_row"))
-    taken = with_copies(whole, plan, seed).filter("copies > 0")
+    sized, several = _sized(docs)
+    plan = mix_plan(sized, **settings)
+    whole = docs.select(
+        "doc_id", "source", word_count().alias("size"), _digest().alias("digest"), F.struct(*docs.columns).alias("_row")
+    ).withColumn("same", _same())
+    names = ["source", "size", "key", "_row"]
+    if several is None:
+        keyed = _keyed(whole, F.lit(0)).select(names)
+    else:
+        many = whole.join(several, "same", "left_semi").withColumn("row", F.monotonically_increasing_id())
+        keyed = _keyed(whole.join(several, "same", "left_anti"), F.lit(0)).select(names)
+        keyed = keyed.unionByName(_keyed(_numbered(materialize(many, "mix-repeats")), "number").select(names))
+    taken = with_copies(keyed, plan, seed).filter("copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
