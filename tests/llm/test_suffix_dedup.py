@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 from tests.llm.awkward import ROWS, awkward, documents, empty
-from trendloom.llm import induced_sorting
+from trendloom.llm import induced_sorting, suffix_dedup
 from trendloom.llm.suffix_dedup import cut_repeats, digests
 
 SMALL = [(3, 20, 4), (7, 1, 2), (50, 100, 10), (1 << 17, 1 << 16, 1 << 21)]
@@ -81,3 +81,41 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert cut_repeats(empty(spark)).count() == 0
+
+
+def test_one_hot_id_and_one_passage_in_every_document(spark):
+    """Neither an id nor a passage that all rows have is the work of one group."""
+    draw = random.Random(11)
+    passage = "this passage of more than fifty bytes is a part of every single document here"
+    texts = ["".join(draw.choice("abcdefg ") for _ in range(90)) + passage + "".join(draw.choice("xyz ") for _ in range(40)) for _ in range(120)]
+    for ids in ([None] * 120, [5] * 60 + [3] * 60, list(range(120))):
+        rows = list(zip(ids, texts))
+        check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+
+
+@pytest.mark.parametrize("name, value", [("WAITING", 100), ("REMEMBERED", 3), ("BATCH_BYTES", 500)])
+def test_small_budgets_change_nothing(monkeypatch, name, value):
+    """Slices that stop waiting are sorted; forgotten ones are sorted again."""
+    monkeypatch.setattr(suffix_dedup, name, value)
+    draw = random.Random(13)
+    base = ["".join(draw.choice("ab ") for _ in range(70)) for _ in range(6)]
+    shard = suffix_dedup._Shard(0, 50)
+    sent, seen = [], {}
+    for batch in range(12):
+        contents = [draw.choice(base) + draw.choice(["", "a", "bb"]) for _ in range(5)]
+        ids = [draw.randrange(30) for _ in contents]
+        keys = np.array([base.index(c[:70]) for c in contents], np.uint64)
+        shard.add(batch, "".join(contents).encode(), np.array([len(c) for c in contents]), keys, ids)
+        sent.append((contents, ids))
+        for c, i in zip(contents, ids):
+            for at in range(len(c) - 49):
+                seen[c[at : at + 50]] = min(seen.get(c[at : at + 50], i), i)
+    for (batch, bits), (contents, ids) in zip(shard.answers(), sent):
+        want = [seen[c[at : at + 50]] < i for c, i in zip(contents, ids) for at in range(len(c) - 49)]
+        assert np.unpackbits(np.frombuffer(bits, np.uint8), count=len(want)).astype(bool).tolist() == want
+
+
+def test_nothing_stays_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    cut_repeats(documents(spark, "/root/testdata/sf0.001")).count()
+    assert {t.name for t in spark.catalog.listTables()} == before

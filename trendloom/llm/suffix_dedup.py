@@ -4,16 +4,17 @@ A byte goes if a string of ``length`` bytes covers it that also starts in a
 document with a smaller id.  Every such string (a window) has an anchor, the
 20 bytes in it with the smallest hash, so equal windows have equal anchors.
 
-1. Documents are dealt into batches by their ids, in one bucketed table that all
-   later jobs read without moving texts again.
+1. Documents are dealt into even batches, in one bucketed table that all later jobs
+   read without moving texts again.
 2. Batches list their anchors; an anchor that occurs in one document only can't
    be in a repeated window and is forgotten.
 3. For each other anchor a batch cuts out the runs of windows that have it (the
    slices), equal ones once, with the smallest id, and sends them to the shard of
    the anchor.  What one batch sends for an anchor does not grow with the copies it has.
-4. A shard lays its slices into one file and sorts all suffixes by external induced
-   sorting (``induced_sorting``).  Neighbours with a common prefix of ``length``
-   bytes hold equal windows; the smallest id of such a group owns the window.
+4. Where all slices of an anchor are equal, the smallest id owns all of their windows.
+   A shard lays the slices of the other anchors into one file and sorts all suffixes by
+   external induced sorting (``induced_sorting``).  Neighbours with a common prefix of
+   ``length`` bytes hold equal windows; the smallest id of such a group owns the window.
 5. One bit per window goes back to the batch: whether it belongs to a smaller id.
    The batch unites the spans of its documents and cuts them out.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ LENGTH = 50
 ANCHOR = 20
 #: Bytes of text for each batch, and for each shard of slices; both may get more.
 BATCH_BYTES, SHARD_BYTES = 2 << 20, 3 << 20
-#: Digests of slices a shard remembers.
-REMEMBERED = 500_000
+#: Digests of slices a shard remembers, and bytes of slices that wait for a different one.
+REMEMBERED, WAITING = 500_000, 64 << 20
 
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 OTHER = np.uint64(0xD6E8FEB86659FD93)
@@ -119,19 +121,50 @@ class _Batch:
         known: dict = {}
         return np.array([known.setdefault(x, len(known)) for x in self.ids], np.int64)
 
-    def shared(self, keys: np.ndarray) -> dict[tuple[int, bytes], list[int]]:
-        """Slices whose anchor is shared, grouped by anchor and content, in a fixed order."""
+    def shared(self, keys: np.ndarray, shards: int) -> _Groups:
+        """Slices whose anchor is shared, grouped by shard, anchor and content, in a fixed order."""
         keys = np.sort(keys)
         at = np.searchsorted(keys, self.key).clip(max=max(len(keys) - 1, 0))
         some = np.flatnonzero(keys[at] == self.key) if len(keys) else np.zeros(0, np.int64)
-        groups: dict[tuple[int, bytes], list[int]] = {}
-        for i in some[np.argsort(self.key[some], kind="stable")].tolist():
-            groups.setdefault((int(self.key[i]), self.content(i)), []).append(i)
-        return groups
-
-    def content(self, i: int) -> bytes:
-        start = int(self.first[i])
-        return self.texts[self.text[i]][start : start + int(self.count[i]) + self.length - 1]
+        data = b"".join(self.texts)
+        sizes = np.array([len(text) for text in self.texts], np.int64)
+        start = (np.cumsum(sizes) - sizes)[self.text[some]] + self.first[some]
+        end = start + self.count[some] + self.length - 1
+        digests = b"".join([xxhash.xxh3_128_digest(data[i:j]) for i, j in zip(start.tolist(), end.tolist())])
+        high, low = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+        shard = ((self.key[some] >> np.uint64(7)) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((some, low, high, self.key[some], shard))
+        columns = [x[order] for x in (shard, self.key[some], high, low)]
+        new = np.zeros(len(order), bool)
+        for column in columns:
+            new[1:] |= column[1:] != column[:-1]
+        new[:1] = True
+        starts = np.flatnonzero(new)
+        first = order[starts]
+        slices = some[order]
+        return _Groups(
+            slices, np.cumsum(new) - 1, columns[0][starts], columns[1][starts],
+            np.minimum.reduceat(self.text[slices], starts) if len(starts) else np.zeros(0, np.int64),
+            [data[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())],
+        )
+
+
+@dataclass
+class _Groups:
+    """Equal slices of a batch together, sorted by their shard, anchor and content."""
+
+    slices: np.ndarray  # of the batch, group after group
+    group: np.ndarray  # of each of these
+    shard: np.ndarray  # of each group, rising
+    key: np.ndarray
+    owner: np.ndarray  # the first document of the batch that has it
+    contents: list[bytes]
+
+    def of_shards(self) -> Iterator[tuple[int, slice]]:
+        """Shards, and where their groups are."""
+        cuts = np.flatnonzero(np.diff(self.shard, prepend=-1, append=-1))
+        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(self.shard[start]), slice(start, stop)
 
 
 def _rank(doc_id) -> tuple:
@@ -144,16 +177,21 @@ def _group(key: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _tabled(docs: DataFrame, batches: int) -> DataFrame:
-    """doc_id, text, row and batch, written once in buckets of batches."""
+    """doc_id, text, row and batch, written once in buckets of batches.
+
+    The catalog forgets the table at once; what reads its files knows their buckets.
+    """
     spark = docs.sparkSession
     buckets = max(1, min(batches, max(int(spark.conf.get("spark.sql.shuffle.partitions")), batches // 32)))
     name = f"trendloom_{uuid.uuid4().hex}"
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(batches)).cast("int"))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(batches)).cast("int"))
     rows.repartition(buckets, "batch").write.bucketBy(buckets, "batch").sortBy("batch").option("compression", "zstd").option(
         "path", scratch_path(spark, "suffix-batches")
     ).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def _anchors(table: DataFrame, groups: int, length: int) -> DataFrame:
@@ -208,90 +246,107 @@ def _keys_of(part: pa.Table, batch: _Batch, groups: int) -> np.ndarray:
 
 
 def _slices(table: DataFrame, shared: DataFrame, groups: int, shards: int, length: int) -> DataFrame:
-    """shard, batch, data, sizes and owners: distinct slices of shared anchors."""
+    """shard, batch, data, sizes, keys and owners: distinct slices of shared anchors."""
     kind = table.schema["doc_id"].dataType.simpleString()
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        found = {"shard": [], "batch": [], "data": [], "sizes": [], "owners": []}
-        schema = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("data", pa.binary()), ("sizes", pa.binary()), ("owners", pa.list_(docs.schema.field("doc_id").type if docs.num_rows else pa.int64()))])
+        found = {"shard": [], "batch": [], "data": [], "sizes": [], "keys": [], "owners": []}
+        schema = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), *((name, pa.binary()) for name in ("data", "sizes", "keys")), ("owners", pa.list_(docs.schema.field("doc_id").type if docs.num_rows else pa.int64()))])
         if docs.num_rows and back.num_rows:
             batch = _Batch(docs, length)
-            groups_of = batch.shared(_keys_of(back, batch, groups))
-            for shard, members in _by_shard(groups_of, shards).items():
-                contents = [content for (_, content), _ in members]
+            groups_of = batch.shared(_keys_of(back, batch, groups), shards)
+            for shard, some in groups_of.of_shards():
+                contents = groups_of.contents[some]
                 found["shard"].append(shard)
                 found["batch"].append(docs.column("batch")[0].as_py())
                 found["data"].append(b"".join(contents))
                 found["sizes"].append(np.array([len(c) for c in contents], np.int64).tobytes())
-                found["owners"].append([batch.ids[batch.text[slices].min()] for _, slices in members])
+                found["keys"].append(groups_of.key[some].tobytes())
+                found["owners"].append([batch.ids[i] for i in groups_of.owner[some].tolist()])
         return pa.table(found, schema)
 
     return table.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(
-        run, f"shard int, batch int, data binary, sizes binary, owners array<{kind}>"
+        run, f"shard int, batch int, data binary, sizes binary, keys binary, owners array<{kind}>"
     )
 
 
-def _by_shard(groups: dict, shards: int) -> dict[int, list]:
-    """Distinct slices of a batch by shard, each in the order of anchor and content."""
-    dealt: dict[int, list] = {}
-    for member in sorted(groups.items(), key=lambda item: item[0]):
-        dealt.setdefault((member[0][0] >> 7) % shards, []).append(member)
-    return dealt
-
-
 class _Shard:
     """Distinct slices of one shard, laid into a file as they arrive.
 
     Slices that several batches send alike are one string with the smallest owner, as
-    long as its digest is remembered; one that is forgotten is only sorted again.
+    long as its digest is remembered; one that is forgotten is only sorted again.  The
+    first slice of an anchor waits until another one of the anchor differs from it; as
+    long as none does, it needs no sorting.
     """
 
     def __init__(self, number: int, length: int):
         self.number, self.length = number, length
         self.text = Text(length)
-        self.windows = Queue(self.text.held, np.dtype([("start", "<i8"), ("first", "<i8")]))
+        self.windows = Queue(self.text.held, np.dtype([("start", "<i8"), ("first", "<i8"), ("number", "<i8")]))
         self.owners: list[tuple] = []  # rank of the smallest owner of each distinct slice
+        self.counts: list[int] = []  # and its windows
         self.known: dict[bytes, int] = {}
+        self.firsts: dict[int, int] = {}  # the first slice of each anchor
+        self.waiting: dict[int, bytes] = {}
+        self.waiting_bytes = 0
         self.rows: list[tuple[int, np.ndarray, list[tuple]]] = []  # batch, its slices, their owners
         self.n_windows = 0
 
-    def add(self, batch: int, data: bytes, sizes: np.ndarray, owners: list) -> None:
+    def add(self, batch: int, data: bytes, sizes: np.ndarray, keys: np.ndarray, owners: list) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        ends = np.cumsum(sizes).tolist()
-        numbers, new, start = [], [], 0
+        numbers, ready, start = [], [], 0
         ranks = [_rank(owner) for owner in owners]
-        for end, rank in zip(ends, ranks):
-            digest = xxhash.xxh3_128_digest(data[start:end])
+        for size, key, rank in zip(sizes.tolist(), keys.tolist(), ranks):
+            content = data[start : start + size]
+            start += size
+            digest = xxhash.xxh3_128_digest(content)
             number = self.known.get(digest)
             if number is None:
                 number = self.known[digest] = len(self.owners)
                 self.owners.append(rank)
-                new.append((start, end))
+                self.counts.append(size - self.length + 1)
+                first = self.firsts.setdefault(key, number)
+                if first == number:
+                    self.waiting[number] = content
+                    self.waiting_bytes += size
+                else:
+                    if first in self.waiting:
+                        ready.append((first, self._taken_out(first)))
+                    ready.append((number, content))
             elif rank < self.owners[number]:
                 self.owners[number] = rank
             numbers.append(number)
-            start = end
         self.rows.append((batch, np.array(numbers, np.int64), ranks))
-        self._lay(data, np.array(new, np.int64).reshape(-1, 2))
-
-    def _lay(self, data: bytes, spans: np.ndarray) -> None:
-        sizes = spans[:, 1] - spans[:, 0]
+        if self.waiting_bytes > WAITING:
+            ready += [(number, self._taken_out(number)) for number in list(self.waiting)]
+        if ready:
+            self._lay(ready)
+
+    def _taken_out(self, number: int) -> bytes:
+        content = self.waiting.pop(number)
+        self.waiting_bytes -= len(content)
+        return content
+
+    def _lay(self, slices: list[tuple[int, bytes]]) -> None:
+        """Add the slices (number, content) to the text, each with a gap behind it."""
+        sizes = np.array([len(content) for _, content in slices], np.int64)
         n = np.arange(len(sizes))
         before = np.cumsum(sizes) - sizes
-        places = np.arange(int(sizes.sum())) + np.repeat(spans[:, 0] - before, sizes)
-        symbols = np.zeros(len(places) + len(sizes), np.uint16)
-        symbols[np.arange(len(places)) + np.repeat(n, sizes)] = np.frombuffer(data, np.uint8)[places].astype(np.uint16) + 1
+        symbols = np.zeros(int(sizes.sum()) + len(sizes), np.uint16)
+        data = np.frombuffer(b"".join([content for _, content in slices]), np.uint8)
+        symbols[np.arange(len(data)) + np.repeat(n, sizes)] = data.astype(np.uint16) + 1
         counts = sizes - self.length + 1
         rows = np.empty(len(sizes), self.windows.dtype)
         rows["start"] = self.text.size + before + n
         rows["first"] = self.n_windows + np.cumsum(counts) - counts
+        rows["number"] = [number for number, _ in slices]
         self.windows.put(rows)
         self.text.append(symbols)
         self.n_windows += int(counts.sum())
 
     def taken(self) -> np.ndarray:
-        """For each window whether a document with a smaller id than its slice's owner has it.
+        """For each window that was laid whether a document with a smaller id than its slice's owner has it.
 
         Suffixes come in order; those with a common prefix of a window's length are a
         group.  Its smallest owner is known once the group ends, so owners are compared
@@ -300,10 +355,14 @@ class _Shard:
         self.text.close()
         slices = self.windows.take(len(self.windows))
         starts, last = slices["start"], slices["first"]
-        self.first = last
+        self.first = np.full(len(self.owners), -1, np.int64)
+        self.first[slices["number"]] = last
+        if not len(slices):
+            return np.zeros(0, bool)
         counts = np.diff(np.r_[last, self.n_windows])
-        places = {rank: place for place, rank in enumerate(sorted(set(self.owners)))}
-        place = np.array([places[rank] for rank in self.owners], np.int64)
+        laid = [self.owners[number] for number in slices["number"].tolist()]
+        places = {rank: place for place, rank in enumerate(sorted(set(laid)))}
+        place = np.array([places[rank] for rank in laid], np.int64)
         ordered = Queue(self.text.held, np.dtype([("window", "<i8"), ("owner", "<i4"), ("new", "?")]))
         least = Queue(self.text.held, np.dtype("<i4"))
         open_least, any_open, pending = 0, False, False
@@ -355,13 +414,13 @@ class _Shard:
         """Batch and one bit per window, in the order in which its slices came."""
         if not self.rows:
             return
-        taken = self.taken()
-        first = np.r_[self.first, self.n_windows]
+        taken, sizes = np.r_[self.taken(), False], np.array(self.counts, np.int64)
         for batch, numbers, ranks in self.rows:
-            counts = first[numbers + 1] - first[numbers]
+            counts, first = sizes[numbers], self.first[numbers]
             ends = np.cumsum(counts)
-            at = np.arange(int(counts.sum())) + np.repeat(first[numbers] - (ends - counts), counts)
-            later = np.array([rank > self.owners[number] for rank, number in zip(ranks, numbers.tolist())])
+            at = np.arange(int(counts.sum())) + np.repeat(first - (ends - counts), counts)
+            at[np.repeat(first < 0, counts)] = -1  # never sorted: nobody before the smallest owner
+            later = np.array([rank > self.owners[number] for rank, number in zip(ranks, numbers.tolist())], bool)
             yield batch, np.packbits(taken[at] | np.repeat(later, counts)).tobytes()
 
 
@@ -387,13 +446,14 @@ def _owned_earlier(slices: DataFrame, shards: int, length: int) -> DataFrame:
 
         shard = None
         for part in parts:
-            columns = [part.column(name) for name in ("shard", "batch", "data", "sizes", "owners")]
-            for number, batch, data, sizes, owners in zip(*columns):
+            columns = [part.column(name) for name in ("shard", "batch", "data", "sizes", "keys", "owners")]
+            for number, batch, data, sizes, keys, owners in zip(*columns):
                 if shard is None or shard.number != number.as_py():
                     if shard is not None:
                         yield close(shard)
                     shard = _Shard(number.as_py(), length)
-                shard.add(batch.as_py(), data.as_py(), np.frombuffer(sizes.as_py(), np.int64), owners.as_py())
+                arrays = np.frombuffer(sizes.as_py(), np.int64), np.frombuffer(keys.as_py(), np.uint64)
+                shard.add(batch.as_py(), data.as_py(), *arrays, owners.as_py())
         if shard is not None:
             yield close(shard)
 
@@ -409,24 +469,13 @@ def _cut(table: DataFrame, back: DataFrame, groups: int, shards: int, length: in
         if not docs.num_rows:
             return pa.table({name: pa.array([], kind) for name, kind in (("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())))})
         batch = _Batch(docs, length)
-        edges = [np.zeros(len(text) + 1, np.int64) for text in batch.texts]
         bits = {s: b for s, b in zip(back.column("shard").to_pylist(), back.column("bits").to_pylist()) if b is not None}
-        numbers = batch.numbers()
-        for shard, members in _by_shard(batch.shared(_keys_of(back, batch, groups)), shards).items():
-            counts = [len(content) - length + 1 for (_, content), _ in members]
-            taken, at = np.unpackbits(np.frombuffer(bits[shard], np.uint8)).astype(bool), 0
-            for (_, slices), n in zip(members, counts):
-                mine, at = np.flatnonzero(taken[at : at + n]), at + n
-                owner = numbers[batch.text[slices].min()]
-                for i in slices:
-                    # A later id loses the whole slice to the owner; the owner what is older.
-                    start, edge = int(batch.first[i]), edges[batch.text[i]]
-                    if numbers[batch.text[i]] != owner:
-                        edge[start] += 1
-                        edge[start + n - 1 + length] -= 1
-                    elif len(mine):
-                        np.add.at(edge, start + mine, 1)
-                        np.add.at(edge, start + mine + length, -1)
+        of = batch.shared(_keys_of(back, batch, groups), shards)
+        windows = np.array([len(content) - length + 1 for content in of.contents], np.int64)
+        taken = [np.zeros(0, bool)]
+        for shard, some in of.of_shards():
+            taken.append(np.unpackbits(np.frombuffer(bits[shard], np.uint8), count=int(windows[some].sum())).astype(bool))
+        edges = _edges(batch, of, windows, np.concatenate(taken))
         found = {"doc_id": pa.array(batch.ids, docs.schema.field("doc_id").type), "kept": [], "n_bytes": [], "starts": [], "ends": []}
         for text, edge in zip(batch.texts, edges):
             gone = np.cumsum(edge[:-1]) > 0
@@ -442,6 +491,29 @@ def _cut(table: DataFrame, back: DataFrame, groups: int, shards: int, length: in
     )
 
 
+def _edges(batch: _Batch, of: _Groups, windows: np.ndarray, taken: np.ndarray) -> list[np.ndarray]:
+    """For each text and byte how many removed spans begin there, less those that end.
+
+    A later id loses the whole slice to the group's owner; the owner what is older.
+    """
+    length, numbers = batch.length, batch.numbers()
+    sizes = np.array([len(text) + 1 for text in batch.texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    start = begin[batch.text[of.slices]] + batch.first[of.slices]
+    whole = numbers[batch.text[of.slices]] != numbers[of.owner[of.group]]
+    n = windows[of.group]
+    # The windows of the slices that keep what is theirs, each with its place in ``taken``.
+    own, first = np.flatnonzero(~whole), np.cumsum(windows) - windows
+    counts = n[own]
+    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    gone = taken[np.repeat(first[of.group[own]], counts) + offset]
+    single = (np.repeat(start[own], counts) + offset)[gone]
+    total = int(sizes.sum())
+    opened = np.bincount(np.r_[start[whole], single], minlength=total)
+    closed = np.bincount(np.r_[(start + n - 1 + length)[whole], single + length], minlength=total)
+    return np.split(opened - closed, begin[1:])
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, kept (the bytes that stay), n_bytes, starts, ends.
 
