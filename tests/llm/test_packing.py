@@ -6,7 +6,7 @@ import pytest
 from tests.llm.awkward import ROWS, awkward, documents, empty
 from trendloom.llm.capacity_tree import CapacityTree
 from trendloom.llm.token_packing import best_fit_decreasing, packed_rows, split, unpacked, write_packed
-from trendloom.llm.variable_packing import Lengths, pack, packed_documents
+from trendloom.llm.variable_packing import Lengths, _packed, filled, pack, packed_documents
 
 
 @pytest.fixture(scope="module")
@@ -144,3 +144,58 @@ def test_variable_packing_of_awkward_rows(spark, encode):
         counts[doc_id].append(len(encode(text or "")))
     check_packed(packed_documents(awkward(spark)).collect(), counts)
     assert packed_documents(empty(spark)).count() == 0
+
+
+def cheapest(sizes, lengths):
+    """The least cost of all partitions of the items into bins."""
+    best = {0: 0.0}
+    for done in range(1 << len(sizes)):
+        if done not in best:
+            continue
+        rest = [i for i in range(len(sizes)) if not done >> i & 1]
+        if not rest:
+            continue
+        others = rest[1:]
+        for some in range(1 << len(others)):
+            chosen = [rest[0]] + [i for place, i in enumerate(others) if some >> place & 1]
+            holding = lengths.holding(sum(sizes[i] for i in chosen))
+            if holding:
+                after = done | sum(1 << i for i in chosen)
+                cost = best[done] + lengths.cost(holding[0])
+                best[after] = min(best.get(after, cost), cost)
+    return best[(1 << len(sizes)) - 1]
+
+
+def cost_of(bins, lengths):
+    return sum(lengths.cost(length) for length, _ in bins)
+
+
+def test_cost_is_near_the_least_of_all_assignments():
+    draw, lengths, ratios = random.Random(4), Lengths((4, 8, 16), 2.0, 24.0), []
+    for _ in range(60):
+        sizes = [draw.randrange(1, 17) for _ in range(draw.randrange(1, 8))]
+        ratios.append(cost_of(pack(sizes, lengths), lengths) / cheapest(sizes, lengths))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.25 and sum(ratios) / 60 < 1.03
+
+
+def test_joint_choice_costs_no_more_than_any_single_length():
+    draw, lengths = random.Random(6), Lengths()
+    opened = set()
+    for spread in (300, 900, 3000, 8000):
+        sizes = [min(8192, 1 + int(draw.expovariate(1 / spread))) for _ in range(400)]
+        bins = pack(sizes, lengths)
+        opened |= {length for length, _ in bins}
+        for single in lengths.permitted:
+            if max(sizes) <= single:
+                alone = best_fit(sizes, single)
+                assert cost_of(bins, lengths) <= len(alone) * lengths.cost(single) + 1e-6
+            cost, _ = _packed(sizes, lengths, single)
+            assert cost_of(bins, lengths) <= cost
+    assert len(opened) > 2
+
+
+def test_opened_length_depends_on_what_is_left():
+    lengths = Lengths((8, 16, 32), 2.0, 1e9)
+    opened = lambda sizes: sorted(length for length, _ in _packed(sizes, lengths, None)[1])
+    assert opened([7] * 2) == [16] and opened([7]) == [8] and opened([7] * 8) == [32, 32]
+    assert filled([-7, -5, -5, -1, 0], 0, 11) == 8 and filled([-7, -5], 1, 4) == 0

@@ -42,3 +42,16 @@ def test_awkward_rows(spark, library):
     found = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in rows)
     assert found == sorted((row[0] or -1, len((row[1] or "").encode()), library(row[1] or "")) for row in ROWS)
     assert token_counts.token_counts(empty(spark)).count() == 0
+
+
+def test_what_a_file_does_is_asked_of_it(library, monkeypatch):
+    """A mark that is no token of its own, or words without an end, take the general way."""
+    counts = WordCounts(tokenizer_path(TOKENIZER))
+    assert counts.by_letters and counts.marks == set(token_counts.MARKS)
+    texts = ["the house. Was, it?", "x!", "né;"]
+    want = [library(text) for text in texts]
+    counts.marks = set()
+    assert counts.of(texts).tolist() == want
+    counts.known.clear()
+    counts.by_letters = False
+    assert counts.of(texts).tolist() == want

@@ -120,3 +120,13 @@ def test_empty_tables(spark):
     assert score(empty(spark), learn(empty(spark), nothing)).count() == 0
     rows = score(awkward(spark), learn(awkward(spark), nothing)).select(F.countDistinct("score")).first()
     assert rows[0] == 1
+
+
+def test_text_ids(spark):
+    """Evidence has the ids' type."""
+    rows = [(f"d{i}", "you idiot scum " + "w" * (i % 7) if i % 2 else f"a fine day {i % 9} here") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = docs.selectExpr("doc_id", "cast(text LIKE 'you%' AS int) AS toxic")
+    found = score(docs, learn(docs, labels))
+    assert dict(found.dtypes)["evidence_ids"] == "array<string>" and found.count() == 200
+    assert any(r.evidence_ids for r in found.collect())

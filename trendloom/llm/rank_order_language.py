@@ -142,8 +142,10 @@ def profiles(training: DataFrame, length: int = PROFILE) -> DataFrame:
         count, "lang string, ngram string, times long"
     )
     summed = counted.groupBy("lang", "ngram").agg(F.sum("times").alias("times"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "ngram")) - 1
-    return summed.withColumn("place", place).filter(F.col("place") < length)
+    # A filter on the number itself, which Spark limits before the rows of a language meet.
+    number = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("times"), "ngram"))
+    first = summed.withColumn("place", number).filter(F.col("place") <= length)
+    return first.withColumn("place", F.col("place") - 1)
 
 
 class Profiles:

@@ -26,9 +26,10 @@ LIMIT = 2048
 CALL_BYTES = 64 << 10
 REMEMBERED = 300_000
 #: A word of such letters is one piece of text to the tokenizer, and one such mark
-#: after it another piece of one token.
+#: after it another piece of one token, if the tokenizer of the file shows it to be so.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 MARKS = ".,;:!?"
+SAMPLES = ["a", "the", "Haus", "\u00e9t\u00e9", "xqzwv"]
 
 
 def _calls(words: Iterable[str]) -> Iterator[list[str]]:
@@ -58,13 +59,20 @@ class WordCounts:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
+        alone = {word: len(self.tokenizer.encode(word, add_special_tokens=False)) for word in self._samples()}
+        self.by_letters = self._plain(SAMPLES) == [alone[word] for word in SAMPLES]
+        self.marks = {mark for mark in MARKS if all(alone[word + mark] == alone[word] + 1 for word in SAMPLES)}
+
+    @staticmethod
+    def _samples() -> list[str]:
+        return [word + mark for word in SAMPLES for mark in ("", *MARKS)]
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words: plain ones by their letters, the others with the places of tokens."""
         plain, other = {}, []
         for word in words:
-            letters = word[:-1] if word[-1] in MARKS else word
-            if LETTERS.fullmatch(letters):
+            letters = word[:-1] if word[-1] in self.marks else word
+            if self.by_letters and LETTERS.fullmatch(letters):
                 plain.setdefault(letters, []).append(word)
             else:
                 other.append(word)

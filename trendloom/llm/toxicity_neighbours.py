@@ -379,6 +379,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     smoothed share of toxic rows among such examples, and no evidence.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned, known = shared.value, {}
@@ -390,15 +391,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     part.column("doc_id"),
                     pa.array(scores),
                     pa.array((scores >= 0.5).astype(np.int32)),
-                    pa.array([ids for _, ids, _ in found], pa.list_(pa.int64())),
+                    pa.array([ids for _, ids, _ in found], pa.list_(part.schema.field("doc_id").type)),
                     pa.array([near for _, _, near in found], pa.list_(pa.float64())),
                 ],
                 ["doc_id", "score", "predicted", "evidence_ids", "evidence_similarity"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         run,
-        f"doc_id {kind}, score double, predicted int, evidence_ids array<long>, "
+        f"doc_id {kind}, score double, predicted int, evidence_ids array<{kind}>, "
         "evidence_similarity array<double>",
     )

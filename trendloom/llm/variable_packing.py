@@ -1,16 +1,20 @@
 """Best-fit packing with several permitted lengths of a sequence.
 
 Items are placed from the longest on, in the open bin, of whatever length, with
-the least room that takes them.  If none does, a bin is opened: of the lengths
-that hold the item, the one with the least cost for each token it can be expected
-to carry, which is its length or all that is left to place.  The cost of a length
-has a fixed part, a part for each token and one for attention, which grows with
-the square; so the lengths compete, and neither the longest nor the shortest wins
-by itself.  At the end each bin is given the shortest length that holds its content.
+the least room that takes them.  If none does, a bin is opened: for each length that
+holds the item it is tried out how far the items still to be placed would fill it, and
+the length with the least cost for a token that it would carry is taken.  The cost of a
+length has a fixed part, a part for each token and one for attention, which grows with
+the square; so the lengths compete, and which one wins depends on what is left.  At
+the end each bin is given the shortest length that holds its content.
+
+The same is done with one length preferred wherever it holds the item, for each length,
+and the cheapest of these packings is the result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,26 +47,45 @@ class Lengths:
         return [length for length in sorted(self.permitted) if length >= size]
 
 
-def pack(sizes: list[int], lengths: Lengths) -> list[tuple[int, list[int]]]:
-    """Bins as their length and the numbers of their items; no item is longer than the longest."""
+def filled(ordered: list[int], start: int, room: int) -> int:
+    """Tokens of the items from ``start`` on that go into the room, the longest that fits each time.
+
+    ``ordered`` has the sizes as negative numbers, the longest first.
+    """
+    used = 0
+    while (start := bisect_left(ordered, used - room, start)) < len(ordered) and ordered[start]:
+        used -= ordered[start]
+        start += 1
+    return used
+
+
+def _packed(sizes: list[int], lengths: Lengths, preferred: int | None) -> tuple[float, list[tuple[int, list[int]]]]:
+    """Cost and bins; without a preferred length each bin's is chosen by what is left to place."""
     open_bins = CapacityTree(max(lengths.permitted))
     bins: list[list[int]] = []
-    left = sum(sizes)
-    for item in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    ordered = [-sizes[i] for i in order]
+    for place, item in enumerate(order):
         size = sizes[item]
         found = open_bins.take(size)
         if found is None:
-            length = min(
-                lengths.holding(size),
-                key=lambda n: (lengths.cost(n) / max(1, min(n, left)), n),
-            )
-            found = length, len(bins)
+            holding = lengths.holding(max(size, preferred or 0)) or lengths.holding(size)
+            if preferred is None:
+                carried = {n: size + filled(ordered, place + 1, n - size) for n in holding}
+                holding.sort(key=lambda n: (lengths.cost(n) / max(1, carried[n]), n))
+            found = holding[0], len(bins)
             bins.append([])
         free, number = found
         bins[number].append(item)
         open_bins.put(free - size, number)
-        left -= size
-    return [(lengths.holding(sum(sizes[i] for i in items))[0], items) for items in bins]
+    sized = [(lengths.holding(sum(sizes[i] for i in items))[0], items) for items in bins]
+    return sum(lengths.cost(length) for length, _ in sized), sized
+
+
+def pack(sizes: list[int], lengths: Lengths) -> list[tuple[int, list[int]]]:
+    """Bins as their length and the numbers of their items; no item is longer than the longest."""
+    tried = [_packed(sizes, lengths, preferred) for preferred in (None, *sorted(lengths.permitted))]
+    return min(tried, key=lambda found: found[0])[1]
 
 
 SCHEMA = "doc_id {id}, piece int, n_tokens int, bin string, start int, capacity int, used int"
