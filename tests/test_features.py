@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trendloom.operators import block_svd, filters, svd, tfidf
+from trendloom.operators import block_svd, filters, sampling, svd, tfidf
 from trendloom.operators.sampling import hash_sample, hash_sample_per_group
 from trendloom.plans import fixtures as fx
 from trendloom.plans.queries import QUERIES
@@ -193,3 +193,16 @@ def test_small_vocabularies_are_sent(spark, fitted, capsys):
     model.transform(spark.createDataFrame([("x", "a b")], "id string, text string"), "id", "text").explain("formatted")
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_samples_of_repeated_and_null_ids(spark, monkeypatch):
+    """A hot id is counted, not ranked, and the sample has its size all the same."""
+    monkeypatch.setattr(sampling, "RANKED_ROWS", 50)
+    key = F.when(F.col("n") % 3 > 0, F.lit(None)).otherwise((F.col("n") / 30).cast("long"))
+    frame = spark.range(3000).withColumnRenamed("id", "n").withColumn("id", key)
+    for n in (1, 7, 500, 1500, 2999, 3000, 4000):
+        got = {r.n for r in hash_sample(frame, "id", n).collect()}
+        assert len(got) == min(n, 3000)
+        assert got == {r.n for r in hash_sample(frame.repartition(7), "id", n).collect()}
+    same = spark.range(200).select(F.lit("a").alias("id"))
+    assert hash_sample(same, "id", 10).count() == 200

@@ -19,8 +19,14 @@ from trendloom.session import materialize
 PREFIX_DIGITS = 4
 
 
+# Border prefixes with more rows than this are looked at more closely.
+RANKED_ROWS = 100_000
+
+
 def random_order(id_column: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"#{seed}")))
+    """The place of an id; null has one too."""
+    named = F.coalesce(F.col(id_column).cast("string"), F.lit("\0null"))
+    return F.md5(F.concat(named, F.lit(f"#{seed}")))
 
 
 def _hashes(df: DataFrame, groups: list[str], id_column: str, seed: int) -> DataFrame:
@@ -43,24 +49,52 @@ def _borders(hashes: DataFrame, groups: list[str], n: int) -> DataFrame:
     )
 
 
+def _cut(order: DataFrame, n: int) -> tuple[str, int, int] | None:
+    """The n-th smallest hash of ``order`` (_hash), its rows, and how many of them are among the n.
+
+    None if there are fewer rows.  Prefixes get longer until few rows have the one at the
+    border, so a hash that many rows share is counted and never ranked.
+    """
+    prefix, before = "", 0
+    for digits in range(PREFIX_DIGITS, 33, PREFIX_DIGITS):
+        inside = order.filter(F.col("_hash").startswith(prefix)) if prefix else order
+        histogram = inside.groupBy(F.substring("_hash", 1, digits).alias("_prefix")).agg(F.count("*").alias("_rows"))
+        upto = before + F.sum("_rows").over(Window.orderBy("_prefix"))
+        border = (
+            histogram.withColumn("_upto", upto)
+            .filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_rows") < n))
+            .first()
+        )
+        if border is None:
+            return None
+        prefix, before = border["_prefix"], border["_upto"] - border["_rows"]
+        if border["_rows"] <= RANKED_ROWS:
+            break
+    counted = order.filter(F.col("_hash").startswith(prefix)).groupBy("_hash").agg(F.count("*").alias("_rows"))
+    upto = before + F.sum("_rows").over(Window.orderBy("_hash"))
+    last = counted.withColumn("_upto", upto).filter(F.col("_upto") >= n).orderBy("_hash").first()
+    return last["_hash"], last["_rows"], n - (last["_upto"] - last["_rows"])
+
+
 def hash_sample(df: DataFrame, id_column: str, n: int, seed: int = 0) -> DataFrame:
-    """A uniform sample of ``min(n, rows)`` rows; ids are unique.
+    """A uniform sample of ``min(n, rows)`` rows.
 
-    Finding the cut reads the ids twice and brings one row to the driver each
-    time; the sample itself is then a plain filter.
+    Finding the cut reads the ids a few times and brings one row to the driver each
+    time; the sample itself is then a plain filter.  Null counts as an id.  Rows that
+    share an id lie together in the order; if the cut falls among them, they go by the
+    hash of all their columns, and only rows that agree in these share their fate.
     """
-    hashes = _hashes(df, [], id_column, seed)
-    border = _borders(hashes, [], n).first()
-    if border is None:
+    order = random_order(id_column, seed)
+    found = _cut(df.select(order.alias("_hash")), n)
+    if found is None:
         return df
-    place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_hash"))
-    cut = (
-        hashes.filter(F.col("_prefix") == border["_prefix"])
-        .withColumn("_place", place)
-        .filter(F.col("_place") == border["_wanted"])
-        .first()["_hash"]
-    )
-    return df.filter(random_order(id_column, seed) <= cut)
+    cut, rows, room = found
+    if rows == room:
+        return df.filter(order <= cut)
+    tied = df.filter(order == cut)
+    whole = F.md5(F.concat(F.xxhash64(*df.columns).cast("string"), F.lit(f"#{seed}")))
+    last, _, _ = _cut(tied.select(whole.alias("_hash")), room)
+    return df.filter((order < cut) | ((order == cut) & (whole <= last)))
 
 
 def hash_sample_per_group(
