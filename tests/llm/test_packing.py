@@ -158,7 +158,7 @@ def cheapest(sizes, lengths):
         others = rest[1:]
         for some in range(1 << len(others)):
             chosen = [rest[0]] + [i for place, i in enumerate(others) if some >> place & 1]
-            holding = lengths.holding(sum(sizes[i] for i in chosen))
+            holding = [n for n in lengths.permitted if n >= sum(sizes[i] for i in chosen)]
             if holding:
                 after = done | sum(1 << i for i in chosen)
                 cost = best[done] + lengths.cost(holding[0])
@@ -166,6 +166,10 @@ def cheapest(sizes, lengths):
     return best[(1 << len(sizes)) - 1]
 
 
+def longest_first(sizes):
+    return sorted(range(len(sizes)), key=lambda i: -sizes[i])
+
+
 def cost_of(bins, lengths):
     return sum(lengths.cost(length) for length, _ in bins)
 
@@ -189,13 +193,13 @@ def test_joint_choice_costs_no_more_than_any_single_length():
             if max(sizes) <= single:
                 alone = best_fit(sizes, single)
                 assert cost_of(bins, lengths) <= len(alone) * lengths.cost(single) + 1e-6
-            cost, _ = _packed(sizes, lengths, single)
+            cost, _ = _packed(sizes, longest_first(sizes), lengths, single)
             assert cost_of(bins, lengths) <= cost
     assert len(opened) > 2
 
 
 def test_opened_length_depends_on_what_is_left():
     lengths = Lengths((8, 16, 32), 2.0, 1e9)
-    opened = lambda sizes: sorted(length for length, _ in _packed(sizes, lengths, None)[1])
+    opened = lambda sizes: sorted(length for length, _ in _packed(sizes, longest_first(sizes), lengths, None)[1])
     assert opened([7] * 2) == [16] and opened([7]) == [8] and opened([7] * 8) == [32, 32]
     assert filled([-7, -5, -5, -1, 0], 0, 11) == 8 and filled([-7, -5], 1, 4) == 0

@@ -43,9 +43,6 @@ class Lengths:
     def cost(self, length: int) -> float:
         return self.fixed + length + length**2 / self.attention
 
-    def holding(self, size: int) -> list[int]:
-        return [length for length in sorted(self.permitted) if length >= size]
-
 
 def filled(ordered: list[int], start: int, room: int) -> int:
     """Tokens of the items from ``start`` on that go into the room, the longest that fits each time.
@@ -59,32 +56,43 @@ def filled(ordered: list[int], start: int, room: int) -> int:
     return used
 
 
-def _packed(sizes: list[int], lengths: Lengths, preferred: int | None) -> tuple[float, list[tuple[int, list[int]]]]:
-    """Cost and bins; without a preferred length each bin's is chosen by what is left to place."""
-    open_bins = CapacityTree(max(lengths.permitted))
+def _packed(
+    sizes: list[int], order: list[int], lengths: Lengths, preferred: int | None
+) -> tuple[float, list[tuple[int, list[int]]]]:
+    """Cost and bins; without a preferred length each bin's is chosen by what is left to place.
+
+    ``order`` has the numbers of the items, the longest first.
+    """
+    permitted = sorted(lengths.permitted)
+    open_bins = CapacityTree(permitted[-1])
     bins: list[list[int]] = []
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    rooms: list[tuple[int, int]] = []  # length and what is free of it
     ordered = [-sizes[i] for i in order]
     for place, item in enumerate(order):
         size = sizes[item]
         found = open_bins.take(size)
         if found is None:
-            holding = lengths.holding(max(size, preferred or 0)) or lengths.holding(size)
+            holding = permitted[bisect_left(permitted, max(size, preferred or 0)) :] or permitted[-1:]
+            length = holding[0]
             if preferred is None:
                 carried = {n: size + filled(ordered, place + 1, n - size) for n in holding}
-                holding.sort(key=lambda n: (lengths.cost(n) / max(1, carried[n]), n))
-            found = holding[0], len(bins)
+                length = min(holding, key=lambda n: (lengths.cost(n) / max(1, carried[n]), n))
+            found = length, len(bins)
             bins.append([])
+            rooms.append((length, length))
         free, number = found
         bins[number].append(item)
+        rooms[number] = rooms[number][0], free - size
         open_bins.put(free - size, number)
-    sized = [(lengths.holding(sum(sizes[i] for i in items))[0], items) for items in bins]
-    return sum(lengths.cost(length) for length, _ in sized), sized
+    sized = [(permitted[bisect_left(permitted, length - free)], items) for (length, free), items in zip(rooms, bins)]
+    cost = {length: lengths.cost(length) for length in permitted}
+    return sum(cost[length] for length, _ in sized), sized
 
 
 def pack(sizes: list[int], lengths: Lengths) -> list[tuple[int, list[int]]]:
     """Bins as their length and the numbers of their items; no item is longer than the longest."""
-    tried = [_packed(sizes, lengths, preferred) for preferred in (None, *sorted(lengths.permitted))]
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    tried = [_packed(sizes, order, lengths, preferred) for preferred in (None, *sorted(lengths.permitted))]
     return min(tried, key=lambda found: found[0])[1]
 
 
