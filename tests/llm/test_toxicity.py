@@ -1,28 +1,73 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.awkward import ROWS, awkward, empty
 from trendloom.llm.rank_order_language import held_out
-from trendloom.llm.toxicity_neighbours import Index, labelled_sample, learn, monotone_curve, score
+from trendloom.llm.toxicity_neighbours import (
+    Index,
+    Settings,
+    Vectors,
+    labelled_sample,
+    learn,
+    monotone_curve,
+    score,
+    term_hash,
+    terms_of,
+    vote,
+)
 
 LABELS = "doc_id long, toxic int, quality int, text string"
 
 
-def test_search_is_exact():
-    draw = random.Random(1)
-    rows = []
+def rows_of(dicts):
+    terms = [sorted(d) for d in dicts]
+    flat = [d[t] for d, of in zip(dicts, terms) for t in of]
+    return Vectors(np.cumsum([0, *map(len, terms)]), np.array([t for of in terms for t in of], np.int64), np.array(flat, float))
+
+
+def cosines(query, examples):
+    return [sum(w * example.get(t, 0.0) for t, w in query.items()) for example in examples]
+
+
+@pytest.mark.parametrize("n_terms, most", [(12, 5), (400, 30)])
+def test_search_is_exact(n_terms, most):
+    """Few terms, all frequent, and many of very different frequency; ties go by place."""
+    draw, rows = random.Random(1), []
     for i in range(700):
-        terms = sorted(draw.sample(range(12), draw.randrange(1, 5)))
-        weights = np.array([draw.random() for _ in terms])
-        rows.append((i, draw.randrange(2), tuple(terms), tuple((weights / np.linalg.norm(weights)).tolist())))
-    index = Index.build(rows, 12, 16)
-    by_id = {r[0]: dict(zip(r[2], r[3])) for r in rows}
-    for row in rows[:60]:
-        similar = sorted((sum(w * by_id[i].get(t, 0) for t, w in zip(row[2], row[3])) for i in by_id), reverse=True)
-        _, found = index.nearest(row[2], row[3], 20)
-        assert np.allclose(found, [s for s in similar if s > 0][:20])
+        terms = {int(n_terms * draw.random() ** 3) for _ in range(draw.randrange(1, most))}
+        weights = {t: draw.choice([1.0, 2.0, 0.5]) for t in terms}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        rows.append({t: w / length for t, w in weights.items()})
+    index = Index.build(rows_of(rows), list(range(700)), np.arange(700), np.arange(700) % 2, n_terms, 16)
+    assert (index.toxic == np.array(index.ids) % 2).all() and (index.keys == index.ids).all()
+    queries = rows[:300] + [{}]
+    for query, (places, found) in zip(queries, index.nearest(rows_of(queries), 20), strict=True):
+        all_of = cosines(query, rows)
+        assert np.allclose(found, sorted((s for s in all_of if s > 1e-12), reverse=True)[:20], atol=1e-6)
+        assert np.allclose([all_of[index.ids[p]] for p in places], found, atol=1e-6)
+        assert list(places) == [p for _, p in sorted(zip(-found, places))]
+
+
+def test_unlike_blocks_stay_closed():
+    """Blocks whose bound is below the k-th sum so far are not opened."""
+    rows = [{g: 0.6, 50 + 40 * g + i % 40: 0.8} for g in range(8) for i in range(64)]
+    index = Index.build(rows_of(rows), list(range(512)), np.arange(512), np.zeros(512), 400, 64)
+    opened = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, (int, np.integer)):
+                opened.append(int(at))
+            return np.asarray(self)[at]
+
+    index.blocks = index.blocks.view(Watched)
+    ((places, found),) = index.nearest(rows_of([rows[70]]), 2)
+    assert 70 in [index.ids[p] for p in places] and abs(found[0] - 1) < 1e-6 and len(set(opened)) < 8
 
 
 def test_curve_never_falls():
@@ -70,7 +115,7 @@ def test_copies_take_no_words_away(spark):
     all_rows = rows.union(copies)
     labels = all_rows.filter("doc_id < 900 OR doc_id >= 10000").select("doc_id", "toxic")
     model = learn(all_rows.select("doc_id", "text"), labels)
-    assert {"vile", "nasty", "foul"} <= set(model.numbers)
+    assert {"vile", "nasty", "foul"} <= model.vocabulary.marks
     found = score(all_rows, model).join(all_rows.select("doc_id", "toxic"), "doc_id").collect()
     held = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert sum(r.predicted == r.toxic for r in held) > 0.98 * len(held)
@@ -87,7 +132,7 @@ def test_many_words_of_copies_push_none_out(spark):
     all_rows = rows.union(spark.createDataFrame(labelled_toxic(groups), rows.schema))
     labels = all_rows.filter("doc_id < 900 OR doc_id >= 10000").select("doc_id", "toxic")
     model = learn(all_rows.select("doc_id", "text"), labels)
-    assert {"vile", "nasty", "foul"} <= set(model.numbers)
+    assert {"vile", "nasty", "foul"} <= model.vocabulary.marks
 
 
 def test_sample_is_bounded_in_rows(spark):
@@ -109,6 +154,68 @@ def test_given_documents(spark):
     assert sum(r.predicted for r in found if not r.toxic) < 0.005 * len(found)
 
 
+def test_brute_force(spark):
+    """Scores and evidence of all documents against cosines of all pairs."""
+    folder, settings = "/root/testdata/sf0.001", Settings(neighbours=7)
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    model = learn(docs, labels, settings)
+    words = model.vocabulary
+    number = {h: i for i, h in enumerate(words.hashes.tolist())}
+
+    def vector(text):
+        raw = {}
+        for term, count in Counter(terms_of(text or "")).items():
+            if term_hash(term) in number:
+                raw[number[term_hash(term)]] = (1 + math.log(count)) * words.idf[number[term_hash(term)]]
+        parts = [{t: w for t, w in raw.items() if words.marked[t] == side} for side in (False, True)]
+        shares = [0.5, 0.5] if all(parts) else [1.0, 1.0]
+        return {t: w * math.sqrt(share / sum(x * x for x in part.values())) for part, share in zip(parts, shares) for t, w in part.items()}
+
+    examples = labelled_sample(docs, labels, settings.examples).collect()
+    terms = {term for e in examples for term in terms_of(e.text)}
+    assert set(map(term_hash, terms)) == set(number)
+    place = {key: i for i, key in enumerate(model.index.keys.tolist())}
+    known = sorted((e for e in examples if terms_of(e.text)), key=lambda e: place[e.key])
+    vectors = [vector(e.text) for e in known]
+    toxic = np.array([e.toxic for e in known], float)
+    assert model.index.ids == [e.doc_id for e in known] and (model.index.toxic == toxic).all()
+
+    def nearest(query, without=None):
+        near = np.array(cosines(query, vectors))
+        if without is not None:
+            near[without] = -1
+        best = [p for p in np.lexsort((np.arange(len(near)), -near.round(6)))[: settings.neighbours] if near[p] > 1e-9]
+        return best, near[best]
+
+    own = [nearest(query, i) for i, query in enumerate(vectors)]
+    steps, values = monotone_curve(
+        [round(vote(toxic[best], near), 4) for best, near in own if best], [toxic[i] for i, (best, _) in enumerate(own) if best]
+    )
+    assert np.allclose(np.interp(steps, model.curve[0], model.curve[1]), values, atol=0.05)
+    found = {r.doc_id: r for r in score(docs, model).collect()}
+    texts = docs.collect()
+    assert len(found) == len(texts)
+    for row in texts:
+        best, near = nearest(vector(row.text))
+        got = found[row.doc_id]
+        assert np.allclose(got.evidence_similarity, near[:3], atol=1e-5)
+        if best:
+            share = vote(toxic[best], near)
+            at = [model.curve[1][max(0, int(np.searchsorted(model.curve[0], share + e, side="right")) - 1)] for e in (-1e-4, 1e-4)]
+            assert at[0] - 1e-9 <= got.score <= at[1] + 1e-9
+
+
+def test_edited_copy_finds_its_text(spark):
+    """Without its marked word, too, and clean texts as well."""
+    rows = made_up(spark)
+    labels = rows.filter("doc_id < 900").select("doc_id", "toxic")
+    model = learn(rows.select("doc_id", "text"), labels)
+    taught = [r for r in rows.filter(~held_out()).filter("doc_id < 900").collect()][:150]
+    edited = [(r.doc_id, " ".join([w for w in r.text.split() if w not in ("vile", "nasty", "foul")][1:])) for r in taught]
+    found = score(spark.createDataFrame(edited, "doc_id long, text string"), model).collect()
+    assert all(r.evidence_ids[0] == r.doc_id for r in found)
+
+
 def test_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0, None), (1, 0, 1, "x"), (None, 1, 0, ""), (2, None, 0, ""), (8, 0, 0, ""), (99, 1, 1, "")], LABELS)
     rows = score(awkward(spark), learn(awkward(spark), labels)).collect()

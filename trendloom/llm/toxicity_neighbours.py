@@ -1,37 +1,39 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Learning, from a bounded sample of labelled rows: terms that go with the label in
-both halves of the sample make the vocabulary, examples become unit TF-IDF
-vectors, and an inverted index keeps their weights by term in blocks of examples
-with the largest weight of each block.  A search adds these maxima up to a bound
-for every block, scores blocks from the highest bound on, and ends when no bound
-passes the k-th similarity found, so its result is exact.
+Learning, from a bounded sample of labelled rows: every term of the examples is in
+the vocabulary.  Terms that go with the label in both halves of the sample are
+marked; they make up half of the squared length of a vector that has some, so that
+one insult in a long text still counts, and all other terms the rest.  An inverted
+index keeps the examples' weights by term and, for blocks of examples, the largest.
+
+A search adds up the lists of the rarer terms.  For the frequent ones, which hold
+most of all entries, the maxima of a block give a bound first; a block whose bound is
+below the k-th sum so far is not opened.  What is left is added up again in doubles,
+so the result is exact.
 
 The neighbours vote with weights that fall with their distance.  Votes become
 probabilities by a monotone curve fitted to the examples' own votes, each without
 itself.  The nearest examples are returned as evidence.  Copies of a labelled text
-are one example; a text without a term of the vocabulary whose words are those of a
-labelled text has that text's label.
+are one example; the same text and its edited copies find it first.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.rank_order_language import held_out
-from trendloom.llm.text import byte_slices, mixed, texts_of
+from trendloom.llm.text import WordHashes, byte_slices, mixed, texts_of
 from trendloom.operators.sampling import hash_sample
 from trendloom.session import materialize
 
@@ -42,14 +44,16 @@ TERM = re.compile(r"[^\W\d_]+")
 class Settings:
     """Bounds of what is learned from, and the search.
 
-    ``examples``: labelled texts sampled, the smallest hashes of their digests.
-    ``chi_square``: least significance of a term in each half; the sample bounds the
-    vocabulary.
+    ``examples``: labelled texts sampled, the smallest hashes of their digests; they
+    bound vocabulary and index.
+    ``chi_square``: least significance of a marked term in each half.
+    ``marked``: share of marked terms in the squared length of a vector.
     """
 
     examples: int = 20_000
     chi_square: float = 10.83
     least_documents: int = 3
+    marked: float = 0.5
     neighbours: int = 25
     block: int = 64
     evidence: int = 3
@@ -60,7 +64,7 @@ def terms_of(text: str) -> list[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
-    """doc_id, toxic, half, weight, text of the sampled examples; a written table of at most ``examples`` rows.
+    """key, doc_id, toxic, half, weight, text of the sampled examples; a written table of at most ``examples`` rows.
 
     Held-out ids and null labels teach nothing; a repeated id counts as toxic if one
     of its labels says so.  Copies of one text are one example with the smallest of
@@ -86,7 +90,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int) -> DataFr
     size = F.sort_array(F.collect_list("size"), asc=False)[1]
     weights = slots.join(sizes, ["slot", "value"]).groupBy("digest").agg((1.0 / size).alias("weight"))
     weighted = texts.join(F.broadcast(weights), "digest")
-    return materialize(weighted.select("doc_id", "toxic", "half", "weight", "text"), "label-weights")
+    key = F.xxhash64("digest").alias("key")
+    return materialize(weighted.select(key, "doc_id", "toxic", "half", "weight", "text"), "label-weights")
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -153,19 +158,17 @@ def _chi_square(n, t, rows: float, toxic: float):
     return F.when(below > 0, F.signum(cross) * rows * cross * cross / below).otherwise(0.0)
 
 
-def vocabulary(examples: DataFrame, settings: Settings) -> dict[str, float]:
-    """The terms that go with the label, or against it, in both halves, with their IDF.
+def vocabulary(examples: DataFrame, settings: Settings) -> Vocabulary:
+    """All terms of the examples; marked are those that go with the label, or against it, in both halves.
 
     A term must also do so if, on the side it goes with, examples in which it has the
     same neighbours count once: near copies of one text are no independent examples.
     More of them take nothing from a term that others have too.
     """
     sizes = {row["half"]: row for row in examples.groupBy("half").agg(F.sum("weight").alias("rows"), F.sum(F.col("toxic") * F.col("weight")).alias("toxic")).collect()}
-    if len(sizes) < 2:
-        return {}
     scores = {}
     for h in (0, 1):
-        rows, toxic = sizes[h]["rows"], sizes[h]["toxic"]
+        rows, toxic = (sizes[h]["rows"], sizes[h]["toxic"]) if h in sizes else (0.0, 0.0)
         n, t, d, u = (F.col(f"{name}{h}") for name in "ntdu")
         scores[f"s{h}"] = _chi_square(n, t, rows, toxic)
         # Collapsed on the toxic side, and on the clean one.
@@ -176,79 +179,164 @@ def vocabulary(examples: DataFrame, settings: Settings) -> dict[str, float]:
     up = strong("s0", "s1") & strong("up0", "up1") & (df - F.col("t0") - F.col("t1") + F.col("u0") + F.col("u1") >= settings.least_documents)
     against = F.greatest("s0", "s1") <= -settings.chi_square
     down = against & strong("down0", "down1") & (F.col("t0") + F.col("t1") + F.col("d0") + F.col("d1") >= settings.least_documents)
-    found = term_counts(examples).withColumns(scores).filter(up | down).select("term", df.alias("df"))
+    counted = term_counts(examples).withColumns(scores).select("term", df.alias("df"), (up | down).alias("marked"))
+    # As many rows as the sampled texts have terms, in Arrow columns.
+    found = counted.toArrow()
+    terms = found.column("term").to_pylist()
+    hashes = np.fromiter((term_hash(term) for term in terms), np.uint64, len(terms))
     rows = sum(row["rows"] for row in sizes.values())
-    return {row["term"]: math.log((1 + rows) / (1 + row["df"])) + 1 for row in found.collect()}
+    hashes, first = np.unique(hashes, return_index=True)
+    marked = found.column("marked").to_numpy().astype(bool)
+    return Vocabulary(
+        hashes,
+        np.log1p(rows / found.column("df").to_numpy()[first]),
+        marked[first],
+        settings.marked,
+        frozenset(term for term, mark in zip(terms, marked) if mark),
+    )
+
+
+def term_hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
+
 
+class Vectors(NamedTuple):
+    """Sparse rows: where each starts, term numbers (ascending in a row) and weights."""
 
-def vector(words: list[str], numbers: dict[str, int], idf: np.ndarray) -> tuple[tuple[int, ...], tuple[float, ...]]:
-    """Term numbers, ascending, and unit weights: (1 + ln tf) * idf."""
-    counted = Counter(numbers[term] for term in words if term in numbers)
-    if not counted:
-        return (), ()
-    terms = sorted(counted)
-    weights = np.array([(1 + math.log(counted[t])) * idf[t] for t in terms])
-    return tuple(terms), tuple((weights / np.linalg.norm(weights)).tolist())
+    starts: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
 
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        some = slice(self.starts[i], self.starts[i + 1])
+        return self.terms[some], self.weights[some]
 
-def text_key(words: list[str]) -> bytes | None:
-    """A digest of the sequence of terms; none of a text without terms."""
-    return hashlib.sha256(" ".join(words).encode()).digest() if words else None
+
+@dataclass
+class Vocabulary:
+    """Terms by their sorted 64-bit hashes, with IDF and mark."""
+
+    hashes: np.ndarray
+    idf: np.ndarray
+    marked: np.ndarray
+    share: float
+    marks: frozenset[str]
+
+    def vectors(self, texts: list[str], hashes: WordHashes) -> Vectors:
+        """Unit vectors of (1 + ln tf) * idf, the marked terms and the others weighed by their shares."""
+        words = [terms_of(text) for text in texts]
+        flat = np.concatenate([hashes.of(found) for found in words]) if words else np.zeros(0, np.uint64)
+        text = np.repeat(np.arange(len(texts)), [len(found) for found in words])
+        n = len(self.hashes)
+        if not n:
+            return Vectors(np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        number = np.minimum(np.searchsorted(self.hashes, flat), n - 1)
+        known = self.hashes[number] == flat
+        both, count = np.unique(text[known] * n + number[known], return_counts=True)
+        text, terms = both // n, both % n
+        weights = (1 + np.log(count)) * self.idf[terms]
+        marked = self.marked[terms].astype(np.int64)
+        squares = np.bincount(2 * text + marked, weights**2, minlength=2 * len(texts)).reshape(-1, 2)
+        mixed_rows = (squares > 0).all(axis=1)
+        shares = np.where(mixed_rows[:, None], [1 - self.share, self.share], 1.0)
+        weights = weights * np.sqrt(shares[text, marked] / squares[text, marked])
+        return Vectors(np.searchsorted(text, np.arange(len(texts) + 1)), terms, weights)
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start to before its end, one range after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+#: Terms in a larger share of the examples are frequent: their lists are kept in full rows.
+FREQUENT = 0.05
+#: More than rounding to single precision can change a sum.
+SLACK = 1e-4
+#: Texts searched for at a time.
+BATCH = 128
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors of examples."""
+    """Block-max inverted index over unit vectors of examples.
 
-    ids: list[int]
-    toxic: np.ndarray
-    n_terms: int
-    block: int
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    Lists of rare terms are places and weights.  Those of frequent terms, cut into
+    blocks of examples, are full rows with the largest weight of each block.
+    """
 
-    @staticmethod
-    def order(row: tuple[int, int, tuple, tuple]) -> tuple:
-        return row[2][int(np.argmax(row[3]))], row[2], row[3], row[0]
+    ids: list
+    keys: np.ndarray
+    toxic: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    weights: np.ndarray
+    column: np.ndarray
+    blocks: np.ndarray
+    maxima: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[int, int, tuple, tuple]], n_terms: int, block: int) -> Index:
-        """``rows``: id, label, terms, weights.  Examples with the same strongest term lie together."""
-        rows = sorted(rows, key=cls.order)
-        index = cls([r[0] for r in rows], np.array([r[1] for r in rows], float), n_terms, block)
-        n_blocks = -(-len(rows) // block)
-        where: list[list[int]] = [[] for _ in range(n_terms)]
-        weight: list[list[float]] = [[] for _ in range(n_terms)]
-        for place, (_, _, terms, weights) in enumerate(rows):
-            for t, w in zip(terms, weights):
-                where[t].append(place)
-                weight[t].append(w)
-        index.maxima = np.zeros((n_terms, n_blocks))
-        for t in range(n_terms):
-            places, weights = np.array(where[t], np.int64), np.array(weight[t])
-            np.maximum.at(index.maxima[t], places // block, weights)
-            starts = np.searchsorted(places, np.arange(n_blocks + 1) * block)
-            index.postings.append((places, weights, starts))
-        return index
-
-    def nearest(self, terms: tuple, weights: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k nearest examples with a similarity above 0, nearest first."""
-        bounds = np.asarray(weights) @ self.maxima[list(terms)]
-        found = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(found[0]) >= k and bounds[b] <= found[1][-1]):
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                places, values, starts = self.postings[t]
-                some = slice(starts[b], starts[b + 1])
-                scores[places[some] - b * self.block] += w * values[some]
-            here = np.flatnonzero(scores)
-            places = np.r_[found[0], b * self.block + here]
-            scores = np.r_[found[1], scores[here]]
-            best = np.lexsort((places, -scores))[:k]
-            found = places[best], scores[best]
-        return found
+    def build(cls, vectors: Vectors, ids: list, keys: np.ndarray, toxic: np.ndarray, n_terms: int, block: int) -> Index:
+        """Examples with the same strongest term lie together; each needs a term."""
+        n = len(ids)
+        sizes = np.diff(vectors.starts)
+        row = np.repeat(np.arange(n), sizes)
+        best = np.lexsort((vectors.terms, -vectors.weights, row))[vectors.starts[:-1]]
+        order = np.lexsort((keys, vectors.terms[best]))
+        place_of = np.empty(n, np.int64)
+        place_of[order] = np.arange(n)
+        place, weights = place_of[row], vectors.weights.astype(np.float32)
+        df = np.bincount(vectors.terms, minlength=n_terms)
+        frequent = df > FREQUENT * n
+        column = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        n_blocks = -(-n // block)
+        blocks = np.zeros((n_blocks, int(frequent.sum()), block), np.float32)
+        some = frequent[vectors.terms]
+        blocks[place[some] // block, column[vectors.terms[some]], place[some] % block] = weights[some]
+        rare = np.flatnonzero(~some)
+        rare = rare[np.lexsort((place[rare], vectors.terms[rare]))]
+        starts = np.r_[0, np.cumsum(np.where(frequent, 0, df))]
+        return cls(
+            [ids[i] for i in order], keys[order], toxic[order].astype(float), starts,
+            place[rare].astype(np.int32), weights[rare], column, blocks, blocks.max(axis=2),
+        )
+
+    def nearest(self, vectors: Vectors, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each row places and similarities of the k nearest examples with one above 0, nearest first."""
+        for first in range(0, len(vectors.starts) - 1, BATCH):
+            rows = [vectors.row(i) for i in range(first, min(first + BATCH, len(vectors.starts) - 1))]
+            yield from self._batch(rows, k)
+
+    def _batch(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n_blocks, n_frequent, block = self.blocks.shape
+        n = n_blocks * block
+        k = min(k, len(self.ids))
+        rare = np.zeros((len(rows), n))
+        frequent = np.zeros((len(rows), n_frequent))
+        for i, (terms, weights) in enumerate(rows):
+            column = self.column[terms]
+            frequent[i, column[column >= 0]] = weights[column >= 0]
+            terms, weights = terms[column < 0], weights[column < 0]
+            starts, ends = self.starts[terms], self.starts[terms + 1]
+            at = ranges(starts, ends)
+            rare[i] = np.bincount(self.places[at], np.repeat(weights, ends - starts) * self.weights[at], minlength=n)
+        single = frequent.astype(np.float32)
+        floor = np.partition(rare, n - k, axis=1)[:, n - k]
+        bounds = rare.reshape(-1, n_blocks, block).max(axis=2) + single @ self.maxima.T + SLACK
+        wanted = (bounds >= floor[:, None]) & (bounds > SLACK)
+        sums = rare.copy()
+        for b in np.flatnonzero(wanted.any(axis=0)):
+            some = np.flatnonzero(wanted[:, b])
+            sums[some, b * block : (b + 1) * block] += single[some] @ self.blocks[b]
+        least = np.partition(sums, n - k, axis=1)[:, n - k] - SLACK
+        for i in range(len(rows)):
+            places = np.flatnonzero((sums[i] >= least[i]) & (sums[i] > 0))
+            columns = np.flatnonzero(frequent[i])
+            values = self.blocks[(places // block)[:, None], columns, (places % block)[:, None]]
+            similarity = rare[i, places] + (values * frequent[i, columns]).sum(axis=1)
+            similarity = np.minimum(np.round(similarity, 9), 1.0)
+            best = np.lexsort((places, -similarity))[:k]
+            yield places[best], similarity[best]
 
 
 def vote(labels: np.ndarray, similarity: np.ndarray) -> float:
@@ -282,109 +370,123 @@ def monotone_curve(votes: list[float], labels: list[float]) -> tuple[list[float]
 class Model:
     """What is learned; its size is bounded by the settings."""
 
-    numbers: dict[str, int]
-    idf: np.ndarray
+    vocabulary: Vocabulary
     index: Index | None
     none: float
     curve: tuple[list[float], list[float]]
     settings: Settings
-    #: Without a term of the vocabulary, an example's own words are all there is to find.
-    texts: dict[bytes, tuple[float, list[int]]] = field(default_factory=dict)
-
-    def score(self, text: str, known: dict) -> tuple[float, list[int], list[float]]:
-        """Probability and evidence: ids and similarities of the nearest examples."""
-        words = terms_of(text)
-        terms, weights = vector(words, self.numbers, self.idf)
-        if not terms or self.index is None:
-            share, ids = self.texts.get(text_key(words), (self.none, []))
-            ids = ids[: self.settings.evidence]
-            return share, ids, [1.0] * len(ids)
-        if (terms, weights) not in known:
-            if len(known) > 50_000:
-                known.clear()
-            places, similarity = self.index.nearest(terms, weights, self.settings.neighbours)
-            if len(places):
-                share = vote(self.index.toxic[places], similarity)
-                steps, values = self.curve
-                probability = values[max(0, bisect_right(steps, share) - 1)]
-            else:
-                probability = self.none
-            some = self.settings.evidence
-            known[terms, weights] = (
-                probability,
-                [self.index.ids[p] for p in places[:some]],
-                similarity[:some].tolist(),
-            )
-        return known[terms, weights]
 
-
-def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit the model on a bounded sample of labelled rows that are not held out."""
-    examples = labelled_sample(docs, labels, settings.examples)
-    idf_of = vocabulary(examples, settings)
-    numbers = {term: i for i, term in enumerate(sorted(idf_of))}
-    idf = np.array([idf_of[term] for term in numbers])
+    def scores(self, texts: list[str], hashes: WordHashes) -> Iterator[tuple[float, list, list[float]]]:
+        """Probability and evidence of each text: ids and similarities of the nearest examples."""
+        if self.index is None:
+            yield from ((self.none, [], []) for _ in texts)
+            return
+        steps, values = self.curve
+        some = self.settings.evidence
+        found = self.index.nearest(self.vocabulary.vectors(texts, hashes), self.settings.neighbours)
+        for places, similarity in found:
+            if not len(places):
+                yield self.none, [], []
+                continue
+            share = vote(self.index.toxic[places], similarity)
+            probability = values[max(0, bisect_right(steps, share) - 1)]
+            yield probability, [self.index.ids[p] for p in places[:some]], similarity[:some].tolist()
+
+
+def example_vectors(examples: DataFrame, terms: Vocabulary) -> DataFrame:
+    """key, doc_id, toxic, terms and weights of each example; a written table."""
+    kind = examples.schema["doc_id"].dataType.simpleString()
+    shared = examples.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for part in byte_slices(batches, "text"):
-            words = [terms_of(text) for text in texts_of(part)]
-            vectors = [vector(of, numbers, idf) for of in words]
+            found = shared.value.vectors(texts_of(part), hashes)
+            starts = pa.array(found.starts, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"),
-                    part.column("toxic"),
-                    pa.array([t for t, _ in vectors], pa.list_(pa.int32())),
-                    pa.array([w for _, w in vectors], pa.list_(pa.float64())),
-                    pa.array([None if t else text_key(of) for (t, _), of in zip(vectors, words)], pa.binary()),
+                    *(part.column(name) for name in ("key", "doc_id", "toxic")),
+                    pa.ListArray.from_arrays(starts, pa.array(found.terms, pa.int32())),
+                    pa.ListArray.from_arrays(starts, pa.array(found.weights.astype(np.float32))),
                 ],
-                ["doc_id", "toxic", "terms", "weights", "key"],
+                ["key", "doc_id", "toxic", "terms", "weights"],
             )
 
-    kind = examples.schema["doc_id"].dataType.simpleString()
-    vectors = examples.select("doc_id", "toxic", "text").mapInArrow(
-        run, f"doc_id {kind}, toxic int, terms array<int>, weights array<double>, key binary"
+    vectors = examples.select("key", "doc_id", "toxic", "text").mapInArrow(
+        run, f"key long, doc_id {kind}, toxic int, terms array<int>, weights array<float>"
+    )
+    return materialize(vectors, "label-vectors")
+
+
+def _rows_of(table: pa.Table) -> Vectors:
+    """The vectors in columns terms and weights."""
+    terms, weights = table.column("terms").chunks, table.column("weights").chunks
+    sizes = [np.diff(x.offsets.to_numpy()) for x in terms]
+    return Vectors(
+        np.cumsum(np.concatenate([[0], *sizes])),
+        np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in terms)]).astype(np.int64),
+        np.concatenate([np.zeros(0, np.float32), *(x.flatten().to_numpy() for x in weights)]).astype(np.float64),
+    )
+
+
+def own_votes(vectors: DataFrame, index: Index, settings: Settings) -> pa.Table:
+    """toxic and vote of each example that has other neighbours than itself."""
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            keys, labels, votes = batch.column("key").to_numpy(), [], []
+            nearest = index.nearest(_rows_of(pa.Table.from_batches([batch])), settings.neighbours + 1)
+            for key, label, (places, similarity) in zip(keys, batch.column("toxic").to_pylist(), nearest):
+                other = np.flatnonzero(index.keys[places] != key)[: settings.neighbours]
+                if len(other):
+                    labels.append(label)
+                    votes.append(vote(index.toxic[places[other]], similarity[other]))
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(votes, pa.float64())], ["toxic", "vote"])
+
+    dealt = vectors.select("key", "toxic", "terms", "weights").repartition(spark.sparkContext.defaultParallelism, "key")
+    return dealt.mapInArrow(run, "toxic int, vote double").toArrow()
+
+
+def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """Fit the model on a bounded sample of labelled rows that are not held out."""
+    examples = labelled_sample(docs, labels, settings.examples)
+    terms = vocabulary(examples, settings)
+    written = example_vectors(examples, terms)
+    # At most ``settings.examples`` rows, in Arrow columns.
+    found = written.toArrow()
+    toxic = found.column("toxic").to_numpy()
+    with_terms = pc.greater(pc.list_value_length(found.column("terms")), 0)
+    without = toxic[~with_terms.to_numpy()]
+    # Drawn to the share of all examples by one of them.
+    none = float((without.sum() + toxic.mean()) / (len(without) + 1)) if len(toxic) else 0.0
+    found = found.filter(with_terms).combine_chunks()
+    if not found.num_rows:
+        return Model(terms, None, none, ([], []), settings)
+    index = Index.build(
+        _rows_of(found), found.column("doc_id").to_pylist(), found.column("key").to_numpy(),
+        found.column("toxic").to_numpy(), len(terms.hashes), settings.block,
     )
-    found = vectors.collect()
-    rows = [(r["doc_id"], r["toxic"], tuple(r["terms"]), tuple(r["weights"])) for r in found]
-    same: dict[bytes, list[tuple[int, int]]] = {}
-    for r in found:
-        if r["key"] is not None:
-            same.setdefault(bytes(r["key"]), []).append((r["doc_id"], r["toxic"]))
-    # Drawn to one half by a quarter of an example of either kind: the label stands.
-    texts = {
-        key: ((sum(y for _, y in of) + 0.25) / (len(of) + 0.5), sorted(i for i, _ in of))
-        for key, of in same.items()
-    }
-    without = [label for _, label, terms, _ in rows if not terms]
-    none = (sum(without) + 1) / (len(without) + 2) if rows else 0.0
-    rows = [row for row in rows if row[2]]
-    if not rows:
-        return Model(numbers, idf, None, none, ([], []), settings, texts)
-    index = Index.build(rows, len(numbers), settings.block)
-    votes, truth = [], []
-    for place, (_, label, terms, weights) in enumerate(sorted(rows, key=Index.order)):
-        places, similarity = index.nearest(terms, weights, settings.neighbours + 1)
-        other = places != place
-        if other.any():
-            votes.append(vote(index.toxic[places[other]], similarity[other]))
-            truth.append(label)
-    curve = monotone_curve(votes, truth) if votes else ([0.0], [none])
-    return Model(numbers, idf, index, none, curve, settings, texts)
+    votes = own_votes(written, index, settings)
+    curve = monotone_curve(votes.column("vote").to_pylist(), votes.column("toxic").to_pylist())
+    return Model(terms, index, none, curve if curve[0] else ([0.0], [none]), settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, evidence_ids and evidence_similarity of each row.
 
-    A null or empty text, and any without a term of the vocabulary that is no labelled text, has the
-    smoothed share of toxic rows among such examples, and no evidence.
+    A null or empty text, and any without a term of the examples, has the smoothed
+    share of toxic rows among such examples, and no evidence.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned, known = shared.value, {}
+        learned, hashes = shared.value, WordHashes()
         for part in byte_slices(batches, "text"):
-            found = [learned.score(text, known) for text in texts_of(part)]
+            found = list(learned.scores(texts_of(part), hashes))
             scores = np.array([p for p, _, _ in found])
             yield pa.RecordBatch.from_arrays(
                 [
