@@ -168,7 +168,7 @@ def test_brute_force(spark):
             if term_hash(term) in number:
                 raw[number[term_hash(term)]] = (1 + math.log(count)) * words.idf[number[term_hash(term)]]
         parts = [{t: w for t, w in raw.items() if words.marked[t] == side} for side in (False, True)]
-        shares = [0.5, 0.5] if all(parts) else [1.0, 1.0]
+        shares = [1 - settings.marked, settings.marked] if all(parts) else [1.0, 1.0]
         return {t: w * math.sqrt(share / sum(x * x for x in part.values())) for part, share in zip(parts, shares) for t, w in part.items()}
 
     examples = labelled_sample(docs, labels, settings.examples).collect()
@@ -189,7 +189,7 @@ def test_brute_force(spark):
 
     own = [nearest(query, i) for i, query in enumerate(vectors)]
     steps, values = monotone_curve(
-        [round(vote(toxic[best], near), 4) for best, near in own if best], [toxic[i] for i, (best, _) in enumerate(own) if best]
+        [round(vote(toxic[best], near, settings), 4) for best, near in own if best], [toxic[i] for i, (best, _) in enumerate(own) if best]
     )
     assert np.allclose(np.interp(steps, model.curve[0], model.curve[1]), values, atol=0.05)
     found = {r.doc_id: r for r in score(docs, model).collect()}
@@ -200,7 +200,7 @@ def test_brute_force(spark):
         got = found[row.doc_id]
         assert np.allclose(got.evidence_similarity, near[:3], atol=1e-5)
         if best:
-            share = vote(toxic[best], near)
+            share = vote(toxic[best], near, settings)
             at = [model.curve[1][max(0, int(np.searchsorted(model.curve[0], share + e, side="right")) - 1)] for e in (-1e-4, 1e-4)]
             assert at[0] - 1e-9 <= got.score <= at[1] + 1e-9
 
