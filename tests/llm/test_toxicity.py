@@ -65,6 +65,7 @@ def test_unlike_blocks_stay_closed():
                 opened.append(int(at))
             return np.asarray(self)[at]
 
+    index.maxima  # made from the blocks before they are watched
     index.blocks = index.blocks.view(Watched)
     ((places, found),) = index.nearest(rows_of([rows[70]]), 2)
     assert 70 in [index.ids[p] for p in places] and abs(found[0] - 1) < 1e-6 and len(set(opened)) < 8

@@ -23,13 +23,15 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.rank_order_language import held_out
@@ -117,40 +119,58 @@ def sketches(texts: DataFrame) -> DataFrame:
 
 
 def term_counts(examples: DataFrame) -> DataFrame:
-    """term and, for each half, the numbers of examples and of toxic examples that have it.
+    """hash of each term and, for each half, the added weights of the examples (n) and the toxic ones (t) that have it."""
 
-    n and t add the examples' weights, d and u those of the different neighbourhoods of
-    the term in clean and in toxic ones: the words before and after its first use.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in byte_slices(batches, "text"):
+            found = [np.unique(hashes.of(terms_of(text))).view(np.int64) for text in texts_of(part)]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            columns = [part.column(name).take(pa.array(row)) for name in ("half", "toxic", "weight")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *columns], ["hash", "half", "toxic", "weight"])
+
+    found = examples.select("half", "toxic", "weight", "text").mapInArrow(run, "hash long, half int, toxic int, weight double")
+    return found.groupBy("hash").agg(*_by_half("n", "t", F.col("weight"), F.lit(True), F.col("toxic") == 1))
+
+
+def _by_half(first: str, second: str, value: Column, of_first: Column, of_second: Column) -> list[Column]:
+    sums = []
+    for h in (0, 1):
+        for name, some in ((first, of_first), (second, of_second)):
+            sums.append(F.sum(F.when((F.col("half") == h) & some, value).otherwise(0)).alias(f"{name}{h}"))
+    return sums
+
+
+def neighbourhoods(examples: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """For the wanted terms the different neighbourhoods, by half, in clean (d) and in toxic examples (u).
+
+    A neighbourhood is the words before and after a term's first use in a text; it weighs
+    as the heaviest of the examples that have it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, few = WordHashes(), set(wanted.tolist())
         for part in byte_slices(batches, "text"):
-            about = (part.column(name).to_pylist() for name in ("half", "toxic", "weight"))
-            for half, toxic, weight, text in zip(*about, texts_of(part)):
+            rows, found, around = [], [], []
+            for row, text in enumerate(texts_of(part)):
                 words, first = terms_of(text), {}
                 for i, word in enumerate(words):
-                    first.setdefault(word, i)
-                around = [
-                    " ".join(words[max(0, i - 1) : i] + ["*"] + words[i + 1 : i + 2]) for i in first.values()
-                ]
-                n = len(first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(first), pa.string()), pa.array([half] * n, pa.int32()), pa.array([toxic] * n, pa.int32()), pa.array([weight] * n, pa.float64()), pa.array(around, pa.string())],
-                    ["term", "half", "toxic", "weight", "around"],
-                )
+                    if hashes[word] in few:
+                        first.setdefault(word, i)
+                rows += [row] * len(first)
+                found += first
+                around += [" ".join(words[max(0, i - 1) : i] + ["*"] + words[i + 1 : i + 2]) for i in first.values()]
+            columns = [part.column(name).take(pa.array(rows, pa.int64())) for name in ("half", "toxic", "weight")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.of(found).view(np.int64)), pa.array(found, pa.string()), pa.array(around, pa.string()), *columns],
+                ["hash", "term", "around", "half", "toxic", "weight"],
+            )
 
     found = examples.select("half", "toxic", "weight", "text").mapInArrow(
-        run, "term string, half int, toxic int, weight double, around string"
+        run, "hash long, term string, around string, half int, toxic int, weight double"
     )
-    found = found.groupBy("term", "half", "toxic", F.xxhash64("around").alias("around")).agg(F.sum("weight").alias("rows"), F.max("weight").alias("once"))
-    sums = {}
-    for h in (0, 1):
-        here = F.col("half") == h
-        sums[f"n{h}"] = F.sum(F.when(here, F.col("rows")).otherwise(0))
-        sums[f"t{h}"] = F.sum(F.when(here & (F.col("toxic") == 1), F.col("rows")).otherwise(0))
-        sums[f"d{h}"] = F.sum(F.when(here & (F.col("toxic") == 0), F.col("once")).otherwise(0))
-        sums[f"u{h}"] = F.sum(F.when(here & (F.col("toxic") == 1), F.col("once")).otherwise(0))
-    return found.groupBy("term").agg(*(value.alias(name) for name, value in sums.items()))
+    once = found.groupBy("hash", "term", "half", "toxic", F.xxhash64("around").alias("around")).agg(F.max("weight").alias("once"))
+    return once.groupBy("hash", "term").agg(*_by_half("d", "u", F.col("once"), F.col("toxic") == 0, F.col("toxic") == 1))
 
 
 def _chi_square(n, t, rows: float, toxic: float):
@@ -170,34 +190,34 @@ def vocabulary(examples: DataFrame, settings: Settings) -> Vocabulary:
     More of them take nothing from a term that others have too.
     """
     sizes = {row["half"]: row for row in examples.groupBy("half").agg(F.sum("weight").alias("rows"), F.sum(F.col("toxic") * F.col("weight")).alias("toxic")).collect()}
-    scores = {}
-    for h in (0, 1):
-        rows, toxic = (sizes[h]["rows"], sizes[h]["toxic"]) if h in sizes else (0.0, 0.0)
-        n, t, d, u = (F.col(f"{name}{h}") for name in "ntdu")
-        scores[f"s{h}"] = _chi_square(n, t, rows, toxic)
-        # Collapsed on the toxic side, and on the clean one.
-        scores[f"up{h}"] = _chi_square(n - t + u, u, rows, toxic)
-        scores[f"down{h}"] = -_chi_square(t + d, t, rows, toxic)
-    strong = lambda a, b: F.least(F.col(a), F.col(b)) >= settings.chi_square
-    df = F.col("n0") + F.col("n1")
-    up = strong("s0", "s1") & strong("up0", "up1") & (df - F.col("t0") - F.col("t1") + F.col("u0") + F.col("u1") >= settings.least_documents)
-    against = F.greatest("s0", "s1") <= -settings.chi_square
-    down = against & strong("down0", "down1") & (F.col("t0") + F.col("t1") + F.col("d0") + F.col("d1") >= settings.least_documents)
-    counted = term_counts(examples).withColumns(scores).select("term", df.alias("df"), (up | down).alias("marked"))
+    total = {h: (sizes[h]["rows"], sizes[h]["toxic"]) if h in sizes else (0.0, 0.0) for h in (0, 1)}
+    n0, n1, t0, t1, d0, d1, u0, u1 = (F.col(name + h) for name in "ntdu" for h in "01")
+    least = settings.chi_square
+    strong = lambda a, b: F.least(a, b) >= least
+    s0, s1 = _chi_square(n0, t0, *total[0]), _chi_square(n1, t1, *total[1])
+    goes_with, goes_against = strong(s0, s1), F.greatest(s0, s1) <= -least
+    counted = term_counts(examples).select("*", (n0 + n1).alias("df"), (goes_with | goes_against).alias("likely"))
+    counted = materialize(counted.withColumn("goes_with", goes_with), "label-terms")
     # As many rows as the sampled texts have terms, in Arrow columns.
-    found = counted.toArrow()
-    terms = found.column("term").to_pylist()
-    hashes = np.fromiter((term_hash(term) for term in terms), np.uint64, len(terms))
-    rows = sum(row["rows"] for row in sizes.values())
-    hashes, first = np.unique(hashes, return_index=True)
-    marked = found.column("marked").to_numpy().astype(bool)
-    return Vocabulary(
-        hashes,
-        np.log1p(rows / found.column("df").to_numpy()[first]),
-        marked[first],
-        settings.marked,
-        frozenset(term for term, mark in zip(terms, marked) if mark),
-    )
+    found = counted.select("hash", "df").toArrow()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    idf = np.log1p(sum(rows for rows, _ in total.values()) / found.column("df").to_numpy()[order])
+    likely = counted.filter("likely").drop("df", "likely")
+    wanted = likely.select("hash").toArrow().column("hash").to_numpy().view(np.uint64)
+    marks = frozenset()
+    if len(wanted):
+        once = neighbourhoods(examples, wanted)
+        # Collapsed on the toxic side, and on the clean one.
+        up = [_chi_square(n - t + u, u, *total[h]) for h, (n, t, u) in enumerate(((n0, t0, u0), (n1, t1, u1)))]
+        down = [-_chi_square(t + d, t, *total[h]) for h, (t, d) in enumerate(((t0, d0), (t1, d1)))]
+        with_it = F.col("goes_with") & strong(*up) & (n0 + n1 - t0 - t1 + u0 + u1 >= settings.least_documents)
+        against = ~F.col("goes_with") & strong(*down) & (t0 + t1 + d0 + d1 >= settings.least_documents)
+        kept = likely.join(once, "hash").filter(with_it | against).select("term").toArrow()
+        marks = frozenset(kept.column("term").to_pylist())
+    marked = np.isin(hashes, np.array([term_hash(term) for term in marks], np.uint64))
+    return Vocabulary(hashes, idf.astype(np.float32), marked, settings.marked, marks)
 
 
 def term_hash(term: str) -> int:
@@ -272,39 +292,55 @@ class Index:
     ids: list
     keys: np.ndarray
     toxic: np.ndarray
-    starts: np.ndarray
+    counts: np.ndarray
     places: np.ndarray
     weights: np.ndarray
-    column: np.ndarray
-    blocks: np.ndarray
-    maxima: np.ndarray
+    block: int
 
     @classmethod
     def build(cls, vectors: Vectors, ids: list, keys: np.ndarray, toxic: np.ndarray, n_terms: int, block: int) -> Index:
         """Examples with the same strongest term lie together; each needs a term."""
         n = len(ids)
-        sizes = np.diff(vectors.starts)
-        row = np.repeat(np.arange(n), sizes)
-        best = np.lexsort((vectors.terms, -vectors.weights, row))[vectors.starts[:-1]]
-        order = np.lexsort((keys, vectors.terms[best]))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(vectors.starts))
+        strongest = np.flatnonzero(vectors.weights == np.maximum.reduceat(vectors.weights, vectors.starts[:-1])[row])
+        _, first = np.unique(row[strongest], return_index=True)
+        order = np.lexsort((keys, vectors.terms[strongest[first]]))
         place_of = np.empty(n, np.int64)
         place_of[order] = np.arange(n)
-        place, weights = place_of[row], vectors.weights.astype(np.float32)
-        df = np.bincount(vectors.terms, minlength=n_terms)
-        frequent = df > FREQUENT * n
-        column = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
-        n_blocks = -(-n // block)
-        blocks = np.zeros((n_blocks, int(frequent.sum()), block), np.float32)
-        some = frequent[vectors.terms]
-        blocks[place[some] // block, column[vectors.terms[some]], place[some] % block] = weights[some]
-        rare = np.flatnonzero(~some)
-        rare = rare[np.lexsort((place[rare], vectors.terms[rare]))]
-        starts = np.r_[0, np.cumsum(np.where(frequent, 0, df))]
+        entries = np.argsort(vectors.terms.astype(np.int64) * n + place_of[row])
+        places = place_of[row[entries]].astype(np.uint16 if n <= 1 << 16 else np.uint32)
+        counts = np.bincount(vectors.terms, minlength=n_terms).astype(np.uint32)
         return cls(
-            [ids[i] for i in order], keys[order], toxic[order].astype(float), starts,
-            place[rare].astype(np.int32), weights[rare], column, blocks, blocks.max(axis=2),
+            [ids[i] for i in order], keys[order], toxic[order].astype(float), counts, places,
+            vectors.weights[entries].astype(np.float32), block,
         )
 
+    # What follows from the lists is made where it is needed, so that it need not be sent.
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.r_[0, np.cumsum(self.counts, dtype=np.int64)]
+
+    @cached_property
+    def column(self) -> np.ndarray:
+        """Of a frequent term its number among them, -1 of others."""
+        frequent = self.counts > FREQUENT * len(self.ids)
+        return np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+
+    @cached_property
+    def blocks(self) -> np.ndarray:
+        """Weights of the frequent terms by block, term and example."""
+        terms = np.flatnonzero(self.column >= 0)
+        blocks = np.zeros((-(-len(self.ids) // self.block), len(terms), self.block), np.float32)
+        at = ranges(self.starts[terms], self.starts[terms + 1])
+        number = np.repeat(np.arange(len(terms)), self.counts[terms])
+        blocks[self.places[at] // self.block, number, self.places[at] % self.block] = self.weights[at]
+        return blocks
+
+    @cached_property
+    def maxima(self) -> np.ndarray:
+        return self.blocks.max(axis=2)
+
     def nearest(self, vectors: Vectors, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each row places and similarities of the k nearest examples with one above 0, nearest first."""
         for first in range(0, len(vectors.starts) - 1, BATCH):
@@ -320,7 +356,7 @@ class Index:
         for i, (terms, weights) in enumerate(rows):
             column = self.column[terms]
             frequent[i, column[column >= 0]] = weights[column >= 0]
-            terms, weights = terms[column < 0], weights[column < 0]
+            terms, weights = terms[column < 0], weights[column < 0].astype(np.float64)
             starts, ends = self.starts[terms], self.starts[terms + 1]
             at = ranges(starts, ends)
             rare[i] = np.bincount(self.places[at], np.repeat(weights, ends - starts) * self.weights[at], minlength=n)
@@ -379,6 +415,8 @@ class Model:
     none: float
     curve: tuple[list[float], list[float]]
     settings: Settings
+    #: Vocabulary and index as they were sent to the tasks for the examples' own votes.
+    sent: Broadcast | None = None
 
     def scores(self, texts: list[str], hashes: WordHashes) -> Iterator[tuple[float, list, list[float]]]:
         """Probability and evidence of each text: ids and similarities of the nearest examples."""
@@ -419,7 +457,9 @@ def example_vectors(examples: DataFrame, terms: Vocabulary) -> DataFrame:
     vectors = examples.select("key", "doc_id", "toxic", "text").mapInArrow(
         run, f"key long, doc_id {kind}, toxic int, terms array<int>, weights array<float>"
     )
-    return materialize(vectors, "label-vectors")
+    written = materialize(vectors, "label-vectors")
+    shared.unpersist()
+    return written
 
 
 def _rows_of(table: pa.Table) -> Vectors:
@@ -428,18 +468,16 @@ def _rows_of(table: pa.Table) -> Vectors:
     sizes = [np.diff(x.offsets.to_numpy()) for x in terms]
     return Vectors(
         np.cumsum(np.concatenate([[0], *sizes])),
-        np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in terms)]).astype(np.int64),
-        np.concatenate([np.zeros(0, np.float32), *(x.flatten().to_numpy() for x in weights)]).astype(np.float64),
+        np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in terms)]),
+        np.concatenate([np.zeros(0, np.float32), *(x.flatten().to_numpy() for x in weights)]),
     )
 
 
-def own_votes(vectors: DataFrame, index: Index, settings: Settings) -> pa.Table:
+def own_votes(vectors: DataFrame, sent: Broadcast, settings: Settings) -> pa.Table:
     """toxic and vote of each example that has other neighbours than itself."""
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        _, index = sent.value
         for batch in batches:
             keys, labels, votes = batch.column("key").to_numpy(), [], []
             nearest = index.nearest(_rows_of(pa.Table.from_batches([batch])), settings.neighbours + 1)
@@ -450,7 +488,8 @@ def own_votes(vectors: DataFrame, index: Index, settings: Settings) -> pa.Table:
                     votes.append(vote(index.toxic[places[other]], similarity[other], settings))
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(votes, pa.float64())], ["toxic", "vote"])
 
-    dealt = vectors.select("key", "toxic", "terms", "weights").repartition(spark.sparkContext.defaultParallelism, "key")
+    parallelism = vectors.sparkSession.sparkContext.defaultParallelism
+    dealt = vectors.select("key", "toxic", "terms", "weights").repartition(parallelism, "key")
     return dealt.mapInArrow(run, "toxic int, vote double").toArrow()
 
 
@@ -473,9 +512,10 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         _rows_of(found), found.column("doc_id").to_pylist(), found.column("key").to_numpy(),
         found.column("toxic").to_numpy(), len(terms.hashes), settings.block,
     )
-    votes = own_votes(written, index, settings)
+    sent = docs.sparkSession.sparkContext.broadcast((terms, index))
+    votes = own_votes(written, sent, settings)
     curve = monotone_curve(votes.column("vote").to_pylist(), votes.column("toxic").to_pylist())
-    return Model(terms, index, none, curve if curve[0] else ([0.0], [none]), settings)
+    return Model(terms, index, none, curve if curve[0] else ([0.0], [none]), settings, sent)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -484,11 +524,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text, and any without a term of the examples, has the smoothed
     share of toxic rows among such examples, and no evidence.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.sent or docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.index))
+    rest = model.none, model.curve, model.settings
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned, hashes = shared.value, WordHashes()
+        learned, hashes = Model(*sent.value, *rest), WordHashes()
         for part in byte_slices(batches, "text"):
             found = list(learned.scores(texts_of(part), hashes))
             scores = np.array([p for p, _, _ in found])
