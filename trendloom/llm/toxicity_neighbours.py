@@ -28,7 +28,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -305,10 +304,12 @@ class Index:
         strongest = np.flatnonzero(vectors.weights == np.maximum.reduceat(vectors.weights, vectors.starts[:-1])[row])
         _, first = np.unique(row[strongest], return_index=True)
         order = np.lexsort((keys, vectors.terms[strongest[first]]))
-        place_of = np.empty(n, np.int64)
+        place_of = np.empty(n, np.uint16 if n <= 1 << 16 else np.uint32)
         place_of[order] = np.arange(n)
-        entries = np.argsort(vectors.terms.astype(np.int64) * n + place_of[row])
-        places = place_of[row[entries]].astype(np.uint16 if n <= 1 << 16 else np.uint32)
+        places = place_of[row]
+        del row
+        entries = np.lexsort((places, vectors.terms))
+        places = places[entries]
         counts = np.bincount(vectors.terms, minlength=n_terms).astype(np.uint32)
         return cls(
             [ids[i] for i in order], keys[order], toxic[order].astype(float), counts, places,
@@ -357,17 +358,25 @@ class Index:
             column = self.column[terms]
             frequent[i, column[column >= 0]] = weights[column >= 0]
             terms, weights = terms[column < 0], weights[column < 0].astype(np.float64)
-            starts, ends = self.starts[terms], self.starts[terms + 1]
-            at = ranges(starts, ends)
-            rare[i] = np.bincount(self.places[at], np.repeat(weights, ends - starts) * self.weights[at], minlength=n)
-        single = frequent.astype(np.float32)
-        floor = np.partition(rare, n - k, axis=1)[:, n - k]
-        bounds = rare.reshape(-1, n_blocks, block).max(axis=2) + single @ self.maxima.T + SLACK
+            if not len(terms):
+                continue
+            lists = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist())]
+            places = np.concatenate([self.places[some] for some in lists])
+            values = np.concatenate([self.weights[some] for some in lists])
+            rare[i] = np.bincount(places, np.repeat(weights, self.counts[terms]) * values, minlength=n)
+        single, sums = frequent.astype(np.float32), rare.astype(np.float32)
+        # The k-th largest of the blocks' best sums: k examples have as much or more.
+        best = sums.reshape(-1, n_blocks, block).max(axis=2)
+        floor = np.partition(best, n_blocks - k, axis=1)[:, n_blocks - k] if k <= n_blocks else np.zeros(len(rows))
+        bounds = best + single @ self.maxima.T + SLACK
         wanted = (bounds >= floor[:, None]) & (bounds > SLACK)
-        sums = rare.copy()
         for b in np.flatnonzero(wanted.any(axis=0)):
-            some = np.flatnonzero(wanted[:, b])
-            sums[some, b * block : (b + 1) * block] += single[some] @ self.blocks[b]
+            here = slice(b * block, (b + 1) * block)
+            if 4 * wanted[:, b].sum() > len(rows):  # copying the rows that want it would cost more
+                sums[:, here] += single @ self.blocks[b]
+            else:
+                some = np.flatnonzero(wanted[:, b])
+                sums[some, here] += single[some] @ self.blocks[b]
         least = np.partition(sums, n - k, axis=1)[:, n - k] - SLACK
         for i in range(len(rows)):
             places = np.flatnonzero((sums[i] >= least[i]) & (sums[i] > 0))
@@ -501,17 +510,17 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     # At most ``settings.examples`` rows, in Arrow columns.
     found = written.toArrow()
     toxic = found.column("toxic").to_numpy()
-    with_terms = pc.greater(pc.list_value_length(found.column("terms")), 0)
-    without = toxic[~with_terms.to_numpy()]
+    vectors, ids, keys = _rows_of(found), found.column("doc_id").to_pylist(), found.column("key").to_numpy()
+    del found
+    has = np.diff(vectors.starts) > 0
     # Drawn to the share of all examples by one of them.
-    none = float((without.sum() + toxic.mean()) / (len(without) + 1)) if len(toxic) else 0.0
-    found = found.filter(with_terms).combine_chunks()
-    if not found.num_rows:
+    none = float((toxic[~has].sum() + toxic.mean()) / ((~has).sum() + 1)) if len(toxic) else 0.0
+    if not has.any():
         return Model(terms, None, none, ([], []), settings)
-    index = Index.build(
-        _rows_of(found), found.column("doc_id").to_pylist(), found.column("key").to_numpy(),
-        found.column("toxic").to_numpy(), len(terms.hashes), settings.block,
-    )
+    vectors = vectors._replace(starts=np.r_[vectors.starts[:-1][has], vectors.starts[-1]])
+    ids = [i for i, some in zip(ids, has) if some]
+    index = Index.build(vectors, ids, keys[has], toxic[has], len(terms.hashes), settings.block)
+    del vectors
     sent = docs.sparkSession.sparkContext.broadcast((terms, index))
     votes = own_votes(written, sent, settings)
     curve = monotone_curve(votes.column("vote").to_pylist(), votes.column("toxic").to_pylist())
