@@ -74,3 +74,36 @@ def test_map_uses_cells_beyond_the_exact_bound(spark, sf_dir, monkeypatch):
     docs = fx.embeddings(spark, sf_dir)
     placed = topic_map.topic_map(docs, "vec_id", "embedding", k=8).collect()
     assert len(placed) == docs.count() and all(r.x is not None for r in placed)
+
+
+def test_rows_that_pass_blocks_in_shares(grouped, exact, monkeypatch):
+    """Blocks, shares and chunks smaller than the groups of near rows."""
+    for name, value in (("PASSING_ROWS", 90), ("CHUNK_ROWS", 32), ("SLICE_ROWS", 50)):
+        monkeypatch.setattr(cells, name, value)
+    assert listed(topic_map.nearest_neighbors(grouped, "id", "embedding", 10, block_rows=128)) == exact
+
+
+def test_equal_rows_go_by_id_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CHUNK_ROWS", 16)
+    frame = spark.range(300).select(F.format_string("%04d", "id").alias("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("e"))
+    near = listed(topic_map.nearest_neighbors(frame, "id", "e", 3, block_rows=40))
+    ids = [f"{i:04d}" for i in range(300)]
+    assert near == {i: [(j, 0.0) for j in ids[:4] if j != i][:3] for i in ids}
+
+
+def test_many_asking_rows_do_not_pass_the_driver(grouped, monkeypatch):
+    """Asking rows beyond a bounded number are held in blocks instead of being sent to every task."""
+    sent = []
+    monkeypatch.setattr(cells, "SENT_ROWS", 100, raising=False)
+    real = cells._nearest_of
+    monkeypatch.setattr(cells, "_nearest_of", lambda *args: sent.append(1) or real(*args))
+    centers = cells.cell_centers(grouped, "id", "embedding", 9)
+    few = cells.recall_by_probes(grouped, "id", "embedding", centers, 10, 80).count()
+    assert few and sent == [1]
+    assert cells.recall_by_probes(grouped, "id", "embedding", centers, 10, 600).count() == few and sent == [1]
+
+
+def test_a_block_passes_on_k_rows_for_each_row(grouped):
+    """However many rows go by."""
+    unit = grouped.select("id", F.col("embedding").alias("v"))
+    assert cells.nearest_of_all(unit, unit, 5, 100).count() == 600 * 5

@@ -25,6 +25,10 @@ from trendloom.session import materialize
 NEIGHBORS = 30
 #: Rows compared at once.
 SLICE_ROWS = 512
+#: Rows that a task holds while others go by, those that go by in one task, and at once.
+HELD_ROWS, PASSING_ROWS, CHUNK_ROWS = 16_384, 65_536, 4096
+#: Asking rows sent to every task; more of them are held in blocks.
+SENT_ROWS = 1024
 #: Rows of a cell's part.
 PART_ROWS = 4096
 #: Centres are sent to the tasks: never more than so many.
@@ -92,10 +96,125 @@ def nearest_in_cells(
     dealt = held.unionByName(asking).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks", "id")
     kind = df.schema[id_column].dataType.simpleString()
     found = dealt.mapInArrow(_nearest_in_part(k), f"id {kind}, neighbor {kind}, distance double")
+    return k_nearest(found, k)
+
+
+def k_nearest(found: DataFrame, k: int) -> DataFrame:
+    """(id, neighbor, distance, place): the ``k`` nearest of what several tasks found for an id."""
     order = Window.partitionBy("id").orderBy("distance", "neighbor")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def nearest_of_all(asking: DataFrame, rows: DataFrame, k: int, held_rows: int = HELD_ROWS) -> DataFrame:
+    """(id, neighbor, distance): the k nearest other rows of each asking row, per task that looked.
+
+    Exact.  A task holds one block of the asking rows with their k best so far, and a share
+    of the rows goes by in the order of their ids; so a row moves once per block, and what
+    is passed on are k rows per asking row and share.  Both tables are (id, v) of unit length.
+    """
+    n_asking, n_rows = asking.count(), rows.count()
+    blocks = max(1, math.ceil(n_asking / held_rows))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    # Enough tasks for all cores, but no share of a few rows only.
+    shares = max(1, math.ceil(n_rows / PASSING_ROWS), min(math.ceil(cores / blocks), n_rows // CHUNK_ROWS))
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, asks: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+        return df.select("id", "v", mine, every, F.lit(asks).alias("passes")).select("block", "share", "passes", "id", "v")
+
+    held = dealt(asking, "block", blocks, "share", shares, 0)
+    both = held.unionByName(dealt(rows, "share", shares, "block", blocks, 1))
+    both = both.repartition("block", "share").sortWithinPartitions("block", "share", "passes", "id")
+    kind = rows.schema["id"].dataType.simpleString()
+    return both.mapInArrow(_nearest_that_pass(k), f"id {kind}, neighbor {kind}, distance double")
+
+
+class _Held:
+    """A block of asking rows, and the k nearest of the rows that went by."""
+
+    def __init__(self, ids: list[pa.Array], vectors: list[np.ndarray], k: int):
+        self.ids, self.vectors, self.k = pa.concat_arrays(ids), np.concatenate(vectors), k
+        self.names = self.ids.to_numpy(zero_copy_only=False)
+        self.distance = np.full((len(self.names), k), np.inf)
+        self.place = np.zeros((len(self.names), k), np.int64)
+        self.passed: list[pa.Array] = []
+        self.n_passed = 0
+
+    def meet(self, ids: pa.Array, vectors: np.ndarray) -> None:
+        """Rows that go by, in the order of their ids: an equal distance does not replace one before."""
+        others = ids.to_numpy(zero_copy_only=False)
+        for start in range(0, len(self.names), SLICE_ROWS):
+            where = slice(start, start + SLICE_ROWS)
+            names, limit = self.names[where], self.distance[where, -1]
+            gap = 1.0 - self.vectors[where] @ vectors.T
+            row, column = np.nonzero(gap < (limit + 1e-9)[:, None])
+            if len(row) > 4 * self.k * len(names):
+                gap = np.round(gap, 9)
+                gap[(gap >= limit[:, None]) | (names[:, None] == others)] = np.inf
+                row, column = k_best(gap, self.k)
+                found = gap[row, column]
+            else:
+                found = np.round(gap[row, column], 9)
+                good = (found < limit[row]) & (names[row] != others[column])
+                row, column, found = row[good], column[good], found[good]
+            if len(row):
+                self._merge(start, row, column, found)
+        self.passed.append(ids)
+        self.n_passed += len(ids)
+
+    def _merge(self, start: int, row: np.ndarray, column: np.ndarray, found: np.ndarray) -> None:
+        touched, line, counts = np.unique(row, return_inverse=True, return_counts=True)
+        at = self.k + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        distance = np.full((len(touched), self.k + counts.max()), np.inf)
+        place = np.zeros(distance.shape, np.int64)
+        touched = touched + start
+        distance[:, : self.k], place[:, : self.k] = self.distance[touched], self.place[touched]
+        distance[line, at], place[line, at] = found, column + self.n_passed
+        order = np.argsort(distance, axis=1, kind="stable")[:, : self.k]
+        self.distance[touched] = np.take_along_axis(distance, order, axis=1)
+        self.place[touched] = np.take_along_axis(place, order, axis=1)
+
+    def nearest(self) -> Iterator[pa.RecordBatch]:
+        passed = pa.concat_arrays(self.passed) if self.passed else self.ids.slice(0, 0)
+        for start in range(0, len(self.names), SLICE_ROWS):
+            distance = self.distance[start : start + SLICE_ROWS]
+            row, column = np.nonzero(np.isfinite(distance))
+            columns = [
+                self.ids.take(pa.array(row + start)),
+                passed.take(pa.array(self.place[row + start, column])),
+                pa.array(np.maximum(distance[row, column], 0.0)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "neighbor", "distance"])
+
+
+def _nearest_that_pass(k: int):
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vectors, held = None, [], [], None
+        for batch in batches:
+            blocks, shares, passes = (batch.column(name).to_numpy() for name in ("block", "share", "passes"))
+            changes = (np.diff(blocks) != 0) | (np.diff(shares) != 0) | (np.diff(passes) != 0)
+            cuts = np.r_[0, np.flatnonzero(changes) + 1, len(blocks)]
+            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                some = batch.slice(start, stop - start)
+                if start < stop and (blocks[start], shares[start]) != key:
+                    if held is not None:
+                        yield from held.nearest()
+                    key, ids, vectors, held = (blocks[start], shares[start]), [], [], None
+                for first in range(0, some.num_rows, CHUNK_ROWS):
+                    part = some.slice(first, CHUNK_ROWS)
+                    if not passes[start]:
+                        ids.append(part.column("id"))
+                        vectors.append(_vectors(part.column("v")))
+                    elif ids:
+                        held = held or _Held(ids, vectors, k)
+                        held.meet(part.column("id"), _vectors(part.column("v")))
+        if held is not None:
+            yield from held.nearest()
+
+    return nearest
+
+
 def _vectors(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
@@ -142,12 +261,18 @@ def recall_by_probes(
     """(probes, recall): the share of true neighbours in the nearest so many cells.
 
     Measured on ``rows`` rows, the smallest hashes, whose true neighbours are found among
-    all rows.  Sampled rows are dealt to all tasks, others stay where they are.
+    all rows.  A few sampled rows are dealt to all tasks, others stay where they are; many
+    are held in blocks that all rows pass.
     """
     unit = normalize_rows(df.select(F.col(id_column).alias("id"), F.col(vector).alias("v")), "v")
     rows_of = materialize(with_cells(unit, "v", centers), "recall-rows")
     sample = hash_sample(rows_of.select("id", "v", "cells"), "id", rows, seed)
-    near = materialize(_nearest_of(sample.select("id", "v"), rows_of.select("id", "v"), k), "recall-neighbors")
+    asking, others = sample.select("id", "v"), rows_of.select("id", "v")
+    if rows <= SENT_ROWS:
+        near = _nearest_of(asking, others, k)
+    else:
+        near = k_nearest(nearest_of_all(asking, others, k), k).select("id", "neighbor")
+    near = materialize(near, "recall-neighbors")
     cell = rows_of.select(F.col("id").alias("neighbor"), F.get("cells", F.lit(0)).alias("cell"))
     met = near.join(cell, "neighbor").join(sample.select("id", "cells"), "id")
     counts = met.groupBy(F.array_position("cells", F.col("cell")).alias("probes")).agg(F.count("*").alias("n"))
@@ -177,8 +302,7 @@ def _nearest_of(asking: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(nearest, f"id {kind}, neighbor {kind}, distance double")
-    order = Window.partitionBy("id").orderBy("distance", "neighbor")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("id", "neighbor")
+    return k_nearest(found, k).select("id", "neighbor")
 
 
 def probes_for(recalls: DataFrame, recall: float = RECALL) -> int:
