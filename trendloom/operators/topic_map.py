@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.vectors import k_best, normalize_rows, stacked
+from trendloom.functions.vectors import normalize_rows
 from trendloom.operators import cells, layout, svd
-from trendloom.operators.cells import NEIGHBORS, SLICE_ROWS
+from trendloom.operators.cells import NEIGHBORS
 from trendloom.operators.sampling import hash_sample
 from trendloom.session import materialize
 
@@ -24,67 +24,20 @@ SAMPLE_ROWS = 200_000
 EXACT_ROWS = 50_000
 LEGEND_TOP = 12
 PALETTE = 20
-# Rows per block: two blocks and a slice of their products fit in any task.
-BLOCK_ROWS = 8192
 INDEX_BUCKETS = 256
 
 
 def nearest_neighbors(
-    df: DataFrame, id_column: str, vector: str, k: int = NEIGHBORS, block_rows: int = BLOCK_ROWS
+    df: DataFrame, id_column: str, vector: str, k: int = NEIGHBORS, block_rows: int = cells.HELD_ROWS
 ) -> DataFrame:
     """(id, neighbor, distance, place): the k nearest other rows by cosine distance, exact.
 
-    Rows are hashed into blocks of bounded size and each pair of blocks meets in
-    one task, which passes on only the k best per row.  Distances count to nine
+    Rows are hashed into blocks of bounded size; a task holds a block while a share of all
+    rows goes by, and passes on only the k best per row.  Distances count to nine
     decimals, equal ones go by id.
     """
-    unit = normalize_rows(df.select(id_column, vector), vector)
-    n_blocks = max(1, math.ceil(unit.count() / block_rows))
-    blocked = unit.select(
-        F.col(id_column).alias("id"),
-        F.col(vector).alias("v"),
-        F.pmod(F.xxhash64(F.col(id_column)), F.lit(n_blocks)).cast("int").alias("own"),
-    )
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = blocked.select("id", "v", F.col("own").alias("a"), every.alias("b"))
-    right = blocked.select("id", "v", F.col("own").alias("b"), every.alias("a"))
-    id_type = df.schema[id_column].dataType.simpleString()
-    best = (
-        left.groupBy("a", "b")
-        .cogroup(right.groupBy("a", "b"))
-        .applyInPandas(_nearest_in_block(k), f"id {id_type}, neighbor {id_type}, distance double")
-    )
-    order = Window.partitionBy("id").orderBy("distance", "neighbor")
-    return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-
-
-def _nearest_in_block(k: int):
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            # In the order of their ids, so that a tie goes to the first place.
-            right = right.sort_values("id")
-            others, other_ids = stacked(right["v"], 0), right["id"].to_numpy()
-            for start in range(0, len(left), SLICE_ROWS):
-                part = left.iloc[start : start + SLICE_ROWS]
-                ids = part["id"].to_numpy()
-                distance = np.round(1.0 - stacked(part["v"], 0) @ others.T, 9)
-                distance[ids[:, None] == other_ids[None, :]] = np.inf
-                row, column = k_best(distance, k)
-                found.append(
-                    pd.DataFrame(
-                        {
-                            "id": ids[row],
-                            "neighbor": other_ids[column],
-                            "distance": np.maximum(distance[row, column], 0.0),
-                        }
-                    )
-                )
-        if not found:
-            return pd.DataFrame({"id": [], "neighbor": [], "distance": []})
-        return pd.concat(found)
-
-    return nearest
+    unit = normalize_rows(df.select(F.col(id_column).alias("id"), F.col(vector).alias("v")), "v")
+    return cells.k_nearest(cells.nearest_of_all(unit, unit, k, block_rows), k)
 
 
 def _memberships(distances: np.ndarray, target: float) -> np.ndarray:
