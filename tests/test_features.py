@@ -206,3 +206,18 @@ def test_samples_of_repeated_and_null_ids(spark, monkeypatch):
         assert got == {r.n for r in hash_sample(frame.repartition(7), "id", n).collect()}
     same = spark.range(200).select(F.lit("a").alias("id"))
     assert hash_sample(same, "id", 10).count() == 200
+
+
+def test_entries_of_frequent_terms_are_not_shuffled_by_term(spark, fitted, monkeypatch, capsys):
+    """Of a vocabulary too large to send, only entries that the sent part lacks meet the rest."""
+    model, _ = fitted
+    monkeypatch.setattr(tfidf, "SENT_TERMS", 20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model.transform(spark.createDataFrame([("x", "a b")], "id string, text string"), "id", "text").explain()
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    merged = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(merged) == 1 and "Inner" in merged[0] and "LeftAnti" in plan
