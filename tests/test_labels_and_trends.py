@@ -168,3 +168,24 @@ def test_texts_of_one_id_are_vectorised_by_themselves(spark):
         docs = spark.createDataFrame([(0, i, t) for i, t in zip(ids, texts)], "cluster int, id string, text string")
         got = phrases.phrase_weights(docs, two_words, min_df=1, max_df=1.0).collect()
         assert {r.term: r.weight for r in got} == pytest.approx(dict(want))
+
+
+def test_known_phrases_are_sent_or_met_in_parts(spark, monkeypatch, capsys):
+    """Entries find their phrase without a shuffle by phrase; a bounded part of many gives the same."""
+    from trendloom.operators import tfidf
+
+    words = ["red stone bridge", "old stone bridge", "cold river water", "deep river water"]
+    texts = [(i % 2, f"{words[i % 4]} {words[(i * 3 + 1) % 4]} item{i % 5} page{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "cluster int, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = phrases.phrase_weights(docs, max_df=1.0)
+        whole.explain()
+        assert "BroadcastHashJoin" in capsys.readouterr().out
+        want = {(r.cluster, r.term): r.weight for r in whole.collect()}
+        monkeypatch.setattr(tfidf, "SENT_TERMS", 6)
+        got = {(r.cluster, r.term): r.weight for r in phrases.phrase_weights(docs, max_df=1.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
