@@ -221,3 +221,20 @@ def test_entries_of_frequent_terms_are_not_shuffled_by_term(spark, fitted, monke
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     merged = [line for line in plan.splitlines() if "SortMergeJoin" in line]
     assert len(merged) == 1 and "Inner" in merged[0] and "LeftAnti" in plan
+
+
+def test_sums_of_neighbouring_terms_travel_as_one_row(spark, monkeypatch):
+    """A map of many rows made one row per term and task in each of twenty iterations."""
+    draw = np.random.default_rng(3)
+    matrix = np.where(draw.random((60, 500)) < 0.05, draw.random((60, 500)), 0.0)
+    matrix[7], matrix[:, 11] = 0.0, 0.0
+    listed = [(np.flatnonzero(row).tolist(), row[np.flatnonzero(row)].tolist()) for row in matrix]
+    rows = spark.createDataFrame(listed, "term_ids array<int>, weights array<double>").repartition(3)
+    vectors = draw.integers(-9, 9, (500, 4)).astype(float)
+    for size in (1, 32 * 100, svd.ROW_BYTES):
+        monkeypatch.setattr(svd, "ROW_BYTES", size)
+        np.testing.assert_allclose(svd.gram_times(rows, vectors), matrix.T @ (matrix @ vectors), atol=1e-10)
+    shared = spark.sparkContext.broadcast(vectors)
+    sums = svd.partial_sums(rows, shared, 100).collect()
+    assert len(sums) <= 3 * 5
+    assert {t for row in sums for t in row["term_ids"]} == set(np.flatnonzero(matrix.any(axis=0)))

@@ -3,13 +3,14 @@
 Halko, Martinsson and Tropp (2011): start from random vectors over the terms,
 multiply by XᵀX a fixed number of times with re-orthonormalisation, then solve
 the small projected eigenproblem.  Each multiplication is one narrow pass over
-the documents followed by an aggregation on term id.  Vectors over the terms
+the documents followed by an aggregation on blocks of terms.  Vectors over the terms
 are model state (capped vocabulary times components); they are sent to the
 tasks in column blocks of a checked size, so that no document is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +27,11 @@ OVERSAMPLE = 10
 # Size of one column block of term vectors sent to the tasks: 310 columns over
 # 200,000 terms in single precision fit one.  Set it to what the executors can hold.
 BLOCK_BYTES = 256 << 20
-# Documents multiplied at once inside a task, and rows of sums handed on at once.
+# Documents multiplied at once inside a task, and rows handed on at once.
 DOCS_AT_ONCE, ROWS_AT_ONCE = 64, 4096
-# Partial sums of a term are merged in so many parts before they are merged at last.
-PARTS = 16
+# Size of a row of sums, which holds as many neighbouring terms as fit.
+ROW_BYTES = 64 << 10
+BLOCK_SUMS = "block int, term_ids array<int>, sums array<double>"
 
 
 @dataclass
@@ -94,11 +96,11 @@ def _dense_slices(term_ids, weights):
         yield slice(first, first + len(ids)), terms, dense
 
 
-def _gram_block(rows: DataFrame, block: np.ndarray) -> np.ndarray:
-    """XᵀX times one block of term vectors."""
-    spark = rows.sparkSession
-    n_terms, width = block.shape
-    shared = spark.sparkContext.broadcast(block.astype(np.float32))
+def partial_sums(rows: DataFrame, shared, terms_at_once: int) -> DataFrame:
+    """(block, term_ids, sums): XᵀX of each task's own documents times the shared vectors.
+
+    Neighbouring terms are one row, so a task makes few rows however many terms there are.
+    """
 
     def multiply(batches):
         vectors = shared.value
@@ -108,28 +110,64 @@ def _gram_block(rows: DataFrame, block: np.ndarray) -> np.ndarray:
             for _, terms, dense in _dense_slices(*_lists(batch)):
                 total[terms] += dense.T @ (dense @ vectors[terms].astype(np.float64))
                 touched[terms] = True
-        keys = np.flatnonzero(touched)
-        for start in range(0, len(keys), ROWS_AT_ONCE):
-            some = keys[start : start + ROWS_AT_ONCE]
-            sums = pa.FixedSizeListArray.from_arrays(pa.array(total[some].ravel()), width)
-            columns = [pa.array(some, pa.int32()), sums.cast(pa.list_(pa.float64()))]
-            yield pa.record_batch(columns, names=["term_id", "sums"])
-
-    # All columns of a term are one vector; the sums of a task's own documents meet
-    # those of other tasks by block of terms and part first, then by term.
-    partial = rows.select("term_ids", "weights").mapInArrow(multiply, "term_id int, sums array<double>")
-    vectors = partial.select("term_id", array_to_vector("sums").alias("sums"), F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"))
-    merged = vectors.groupBy("term_id", "part").agg(Summarizer.sum(F.col("sums")).alias("sums"))
-    merged = merged.groupBy("term_id").agg(Summarizer.sum(F.col("sums")).alias("sums"))
-    table = merged.select("term_id", vector_to_array("sums").alias("sums")).toArrow()
+        keys = np.flatnonzero(touched).astype(np.int32)
+        yield from _block_sums(keys, total[keys], terms_at_once)
+
+    return rows.select("term_ids", "weights").mapInArrow(multiply, BLOCK_SUMS)
+
+
+def _gram_block(rows: DataFrame, block: np.ndarray) -> np.ndarray:
+    """XᵀX times one block of term vectors."""
+    n_terms, width = block.shape
+    terms_at_once = max(1, ROW_BYTES // (8 * width))
+    shared = rows.sparkSession.sparkContext.broadcast(block.astype(np.float32))
+    # The sums of all tasks meet by block of terms; a task holds the sums of one block at a time.
+    together = partial_sums(rows, shared, terms_at_once).repartition("block").sortWithinPartitions("block")
+    table = together.mapInArrow(_added(terms_at_once, width), BLOCK_SUMS).select("term_ids", "sums").toArrow()
     shared.unpersist()
     result = np.zeros((n_terms, width))
-    if table.num_rows:
-        flat = table.column("sums").combine_chunks().flatten().to_numpy()
-        result[table.column("term_id").to_numpy()] = flat.reshape(-1, width)
+    for batch in table.to_batches():
+        terms = batch.column("term_ids").flatten().to_numpy()
+        result[terms] = batch.column("sums").flatten().to_numpy().reshape(-1, width)
     return result
 
 
+def _block_sums(keys: np.ndarray, sums: np.ndarray, terms_at_once: int) -> Iterator[pa.RecordBatch]:
+    """Sums of ascending terms, one row for each block of terms that has any."""
+    cuts = np.flatnonzero(np.diff(keys // terms_at_once)) + 1
+    for some, part in zip(np.split(keys, cuts), np.split(sums, cuts)):
+        if len(some):
+            columns = [[int(some[0]) // terms_at_once], [some], [part.ravel()]]
+            kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            yield pa.record_batch([pa.array(*x) for x in zip(columns, kinds)], names=["block", "term_ids", "sums"])
+
+
+def _added(terms_at_once: int, width: int):
+    """The rows of each block of terms added up; they come one after the other."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total, touched = None, np.zeros((terms_at_once, width)), np.zeros(terms_at_once, bool)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            places = np.flatnonzero(touched)
+            yield from _block_sums((block * terms_at_once + places).astype(np.int32), total[places], terms_at_once)
+
+        for batch in batches:
+            for i, number in enumerate(batch.column("block").to_pylist()):
+                if number != block:
+                    if block is not None:
+                        yield from done()
+                    block = number
+                    total[:], touched[:] = 0.0, False
+                places = batch.column("term_ids")[i].values.to_numpy() - block * terms_at_once
+                total[places] += batch.column("sums")[i].values.to_numpy().reshape(-1, width)
+                touched[places] = True
+        if block is not None:
+            yield from done()
+
+    return add
+
+
 def _lists(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Term numbers and weights of each row of an Arrow batch."""
     found = []
