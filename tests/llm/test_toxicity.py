@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tests.llm.awkward import ROWS, awkward, empty
 from trendloom.llm.rank_order_language import held_out
 from trendloom.llm.toxicity_neighbours import (
+    TERM,
     Index,
     Settings,
     Vectors,
+    Vocabulary,
     labelled_sample,
     learn,
     monotone_curve,
@@ -71,6 +73,29 @@ def test_unlike_blocks_stay_closed():
     assert 70 in [index.ids[p] for p in places] and abs(found[0] - 1) < 1e-6 and len(set(opened)) < 8
 
 
+def test_terms_of_any_script():
+    latin = "".join(map(chr, range(256)))
+    for text in ["", latin, f"a{latin}b{latin}", "It's 2nd_try", "\xa0x\x85y\x1cz", "Straße ΑΣ ümlaut 中文 x٣y İ", "\u2028a\u2003b"]:
+        assert terms_of(text) == TERM.findall(text.lower())
+
+
+def test_each_different_word_is_looked_up_once():
+    looked_up = []
+
+    class Watched(np.ndarray):
+        def searchsorted(self, values, *args, **kwargs):
+            looked_up.append(len(values))
+            return np.asarray(self).searchsorted(values, *args, **kwargs)
+
+    hashes = np.sort(np.array([term_hash(x) for x in ("ein", "über", "word")], np.uint64))
+    some = Vocabulary(hashes.view(Watched), np.ones(3, np.float32), hashes == term_hash("word"), 0.8, frozenset({"word"}))
+    vectors = some.vectors(["Über word new " * 500, "", "new", "ein ein"])
+    assert looked_up == [4] and np.diff(vectors.starts).tolist() == [2, 0, 0, 1]
+    found = dict(zip(hashes[vectors.terms[:2]].tolist(), vectors.weights[:2]))
+    assert np.allclose([found[term_hash("word")] ** 2, found[term_hash("über")] ** 2, vectors.weights[2]], [0.8, 0.2, 1.0])
+    assert not len(some.vectors([]).terms)
+
+
 def test_curve_never_falls():
     votes = [0.0, 0.1, 0.2, 0.2, 0.5, 0.7, 0.9, 1.0, 1.0]
     steps, values = monotone_curve(votes, [0, 1, 0, 0, 0, 1, 0, 1, 1])

@@ -24,6 +24,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -64,8 +65,18 @@ class Settings:
     evidence: int = 3
 
 
+#: Latin-1 characters outside terms become spaces.
+BLANKED = bytes(c if TERM.match(chr(c)) else 0x20 for c in range(256))
+
+
 def terms_of(text: str) -> list[str]:
-    return TERM.findall(text.lower())
+    """What TERM finds in the lower-cased text; of Latin-1 texts the parts between all other characters."""
+    text = text.lower()
+    try:
+        plain = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return TERM.findall(text)
+    return plain.translate(BLANKED).decode("latin-1").split()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
@@ -245,16 +256,21 @@ class Vocabulary:
     share: float
     marks: frozenset[str]
 
-    def vectors(self, texts: list[str], hashes: WordHashes) -> Vectors:
+    def vectors(self, texts: list[str]) -> Vectors:
         """Unit vectors of (1 + ln tf) * idf, the marked terms and the others weighed by their shares."""
         words = [terms_of(text) for text in texts]
-        flat = np.concatenate([hashes.of(found) for found in words]) if words else np.zeros(0, np.uint64)
+        flat = list(chain.from_iterable(words))
         text = np.repeat(np.arange(len(texts)), [len(found) for found in words])
         n = len(self.hashes)
         if not n:
             return Vectors(np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        number = np.minimum(np.searchsorted(self.hashes, flat), n - 1)
-        known = self.hashes[number] == flat
+        # Each different word is hashed and looked up once.
+        words = pa.array(flat, pa.string()).dictionary_encode()
+        different = words.dictionary.cast(pa.binary()).to_pylist()
+        hashed = np.fromiter(map(xxhash.xxh64_intdigest, different), np.uint64, len(different))
+        number = np.minimum(np.searchsorted(self.hashes, hashed), n - 1)
+        number = np.where(self.hashes[number] == hashed, number, -1)[words.indices.to_numpy()]
+        known = number >= 0
         both, count = np.unique(text[known] * n + number[known], return_counts=True)
         text, terms = both // n, both % n
         weights = (1 + np.log(count)) * self.idf[terms]
@@ -277,7 +293,7 @@ FREQUENT = 0.05
 #: More than rounding to single precision can change a sum.
 SLACK = 1e-4
 #: Texts searched for at a time.
-BATCH = 128
+BATCH = 256
 
 
 @dataclass
@@ -352,22 +368,18 @@ class Index:
         n_blocks, n_frequent, block = self.blocks.shape
         n = n_blocks * block
         k = min(k, len(self.ids))
-        rare = np.zeros((len(rows), n))
         frequent = np.zeros((len(rows), n_frequent))
+        rare, sums = [], np.empty((len(rows), n), np.float32)
         for i, (terms, weights) in enumerate(rows):
             column = self.column[terms]
-            frequent[i, column[column >= 0]] = weights[column >= 0]
-            terms, weights = terms[column < 0], weights[column < 0].astype(np.float64)
-            if not len(terms):
-                continue
-            lists = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist())]
-            places = np.concatenate([self.places[some] for some in lists])
-            values = np.concatenate([self.weights[some] for some in lists])
-            rare[i] = np.bincount(places, np.repeat(weights, self.counts[terms]) * values, minlength=n)
-        single, sums = frequent.astype(np.float32), rare.astype(np.float32)
+            often = column >= 0
+            frequent[i, column[often]] = weights[often]
+            rare.append(self._rare_sums(terms[~often], weights[~often], n))
+            sums[i] = rare[i]
+        single = frequent.astype(np.float32)
         # The k-th largest of the blocks' best sums: k examples have as much or more.
-        best = sums.reshape(-1, n_blocks, block).max(axis=2)
-        floor = np.partition(best, n_blocks - k, axis=1)[:, n_blocks - k] if k <= n_blocks else np.zeros(len(rows))
+        best = sums.reshape(len(rows), n_blocks, block).max(axis=2)
+        floor = _largest(best, k)
         bounds = best + single @ self.maxima.T + SLACK
         wanted = (bounds >= floor[:, None]) & (bounds > SLACK)
         for b in np.flatnonzero(wanted.any(axis=0)):
@@ -377,15 +389,36 @@ class Index:
             else:
                 some = np.flatnonzero(wanted[:, b])
                 sums[some, here] += single[some] @ self.blocks[b]
-        least = np.partition(sums, n - k, axis=1)[:, n - k] - SLACK
+        # The k-th largest sum is at least that of the best of any groups, and is looked for above it.
+        floor = _largest(sums.reshape(len(rows), block, n_blocks).max(axis=1), k)
         for i in range(len(rows)):
-            places = np.flatnonzero((sums[i] >= least[i]) & (sums[i] > 0))
+            places = np.flatnonzero(sums[i] >= floor[i] - np.float32(SLACK))
+            near = sums[i, places]
+            least = np.partition(near, len(near) - k)[len(near) - k] - SLACK
+            places = places[(near >= least) & (near > 0)]
             columns = np.flatnonzero(frequent[i])
             values = self.blocks[(places // block)[:, None], columns, (places % block)[:, None]]
-            similarity = rare[i, places] + (values * frequent[i, columns]).sum(axis=1)
+            similarity = rare[i][places] + (values * frequent[i, columns]).sum(axis=1)
             similarity = np.minimum(np.round(similarity, 9), 1.0)
-            best = np.lexsort((places, -similarity))[:k]
-            yield places[best], similarity[best]
+            best_places = np.lexsort((places, -similarity))[:k]
+            yield places[best_places], similarity[best_places]
+
+    def _rare_sums(self, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """The sum of each place over the lists of rare terms, in doubles."""
+        lists = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist())]
+        # Joining views of bytes costs a third of concatenating as many short arrays.
+        places, values = memoryview(self.places), memoryview(self.weights)
+        places = np.frombuffer(b"".join([places[some] for some in lists]), self.places.dtype)
+        values = np.frombuffer(b"".join([values[some] for some in lists]), self.weights.dtype)
+        products = np.repeat(weights.astype(np.float64), self.counts[terms])
+        products *= values
+        return np.bincount(places, products, minlength=n)
+
+
+def _largest(best: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, 0 of rows that are shorter."""
+    n = best.shape[1]
+    return np.partition(best, n - k, axis=1)[:, n - k] if k <= n else np.zeros(len(best), best.dtype)
 
 
 def vote(labels: np.ndarray, similarity: np.ndarray, settings: Settings) -> float:
@@ -427,14 +460,14 @@ class Model:
     #: Vocabulary and index as they were sent to the tasks for the examples' own votes.
     sent: Broadcast | None = None
 
-    def scores(self, texts: list[str], hashes: WordHashes) -> Iterator[tuple[float, list, list[float]]]:
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, list, list[float]]]:
         """Probability and evidence of each text: ids and similarities of the nearest examples."""
         if self.index is None:
             yield from ((self.none, [], []) for _ in texts)
             return
         steps, values = self.curve
         some = self.settings.evidence
-        found = self.index.nearest(self.vocabulary.vectors(texts, hashes), self.settings.neighbours)
+        found = self.index.nearest(self.vocabulary.vectors(texts), self.settings.neighbours)
         for places, similarity in found:
             if not len(places):
                 yield self.none, [], []
@@ -450,9 +483,8 @@ def example_vectors(examples: DataFrame, terms: Vocabulary) -> DataFrame:
     shared = examples.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in byte_slices(batches, "text"):
-            found = shared.value.vectors(texts_of(part), hashes)
+            found = shared.value.vectors(texts_of(part))
             starts = pa.array(found.starts, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -538,9 +570,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned, hashes = Model(*sent.value, *rest), WordHashes()
+        learned = Model(*sent.value, *rest)
         for part in byte_slices(batches, "text"):
-            found = list(learned.scores(texts_of(part), hashes))
+            found = list(learned.scores(texts_of(part)))
             scores = np.array([p for p, _, _ in found])
             yield pa.RecordBatch.from_arrays(
                 [
