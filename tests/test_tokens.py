@@ -1,13 +1,16 @@
 import re
 import unicodedata
 
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.test_cleaning import column
 from trendloom.functions import tokens
+from trendloom.operators import tfidf
 from trendloom.operators.tfidf import Analyzer
+from trendloom.plans.queries import QUERIES
 
 LETTER = re.compile(r"\b[a-zA-Z][a-zA-Z\-]{1,}\b")
 WORD = re.compile(r"\b[a-zA-Z][\w\-]{1,}\b")
@@ -75,3 +78,36 @@ def test_runs(spark):
     frame = frame.withColumn("p", tokens.run_starts(F.col("o")))
     got = frame.select(tokens.run_lengths(F.col("o"), F.col("p")).alias("r")).collect()
     assert [[tuple(x) for x in row.r] for row in got] == [[("a", 2), ("b", 1)], [], [("z", 1)]]
+
+
+AWKWARD = [
+    "Straße café naïve x-ray well- a-1 x_y", "ﬁne ŉame ℌello résumé", "中文 word ﻼ after", "힣 한국 tail",
+    "one two one two one", "", None, "the of", "tail's end", "“quoted” words—joined … €5 a−b", "ΑΣ σ abc", "İstanbul KELVIN K 𝐛old",
+    "Ĳssel ǆ dz ½half", "new \U00031350 letterࡰword x\U0001E4D0y",
+]
+
+
+def test_tallies_add_up_to_the_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(AWKWARD * 3)], "doc_id int, text string").coalesce(2)
+    for size in (1, 8 << 20):
+        monkeypatch.setattr(tfidf, "TALLY_BYTES", size)
+        for analyzer in (tfidf.TERMS, tfidf.PHRASES, Analyzer(all_scripts=True, shortest=2, longest=2), Analyzer(stop_words=(), longest=3)):
+            counts = tfidf.term_counts(docs, ["doc_id"], "text", analyzer)
+            tallies = tfidf.add_tallies(tfidf.tallied_counts(docs, "text", analyzer))
+            assert sorted(tallies.collect()) == sorted(tfidf.term_statistics(counts).collect())
+
+
+def test_a_slice_gives_one_row_for_each_term():
+    found = list(tokens.tallied_ngrams([["a", "b", "a", "b"], ["b", "of", "a"], []], pa.array(["of"]), 1, 2))
+    rows = [tuple(row.values()) for batch in found for row in batch.to_pylist()]
+    assert sorted(rows) == [("a", 2, 3), ("a b", 1, 2), ("b", 2, 3), ("b a", 2, 2)]
+
+
+def test_vocabulary_forms_no_row_per_term_of_a_document(spark, sf_dir):
+    plan = QUERIES["vocabulary"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_plain_letters_are_those_of_spark(spark):
+    texts = [t for t in AWKWARD if t] + ["".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x1FFFF)]))]
+    assert column(spark, texts, tokens.strip_accents) == [tokens.plain_letters(t, tokens.plain_table()) for t in texts]
