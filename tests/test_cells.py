@@ -107,3 +107,18 @@ def test_a_block_passes_on_k_rows_for_each_row(grouped):
     """However many rows go by."""
     unit = grouped.select("id", F.col("embedding").alias("v"))
     assert cells.nearest_of_all(unit, unit, 5, 100).count() == 600 * 5
+
+
+def test_map_of_all_rows_has_exact_neighbours_however_many_there_are(spark, grouped, monkeypatch):
+    """Neither a sample nor a change to cells where there are many rows."""
+
+    def refused(*args, **settings):
+        raise AssertionError("neighbours from cells")
+
+    monkeypatch.setattr(topic_map, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(topic_map, "EXACT_ROWS", 100)
+    docs = grouped.withColumn("cluster", (F.col("id") % 3).cast("int"))
+    few = topic_map.topic_map(docs, "id", "embedding", sample_rows=150, k=8, exact_rows=100)
+    assert few.count() == 150
+    monkeypatch.setattr(cells, "neighbors_by_cells", refused)
+    assert topic_map.topic_map(docs, "id", "embedding", k=8).count() == 600

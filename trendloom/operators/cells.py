@@ -136,6 +136,9 @@ class _Held:
     def __init__(self, ids: list[pa.Array], vectors: list[np.ndarray], k: int):
         self.ids, self.vectors, self.k = pa.concat_arrays(ids), np.concatenate(vectors), k
         self.names = self.ids.to_numpy(zero_copy_only=False)
+        self.rough = self.vectors.astype(np.float32)
+        # What a product of unit rows in single precision may be off by, twice over.
+        self.slack = 2 * np.finfo(np.float32).eps * (self.vectors.shape[1] + 2)
         self.distance = np.full((len(self.names), k), np.inf)
         self.place = np.zeros((len(self.names), k), np.int64)
         self.passed: list[pa.Array] = []
@@ -144,18 +147,21 @@ class _Held:
     def meet(self, ids: pa.Array, vectors: np.ndarray) -> None:
         """Rows that go by, in the order of their ids: an equal distance does not replace one before."""
         others = ids.to_numpy(zero_copy_only=False)
+        rough = np.ascontiguousarray(vectors.T, np.float32)
         for start in range(0, len(self.names), SLICE_ROWS):
             where = slice(start, start + SLICE_ROWS)
             names, limit = self.names[where], self.distance[where, -1]
-            gap = 1.0 - self.vectors[where] @ vectors.T
-            row, column = np.nonzero(gap < (limit + 1e-9)[:, None])
-            if len(row) > 4 * self.k * len(names):
-                gap = np.round(gap, 9)
+            # Single precision finds what may be near; only that is measured.
+            near = self.rough[where] @ rough > (1.0 - limit - 1e-9 - self.slack).astype(np.float32)[:, None]
+            places = np.flatnonzero(near)
+            if len(places) > 4 * self.k * len(names):
+                gap = np.round(1.0 - self.vectors[where] @ vectors.T, 9)
                 gap[(gap >= limit[:, None]) | (names[:, None] == others)] = np.inf
                 row, column = k_best(gap, self.k)
                 found = gap[row, column]
             else:
-                found = np.round(gap[row, column], 9)
+                row, column = np.divmod(places, len(others))
+                found = np.round(1.0 - np.einsum("ij,ij->i", self.vectors[where][row], vectors[column]), 9)
                 good = (found < limit[row]) & (names[row] != others[column])
                 row, column, found = row[good], column[good], found[good]
             if len(row):

@@ -1,4 +1,4 @@
-"""A two-dimensional map of a document sample.
+"""A two-dimensional map of documents, or of a sample of them.
 
 Nearest neighbours by cosine, the fuzzy neighbour graph of McInnes, Healy and
 Melville (2018), and a spectral layout of that graph, which ``layout`` refines.
@@ -19,8 +19,9 @@ from trendloom.operators.cells import NEIGHBORS
 from trendloom.operators.sampling import hash_sample
 from trendloom.session import materialize
 
+# A sample for a chart, where one is wanted.
 SAMPLE_ROWS = 200_000
-# Up to here every row meets every other one; beyond, neighbours come from near cells.
+# A bound for exact neighbours, where they are not wanted for any number of rows.
 EXACT_ROWS = 50_000
 LEGEND_TOP = 12
 PALETTE = 20
@@ -176,18 +177,22 @@ def topic_map(
     id_column: str,
     vector: str,
     labels: DataFrame | None = None,
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int | None = None,
     k: int = NEIGHBORS,
     seed: int = 0,
     steps: int = 0,
+    exact_rows: int | None = None,
 ) -> DataFrame:
-    """(id, x, y, cluster, label, color) for a uniform sample of ``docs``.
+    """(id, x, y, cluster, label, color) of all ``docs``, or of a uniform sample of them.
 
-    The spectral layout, refined by so many ``steps``.
+    The spectral layout, refined by so many ``steps``.  Neighbours are exact however many
+    rows there are, unless ``exact_rows`` is given: more rows than that look into near cells.
     """
-    sample = hash_sample(docs.select(id_column, vector, "cluster"), id_column, sample_rows, seed)
+    sample = docs.select(id_column, vector, "cluster")
+    if sample_rows is not None:
+        sample = hash_sample(sample, id_column, sample_rows, seed)
     sample = materialize(sample.withColumnRenamed(id_column, "id"), "map-sample")
-    if sample.count() <= EXACT_ROWS:
+    if exact_rows is None or sample.count() <= exact_rows:
         near = nearest_neighbors(sample, "id", vector, k)
     else:
         near = cells.neighbors_by_cells(sample, "id", vector, k, seed=seed)
