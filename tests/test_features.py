@@ -1,8 +1,11 @@
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trendloom.operators import block_svd, filters, sampling, svd, tfidf
+from trendloom.operators import block_svd, filters, sampling, svd, term_slices, tfidf
 from trendloom.operators.sampling import hash_sample, hash_sample_per_group
 from trendloom.plans import fixtures as fx
 from trendloom.plans.queries import QUERIES
@@ -238,3 +241,48 @@ def test_sums_of_neighbouring_terms_travel_as_one_row(spark, monkeypatch):
     sums = svd.partial_sums(rows, shared, 100).collect()
     assert len(sums) <= 3 * 5
     assert {t for row in sums for t in row["term_ids"]} == set(np.flatnonzero(matrix.any(axis=0)))
+
+
+def test_fitted_rows_are_those_of_new_documents(spark, sf_dir, monkeypatch):
+    """Slices of few documents, with null and shared ids, and the path of new documents."""
+    monkeypatch.setattr(term_slices, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(term_slices, "DOCS_AT_ONCE", 7)
+    monkeypatch.setattr(term_slices, "GATHERED", 500)
+    corpus = filters.drop_short_texts(fx.corpus(spark, sf_dir)).select(
+        F.when(F.col("doc_id") % 9 > 0, F.floor(F.col("doc_id") / 2)).alias("id"), "text"
+    )
+    docs = materialize(corpus.unionByName(spark.createDataFrame([(1, ""), (None, None)], "id long, text string")), "test-docs")
+    model, rows = tfidf.fit_transform(docs, "id", "text", min_df=3)
+    assert model.n_docs == docs.count() and rows.columns == ["id", "term_ids", "weights"]
+    again = tfidf.fit_tfidf(docs, "id", "text", min_df=3)
+    assert sorted(map(tuple, again.table.collect())) == sorted(map(tuple, model.table.collect()))
+    listed = [
+        sorted(((str(r.id), r.term_ids, [round(x, 9) for x in r.weights]) for r in found.collect()))
+        for found in (rows, model.transform(docs, "id", "text"))
+    ]
+    assert listed[0] == listed[1] and ("1", [], []) in listed[0] and ("None", [], []) in listed[0]
+
+
+def test_a_fit_moves_a_term_once_for_each_slice(spark, capsys):
+    """Not once for each document, and rows are not put together from their entries."""
+    docs = spark.range(400).select("id", F.lit("alpha beta gamma alpha").alias("text")).repartition(2)
+    of_docs, terms = term_slices.counted_slices(docs, "id", "text", tfidf.TERMS)
+    assert of_docs.count() == 2 and terms.count() == 2 * 6
+    added = term_slices.added_terms(terms, 5).collect()
+    assert {(r.term, r.df, r.cf) for r in added} >= {("alpha", 400, 800), ("beta gamma", 400, 400)}
+    assert term_slices.added_terms(terms, 401).count() == 0
+    _, rows = tfidf.fit_transform(docs, "id", "text", max_df=1.0)
+    rows.explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    left = lambda: {f.name for x in folders for f in Path(x).rglob("shuffle_*")}
+    before = left()
+    moved = materialize(spark.range(1000).repartition(5, "id"), "test-moved")
+    for _ in range(50):
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before and moved.count() == 1000
