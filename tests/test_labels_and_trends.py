@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_cleaning import column
 from trendloom.functions import labels
-from trendloom.operators import categories, phrases, tfidf, trends
+from trendloom.operators import categories, phrases, term_slices, tfidf, trends
 
 
 def test_codes(spark):
@@ -189,3 +189,15 @@ def test_known_phrases_are_sent_or_met_in_parts(spark, monkeypatch, capsys):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_phrases_move_once_for_each_slice(spark, capsys):
+    """Not once for each document, whose weights are made without a shuffle by document."""
+    texts = [(i % 2, f"red stone bridge item{i % 7} over water") for i in range(200)]
+    docs = spark.createDataFrame(texts, "cluster int, text string").coalesce(1)
+    weights = phrases.phrase_weights(docs, max_df=1.0)
+    weights.explain()
+    assert "Window" not in capsys.readouterr().out
+    assert {(r.cluster, r.term) for r in weights.collect()} >= {(0, "red stone"), (1, "red stone bridge")}
+    _, terms = term_slices.counted_slices(docs, "cluster", "text", tfidf.PHRASES, "cluster")
+    assert terms.filter("term = 'red stone'").groupBy("_group").count().orderBy("_group").collect() == [(0, 1), (1, 1)]
